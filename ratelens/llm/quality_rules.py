@@ -54,20 +54,27 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(many)
 
 
-def text_counts(docs: DataFrame) -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed."""
+def text_counts() -> Column:
+    """A struct of ``text``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed.
+
+    One expression in which words and lines are bound once, so that no rewrite of a plan can repeat them.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    split = docs.withColumns({"__words": F.regexp_extract_all(text, F.lit(_WORDS), F.lit(0)), "__lines": F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")})
-    counted = split.withColumns(
-        {
-            "n_words": F.size("__words").cast("long"),
-            "word_chars": F.char_length(F.array_join("__words", "")).cast("long"),
-            "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
-            "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-            "n_repeat_words": repeated_words(F.col("__words")),
-        }
-    ).drop("__words", "__lines")
-    return counted.withColumn("base_failed", (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50))
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
+
+    def counts(w: Column) -> Column:
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+            let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            repeated_words(w).alias("n_repeat_words"),
+        )
+
+    def failed(c: Column) -> Column:
+        return c.withField("base_failed", (c["n_words"] < 50) | (c["n_repeat_words"] * 100 > c["n_words"] * 50))
+
+    return let(let(F.regexp_extract_all(text, F.lit(_WORDS), F.lit(0)), counts), failed)
 
 
 def _line_rows(docs: DataFrame) -> DataFrame:
@@ -90,8 +97,8 @@ def line_losses(docs: DataFrame, max_docs: int = 500) -> DataFrame:
 
 
 def judge(docs: DataFrame, max_docs: int = 500, min_left: float = 0.2) -> DataFrame:
-    """The counts of ``text_counts`` by row, with lost_words and kept. Keeps doc_id of the other columns."""
-    base = text_counts(docs.select("doc_id", "text", row_key().alias("rid"))).drop("text")
+    """doc_id, the counts of ``text_counts``, lost_words and kept of every row."""
+    base = docs.select("doc_id", row_key().alias("rid"), text_counts().alias("c")).select("doc_id", "rid", "c.*")
     lost = line_losses(docs, max_docs).withColumnsRenamed({"doc_id": "lost_id", "rid": "lost_rid"})
     both = base.join(lost, base["doc_id"].cast("long").eqNullSafe(lost["lost_id"]) & (base["rid"] == lost["lost_rid"]), "left").drop("lost_id", "lost_rid", "rid")
     lost_words = F.coalesce("lost_words", F.lit(0).cast("long"))
@@ -101,9 +108,10 @@ def judge(docs: DataFrame, max_docs: int = 500, min_left: float = 0.2) -> DataFr
 
 def keep_good(docs: DataFrame, max_docs: int = 500, min_left: float = 0.2) -> DataFrame:
     """The rows of ``docs`` that pass, unchanged."""
-    names = docs.columns
-    counted = text_counts(docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "text", row_key().alias("__rid"))).filter(~F.col("base_failed"))
+    # The rows that pass are generated, not filtered: a filter would be pushed down and count all texts again.
+    passed = F.explode(F.filter(F.array(text_counts()), lambda c: ~c["base_failed"]))
+    counted = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), row_key().alias("rid"), passed.alias("c")).select("row", "id", "rid", "c.n_words")
     lost = line_losses(docs, max_docs).select(F.col("doc_id").alias("lost_id"), F.col("rid").alias("lost_rid"), "lost_words")
     depleted = (F.col("n_words") - F.col("lost_words")) < F.col("n_words") * F.lit(min_left)
-    kept = counted.join(lost, counted["doc_id"].cast("long").eqNullSafe(lost["lost_id"]) & (counted["__rid"] == lost["lost_rid"]), "left").filter(F.coalesce(~depleted, F.lit(True)))
-    return kept.select(*[F.col("__row")[c].alias(c) for c in names])
+    kept = counted.join(lost, counted["id"].eqNullSafe(lost["lost_id"]) & (counted["rid"] == lost["lost_rid"]), "left").filter(F.coalesce(~depleted, F.lit(True)))
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
