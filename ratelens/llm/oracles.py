@@ -43,6 +43,25 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM base LEFT JOIN lost USING (doc_id)
 """
 
+SQL["op4_substring_dedup"] = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, md5_number(array_to_string(w[i:i + 49], ' ')) AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words WHERE len(w) >= 50)),
+late AS (SELECT doc_id, i FROM windows QUALIFY doc_id > min(doc_id) OVER (PARTITION BY win)),
+places AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS word FROM words),
+marked AS (
+  SELECT p.doc_id, k, word, max(l.i) OVER (PARTITION BY p.doc_id ORDER BY k) AS last
+  FROM places p LEFT JOIN late l ON l.doc_id = p.doc_id AND l.i = p.k),
+kept AS (
+  SELECT doc_id, count(*) FILTER (last > k - 50) AS n_removed,
+    string_agg(word, ' ' ORDER BY k) FILTER (last IS NULL OR last <= k - 50) AS kept
+  FROM marked GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
 SQL["op10_line_dedup"] = f"""
 WITH lines AS (
   SELECT doc_id, i, line, {_KEY} AS key

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratelens.llm import decontaminate, line_dedup, pieces, quality_rules, simhash
+from ratelens.llm import decontaminate, line_dedup, pieces, quality_rules, simhash, substring_dedup
 from ratelens.llm.common import read_table
 from ratelens.llm.oracles import SQL  # noqa: F401
 
@@ -15,6 +15,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents")))
+
+
 def op5_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(read_table(spark, sf_dir, "documents"))
 
@@ -32,4 +36,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.drop_common_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_rules, op5_sentencepiece_nbest, op6_simhash, op9_decontaminate, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_rules, op4_substring_dedup, op5_sentencepiece_nbest, op6_simhash, op9_decontaminate, op10_line_dedup)}
