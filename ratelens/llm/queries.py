@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratelens.llm import decontaminate, line_dedup, pieces, quality_rules, simhash, substring_dedup
+from ratelens.llm import decontaminate, line_dedup, pieces, quality_rules, simhash, substring_dedup, token_files
 from ratelens.llm.common import read_table
 from ratelens.llm.oracles import SQL  # noqa: F401
 
 
+def op1_simple8b_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.write_and_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, "documents"))
 
@@ -36,4 +40,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.drop_common_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_rules, op4_substring_dedup, op5_sentencepiece_nbest, op6_simhash, op9_decontaminate, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simple8b_token_files, op2_quality_rules, op4_substring_dedup, op5_sentencepiece_nbest, op6_simhash, op9_decontaminate, op10_line_dedup)}
