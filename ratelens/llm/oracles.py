@@ -62,6 +62,26 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS
 FROM words LEFT JOIN kept USING (doc_id)
 """
 
+_RECORD = """'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+  || chr(13) || chr(10) || 'Content-Length: ' || CAST(strlen(coalesce({0}, '')) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10)
+  || coalesce({0}, '') || chr(13) || chr(10) || chr(13) || chr(10)"""
+
+SQL["op8_warc_fixity"] = f"""
+WITH copies AS (
+  SELECT page_id, url, html,
+    CASE WHEN page_id % 97 = 5 THEN html || chr(0) WHEN page_id % 193 = 7 THEN left(html, length(html) - 1) ELSE html END AS other
+  FROM pages),
+records AS (SELECT page_id, html, other, {_RECORD.format("html")} AS a, {_RECORD.format("other")} AS b FROM copies),
+placed AS (
+  SELECT *, coalesce(sum(strlen(a)) OVER (PARTITION BY page_id // 4096 ORDER BY page_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM records)
+SELECT page_id AS record, page_id // 4096 AS archive, CAST(start AS BIGINT) AS start, strlen(a) AS size_a,
+  CASE WHEN page_id % 389 <> 11 THEN strlen(b) ELSE 0 END AS size_b, sha256(a) AS sha_a,
+  CASE WHEN page_id % 389 <> 11 THEN sha256(b) ELSE '' END AS sha_b,
+  CASE WHEN page_id % 389 = 11 THEN 'missing' ELSE 'changed' END AS status
+FROM placed WHERE page_id % 389 = 11 OR a <> b
+"""
+
 SQL["op10_line_dedup"] = f"""
 WITH lines AS (
   SELECT doc_id, i, line, {_KEY} AS key

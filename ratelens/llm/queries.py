@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratelens.llm import decontaminate, line_dedup, pieces, quality_rules, simhash, substring_dedup, token_files
+from ratelens.llm import decontaminate, license_scan, line_dedup, pieces, quality_rules, simhash, substring_dedup, token_files, warc_fixity
 from ratelens.llm.common import read_table
 from ratelens.llm.oracles import SQL  # noqa: F401
 
@@ -31,6 +31,15 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(read_table(spark, sf_dir, "documents")))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
+def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return warc_fixity.audit(pages, warc_fixity.damaged(pages))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.digest(decontaminate.find_hits(docs, read_table(spark, sf_dir, "benchmark")))
@@ -40,4 +49,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.drop_common_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simple8b_token_files, op2_quality_rules, op4_substring_dedup, op5_sentencepiece_nbest, op6_simhash, op9_decontaminate, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simple8b_token_files, op2_quality_rules, op4_substring_dedup, op5_sentencepiece_nbest, op6_simhash, op7_license_scan, op8_warc_fixity, op9_decontaminate, op10_line_dedup)}

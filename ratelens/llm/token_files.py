@@ -39,7 +39,7 @@ BLOCK = 1 << 16
 #: The packings, fixed values of the format: ids a word and bits an id, by selector.
 PACKINGS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 _LARGEST = (1 << 60) - 1
-_WHITE = "\t-\r \x85\xa0  -     　"
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _CHUNK = re.compile(f" ?[{_LETTERS}]+(?=[{_WHITE}.,;:!?]|$)| ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 _WORD = re.compile(f" ?[{_LETTERS}]+")
