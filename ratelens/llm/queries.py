@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratelens.llm import decontaminate, license_scan, line_dedup, pieces, quality_rules, simhash, substring_dedup, token_files, warc_fixity
+from ratelens.llm import decontaminate, license_scan, line_dedup, log_bilinear, pieces, quality_rules, simhash, substring_dedup, token_files, warc_fixity
 from ratelens.llm.common import read_table
 from ratelens.llm.oracles import SQL  # noqa: F401
 
@@ -19,6 +19,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, "documents"))
 
 
+def op3_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_bilinear.score_texts(read_table(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents")))
 
@@ -49,4 +53,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.drop_common_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simple8b_token_files, op2_quality_rules, op4_substring_dedup, op5_sentencepiece_nbest, op6_simhash, op7_license_scan, op8_warc_fixity, op9_decontaminate, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simple8b_token_files, op2_quality_rules, op3_log_bilinear, op4_substring_dedup, op5_sentencepiece_nbest, op6_simhash, op7_license_scan, op8_warc_fixity, op9_decontaminate, op10_line_dedup)}
