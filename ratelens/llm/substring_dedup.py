@@ -171,7 +171,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["part", "kind", "n", "first", "body", "hashes"])
 
 
-def _chunk(docs: list[tuple[int, int, np.ndarray, np.ndarray]], parts: int) -> Iterator[pa.RecordBatch]:
+def _chunk(docs: list[tuple[int, int, np.ndarray, np.ndarray]], parts: int, answers: int) -> Iterator[pa.RecordBatch]:
     """What a task sends for a chunk of documents (doc_id, tag, and two hashes a window)."""
     docs.sort(key=lambda d: d[:2])
     n = np.array([len(d[2]) for d in docs])
@@ -188,13 +188,16 @@ def _chunk(docs: list[tuple[int, int, np.ndarray, np.ndarray]], parts: int) -> I
     on = np.flatnonzero(late)
     if len(on):
         doc, tag, pos, size = _runs(doc[on], tag[on], pos[on], np.ones(len(on), dtype=np.int64))
-        rows += _dealt(1, _part_of(doc, parts), doc, tag, pos, size, None)
+        rows += _dealt(1, _part_of(doc, answers), doc, tag, pos, size, None)
     yield _batch(rows)
 
 
 def repeated_starts(docs: DataFrame, width: int = WIDTH, parts: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """doc_id, tag, spans: packed intervals (start, length) of the window starts that are repeated."""
-    parts = parts or 3 * shuffle_width(docs.sparkSession)
+    width_now = shuffle_width(docs.sparkSession)
+    parts = parts or 3 * width_now
+    # Answers are a small share of what is asked, so they go to fewer parts; rows are at most parts times answers.
+    answers = max(1, width_now // 8)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll, held, size = Roller(width), [], 0
@@ -205,10 +208,10 @@ def repeated_starts(docs: DataFrame, width: int = WIDTH, parts: int | None = Non
                     held.append((doc, rid & _TAG, one, two))
                     size += len(one)
                 if size >= chunk:
-                    yield from _chunk(held, parts)
+                    yield from _chunk(held, parts, answers)
                     held, size = [], 0
         if held:
-            yield from _chunk(held, parts)
+            yield from _chunk(held, parts, answers)
 
     def count(table: pa.Table) -> pa.Table:
         asked, passed = [], []
@@ -229,7 +232,7 @@ def repeated_starts(docs: DataFrame, width: int = WIDTH, parts: int | None = Non
             on = order[doc[order] > doc[order][first]]
             passed.append((doc[on], tag[on], pos[on], np.ones(len(on), dtype=np.int64)))
         doc, tag, pos, size = _runs(*(np.concatenate([x[k] for x in passed]) for k in range(4)))
-        return pa.Table.from_batches([_batch(list(_dealt(1, _part_of(doc, parts), doc, tag, pos, size, None)))])
+        return pa.Table.from_batches([_batch(list(_dealt(1, _part_of(doc, answers), doc, tag, pos, size, None)))])
 
     def merge(table: pa.Table) -> pa.Table:
         found = [_places(row["first"], row["body"]) for row in table.select(["first", "body"]).to_pylist()]
