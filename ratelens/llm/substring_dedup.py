@@ -28,7 +28,7 @@ from ratelens.llm.common import keyed, mix64, shuffle_width, slices, utf8
 
 WIDTH = 50
 #: Windows that a task holds before it sends them on.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _LOW56 = np.uint64((1 << 56) - 1)
 _TAG = 0xFFFF
@@ -70,7 +70,7 @@ class _Hashes(dict):
     """Word hashes of a task, each computed once."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
