@@ -22,6 +22,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -39,12 +40,14 @@ BLOCK = 1 << 16
 #: The packings, fixed values of the format: ids a word and bits an id, by selector.
 PACKINGS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 _LARGEST = (1 << 60) - 1
+#: Bits of the small ids.
+_BITS = np.frexp(np.arange(1 << 17, dtype=np.float64))[1].astype(np.int8)
 _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _CHUNK = re.compile(f" ?[{_LETTERS}]+(?=[{_WHITE}.,;:!?]|$)| ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 _WORD = re.compile(f" ?[{_LETTERS}]+")
 #: Chunks that a worker remembers.
-MEMORY = 700_000
+MEMORY = 1_000_000
 
 
 def pack(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,30 +57,30 @@ def pack(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     wide = np.zeros(starts[-1] + pad, dtype=np.uint64)
     wide[np.repeat(starts[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(len(ids))] = ids
     # The largest packing that fits from each place on; what fits one packing also fits all with fewer ids.
-    bits = np.zeros(len(wide), dtype=np.uint8)
-    limit, left = 0, np.arange(len(wide))
-    while len(left):
-        bits[left] = limit
-        left = left[(wide[left] >> np.uint64(limit)) > 0] if limit < 63 else left[:0]
-        limit += 1
+    if int(wide.max()) < len(_BITS):
+        bits = _BITS[wide.view(np.int64)]
+    else:
+        bits = np.frexp((wide >> np.uint64(30)).astype(np.float64))[1].astype(np.int8)
+        bits = np.where(bits > 0, bits + 30, np.frexp((wide & np.uint64((1 << 30) - 1)).astype(np.float64))[1]).astype(np.int8)
     best = np.full(len(wide), len(PACKINGS) - 1, dtype=np.int8)
     at, most, seen = np.arange(len(wide) - pad), bits[: len(wide) - pad].copy(), 1
     for selector in range(len(PACKINGS) - 2, -1, -1):
         n, width = PACKINGS[selector]
         for k in range(seen, n):
-            np.maximum(most, bits[at + k], out=most)
+            np.maximum(most, bits[k : k + len(at)] if len(at) == len(wide) - pad else bits[at + k], out=most)
         seen, on = n, most <= width
-        at, most = at[on], most[on]
+        if not on.all():
+            at, most = at[on], most[on]
         best[at] = selector
         if not len(at):
             break
-    step = [PACKINGS[s][0] for s in range(len(PACKINGS))]
-    chosen, places, offsets = best.tolist(), [], [0]
+    step = np.array([n for n, _ in PACKINGS], dtype=np.uint8)[best].tobytes()
+    places, offsets = [], [0]
     for a, n in zip(starts[:-1].tolist(), counts.tolist(), strict=True):
         end = a + n
         while a < end:
             places.append(a)
-            a += step[chosen[a]]
+            a += step[a]
         offsets.append(len(places))
     place = np.array(places, dtype=np.int64)
     selectors = best[place]
@@ -122,6 +125,18 @@ def unpack_block(block: dict) -> list[np.ndarray]:
     return np.split(ids, np.cumsum(counts)[:-1])
 
 
+class _Numbers(dict):
+    """Chunks by number; a new one is numbered and noted."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = n = len(self)
+        self.new.append(chunk)
+        return n
+
+
 class Encoder:
     """A tokenizer with a memory of the chunks it has encoded."""
 
@@ -138,48 +153,61 @@ class Encoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.alphabet = {b: 256 + k for k, b in enumerate(hidden)}
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.start, self.size, self.ids, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), np.zeros(1 << 14, np.int32), 0
+        self.numbers, self.size, self.ids, self.used = _Numbers(), np.zeros(1 << 12, np.int32), np.zeros(1 << 14, np.int32), 0
+        self.start, self.uses = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
+
+    def forget(self) -> None:
+        """Keep only the chunks that came up again."""
+        keep = np.flatnonzero(self.uses[: len(self.numbers)] > 1)
+        if len(keep) > MEMORY // 2:
+            keep = keep[:0]
+        names = list(self.numbers)
+        sizes = self.size[keep].astype(np.int64)
+        ends = np.cumsum(sizes)
+        self.used = int(ends[-1]) if len(ends) else 0
+        self.ids[: self.used] = self.ids[np.repeat(self.start[keep] - (ends - sizes), sizes) + np.arange(self.used)]
+        self.start[: len(keep)], self.size[: len(keep)] = ends - sizes, sizes
+        self.uses[:] = 0
+        self.numbers = _Numbers()
+        self.numbers.update(zip(map(names.__getitem__, keep.tolist()), range(len(keep)), strict=True))
 
     def _chunk(self, chunk: str) -> list[int]:
         if _WORD.fullmatch(chunk):
             return [t.id for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(self.alphabet))]
         return self.tokenizer.encode(chunk, add_special_tokens=False).ids
 
-    def add(self, chunks: list[str]) -> None:
+    def _solve(self) -> None:
+        """Encode the chunks that were numbered since."""
+        chunks, self.numbers.new = self.numbers.new, []
         found = [self._chunk(c) for c in chunks]
-        n, k, sizes = len(self.index), len(chunks), np.array([len(f) for f in found], dtype=np.int64)
+        n, k, sizes = len(self.numbers) - len(chunks), len(chunks), np.array([len(f) for f in found], dtype=np.int64)
         total = int(sizes.sum())
-        for name, need in (("start", n + k), ("size", n + k), ("ids", self.used + total)):
+        for name, need in (("start", n + k), ("size", n + k), ("uses", n + k), ("ids", self.used + total)):
             old = getattr(self, name)
             if len(old) < need:
                 new = np.zeros(max(need, 2 * len(old)), old.dtype)
                 new[: len(old)] = old
                 setattr(self, name, new)
-        self.index.update(zip(chunks, range(n, n + k), strict=True))
         self.start[n : n + k], self.size[n : n + k] = self.used + np.cumsum(sizes) - sizes, sizes
-        self.ids[self.used : self.used + total] = [i for f in found for i in f]
+        self.ids[self.used : self.used + total] = list(chain.from_iterable(found))
         self.used += total
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.index) > MEMORY:
-            self.clear()
-        split = [_CHUNK.findall(t) for t in texts]
-        new: dict[str, None] = {}
-        for chunks in split:
-            new.update(dict.fromkeys(chunks))
-        self.add([c for c in new if c not in self.index])
-        out = []
-        for chunks in split:
-            at = np.fromiter(map(self.index.__getitem__, chunks), dtype=np.int64, count=len(chunks))
-            sizes = self.size[at].astype(np.int64)
-            ends = np.cumsum(sizes)
-            out.append(self.ids[np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)])
-        return out
+        if len(self.numbers) > MEMORY:
+            self.forget()
+        number, each = self.numbers.__getitem__, []
+        for text in texts:
+            chunks = _CHUNK.findall(text)
+            each.append(np.fromiter(map(number, chunks), dtype=np.int64, count=len(chunks)))
+        self._solve()
+        at = np.concatenate([*each, np.zeros(0, dtype=np.int64)])
+        np.add.at(self.uses, at, 1)
+        sizes = self.size[at]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        ids = self.ids[np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.concatenate([[0], ends])[np.cumsum([0, *map(len, each)])]
+        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
 _LOADED: dict[str, Encoder] = {}
@@ -238,7 +266,7 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _decoded(spark: SparkSession, path: str, last, column: str) -> DataFrame:
-    blocks = spark.read.parquet(path)
+    blocks = spark.read.schema(_BLOCKS).parquet(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
