@@ -57,7 +57,7 @@ class FMIndex:
         suffixes, n = self._sort(text), len(text)
         last = text[suffixes - 1]
         self.bits = max(1, int(text.max()).bit_length())
-        counts = np.bincount(text, minlength=(1 << self.bits) + 1)
+        counts = np.bincount(text, minlength=1 << self.bits)
         self.before = np.concatenate([[0], np.cumsum(counts)])
         # Wavelet matrix: level by level, from the highest bit, zeros go first; ranks by running counts.
         self.ones, self.zeros = [], []
