@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ratelens.schemas import ITEM, REFERENCE
+from ratelens.sources.mrf import parsed
+
 
 def search_summary(results: DataFrame, files: DataFrame, npis: list[int], seconds: float = 0.0) -> DataFrame:
     """One row: the numbers as given, files searched, files with a result, rates, and the caller's duration."""
@@ -15,8 +18,24 @@ def search_summary(results: DataFrame, files: DataFrame, npis: list[int], second
 
 
 def file_counters(raw: DataFrame) -> DataFrame:
-    """file_seq, section, elements: what each file holds; a section that is empty counts zero."""
-    return raw.groupBy("file_seq", "section").agg(F.count_if(F.col("pos") >= 0).alias("elements"))
+    """file_seq, section, elements, malformed: what each file holds, and how much of it does not decode. A section
+    that is empty counts zero."""
+    fits = lambda schema: F.coalesce(parsed(schema)["_bad"].isNull() & parsed(schema).isNotNull(), F.lit(False))
+    good = F.when(F.col("section") == "in_network", fits(ITEM)).otherwise(fits(REFERENCE))
+    there = F.col("pos") >= 0
+    return raw.groupBy("file_seq", "section").agg(F.count_if(there).alias("elements"), F.count_if(there & ~good).alias("malformed"))
+
+
+def observed(raw: DataFrame, name: str = "elements") -> tuple[DataFrame, Observation]:
+    """``raw`` with running totals of its sections, which can be read once an action over it has ended."""
+    seen = Observation(name)
+    count = lambda s: F.count_if((F.col("section") == s) & (F.col("pos") >= 0))
+    return raw.observe(seen, count("provider_references").alias("refs_scanned"), count("in_network").alias("codes_scanned")), seen
+
+
+def rates_found(results: DataFrame) -> DataFrame:
+    """Rates of each file with any."""
+    return results.groupBy("file_seq").agg(F.count("*").alias("rates"))
 
 
 def npi_matches(providers: DataFrame) -> DataFrame:

@@ -32,7 +32,14 @@ def resolve_toc(raw: DataFrame, plan_id: str) -> DataFrame:
     return first.select("url", F.col("at.file_seq").alias("toc_seq"), F.col("at.pos").alias("structure_pos"), F.col("at.file_pos").alias("file_pos"))
 
 
+def entity_name(raw: DataFrame) -> DataFrame:
+    """One row: the reporting entity of the last file that names one, the last name in it."""
+    name = F.from_json(F.concat(F.lit('{"v":'), "raw", F.lit("}")), "v STRING")["v"]
+    named = raw.filter("section = 'reporting_entity_name'").select(F.struct("file_seq", "pos").alias("at"), F.coalesce(name, F.lit("")).alias("name"))
+    return named.agg(F.coalesce(F.max_by("name", "at"), F.lit("")).alias("entity_name"))
+
+
 def toc_stats(raw: DataFrame, plan_id: str) -> DataFrame:
-    """One row: structures seen, and those of the plan."""
+    """One row: structures seen, those of the plan, and the entity's name."""
     seen = raw.filter("section = 'reporting_structure' AND pos >= 0").agg(F.count("*").alias("structures"))
-    return seen.crossJoin(matched_structures(raw, plan_id).agg(F.count("*").alias("matched_structures")))
+    return seen.crossJoin(matched_structures(raw, plan_id).agg(F.count("*").alias("matched_structures"))).crossJoin(entity_name(raw))

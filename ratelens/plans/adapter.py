@@ -125,7 +125,9 @@ def structures(spark: SparkSession, sf_dir: str, of_rates: bool = False) -> Data
         shared = F.array(file(F.lit("https://files.example.com/shared.json.gz")), file(F.lit("")))
         listed = own.groupBy("pos").agg(F.array_sort(F.collect_list("x")).alias("x"))
         both = plans.join(listed, "pos", "left").withColumn("in_network_files", F.concat(shared, F.coalesce("x.f", F.array().cast("array<struct<description:string,location:string>>")))).drop("x")
-    return _raw(both.select(F.lit(0).alias("file_seq"), F.lit("toc.json").alias("source_file"), "pos", "reporting_plans", "in_network_files"), "reporting_structure", 0)
+    found = _raw(both.select(F.lit(0).alias("file_seq"), F.lit("toc.json").alias("source_file"), "pos", "reporting_plans", "in_network_files"), "reporting_structure", 0)
+    names = n.filter("n_nationkey < 2").select(F.lit(0), F.lit("toc.json"), F.lit("reporting_entity_name"), F.lit(-1), F.col("n_nationkey").cast("long"), F.to_json(F.array("n_name")).substr(F.lit(2), F.length("n_name") + 2))
+    return found.union(names)
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,13 +49,13 @@ SQL: dict[str, str] = {
     "zero_defaults": _rows(f"{_IN} AND l_linestatus = 'O'", sparse=True),
     "duplicate_file": f"{_LI} SELECT source_file, count(*) * CASE WHEN min(f) = 0 THEN 2 ELSE 1 END AS rates, CAST(CASE WHEN min(f) = 0 THEN 2 ELSE 1 END AS BIGINT) AS searches FROM li WHERE {_IN} AND {_BOTH} GROUP BY source_file",
     "search_summary": f"{_LI} SELECT '{_NPIS},{1_000_000_000 + TARGETS[0]}' AS npis, CAST(3 AS BIGINT) AS searched_files, count(DISTINCT f) AS matched_files, count(*) AS rates FROM li WHERE {_IN} AND {_BOTH}",
-    "file_counters": f"{_LI} SELECT f AS file_seq, 'provider_references' AS section, count(*) AS elements FROM {_REFS} GROUP BY f UNION ALL SELECT f, 'in_network', count(DISTINCT p_partkey) FROM li GROUP BY f",
+    "file_counters": f"{_LI} SELECT f AS file_seq, 'provider_references' AS section, count(*) AS elements, count(*) FILTER (s_suppkey % 7 IN (3, 5)) AS malformed FROM {_REFS} GROUP BY f UNION ALL SELECT f, 'in_network', count(DISTINCT p_partkey), 0 FROM li GROUP BY f",
     "toc_resolve": f"""WITH located AS (
   SELECT m.pos, 0 AS file_pos, 'https://files.example.com/shared.json.gz' AS url FROM {_MATCHED} m
   UNION ALL SELECT m.pos, 1 + row_number() OVER (PARTITION BY m.pos ORDER BY page_id), url FROM {_MATCHED} m JOIN pages ON page_id // 3 = m.pos),
 first AS (SELECT url, min(pos * 1000 + file_pos) AS place FROM located GROUP BY url)
 SELECT url, place // 1000 AS structure_pos, place % 1000 AS file_pos FROM first""",
-    "toc_stats": f"SELECT (SELECT count(DISTINCT pos) FROM {_STRUCTURES}) AS structures, (SELECT count(*) FROM {_MATCHED}) AS matched_structures",
+    "toc_stats": f"SELECT (SELECT count(DISTINCT pos) FROM {_STRUCTURES}) AS structures, (SELECT count(*) FROM {_MATCHED}) AS matched_structures, (SELECT n_name FROM nation WHERE n_nationkey = 1) AS entity_name",
     "search_plan": _rows(f"{_IN} AND {_BOTH} AND f = 1"),
     "url_list": "SELECT trim(url) AS url, count(*) AS n FROM pages GROUP BY 1",
     "input_union": "SELECT row_number() OVER (ORDER BY l, page_id, url) - 1 AS file_seq, url AS source_file FROM (SELECT 0 AS l, page_id, url FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT 1, page_id, url FROM pages)",

@@ -35,6 +35,12 @@ def _parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return A.references(spark, sf), A.items(spark, sf)
 
 
+def _broken(raw: DataFrame) -> DataFrame:
+    """References by their number modulo seven: 3 has provider numbers as text, 5 is cut off."""
+    k, text = F.when(F.col("section") == "provider_references", F.col("pos") % 7), F.col("raw")
+    return raw.withColumn("raw", F.when(k == 3, F.regexp_replace(text, r'"npi":\[(\d+)\]', r'"npi":["$1"]')).when(k == 5, F.left(text, F.length(text) - 4)).otherwise(text))
+
+
 def _typed(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return search.read_provider_references(raw), search.read_in_network(raw)
 
@@ -81,9 +87,7 @@ def raw_prefilter(spark, sf):
 
 def malformed_drop(spark, sf):
     """Some references hold numbers as text, some are cut off; these elements go, the others stay."""
-    k, raw = F.col("pos") % 7, F.col("raw")
-    broken = F.when(k == 3, F.regexp_replace(raw, r'"npi":\[(\d+)\]', r'"npi":["$1"]')).when(k == 5, F.left(raw, F.length(raw) - 4)).otherwise(raw)
-    return mrf.decode(A.raw_references(spark, sf).withColumn("raw", broken), REFERENCE, "file_seq", "pos").select("file_seq", "pos", "provider_group_id")
+    return mrf.decode(_broken(A.raw_references(spark, sf)), REFERENCE, "file_seq", "pos").select("file_seq", "pos", "provider_group_id")
 
 
 def description_fallback(spark, sf):
@@ -106,7 +110,7 @@ def search_summary(spark, sf):
 
 
 def file_counters(spark, sf):
-    return summary.file_counters(A.raw_elements(spark, sf))
+    return summary.file_counters(_broken(A.raw_elements(spark, sf)))
 
 
 def toc_resolve(spark, sf):

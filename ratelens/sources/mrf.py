@@ -13,13 +13,16 @@ from collections.abc import Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ratelens.schemas import RAW
 
 SECTIONS = ("provider_references", "in_network")
+#: The sections of a table of contents; the name is a single value, not an array.
+TOC_SECTIONS = ("reporting_structure", "reporting_entity_name")
+SCALARS = {"reporting_entity_name"}
 #: A longer element fails its file with a clear message.
 MAX_ELEMENT = 512 << 20
 _READ = 1 << 20
@@ -128,9 +131,10 @@ class Cursor:
 def elements(chunks: Iterator[bytes], sections: tuple[str, ...]) -> Iterator[tuple[str, int, int, bytes | None]]:
     """(section, its place among the sections of the file, position, element); other keys are skipped.
 
-    A section that is there gives a row of position -1 first, so that empty ones and their order are known.
+    A section that is there gives a row of position -1 first, so that empty ones and their order are known. A
+    wanted single value gives a row each time that it stands there.
     """
-    c, order = Cursor(chunks), 0
+    c, order, values = Cursor(chunks), 0, 0
     c.take(b"{")
     if c.peek() == b"}":
         return
@@ -139,6 +143,9 @@ def elements(chunks: Iterator[bytes], sections: tuple[str, ...]) -> Iterator[tup
         c.take(b":")
         if key not in sections:
             c.value()
+        elif key in SCALARS:
+            yield key, -1, values, c.value()
+            values += 1
         elif c.peek() != b"[":
             if c.value() != b"null":
                 raise BrokenFile(f"{key} is not an array")
@@ -235,8 +242,12 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(MrfDataSource)
 
 
+def parsed(schema: str) -> Column:
+    """The raw element by the whole schema, with ``_bad`` set where it does not fit."""
+    return F.from_json("raw", f"{schema}, _bad STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+
+
 def decode(raw: DataFrame, schema: str, *keep: str) -> DataFrame:
     """Typed rows of raw elements. An element that does not fit the schema is dropped, the others stay."""
-    parsed = F.from_json("raw", f"{schema}, _bad STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    rows = raw.filter(F.col("raw").isNotNull()).select(*keep, parsed.alias("x"))
+    rows = raw.filter(F.col("raw").isNotNull()).select(*keep, parsed(schema).alias("x"))
     return rows.filter(F.col("x").isNotNull() & F.col("x._bad").isNull()).select(*keep, "x.*").drop("_bad")

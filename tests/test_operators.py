@@ -10,6 +10,7 @@ from ratelens.operators import catalog, providers, summary, toc
 from ratelens.plans.adapter import CDN_FORMS
 from ratelens.schemas import REGISTRY
 from ratelens.sources import files as sources
+from ratelens.sources import mrf
 
 
 def structures(spark, *bodies):
@@ -27,9 +28,18 @@ def urls(raw, plan):
 def test_plans(spark):
     raw = structures(spark, structure("AbC1", "u2", "u1", ""), structure("abc12", "u9"), structure("ABC1", "u1", "u3"), {"reporting_plans": [{"plan_id": 5}], "note": "abc1"}, '{"reporting_plans": [{"plan_id": "abc1"')
     assert urls(raw, "abc1") == ["u2", "u1", "u3"]
-    assert toc.toc_stats(raw, "abc1").first().asDict() == {"structures": 5, "matched_structures": 2}
+    assert toc.toc_stats(raw, "abc1").first().asDict() == {"structures": 5, "matched_structures": 2, "entity_name": ""}
     assert urls(raw, "abc") == []
-    assert toc.toc_stats(structures(spark, structure("x")), "X").first().asDict() == {"structures": 1, "matched_structures": 1}
+    assert toc.toc_stats(structures(spark, structure("x")), "X").first().asDict() == {"structures": 1, "matched_structures": 1, "entity_name": ""}
+
+
+def test_toc_file(spark, tmp_path):
+    body = {"reporting_entity_name": "First", "other": {"reporting_structure": [1]}, "reporting_structure": [structure("p1", "u1")]}
+    (tmp_path / "toc.json").write_text(json.dumps(body)[:-1] + ', "reporting_entity_name": "A \\"plan\\""}')
+    files = spark.createDataFrame([(0, str(tmp_path / "toc.json"))], "file_seq int, source_file string")
+    raw = mrf.read_elements(files, mrf.TOC_SECTIONS)
+    assert urls(raw, "P1") == ["u1"]
+    assert toc.toc_stats(raw, "p1").first().asDict() == {"structures": 1, "matched_structures": 1, "entity_name": 'A "plan"'}
 
 
 def one(spark, *columns):

@@ -147,7 +147,19 @@ def test_sections(written):
     assert catalog.validate_files(written('{"in_network": 5}')).first()["reason"] == "in_network is not an array"
     assert catalog.validate_files(written("{}")).first()["ok"]
     counted = summary.file_counters(mrf.read_elements(written(PLAN | {"x": {"in_network": [1, "]}"]}})))
-    assert sorted(map(tuple, counted.collect())) == [(0, "in_network", 4), (0, "provider_references", 3)]
+    assert sorted(map(tuple, counted.collect())) == [(0, "in_network", 4, 0), (0, "provider_references", 3, 0)]
+
+
+def test_counters(written):
+    body = PLAN | {"provider_references": [*PLAN["provider_references"], ref("x", group([A])), 5]}
+    raw = mrf.read_elements(written(body))
+    assert sorted(map(tuple, summary.file_counters(raw).collect())) == [(0, "in_network", 4, 0), (0, "provider_references", 5, 2)]
+    watched, seen = summary.observed(raw)
+    watched.collect()
+    assert seen.get == {"refs_scanned": 5, "codes_scanned": 4}
+    providers = search.matched_providers(search.read_provider_references(raw), [A])
+    assert [tuple(r) for r in summary.npi_matches(providers).collect()] == [(0, 2)]
+    assert [tuple(r) for r in summary.rates_found(found(written(PLAN), [A])).collect()] == [(0, 4)]
 
 
 def test_single_pass_loses_what_it_must(written):
