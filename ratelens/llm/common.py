@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -51,8 +52,16 @@ def row_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("text").cast("string"))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows reach Python in batches of at most 4 MB (or one row), unless the session sets a limit of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub("[^0-9]", "", spark.conf.get(key)) or 0) >= 64 << 20:  # the default
+        spark.conf.set(key, "4m")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and ``rid`` of a document table, whatever other columns it has."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rid", row_key())
 
 

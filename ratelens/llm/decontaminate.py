@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratelens.llm.common import ALNUM, slices, utf8
+from ratelens.llm.common import ALNUM, bounded_batches, slices, utf8
 
 BLOCK_WORDS = 2_000_000
 SAMPLE = 8
@@ -211,6 +211,7 @@ def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> It
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with hit_words (long), hit_mask (a bit for each word, packed) and hit_items (array of item_id)."""
+    bounded_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("hit_words", "hit_mask", "hit_items")]
     empty = {"hit_words": F.lit(0).cast("long"), "hit_mask": F.lit(None).cast("binary"), "hit_items": F.array().cast("array<long>")}
     out = docs.select(*names).withColumns(empty)
