@@ -12,13 +12,18 @@ from ratelens.operators import search
 from ratelens.schemas import PARAMS, RESULT, RESULT_COLUMNS
 
 
+_OWN: list[str] = []
+
+
 def work_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that all executors share (``spark.checkpoint.dir``, set here if it is not)."""
+    """A new path in the folder that all executors share, ``spark.checkpoint.dir``; in local mode, where all is one
+    machine, a temporary folder if that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="ratelens-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not base and not _OWN:
+        _OWN.append("file://" + tempfile.mkdtemp(prefix="ratelens-shared-"))
+    return f"{(base or _OWN[0]).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def split_sections(raw: DataFrame, path: str, max_records: int = 1_000_000) -> None:
