@@ -26,13 +26,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session, or a new one where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session; in local mode, where all is one
+    machine, a new folder if it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="ratelens-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _OWN:
+        _OWN.append("file://" + tempfile.mkdtemp(prefix="ratelens-shared-"))
+    return _OWN[0]
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
