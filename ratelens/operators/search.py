@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratelens.schemas import ITEM, REFERENCE, RESULT_COLUMNS
+from ratelens.schemas import GROUPS, ITEM, REFERENCE, RESULT_COLUMNS
 from ratelens.sources.mrf import decode
 
 Targets = Iterable[int] | DataFrame
@@ -120,14 +120,43 @@ def single_pass_files(raw: DataFrame, npis: Targets) -> DataFrame:
     return order.join(matched, "file_seq", "left").filter((F.coalesce("n_matched", F.lit(0)) > 0) | (first & (F.col("n_refs") == 0))).select("file_seq")
 
 
+def _candidates(rates: DataFrame, npis: Targets) -> DataFrame:
+    """A row for each reference (``gid``) and each inline listing (``npi``, ``tin``) of a rate, from one pass over
+    the rates. Listed targets are picked inside the arrays, so other listings never become rows."""
+    listed = None if isinstance(npis, DataFrame) else sorted({int(n) for n in npis})
+    wanted = (lambda n: n.isin(listed)) if listed is not None and len(listed) <= LISTED else (lambda n: n.isNotNull())
+    tin = "struct<type:string,value:string>"
+    entry = lambda gid, npi, t: F.struct(gid.cast("double").alias("gid"), npi.cast("long").alias("npi"), t.cast(tin).alias("tin"))
+    none = F.lit(None)
+    refs = F.transform(F.coalesce("rate.provider_references", F.array().cast("array<double>")), lambda r: entry(r, none, none))
+    groups = F.coalesce("rate.provider_groups", F.array().cast(GROUPS))
+    inline = F.flatten(F.transform(groups, lambda g: F.transform(F.filter(F.coalesce(g["npi"], F.array().cast("array<bigint>")), wanted), lambda n: entry(none, n, g["tin"]))))
+    return rates.select(*rates.columns, F.explode(F.concat(refs, inline)).alias("m")).select(*rates.columns, "m.*")
+
+
+def search_matched(providers: DataFrame, items: DataFrame, npis: Targets) -> DataFrame:
+    """All prices of the targets, given their matches in groups. The items are read once: references join the
+    matches, inline listings pass or, where the targets are a table, join that."""
+    rates = _rates(items)
+    rows = _candidates(rates, npis)
+    found = providers.select(F.col("file_seq").alias("m_file"), F.col("provider_group_id").alias("m_group"), F.col("npi").alias("m_npi"), F.col("tin").alias("m_tin"))
+    hits = rows.join(found, (rows["file_seq"] == found["m_file"]) & (rows["gid"] == found["m_group"]), "left")
+    inline = F.col("gid").isNull() & F.col("npi").isNotNull()
+    if isinstance(npis, DataFrame) or len(set(npis)) > LISTED:
+        table = npis if isinstance(npis, DataFrame) else items.sparkSession.createDataFrame([(int(n),) for n in set(npis)], "npi long")
+        targets = table.select(F.col("npi").alias("t_npi")).distinct()
+        hits = hits.join(targets, hits["npi"] == targets["t_npi"], "left")
+        inline = inline & F.col("t_npi").isNotNull()
+    hits = hits.filter(F.col("m_npi").isNotNull() | inline)
+    return project_results(hits.select(*rates.columns, F.coalesce("m_npi", "npi").alias("npi"), F.when(F.col("m_npi").isNotNull(), F.col("m_tin")).otherwise(F.col("tin")).alias("tin")))
+
+
 def search_rates(refs: DataFrame, items: DataFrame, npis: Targets, files: DataFrame | None = None) -> DataFrame:
     """All negotiated prices of the targets, by reference and inline. ``files`` (file_seq) limits the search, for
     instance to ``single_pass_files``."""
     if files is not None:
         items = items.join(files.select("file_seq").distinct(), "file_seq", "left_semi")
-    rates = _rates(items)
-    hits = by_reference(rates, matched_providers(refs, npis)).select(*rates.columns, "npi", "tin")
-    return project_results(hits.unionByName(by_inline_group(rates, npis)))
+    return search_matched(matched_providers(refs, npis), items, npis)
 
 
 def matching_items(refs: DataFrame, items: DataFrame, npis: list[int]) -> DataFrame:

@@ -230,7 +230,7 @@ def mrf_source_roundtrip(spark, sf):
 def land_roundtrip(spark, sf):
     path = sinks.work_path(spark, "landed")
     sinks.land(A.raw_elements(spark, sf), path)
-    return flat(search.search_rates(*sinks.landed(spark, path), NPIS))
+    return flat(sinks.search_landed(spark, path, NPIS))
 
 
 def results_roundtrip(spark, sf):

@@ -43,10 +43,14 @@ def land(raw: DataFrame, path: str, partitions: int | None = None) -> None:
 
 
 def landed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """References and items of landed tables, in the shape that the search takes."""
-    members = spark.read.parquet(f"{path}/members")
-    refs = members.select("file_seq", "provider_group_id", F.array(F.struct(F.array("npi").alias("npi"), "tin")).alias("provider_groups"))
-    return refs, spark.read.parquet(f"{path}/items")
+    """Members (file_seq, provider_group_id, npi, tin) and items of landed tables."""
+    return spark.read.parquet(f"{path}/members"), spark.read.parquet(f"{path}/items")
+
+
+def search_landed(spark: SparkSession, path: str, npis: search.Targets) -> DataFrame:
+    """The search on landed tables: the filter on numbers reaches the scan of the members and its bloom filters."""
+    members, items = landed(spark, path)
+    return search.search_matched(search.only_targets(members.filter(F.col("provider_group_id").isNotNull()), npis), items, npis)
 
 
 def write_results(results: DataFrame, path: str) -> None:

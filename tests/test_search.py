@@ -197,7 +197,9 @@ def test_data_source_sections_landing_and_results_agree(written, spark, tmp_path
     back = sources.read_sections(spark, str(tmp_path / "split"))
     assert rates(search.search_rates(search.read_provider_references(back), search.read_in_network(back), [A])) == FOUR
     sinks.land(raw, str(tmp_path / "landed"))
-    assert rates(search.search_rates(*sinks.landed(spark, str(tmp_path / "landed")), [A])) == FOUR
+    assert rates(sinks.search_landed(spark, str(tmp_path / "landed"), [A])) == FOUR
+    plan = sinks.search_landed(spark, str(tmp_path / "landed"), [A, B])._jdf.queryExecution().toString()
+    assert "In(npi, [1316924913,9999999999])" in plan
     results = search.search_rates(search.read_provider_references(raw), search.read_in_network(raw), [A])
     sinks.write_results(results, str(tmp_path / "results"))
     assert rates(sinks.read_results(spark, str(tmp_path / "results"))) == FOUR
