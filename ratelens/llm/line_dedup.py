@@ -50,6 +50,7 @@ class LineIndex:
     """
 
     def __init__(self, sizes: np.ndarray, words: np.ndarray, prints: np.ndarray, counts: np.ndarray, rest: np.ndarray):
+        self.keys: np.ndarray | None = None
         self.sizes, self.words, self.prints, self.counts, self.rest = sizes, words, prints, counts, rest
         self.ranks = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
         self.starts = np.concatenate([[0], np.cumsum((sizes + 63) // 64)]).astype(np.int64)
@@ -59,8 +60,12 @@ class LineIndex:
         return (mix64(keys[:, 0] + mix64(keys[:, 1] ^ np.uint64(level * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))) % np.uint64(size)).astype(np.int64)
 
     @classmethod
-    def build(cls, keys: np.ndarray, counts: np.ndarray, limit: int, gamma: float = 1.5) -> LineIndex:
-        """keys: (n, 2) unsigned; counts: documents of each. Counts are kept up to ``limit``."""
+    def build(cls, keys: np.ndarray, counts: np.ndarray, limit: int, gamma: float = 1.5, exact: bool = False) -> LineIndex:
+        """keys: (n, 2) unsigned; counts: documents of each. Counts are kept up to ``limit``.
+
+        An index that is asked for keys it does not hold must be ``exact``: it keeps the keys themselves by slot
+        (in memory only, they are not packed). The fingerprint alone would take one such key in 65,536 for its own.
+        """
         left, sizes, words = np.arange(len(keys)), [], []
         while len(left) and len(sizes) < _LEVELS:
             size = max(64, int(len(left) * gamma))
@@ -76,6 +81,9 @@ class LineIndex:
         slot = index.slots(keys)
         index.prints[slot] = keys[:, 1] & np.uint64(0xFFFF)
         index.counts[slot] = np.minimum(counts, limit)
+        if exact:
+            index.keys = np.zeros((len(keys), 2), dtype=np.uint64)
+            index.keys[slot] = keys
         return index
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
@@ -97,11 +105,12 @@ class LineIndex:
         return out
 
     def count(self, keys: np.ndarray) -> np.ndarray:
-        """Documents of each key up to the limit; 0 for a key whose fingerprint differs."""
+        """Documents of each key up to the limit; 0 for a key whose fingerprint (or, in an exact index, key) differs."""
         if not len(self.counts):
             return np.zeros(len(keys), dtype=np.int64)
         slot = self.slots(keys)
-        found = (slot >= 0) & (self.prints[slot] == (keys[:, 1] & np.uint64(0xFFFF)))
+        same = self.prints[slot] == (keys[:, 1] & np.uint64(0xFFFF)) if self.keys is None else (self.keys[slot] == keys).all(axis=1)
+        found = (slot >= 0) & same
         return np.where(found, self.counts[slot], 0).astype(np.int64)
 
     def pack(self) -> dict[str, bytes]:
@@ -165,7 +174,8 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, s
     shards = max(shuffle_width(spark), -(-size["keys"] // shard_keys))
     # Each has at least pairs / heavy of the pairs, so there are at most ``heavy`` of them.
     top = counts.filter((F.col("n") >= min_docs) & (F.col("n") * heavy > size["pairs"])).toArrow()
-    heavy_index = LineIndex.build(_keys(top), top.column("n").to_numpy(), min_docs)
+    # It is asked for every line, so it compares whole keys; a shard is asked only for lines that were counted.
+    heavy_index = LineIndex.build(_keys(top), top.column("n").to_numpy(), min_docs, exact=True)
 
     def build(table: pa.Table) -> pa.Table:
         index = LineIndex.build(_keys(table), table.column("n").to_numpy(), min_docs)

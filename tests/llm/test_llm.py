@@ -132,6 +132,18 @@ def test_line_index():
     assert len(index.words) * 64 < 4 * 50_000
 
 
+def test_own_lines_stay_when_fingerprints_collide(spark):
+    common = [b"common %d" % k for k in range(50)]
+    index = line_dedup.LineIndex.build(line_dedup._hashes(common, 1), np.full(50, 12), 10)
+    own = [b"own %d" % k for k in range(400_000)]
+    own = [own[k].decode() for k in np.flatnonzero(index.count(line_dedup._hashes(own, 1)))]
+    assert own  # lines that the fingerprint alone takes for common ones
+    shared = "\n".join(x.decode() for x in common)
+    rows = [(k, shared) for k in range(12)] + [(100 + k, f"{shared}\n{x}") for k, x in enumerate(own)]
+    kept = {r["doc_id"]: r for r in line_dedup.drop_common_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(kept[100 + k]["text"] == x and kept[100 + k]["line_dropped"] == 50 for k, x in enumerate(own))
+
+
 def simhash_expected(rows):
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
     prints = [brute.fingerprint(rows[k][1]) for k in order]
