@@ -246,8 +246,9 @@ def remove_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataF
                 masks, counts = mask.to_pylist(), batch.column("hit_words").to_pylist()
                 raw = batch.column("text").cast(pa.binary()).to_pylist()
                 texts = [t if m is None else cut(t, np.unpackbits(np.frombuffer(m, dtype=np.uint8), count=n).astype(bool)) for t, m, n in zip(raw, masks, counts, strict=True)]
-                new = pa.array(texts, pa.binary()).cast(pa.string())
-                batch = pa.RecordBatch.from_arrays([new if c == "text" else batch.column(c) for c in batch.schema.names], batch.schema.names)
+                new = pa.array(texts, pa.binary()).cast(batch.schema.field("text").type)
+                # With the schema as it came: a task's batches must not differ in what may be null.
+                batch = pa.RecordBatch.from_arrays([new if c == "text" else batch.column(c) for c in batch.schema.names], schema=batch.schema)
             yield batch
 
     out = found.mapInArrow(run, found.schema)

@@ -32,18 +32,26 @@ BIG = 4096
 BITS = 2
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> bytes:
-    """The fingerprint, 8 bytes, most significant first."""
-    words = text.translate(LOWER).split()
-    if not words:
-        return bytes(8)
+def shingles(words: list[bytes], shingle: int) -> bytes:
+    """The hash of every shingle, 8 bytes each; of all words where they are no more than one."""
     if len(words) <= shingle:
-        return xxhash.xxh64_digest(b" ".join(words), 42)
+        return xxhash.xxh64_digest(b" ".join(words), 42) if words else b""
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-shingle] + 1]).tolist()
     xx = xxhash.xxh64_digest
-    digests = b"".join([xx(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)])
+    return b"".join([xx(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)])
+
+
+def fingerprint(text: bytes, shingle: int = 3) -> bytes:
+    """The fingerprint, 8 bytes, most significant first."""
+    return majority(shingles(text.translate(LOWER).split(), shingle))
+
+
+def majority(digests: bytes) -> bytes:
+    """The bits that over half of the hashes have."""
+    if len(digests) <= 8:
+        return digests or bytes(8)
     hashes = np.frombuffer(digests, dtype=np.uint8)
     n, total = len(hashes) // 8, np.zeros(64, dtype=np.int64)
     for at in range(0, n, 1 << 16):

@@ -188,6 +188,28 @@ def test_links_in_large_buckets(spark):
         assert sorted(map(sorted, found.values())) == sorted(sorted(v) for v in expected.values() if len(v) > 1)
 
 
+def grams(text):
+    words = text.lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def test_pipeline_drops_similar_texts_only(spark):
+    dice, texts = random.Random(8), []
+    for _ in range(60):
+        words = [f"w{dice.randrange(5000)}" for _ in range(300)]
+        for changes in (0, 1, 2, 4, 6, 9, 14, 25):
+            copy = list(words)
+            for at in dice.sample(range(300), changes):
+                copy[at] = f"new{dice.randrange(10**9)}"
+            texts.append(" ".join(copy))
+    dice.shuffle(texts)
+    sets = [grams(t) for t in texts]
+    near = {k for k in range(len(texts)) if any(len(sets[k] & s) >= 0.8 * len(sets[k] | s) for s in sets[:k])}
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    gone = set(range(len(texts))) - {i for i, _ in rows_of(corpus_pipeline.near_duplicates(spark, table, ""))}
+    assert gone <= near and len(gone) >= 0.98 * len(near) > 200, (len(gone), len(near))
+
+
 BENCH = [(1, PASSAGE[:80]), (2, "cc BY nc"), (3, None), (4, ""), (None, "own"), (2, "cc by NC"), (30, "w40 " * 3 + " ".join(f"w{k}" for k in range(41, 60))), (5, "!!")]
 
 
@@ -211,6 +233,16 @@ def test_decontamination(spark, docs, none, small, sf_dir):
     assert "w0 w1" not in kept and kept.startswith("Head ") and "Licensed under" in kept and "BY" not in kept
 
 
+def test_batches_with_and_without_hits_in_a_task(spark):
+    bench = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    table = spark.createDataFrame([(k, PASSAGE if k % 2 else "own words") for k in range(6)], "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    try:
+        assert {t for _, t in rows_of(decontaminate.remove_hits(table, bench))} == {"", "own words"}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_fm_index():
     for _ in range(30):
         text = np.array([rng.randint(1, 4) for _ in range(rng.randint(1, 200))])
