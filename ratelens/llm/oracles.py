@@ -29,17 +29,18 @@ base AS (
 keyed AS (
   SELECT doc_id, host, {_KEY} AS key, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
   FROM lines WHERE trim(line, {_TRIM}) <> ''),
+sizes AS (SELECT host, count(DISTINCT doc_id) AS size FROM docs GROUP BY host),
 above AS (
-  SELECT host, key, min(doc_id) AS first FROM keyed GROUP BY host, key HAVING count(DISTINCT doc_id) > 500),
-lost AS (
-  SELECT doc_id, sum(n) AS lost_words FROM keyed JOIN above USING (host, key) WHERE doc_id <> first GROUP BY doc_id)
+  SELECT host, key FROM keyed JOIN sizes USING (host) GROUP BY host, key, size
+  HAVING count(DISTINCT doc_id) > 3 AND 100 * count(DISTINCT doc_id) > 2 * size),
+lost AS (SELECT doc_id, sum(n) AS lost_words FROM keyed JOIN above USING (host, key) GROUP BY doc_id)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
   CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
   (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
   CAST(coalesce(lost_words, 0) AS BIGINT) AS lost_words,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
-    AND NOT (n_words - coalesce(lost_words, 0) < n_words * CAST(0.2 AS DOUBLE)) AS kept
+    AND NOT (n_words - coalesce(lost_words, 0) < 50 OR 100 * (n_words - coalesce(lost_words, 0)) < 20 * n_words) AS kept
 FROM base LEFT JOIN lost USING (doc_id)
 """
 

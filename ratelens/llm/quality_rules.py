@@ -1,13 +1,15 @@
 """Quality rules with DataFrame functions only: per-text counts, and the frequency of lines across documents.
 
 Lines are normalised (stripped, A-Z lower-cased) and hashed, and the distinct documents of each (host, line)
-are counted; the host is the document's source. A line above ``max_docs`` is removed from every document of
-that host but the one with the smallest doc_id, so that something is left of a group of copies. A document is
-depleted, and rejected, when less than ``min_left`` of its words stay. Nothing collects a host or a line's
-documents: counts are combined before the shuffle, and the join on lines is salted.
+are counted; the host is the document's source. A line is above the limit if more than ``max_percent`` of its
+host's documents hold it, and more than ``floor`` documents: it is removed from every document of that host.
+A document is depleted, and rejected, if fewer than ``min_words`` of its words are left, or less than
+``min_left`` percent of them. Nothing collects a host or a line's documents: counts are combined before the
+shuffle, and the joins on hosts and lines are salted.
 
 Defined results: null text has no words and fails the base rules; a null source is a host of its own; rows
-with the same doc_id count as one document; an empty table gives an empty result.
+with the same doc_id count as one document; a document without lines above the limit keeps its text to the
+byte, null included; an empty table gives an empty result; other columns are carried, never read.
 """
 
 from __future__ import annotations
@@ -77,41 +79,68 @@ def text_counts() -> Column:
     return let(let(F.regexp_extract_all(text, F.lit(_WORDS), F.lit(0)), counts), failed)
 
 
+def _key(line: Column) -> Column:
+    return F.translate(F.btrim(line, F.lit(SPACES)), UPPER_AZ, LOWER_AZ)
+
+
+def _rid() -> Column:
+    """Tells rows apart that differ in doc_id, text or host."""
+    return F.xxhash64(row_key(), F.coalesce(F.col("source").cast("string"), F.lit("")))
+
+
 def _line_rows(docs: DataFrame) -> DataFrame:
-    """A row for each distinct line with a word of each document: its host, hash, and words in all its places."""
+    """A row for each place of a line with a word in each document: host, hash, words, and the place."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    key = F.filter(F.transform(F.split(text, "\n", -1), lambda x: F.translate(F.btrim(x, F.lit(SPACES)), UPPER_AZ, LOWER_AZ)), lambda x: x != "")
+    key = F.filter(F.transform(F.split(text, "\n", -1), _key), lambda x: x != "")
     # The row key is bound once a document; outside the array it would be hashed again for every line.
-    rows = let(row_key(), lambda k: F.transform(key, lambda x: F.struct(k.alias("rid"), F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(_WORDS)).cast("long").alias("words"))))
+    rows = let(_rid(), lambda k: F.transform(key, lambda x, i: F.struct(k.alias("rid"), i.alias("place"), F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(_WORDS)).cast("long").alias("words"))))
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.explode(rows).alias("line"))
-    return lines.select("doc_id", "host", "line.rid", "line.h", "line.words", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"))
+    return lines.select("doc_id", "host", "line.*", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"))
+
+
+def lines_above(docs: DataFrame, max_percent: int = 2, floor: int = 3) -> DataFrame:
+    """host, h: the hashes of the lines above the limit of their host."""
+    counts = _line_rows(docs).groupBy("host", "h").agg(F.count_distinct("doc").alias("n")).filter(F.col("n") > floor)
+    host, doc = F.coalesce(F.col("source").cast("string"), F.lit("")), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    sizes = docs.select(host.alias("host"), doc.alias("doc")).groupBy("host").agg(F.count_distinct("doc").alias("size"))
+    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    both = counts.withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int")).join(sizes, ["host", "salt"])
+    return both.filter(F.col("n") * 100 > F.col("size") * max_percent).select("host", "h")
+
+
+def line_losses(docs: DataFrame, max_percent: int = 2, floor: int = 3) -> DataFrame:
+    """doc_id, rid, lost_words, lost_lines: for documents that lose lines, the words in these and their hashes."""
+    above = lines_above(docs, max_percent, floor).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hit = _line_rows(docs).withColumn("salt", F.pmod("rid", F.lit(SALTS)).cast("int")).join(above, ["host", "h", "salt"])
+    # Equal rows send the same places, so a set has each of them once.
+    places = hit.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("place", "h", "words")).alias("x"))
+    lost_words = F.aggregate("x", F.lit(0).cast("long"), lambda s, p: s + p["words"])
+    return places.select("doc_id", "rid", lost_words.alias("lost_words"), F.array_distinct(F.transform("x", lambda p: p["h"])).alias("lost_lines"))
 
 
-def line_losses(docs: DataFrame, max_docs: int = 500) -> DataFrame:
-    """doc_id, rid, lost_words: for documents that lose lines, the words in these."""
-    lines = _line_rows(docs)
-    counts = lines.groupBy("host", "h").agg(F.count_distinct("doc").alias("n"), F.min("doc").alias("first"))
-    above = counts.filter(F.col("n") > max_docs).select("host", "h", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    hit = lines.withColumn("salt", F.pmod("rid", F.lit(SALTS)).cast("int")).join(above, ["host", "h", "salt"]).filter(F.col("doc") != F.col("first"))
-    return hit.groupBy("doc_id", "rid").agg(F.sum("words").alias("lost_words"))
+def depleted(n_words: Column, lost_words: Column, min_words: int, min_left: int) -> Column:
+    left = n_words - lost_words
+    return (left < min_words) | (left * 100 < n_words * min_left)
 
 
-def judge(docs: DataFrame, max_docs: int = 500, min_left: float = 0.2) -> DataFrame:
+def judge(docs: DataFrame, max_percent: int = 2, floor: int = 3, min_words: int = 50, min_left: int = 20) -> DataFrame:
     """doc_id, the counts of ``text_counts``, lost_words and kept of every row."""
-    base = docs.select("doc_id", row_key().alias("rid"), text_counts().alias("c")).select("doc_id", "rid", "c.*")
-    lost = line_losses(docs, max_docs).withColumnsRenamed({"doc_id": "lost_id", "rid": "lost_rid"})
+    base = docs.select("doc_id", _rid().alias("rid"), text_counts().alias("c")).select("doc_id", "rid", "c.*")
+    lost = line_losses(docs, max_percent, floor).select(F.col("doc_id").alias("lost_id"), F.col("rid").alias("lost_rid"), "lost_words")
     both = base.join(lost, base["doc_id"].cast("long").eqNullSafe(lost["lost_id"]) & (base["rid"] == lost["lost_rid"]), "left").drop("lost_id", "lost_rid", "rid")
-    lost_words = F.coalesce("lost_words", F.lit(0).cast("long"))
-    depleted = (F.col("n_words") - lost_words) < F.col("n_words") * F.lit(min_left)
-    return both.withColumn("lost_words", lost_words).withColumn("kept", ~F.col("base_failed") & ~depleted)
+    judged = both.withColumn("lost_words", F.coalesce("lost_words", F.lit(0).cast("long")))
+    return judged.withColumn("kept", ~F.col("base_failed") & ~depleted(F.col("n_words"), F.col("lost_words"), min_words, min_left))
 
 
-def keep_good(docs: DataFrame, max_docs: int = 500, min_left: float = 0.2) -> DataFrame:
-    """The rows of ``docs`` that pass, unchanged."""
+def keep_good(docs: DataFrame, max_percent: int = 2, floor: int = 3, min_words: int = 50, min_left: int = 20) -> DataFrame:
+    """The rows of ``docs`` that pass, without their lines above the limit."""
     # The rows that pass are generated, not filtered: a filter would be pushed down and count all texts again.
     passed = F.explode(F.filter(F.array(text_counts()), lambda c: ~c["base_failed"]))
-    counted = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), row_key().alias("rid"), passed.alias("c")).select("row", "id", "rid", "c.n_words")
-    lost = line_losses(docs, max_docs).select(F.col("doc_id").alias("lost_id"), F.col("rid").alias("lost_rid"), "lost_words")
-    depleted = (F.col("n_words") - F.col("lost_words")) < F.col("n_words") * F.lit(min_left)
-    kept = counted.join(lost, counted["id"].eqNullSafe(lost["lost_id"]) & (counted["rid"] == lost["lost_rid"]), "left").filter(F.coalesce(~depleted, F.lit(True)))
-    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    counted = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), _rid().alias("rid"), passed.alias("c")).select("row", "id", "rid", "c.n_words")
+    lost = line_losses(docs, max_percent, floor).withColumnsRenamed({"doc_id": "lost_id", "rid": "lost_rid"})
+    joined = counted.join(lost, counted["id"].eqNullSafe(lost["lost_id"]) & (counted["rid"] == lost["lost_rid"]), "left")
+    kept = joined.filter(F.coalesce(~depleted(F.col("n_words"), F.col("lost_words"), min_words, min_left), F.lit(True)))
+    lines = F.split(F.col("row")["text"].cast("string"), "\n", -1)
+    left = F.array_join(F.filter(lines, lambda x: ~F.array_contains("lost_lines", F.xxhash64(_key(x))) | (_key(x) == "")), "\n")
+    text = F.when(F.col("lost_lines").isNull(), F.col("row")["text"].cast("string")).otherwise(left)
+    return kept.select(*[text.cast(docs.schema["text"].dataType).alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

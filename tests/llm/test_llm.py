@@ -101,14 +101,44 @@ def test_quality_rules(docs, none, small):
     assert quality_rules.keep_good(docs).columns == docs.columns
 
 
+def above_limit(rows, percent=2, floor=3):
+    """Lines above the limit by host; rows: (doc_id, text, source)."""
+    docs, hosts = {}, {}
+    for i, t, s in rows:
+        hosts.setdefault(s or "", set()).add(i)
+        for x in (t or "").split("\n"):
+            docs.setdefault((s or "", x.strip(brute.WHITE).translate(brute.AZ)), set()).add(i)
+    return {k for k, ids in docs.items() if k[1] and len(ids) > floor and 100 * len(ids) > percent * len(hosts[k[0]])}
+
+
+def test_lines_above_the_limit(docs, none, small):
+    for table in (docs, small):
+        rows = [(r["doc_id"], r["text"], r["source"]) for r in table.collect()]
+        above, expected, left = above_limit(rows, floor=1), [], []
+        for i, t, s in rows:
+            gone = [x for x in (t or "").split("\n") if (s or "", x.strip(brute.WHITE).translate(brute.AZ)) in above]
+            lost, n = sum(len(brute.WORD.findall(x)) for x in gone), brute.quality(t)
+            kept = not (n[0] < 50 or 100 * n[4] > 50 * n[0]) and n[0] - lost >= 50 and 100 * (n[0] - lost) >= 20 * n[0]
+            expected.append((i, lost, kept))
+            if kept:
+                left.append((i, "\n".join(x for x in t.split("\n") if x not in gone)))
+        same(quality_rules.judge(table, floor=1).select("doc_id", "lost_words", "kept").collect(), expected)
+        same(rows_of(quality_rules.keep_good(table, floor=1)), left)
+        assert any(lost for _, lost, _ in expected)
+    assert quality_rules.lines_above(none).count() == 0
+
+
 def test_depleted_documents(spark):
     common = " ".join(f"c{k}" for k in range(60))
-    rows = [(k, f"{common}\nown {k}", "hot") for k in range(6)] + [(10 + k, f"{common}\n" + " ".join(f"d{k}w{m}" for m in range(60)), "hot") for k in range(3)] + [(20, f"{common}\nx", "cold"), (21, common, None)]
+    own = lambda n: " ".join(f"d{n}w{m}" for m in range(60))
+    rows = [(k, f"{common}\nown {k}", "hot") for k in range(6)] + [(10 + k, f"{common}\n{own(k)}", "hot") for k in range(3)] + [(10, f"{common}\n{own(0)}", "hot"), (20, f"{common}\nx", "cold"), (21, common, None)]
     table = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    kept = {r["doc_id"] for r in quality_rules.judge(table, max_docs=5).filter("kept").collect()}
-    assert kept == {0, 10, 11, 12, 20, 21}  # the first of a host keeps the line
-    assert {r["doc_id"] for r in quality_rules.keep_good(table, max_docs=5).collect()} == kept
-    assert quality_rules.judge(table, max_docs=9).filter("kept").count() == len(rows)
+    got = quality_rules.judge(table, floor=5).collect()
+    assert {r["doc_id"] for r in got if r["kept"]} == {10, 11, 12, 20, 21}
+    assert {r["lost_words"] for r in got if r["doc_id"] <= 12} == {60}
+    left = {r["doc_id"]: r["text"] for r in quality_rules.keep_good(table, floor=5).collect()}
+    assert left == {10: own(0), 11: own(1), 12: own(2), 20: f"{common}\nx", 21: common}
+    assert quality_rules.judge(table, floor=9).filter("kept").count() == len(rows)
 
 
 def test_line_dedup(docs, none, small):
