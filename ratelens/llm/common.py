@@ -54,13 +54,26 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, with as many underscores in front as keep them apart from ``columns`` (and from each other)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def row_key() -> Column:
     """Tells rows apart that share a doc_id but not their text; rows equal in both are the same document."""
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("text").cast("string"))
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Rows reach Python in batches of at most 4 MB (or one row), unless the session sets a limit of its own."""
+    """Rows reach Python in batches of at most 4 MB (or one row), unless the session sets a limit of its own.
+
+    Spark reads this setting when a plan starts, which may be after an operator returns; so it stays as it is set."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(re.sub("[^0-9]", "", spark.conf.get(key)) or 0) >= 64 << 20:  # the default
         spark.conf.set(key, "4m")

@@ -8,7 +8,7 @@ input, so they form one more small structure that every task gets, and no shard
 
 Defined results: null or empty text is one empty line; lines whose key is shorter than ``min_chars`` stay;
 rows that repeat a doc_id count as one document; a null doc_id counts as one document of its own; an empty
-table gives an empty result; other columns of the input are carried or ignored, never read by name.
+table gives an empty result; other columns of the input are carried with their values, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratelens.llm.common import LOWER, SPACES, keyed, mix64, row_key, shuffle_width, slices, stored, utf8
+from ratelens.llm.common import LOWER, SPACES, fresh, keyed, mix64, row_key, shuffle_width, slices, stored, utf8
 
 HEAVY = 65_536
 #: Distinct lines a shard holds at most, on average.
@@ -165,8 +165,8 @@ def line_counts(docs: DataFrame, min_chars: int = 1) -> DataFrame:
 def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, shard_keys: int = SHARD_KEYS, heavy: int = HEAVY) -> DataFrame:
     """Drop every line whose key at least ``min_docs`` documents hold, in all of them.
 
-    Returns the columns of ``docs`` with the new text (null stays null where no line goes) and n_lines and
-    n_dropped, long, as ``line_n`` and ``line_dropped``.
+    Returns the columns of ``docs`` with the new text (null stays null where no line goes) and, as the last two,
+    the number of lines and of dropped ones, long: ``line_n`` and ``line_dropped``, or ``fresh`` names.
     """
     spark = docs.sparkSession
     counts = stored(line_counts(docs, min_chars), "line-counts")
@@ -190,18 +190,18 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, s
         found = LineIndex.unpack(index.to_pylist()[0]).count(_keys(asked)) >= min_docs
         return asked.filter(pa.array(found)).select(["doc_id", "rid", "h1", "h2"])
 
-    new = ["line_n", "line_dropped"]
-    here = docs.drop(*new).withColumn("__rid", row_key())
+    names = docs.columns
+    *new, rid, hit_id, hit_rid, own = fresh(names, "line_n", "line_dropped", "rid", "hit_id", "hit_rid", "hits")
+    here = docs.withColumn(rid, row_key())
     asked = _pairs(keyed(docs), min_chars, heavy_index, shards)
     hits = asked.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(probe, "doc_id long, rid long, h1 long, h2 long")
-    gone = hits.groupBy(F.col("doc_id").alias("__hit_id"), F.col("rid").alias("__hit_rid")).agg(F.collect_set(F.struct("h1", "h2")).alias("__hits"))
-    joined = here.join(gone, here["doc_id"].eqNullSafe(gone["__hit_id"]) & (here["__rid"] == gone["__hit_rid"]), "left").drop("__hit_id", "__hit_rid", "__rid")
-    names = [c for c in docs.columns if c not in new]
+    gone = hits.groupBy(F.col("doc_id").alias(hit_id), F.col("rid").alias(hit_rid)).agg(F.collect_set(F.struct("h1", "h2")).alias(own))
+    joined = here.join(gone, here["doc_id"].cast("long").eqNullSafe(gone[hit_id]) & (here[rid] == gone[hit_rid]), "left").select(*(here[c] for c in names), own)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts, n_lines, n_dropped = [], [], []
-            for text, null, hits in zip(utf8(batch.column("text")), batch.column("text").is_null().to_pylist(), batch.column("__hits").to_pylist(), strict=True):
+            for text, null, hits in zip(utf8(batch.column("text")), batch.column("text").is_null().to_pylist(), batch.column(own).to_pylist(), strict=True):
                 lines, keys = text.split(b"\n"), _hashes(line_keys(text), min_chars)
                 drop = heavy_index.count(keys) >= min_docs
                 if hits:
@@ -212,13 +212,14 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, s
                 texts.append(None if null and not gone else text if not gone else b"\n".join(x for x, d in zip(lines, drop.tolist(), strict=True) if not d))
                 n_lines.append(len(lines))
                 n_dropped.append(gone)
-            kept = pa.array(texts, pa.binary()).cast(pa.string())
+            kept = pa.array(texts, pa.binary()).cast(batch.schema.field("text").type)
             yield pa.RecordBatch.from_arrays([kept if c == "text" else batch.column(c) for c in names] + [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, *new])
 
-    schema = joined.drop("__hits").withColumns(dict.fromkeys(new, F.lit(0).cast("long"))).schema
-    return joined.select(*names, "__hits").mapInArrow(cut, schema)
+    schema = docs.select(*names, *(F.lit(0).cast("long").alias(c) for c in new)).schema
+    return joined.mapInArrow(cut, schema)
 
 
 def digest(kept: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped and the SHA-256 of what is kept."""
-    return kept.select("doc_id", F.col("line_n").alias("n_lines"), F.col("line_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    n, dropped = kept.columns[-2:]
+    return kept.select("doc_id", F.col(n).alias("n_lines"), F.col(dropped).alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratelens.llm.common import LOWER, keyed, row_key, shuffle_width, slices, stored, utf8
+from ratelens.llm.common import LOWER, fresh, keyed, row_key, shuffle_width, slices, stored, utf8
 
 BIG = 4096
 BITS = 2
@@ -180,11 +180,11 @@ def digest(found: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """One row of ``docs`` for each component: the one with the smallest doc_id."""
     found = near_duplicates(docs, shingle)
-    kept = stored(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep_id"), F.col("rid").alias("__keep_rid"), "component_id"), "kept")
-    sure = kept.groupBy("component_id").agg(F.min(F.struct("__keep_id", "__keep_rid")).alias("x"), F.count("*").alias("n"))
-    rows = docs.withColumn("__rid", row_key())
-    one = sure.select("x.*")
-    out = rows.join(one, rows["doc_id"].cast("long").eqNullSafe(one["__keep_id"]) & (rows["__rid"] == one["__keep_rid"]), "left_semi")
-    if sure.filter("n > 1").isEmpty():
-        return out.drop("__rid")
-    return out.dropDuplicates(["doc_id", "__rid"]).drop("__rid")
+    rid, keep_id, keep_rid = fresh(docs.columns, "rid", "keep_id", "keep_rid")
+    kept = stored(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "rid", "component_id"), "kept")
+    sure = kept.groupBy("component_id").agg(F.min(F.struct("doc_id", "rid")).alias("x"), F.count("*").alias("n"))
+    rows, one = docs.withColumn(rid, row_key()), sure.select(F.col("x.doc_id").alias(keep_id), F.col("x.rid").alias(keep_rid))
+    out = rows.join(one, rows["doc_id"].cast("long").eqNullSafe(one[keep_id]) & (rows[rid] == one[keep_rid]), "left_semi")
+    if not sure.filter("n > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", rid])
+    return out.select(*docs.columns)

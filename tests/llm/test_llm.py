@@ -148,8 +148,13 @@ def test_line_dedup(docs, none, small):
             kept = line_dedup.drop_common_lines(table, heavy=heavy, shard_keys=keys)
             same(line_dedup.digest(kept).collect(), expected)
     assert line_dedup.drop_common_lines(none).count() == 0
-    kept = line_dedup.drop_common_lines(docs)
-    assert [c for c in kept.columns if not c.startswith("line_")] == [c for c in docs.columns if not c.startswith("line_")]
+    own = docs.select("*", F.lit(77).alias("line_dropped"), F.lit(5).alias("__hits"), F.lit(6).alias("hit_rid")).withColumn("line_n", F.lit(77))
+    kept = line_dedup.drop_common_lines(own)
+    assert kept.columns == [*own.columns, "_line_n", "_line_dropped"]
+    assert tuple(kept.select("line_n", "line_dropped", "__hits", "hit_rid").distinct().collect()[0]) == (77, 77, 5, 6)
+    assert kept.agg(F.sum("_line_dropped")).first()[0] == sum(e[2] for e in brute.line_dedup(rows_of(docs))) > 0
+    piped = corpus_pipeline.lines(docs.sparkSession, own, "")
+    assert piped.columns == own.columns and {tuple(r) for r in piped.select("line_n", "line_dropped").collect()} == {(77, 77)}
 
 
 def test_line_index():
@@ -162,6 +167,14 @@ def test_line_index():
     assert len(index.words) * 64 < 4 * 50_000
 
 
+def test_foreign_keys_are_no_heavy_lines():
+    random_keys = np.random.default_rng(3)
+    keys = random_keys.integers(0, 2**63, (160, 2)).astype(np.uint64)
+    index = line_dedup.LineIndex.build(keys, np.full(160, 99), 10, exact=True)
+    assert (index.count(keys) == 10).all()
+    assert not index.count(random_keys.integers(0, 2**63, (1_000_000, 2)).astype(np.uint64)).any()
+
+
 def test_own_lines_stay_when_fingerprints_collide(spark):
     common = [b"common %d" % k for k in range(50)]
     index = line_dedup.LineIndex.build(line_dedup._hashes(common, 1), np.full(50, 12), 10)
