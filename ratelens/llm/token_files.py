@@ -10,7 +10,11 @@ from any store; a shard is written by one task, all or nothing.
 
 Texts are encoded with the tokenizers library. The pre-tokenizer never joins what a letter run and the space
 before it hold with what follows, so a text is cut into such chunks, and each worker asks the library once
-for each chunk. Strings of special tokens in a text are ordinary text.
+for each chunk. A special token's string in a text becomes that token, as the library does it by default; with
+``special=False`` it is ordinary text, which is safer for texts of unknown origin.
+
+Ids of this vocabulary have up to 16 bits, so most words hold three or four of them (15 bits or less: four);
+escapes are for ids of 2^60 or more, which only other numberings have.
 
 Defined results: null or empty text is the end id alone; rows with a null doc_id come first; rows with the
 same doc_id follow each other in the order of their texts; an empty table writes no block.
@@ -140,19 +144,22 @@ class _Numbers(dict):
 class Encoder:
     """A tokenizer with a memory of the chunks it has encoded."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
         self.model = self.tokenizer.model
+        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()} if special else {}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         # Bytes that print stand for themselves in the model's alphabet, the others for characters from 256 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.alphabet = {b: 256 + k for k, b in enumerate(hidden)}
+        self.space = chr(self.alphabet[32])
         self.numbers, self.size, self.ids, self.used = _Numbers(), np.zeros(1 << 12, np.int32), np.zeros(1 << 14, np.int32), 0
         self.start, self.uses = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
 
@@ -171,9 +178,21 @@ class Encoder:
         self.numbers = _Numbers()
         self.numbers.update(zip(map(names.__getitem__, keep.tolist()), range(len(keep)), strict=True))
 
+    def chunks(self, text: str) -> list[str]:
+        """The text's chunks; a special token is one of its own."""
+        if self.cut is None or not any(s in text for s in self.special):
+            return _CHUNK.findall(text)
+        return [c for part in self.cut(text) for c in ([part] if part in self.special else _CHUNK.findall(part))]
+
     def _chunk(self, chunk: str) -> list[int]:
+        if chunk in self.special:
+            return [self.special[chunk]]
         if _WORD.fullmatch(chunk):
-            return [t.id for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(self.alphabet))]
+            if chunk.isascii():
+                shown = self.space + chunk[1:] if chunk[0] == " " else chunk
+            else:
+                shown = chunk.encode().decode("latin-1").translate(self.alphabet)
+            return [t.id for t in self.model.tokenize(shown)]
         return self.tokenizer.encode(chunk, add_special_tokens=False).ids
 
     def _solve(self) -> None:
@@ -198,11 +217,11 @@ class Encoder:
             self.forget()
         number, each = self.numbers.__getitem__, []
         for text in texts:
-            chunks = _CHUNK.findall(text)
+            chunks = self.chunks(text)
             each.append(np.fromiter(map(number, chunks), dtype=np.int64, count=len(chunks)))
         self._solve()
         at = np.concatenate([*each, np.zeros(0, dtype=np.int64)])
-        np.add.at(self.uses, at, 1)
+        self.uses += np.bincount(at, minlength=len(self.uses)).astype(np.int32)
         sizes = self.size[at]
         ends = np.cumsum(sizes, dtype=np.int64)
         ids = self.ids[np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
@@ -210,13 +229,13 @@ class Encoder:
         return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
-_LOADED: dict[str, Encoder] = {}
+_LOADED: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(name: str) -> Encoder:
-    if name not in _LOADED:
-        _LOADED[name] = Encoder(public_tokenizers.path(name))
-    return _LOADED[name]
+def encoder(name: str, special: bool) -> Encoder:
+    if (name, special) not in _LOADED:
+        _LOADED[name, special] = Encoder(public_tokenizers.path(name), special)
+    return _LOADED[name, special]
 
 
 _BLOCKS = "shard int, block int, shard_start long, total long, doc_ids array<long>, n_tokens array<int>, offsets array<int>, words binary, escape_at array<int>, escapes binary"
@@ -227,13 +246,13 @@ def _rows(blocks: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([b[k] for b in blocks], t) for k, t in kinds.items()], list(kinds))
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END, shards: int | None = None, block: int = BLOCK) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END, shards: int | None = None, block: int = BLOCK, special: bool = True) -> None:
     """Write the token ids of all texts to a new folder, in ascending order of doc_id."""
     shards = shards or shuffle_width(docs.sparkSession)
     ordered = keyed(docs).select("doc_id", "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard, number, total = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
+        encode, shard, number, total = encoder(tokenizer, special), TaskContext.get().partitionId(), 0, 0
         ids: list[int | None] = []
         runs: list[np.ndarray] = []
         size = 0

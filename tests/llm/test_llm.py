@@ -58,8 +58,8 @@ def test_token_files(spark, docs, none, small, tmp_path):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(public_tokenizers.path(token_files.TOKENIZER))
-    plain.encode_special_tokens = True
-    for table in (docs, small):
+    marked = docs.unionByName(docs.filter("doc_id = 4").withColumn("text", F.lit("a <|endoftext|>b<|endoftext|><|endoftext|> <|endo")).withColumn("doc_id", F.lit(50).cast("long")))
+    for table in (marked, small):
         expected, start = [], 0
         for i, t in sorted(rows_of(table), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
             ids = [*plain.encode(t or "", add_special_tokens=False).ids, token_files.END]
@@ -74,13 +74,14 @@ def test_token_files(spark, docs, none, small, tmp_path):
 def test_chunks_encode_like_whole_texts():
     from tokenizers import Tokenizer
 
-    plain = Tokenizer.from_file(public_tokenizers.path(token_files.TOKENIZER))
-    plain.encode_special_tokens = True
-    own = token_files.Encoder(public_tokenizers.path(token_files.TOKENIZER))
+    path = public_tokenizers.path(token_files.TOKENIZER)
+    tools = [(Tokenizer.from_file(path), token_files.Encoder(path, special)) for special in (True, False)]
+    tools[1][0].encode_special_tokens = True
     alphabet = [*"ab é.,'s \n\t\r\x1c\x85\xa0​ 日²Ⅷ5_-!?<|>́", "<|endoftext|>", "'re", "  "]
     for _ in range(2000):
         text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 12)))
-        assert plain.encode(text, add_special_tokens=False).ids == own([text])[0].tolist(), repr(text)
+        for plain, own in tools:
+            assert plain.encode(text, add_special_tokens=False).ids == own([text])[0].tolist(), repr(text)
 
 
 def test_simple8b_blocks():
