@@ -68,20 +68,41 @@ def groups(values, bits=2):
     return [find(k) for k in range(len(v))]
 
 
-def contamination(text, benchmark, width=10):
+def hit_words(text, benchmark, width=10):
+    """Words of a text, places of its hit words, and the items they come from."""
     w, hit, items = ALNUM.findall((text or "").translate(AZ)), set(), set()
+    at = defaultdict(list)
+    for k, x in enumerate(w):
+        at[x].append(k)
     for item, body in benchmark:
         b = ALNUM.findall((body or "").translate(AZ))
         for k in range(max(1, len(b) - width + 1) if b else 0):
             x = b[k : k + width]
-            for at in range(len(w) - len(x) + 1):
-                if w[at : at + len(x)] == x:
-                    hit |= set(range(at, at + len(x)))
+            for p in at.get(x[0], ()):
+                if w[p : p + len(x)] == x:
+                    hit |= set(range(p, p + len(x)))
                     items.add(item)
     items.discard(None)
+    return w, hit, items
+
+
+def contamination(text, benchmark):
+    w, hit, items = hit_words(text, benchmark)
     return len(w), len(hit), len(items), sha(",".join(sorted(map(str, items)))), bool(hit)
 
 
+def without_hits(text, benchmark):
+    """The text without its hit words and what stands between two of them in a row."""
+    _, hit, _ = hit_words(text, benchmark)
+    if not hit:
+        return text
+    spans, out, at = [m.span() for m in ALNUM.finditer(text.translate(AZ))], [], 0
+    for k in sorted(hit):
+        out.append("" if k - 1 in hit else text[at : spans[k][0]])
+        at = spans[k][1]
+    return "".join([*out, text[at:]])
+
+
 def substrings(rows, width=50):
     """rows: (doc_id, text); null ids take no part."""
     first = {}
