@@ -7,15 +7,19 @@ dealt by hash, in packed rows of delta-coded bytes, and counted: a window whose
 sent is repeated. Answers are dealt by document in the same form, merged into maximal intervals, and joined
 to the texts by document.
 
-The hash has 56 bits beside those that choose the part, of which there are more as the input grows.
+Equality is by hash. Its length follows the number of windows: so many bytes that the number of false matches to
+be expected in the whole input is below 2^-20 (9 bytes and the part at 10^8 windows, 12 at 10^13). Parts hold about
+``PART`` windows, answers of at most twice as many, whatever the width of the shuffle.
 
 Defined results: words are what ASCII space does not hold; null text has none; a document below ``width``
 words loses none; rows with a null doc_id are neither searched nor cut; rows that share doc_id and text get
-the same result and do not remove each other's words; other columns are ignored.
+the same result and do not remove each other's words; rows that share doc_id alone are told apart by their whole
+row key; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +33,9 @@ from ratelens.llm.common import keyed, mix64, shuffle_width, slices, utf8
 WIDTH = 50
 #: Windows that a task holds before it sends them on.
 CHUNK = 1 << 19
+#: Windows that a group counts, on average.
+PART = 1 << 21
 _BASE = 0x9E3779B97F4A7C15
-_LOW56 = np.uint64((1 << 56) - 1)
-_TAG = 0xFFFF
 _PACKED = "part int, kind int, n int, first long, body binary, hashes binary"
 
 
@@ -161,7 +165,7 @@ def _dealt(kind: int, part: np.ndarray, doc: np.ndarray, tag: np.ndarray, pos: n
         if a < b:
             on = order[a:b]
             first, body = _deltas(doc[on], tag[on], pos[on], None if size is None else size[on])
-            low = b"" if hashes is None else hashes[on].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+            low = b"" if hashes is None else hashes[on].tobytes()
             yield int(part[a]), kind, b - a, first, body, low
 
 
@@ -171,7 +175,18 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["part", "kind", "n", "first", "body", "hashes"])
 
 
-def _chunk(docs: list[tuple[int, int, np.ndarray, np.ndarray]], parts: int, answers: int) -> Iterator[pa.RecordBatch]:
+def hash_bytes(windows: int, parts: int) -> int:
+    """Bytes beside the part that leave less than 2^-20 false matches to be expected among so many windows."""
+    return min(16, max(4, math.ceil((2 * math.log2(max(windows, 2)) + 19 - math.log2(parts)) / 8)))
+
+
+def _cut(one: np.ndarray, two: np.ndarray, size: int) -> np.ndarray:
+    """The first bytes of both hashes together, a row a window; those of the second from its top."""
+    both = np.stack([one.astype("<u8"), two.byteswap()], axis=1)
+    return both.view(np.uint8).reshape(-1, 16)[:, :size]
+
+
+def _chunk(docs: list[tuple[int, int, np.ndarray, np.ndarray]], parts: int, answers: int, size: int) -> Iterator[pa.RecordBatch]:
     """What a task sends for a chunk of documents (doc_id, tag, and two hashes a window)."""
     docs.sort(key=lambda d: d[:2])
     n = np.array([len(d[2]) for d in docs])
@@ -179,39 +194,47 @@ def _chunk(docs: list[tuple[int, int, np.ndarray, np.ndarray]], parts: int, answ
     pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     one, two = (np.concatenate([d[k] for d in docs]) for k in (2, 3))
     order = np.argsort(one, kind="stable")
-    same = np.concatenate([[False], one[order][1:] == one[order][:-1]])
+    same = np.concatenate([[False], (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])])
     first = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
     late = np.zeros(len(order), dtype=bool)
     late[order] = doc[order] > doc[order][first]
     on = np.flatnonzero(~late)
-    rows = list(_dealt(0, (two[on] % np.uint64(parts)).astype(np.int64), doc[on], tag[on], pos[on], None, one[on] & _LOW56))
+    rows = list(_dealt(0, (two[on] % np.uint64(parts)).astype(np.int64), doc[on], tag[on], pos[on], None, _cut(one[on], two[on], size)))
     on = np.flatnonzero(late)
     if len(on):
-        doc, tag, pos, size = _runs(doc[on], tag[on], pos[on], np.ones(len(on), dtype=np.int64))
-        rows += _dealt(1, _part_of(doc, answers), doc, tag, pos, size, None)
+        doc, tag, pos, length = _runs(doc[on], tag[on], pos[on], np.ones(len(on), dtype=np.int64))
+        rows += _dealt(1, _part_of(doc, answers), doc, tag, pos, length, None)
     yield _batch(rows)
 
 
-def repeated_starts(docs: DataFrame, width: int = WIDTH, parts: int | None = None, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, tag, spans: packed intervals (start, length) of the window starts that are repeated."""
-    width_now = shuffle_width(docs.sparkSession)
-    parts = parts or 3 * width_now
-    # Answers are a small share of what is asked, so they go to fewer parts; rows are at most parts times answers.
-    answers = max(1, width_now // 8)
+def measured(docs: DataFrame) -> tuple[int, bool]:
+    """About how many words there are (white space between words counted, so rather more than less), and whether doc_ids are unique."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    gaps = F.octet_length(text) - F.octet_length(F.replace(F.replace(text, F.lit(" "), F.lit("")), F.lit("\n"), F.lit(""))) + 1
+    row = docs.agg(F.sum(gaps.cast("long")).alias("words"), F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("ids")).first()
+    return row["words"] or 0, row["n"] == row["ids"]
+
+
+def repeated_starts(docs: DataFrame, width: int = WIDTH, parts: int | None = None, chunk: int = CHUNK, part: int = PART) -> DataFrame:
+    """doc_id, tag (the row key, 0 where doc_ids are unique), spans: packed intervals (start, length) of the window starts that are repeated."""
+    words, unique = measured(docs)
+    parts = parts or max(shuffle_width(docs.sparkSession), -(-words // part))
+    # Answers are intervals, of which there are at most as many as windows: twice a part's to each, whatever is repeated.
+    answers, size = max(1, -(-words // (2 * part))), hash_bytes(words, parts)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roll, held, size = Roller(width), [], 0
+        roll, held, n = Roller(width), [], 0
         for batch in slices(batches):
             for doc, rid, text in zip(batch.column("doc_id").to_pylist(), batch.column("rid").to_pylist(), utf8(batch.column("text")), strict=True):
                 one, two = roll(text.split())
                 if doc is not None and len(one):
-                    held.append((doc, rid & _TAG, one, two))
-                    size += len(one)
-                if size >= chunk:
-                    yield from _chunk(held, parts, answers)
-                    held, size = [], 0
+                    held.append((doc, 0 if unique else rid, one, two))
+                    n += len(one)
+                if n >= chunk:
+                    yield from _chunk(held, parts, answers, size)
+                    held, n = [], 0
         if held:
-            yield from _chunk(held, parts, answers)
+            yield from _chunk(held, parts, answers, size)
 
     def count(table: pa.Table) -> pa.Table:
         asked, passed = [], []
@@ -220,37 +243,36 @@ def repeated_starts(docs: DataFrame, width: int = WIDTH, parts: int | None = Non
             if row["kind"]:
                 passed.append(places)
             else:
-                low = np.zeros((row["n"], 8), dtype=np.uint8)
-                low[:, :7] = np.frombuffer(row["hashes"], dtype=np.uint8).reshape(-1, 7)
-                asked.append((*places[:3], low.reshape(-1).view("<u8")))
+                low = np.zeros((row["n"], 16), dtype=np.uint8)
+                low[:, :size] = np.frombuffer(row["hashes"], dtype=np.uint8).reshape(-1, size)
+                asked.append((*places[:3], *low.view("<u8").T.copy()))
         if asked:
-            doc, tag, pos, low = (np.concatenate([x[k] for x in asked]) for k in range(4))
+            doc, tag, pos, low, high = (np.concatenate([x[k] for x in asked]) for k in range(5))
             del asked
-            order = np.lexsort((doc, low))
-            same = np.concatenate([[False], low[order][1:] == low[order][:-1]])
+            order = np.lexsort((doc, high, low) if size > 8 else (doc, low))
+            same = np.concatenate([[False], (low[order][1:] == low[order][:-1]) & (high[order][1:] == high[order][:-1])])
             first = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
             on = order[doc[order] > doc[order][first]]
             passed.append((doc[on], tag[on], pos[on], np.ones(len(on), dtype=np.int64)))
-        doc, tag, pos, size = _runs(*(np.concatenate([x[k] for x in passed]) for k in range(4)))
-        return pa.Table.from_batches([_batch(list(_dealt(1, _part_of(doc, answers), doc, tag, pos, size, None)))])
+        doc, tag, pos, length = _runs(*(np.concatenate([x[k] for x in passed]) for k in range(4)))
+        return pa.Table.from_batches([_batch(list(_dealt(1, _part_of(doc, answers), doc, tag, pos, length, None)))])
 
     def merge(table: pa.Table) -> pa.Table:
         found = [_places(row["first"], row["body"]) for row in table.select(["first", "body"]).to_pylist()]
-        doc, tag, pos, size = _runs(*(np.concatenate([x[k] for x in found]) for k in range(4)))
+        doc, tag, pos, length = _runs(*(np.concatenate([x[k] for x in found]) for k in range(4)))
         cuts = np.concatenate([[0], np.flatnonzero((doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])) + 1, [len(doc)]]).tolist()
-        spans = [np.stack([pos[a:b], size[a:b]], axis=1).astype("<i4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        return pa.table({"doc_id": pa.array(doc[cuts[:-1]]), "tag": pa.array(tag[cuts[:-1]].astype(np.int32)), "spans": pa.array(spans, pa.binary())})
+        spans = [np.stack([pos[a:b], length[a:b]], axis=1).astype("<i4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.table({"doc_id": pa.array(doc[cuts[:-1]]), "tag": pa.array(tag[cuts[:-1]]), "spans": pa.array(spans, pa.binary())})
 
     sent = keyed(docs).mapInArrow(send, _PACKED)
-    return sent.groupBy("part").applyInArrow(count, _PACKED).groupBy("part").applyInArrow(merge, "doc_id long, tag int, spans binary")
+    return sent.groupBy("part").applyInArrow(count, _PACKED).groupBy("part").applyInArrow(merge, "doc_id long, tag long, spans binary")
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, parts: int | None = None, chunk: int = CHUNK) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, parts: int | None = None, chunk: int = CHUNK, part: int = PART) -> DataFrame:
     """doc_id, n_words, n_removed, removed (array of word intervals, start and end), kept_text (the words that
     stay, joined by one space) of every row."""
-    spans = repeated_starts(docs, width, parts, chunk).withColumnRenamed("doc_id", "span_id")
-    rows = keyed(docs).withColumn("row_tag", F.col("rid").bitwiseAND(F.lit(_TAG)).cast("int"))
-    joined = rows.join(spans, (rows["doc_id"] == spans["span_id"]) & (rows["row_tag"] == spans["tag"]), "left").select("doc_id", "text", "spans")
+    spans, rows = repeated_starts(docs, width, parts, chunk, part).withColumnRenamed("doc_id", "span_id"), keyed(docs)
+    joined = rows.join(spans, (rows["doc_id"] == spans["span_id"]) & ((spans["tag"] == 0) | (rows["rid"] == spans["tag"])), "left").select("doc_id", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

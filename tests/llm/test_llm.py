@@ -302,11 +302,18 @@ def test_fm_index():
 def test_substring_dedup(docs, none, small):
     for table in (docs, small):
         expected = brute.substrings(rows_of(table))
-        for parts, chunk in ((None, substring_dedup.CHUNK), (3, 100)):
-            same(substring_dedup.digest(substring_dedup.remove_repeats(table, parts=parts, chunk=chunk)).collect(), expected)
+        for parts, chunk, part in ((None, substring_dedup.CHUNK, substring_dedup.PART), (3, 100, 2000)):
+            same(substring_dedup.digest(substring_dedup.remove_repeats(table, parts=parts, chunk=chunk, part=part)).collect(), expected)
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_hash_length_follows_the_input():
+    for windows, parts in ((10, 1), (10**8, 48), (10**13, 10**6)):
+        bits = 8 * substring_dedup.hash_bytes(windows, parts)
+        assert windows**2 / 2 / 2.0**bits / parts < 2.0**-20
+    assert substring_dedup._cut(np.array([0x0102030405060708], dtype=np.uint64), np.array([0x1112131415161718], dtype=np.uint64), 10).tolist() == [[8, 7, 6, 5, 4, 3, 2, 1, 0x11, 0x12]]
+
+
 def test_packed_integers():
     values = np.array([0, 1, 127, 128, 2**14, 2**35, 2**63, 2**64 - 1], dtype=np.uint64)
     assert (substring_dedup.unpack(substring_dedup.pack(values)).view(np.uint64) == values).all()
