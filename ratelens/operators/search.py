@@ -75,9 +75,15 @@ def by_reference(rates: DataFrame, providers: DataFrame) -> DataFrame:
 
 
 def by_inline_group(rates: DataFrame, npis: Targets) -> DataFrame:
-    """Rates joined to the targets in the groups that they list themselves."""
-    groups = rates.select("*", F.explode("rate.provider_groups").alias("g"))
-    return only_targets(groups.select(*rates.columns, F.explode("g.npi").alias("npi"), F.col("g.tin").alias("tin")), npis)
+    """Rates joined to the targets in the groups that they list themselves. Listed targets are picked inside the
+    arrays, so that other listings never become rows."""
+    listed = None if isinstance(npis, DataFrame) else sorted({int(n) for n in npis})
+    few = listed is not None and len(listed) <= LISTED
+    wanted = (lambda n: n.isin(listed)) if few else (lambda n: n.isNotNull())
+    match = lambda g: F.transform(F.filter(F.coalesce(g["npi"], F.array().cast("array<bigint>")), wanted), lambda n: F.struct(n.alias("npi"), g["tin"].alias("tin")))
+    found = F.flatten(F.transform(F.coalesce("rate.provider_groups", F.array().cast(GROUPS)), match))
+    rows = rates.select(*rates.columns, F.explode(found).alias("m")).select(*rates.columns, "m.npi", "m.tin")
+    return rows if few else only_targets(rows, npis)
 
 
 def project_results(hits: DataFrame) -> DataFrame:
@@ -120,35 +126,11 @@ def single_pass_files(raw: DataFrame, npis: Targets) -> DataFrame:
     return order.join(matched, "file_seq", "left").filter((F.coalesce("n_matched", F.lit(0)) > 0) | (first & (F.col("n_refs") == 0))).select("file_seq")
 
 
-def _candidates(rates: DataFrame, npis: Targets) -> DataFrame:
-    """A row for each reference (``gid``) and each inline listing (``npi``, ``tin``) of a rate, from one pass over
-    the rates. Listed targets are picked inside the arrays, so other listings never become rows."""
-    listed = None if isinstance(npis, DataFrame) else sorted({int(n) for n in npis})
-    wanted = (lambda n: n.isin(listed)) if listed is not None and len(listed) <= LISTED else (lambda n: n.isNotNull())
-    tin = "struct<type:string,value:string>"
-    entry = lambda gid, npi, t: F.struct(gid.cast("double").alias("gid"), npi.cast("long").alias("npi"), t.cast(tin).alias("tin"))
-    none = F.lit(None)
-    refs = F.transform(F.coalesce("rate.provider_references", F.array().cast("array<double>")), lambda r: entry(r, none, none))
-    groups = F.coalesce("rate.provider_groups", F.array().cast(GROUPS))
-    inline = F.flatten(F.transform(groups, lambda g: F.transform(F.filter(F.coalesce(g["npi"], F.array().cast("array<bigint>")), wanted), lambda n: entry(none, n, g["tin"]))))
-    return rates.select(*rates.columns, F.explode(F.concat(refs, inline)).alias("m")).select(*rates.columns, "m.*")
-
-
-def search_matched(providers: DataFrame, items: DataFrame, npis: Targets) -> DataFrame:
-    """All prices of the targets, given their matches in groups. The items are read once: references join the
-    matches, inline listings pass or, where the targets are a table, join that."""
-    rates = _rates(items)
-    rows = _candidates(rates, npis)
-    found = providers.select(F.col("file_seq").alias("m_file"), F.col("provider_group_id").alias("m_group"), F.col("npi").alias("m_npi"), F.col("tin").alias("m_tin"))
-    hits = rows.join(found, (rows["file_seq"] == found["m_file"]) & (rows["gid"] == found["m_group"]), "left")
-    inline = F.col("gid").isNull() & F.col("npi").isNotNull()
-    if isinstance(npis, DataFrame) or len(set(npis)) > LISTED:
-        table = npis if isinstance(npis, DataFrame) else items.sparkSession.createDataFrame([(int(n),) for n in set(npis)], "npi long")
-        targets = table.select(F.col("npi").alias("t_npi")).distinct()
-        hits = hits.join(targets, hits["npi"] == targets["t_npi"], "left")
-        inline = inline & F.col("t_npi").isNotNull()
-    hits = hits.filter(F.col("m_npi").isNotNull() | inline)
-    return project_results(hits.select(*rates.columns, F.coalesce("m_npi", "npi").alias("npi"), F.when(F.col("m_npi").isNotNull(), F.col("m_tin")).otherwise(F.col("tin")).alias("tin")))
+def search_matched(providers: DataFrame, items: DataFrame, npis: Targets, referenced: DataFrame | None = None) -> DataFrame:
+    """All prices of the targets, given their matches in groups: an inner join for references, a filter for inline
+    listings. ``referenced`` may be fewer items, those of files with a match, for the join."""
+    joined = by_reference(_rates(items if referenced is None else referenced), providers)
+    return project_results(joined.unionByName(by_inline_group(_rates(items), npis).select(*joined.columns)))
 
 
 def search_rates(refs: DataFrame, items: DataFrame, npis: Targets, files: DataFrame | None = None) -> DataFrame:
@@ -160,13 +142,10 @@ def search_rates(refs: DataFrame, items: DataFrame, npis: Targets, files: DataFr
 
 
 def matching_items(refs: DataFrame, items: DataFrame, npis: list[int]) -> DataFrame:
-    """Items with a rate that references a matched group or lists a target, found without exploding them."""
+    """Items with a rate that references a matched group or lists a target; nothing of a file is gathered in one row."""
     wanted = F.array(*[F.lit(int(n)).cast("long") for n in sorted(set(npis))])
-    ids = matched_providers(refs, npis).groupBy("file_seq").agg(F.collect_set("provider_group_id").alias("ids"))
-    found = items.join(ids, "file_seq", "left")
-    hit = F.exists(
-        "negotiated_rates",
-        lambda r: F.coalesce(F.arrays_overlap(r["provider_references"], F.col("ids")), F.lit(False))
-        | F.coalesce(F.exists(r["provider_groups"], lambda g: F.coalesce(F.arrays_overlap(g["npi"], wanted), F.lit(False))), F.lit(False)),
-    )
-    return found.filter(hit).drop("ids")
+    asked = items.select("file_seq", "pos", F.explode(F.array_distinct(F.flatten(F.transform("negotiated_rates", lambda r: F.coalesce(r["provider_references"], F.array().cast("array<double>")))))).alias("provider_group_id"))
+    by_ref = asked.join(matched_providers(refs, npis).select("file_seq", "provider_group_id"), ["file_seq", "provider_group_id"], "left_semi").select(F.col("file_seq").alias("hit_file"), F.col("pos").alias("hit_pos")).distinct()
+    inline = F.exists("negotiated_rates", lambda r: F.coalesce(F.exists(r["provider_groups"], lambda g: F.coalesce(F.arrays_overlap(g["npi"], wanted), F.lit(False))), F.lit(False)))
+    found = items.join(by_ref, (items["file_seq"] == by_ref["hit_file"]) & (items["pos"] == by_ref["hit_pos"]), "left")
+    return found.filter(F.col("hit_file").isNotNull() | inline).select(*items.columns)

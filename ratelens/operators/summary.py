@@ -20,7 +20,8 @@ def search_summary(results: DataFrame, files: DataFrame, npis: list[int], second
 def file_counters(raw: DataFrame) -> DataFrame:
     """file_seq, section, elements, malformed: what each file holds, and how much of it does not decode. A section
     that is empty counts zero."""
-    fits = lambda schema: F.coalesce(parsed(schema)["_bad"].isNull() & parsed(schema).isNotNull(), F.lit(False))
+    # Each element is parsed once: the struct is bound before both tests.
+    fits = lambda schema: F.transform(F.array(parsed(schema)), lambda x: x.isNotNull() & x["_bad"].isNull())[0]
     good = F.when(F.col("section") == "in_network", fits(ITEM)).otherwise(fits(REFERENCE))
     there = F.col("pos") >= 0
     return raw.groupBy("file_seq", "section").agg(F.count_if(there).alias("elements"), F.count_if(there & ~good).alias("malformed"))

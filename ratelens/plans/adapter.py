@@ -108,6 +108,16 @@ def write_mrf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_catalog(spark, write_mrf(spark, sf_dir)).select(F.regexp_extract("path", "seq=([0-9]+)", 1).cast("int").alias("file_seq"), F.col("path").alias("source_file"), "length")
 
 
+def write_tocs(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """Tables of contents, each over a hundred files: those of odd and of even number are a plan each."""
+    plan = F.struct(F.lit("a plan").alias("plan_name"), F.lit("HIOS").alias("plan_id_type"), F.when(F.col("file_seq") % 2 == 1, "ODD").otherwise("EVEN").alias("plan_id"))
+    body = F.struct(F.array(plan).alias("reporting_plans"), F.array(F.struct(F.lit("rates").alias("description"), F.col("source_file").alias("location"))).alias("in_network_files"))
+    listed = files.groupBy(F.floor(F.col("file_seq") / 100).cast("int").alias("seq")).agg(F.concat_ws(",", F.collect_list(F.to_json(body))).alias("all"))
+    path = sinks.work_path(spark, "tocs")
+    listed.select("seq", F.concat(F.lit('{"reporting_entity_name": "a plan", "reporting_structure": ['), "all", F.lit("]}")).alias("value")).write.partitionBy("seq").text(path)
+    return file_catalog(spark, path).select(F.regexp_extract("path", "seq=([0-9]+)", 1).cast("int").alias("file_seq"), F.col("path").alias("source_file"))
+
+
 def structures(spark: SparkSession, sf_dir: str, of_rates: bool = False) -> DataFrame:
     """Raw plan structures: one for every hundred customers, whose names and nations are its plans. Its files are
     three pages and one that all share, or with ``of_rates`` a rate file."""

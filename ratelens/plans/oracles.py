@@ -107,4 +107,8 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 11 <> 0
   CASE WHEN s_suppkey % 3 = 0 THEN s_name ELSE n_name || CASE s_suppkey % 5 WHEN 0 THEN ', Ann' WHEN 1 THEN ', Bob' WHEN 2 THEN ', Cleo' WHEN 3 THEN ', Dan' ELSE '' END || CASE WHEN s_suppkey % 4 = 0 THEN ' Q' ELSE '' END END AS name,
   CASE WHEN s_suppkey % 6 = 0 THEN 'D' ELSE 'A' END AS status FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 11 <> 0""",
     "multiline_source": _rows(f"{_IN} AND {_BOTH}", source=False),
+    "plan_to_results": _rows(f"{_IN} AND {_BOTH} AND (f + 3 * (p_partkey // 500)) % 2 = 1", source=False),
+    "lines_roundtrip": _rows(f"{_IN} AND {_BOTH}", source=False),
+    "lines_of_a_file": _rows(f"{_IN} AND {_BOTH} AND f = 0"),
+    "output_roundtrip": f"SELECT *, '{_NPIS}' AS npis, CAST(3 AS BIGINT) AS searched_files, (SELECT count(DISTINCT source_file) FROM ({_FULL})) AS matched_files FROM ({_FULL})",
 }

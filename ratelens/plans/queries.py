@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ratelens.functions import text as T
 from ratelens.operators import catalog, providers, search, summary, toc
 from ratelens.plans import adapter as A
+from ratelens.plans import flows
 from ratelens.plans.oracles import PLAN, SQL, TARGETS  # noqa: F401
 from ratelens.schemas import ITEM, REFERENCE
 from ratelens.sources import files as sources
@@ -222,9 +223,38 @@ def split_roundtrip(spark, sf):
 
 
 def mrf_source_roundtrip(spark, sf):
-    """Gzipped files written, then read by the element source."""
-    raw = mrf.read_elements(A.write_mrf_files(spark, sf))
-    return flat(search.search_rates(*_typed(raw), NPIS)).drop("source_file")
+    """Gzipped files written, then searched: each is read once."""
+    return flat(flows.search_files(A.write_mrf_files(spark, sf), NPIS)).drop("source_file")
+
+
+def plan_to_results(spark, sf):
+    """Tables of contents over the written files, then the search of one plan's files."""
+    return flat(flows.search_plan(A.write_tocs(spark, A.write_mrf_files(spark, sf)), "odd", NPIS)).drop("source_file")
+
+
+def lines_roundtrip(spark, sf):
+    """Elements as plain lines, read back by file and section, and searched."""
+    path = sinks.work_path(spark, "lines")
+    sinks.write_lines(A.raw_elements(spark, sf), path)
+    return flat(search.search_rates(*_typed(sources.read_line_folders(spark, path)), NPIS)).drop("source_file")
+
+
+def lines_of_a_file(spark, sf):
+    """The references and rates of the first file, from its line files alone."""
+    path = sinks.work_path(spark, "lines")
+    sinks.write_lines(A.raw_elements(spark, sf), path)
+    refs, items = (sources.read_lines(spark, [f"{path}/file_seq=0/section={s}"], s, source_file="rates_A.json.gz") for s in mrf.SECTIONS)
+    return flat(search.search_rates(search.read_provider_references(refs), search.read_in_network(items), NPIS))
+
+
+def output_roundtrip(spark, sf):
+    """Results with their parameters, written and read."""
+    path = sinks.work_path(spark, "output")
+    found = search.search_rates(*_parts(spark, sf), NPIS)
+    sinks.write_output(found, summary.search_summary(found, A.files(spark), NPIS), path)
+    params, results = sinks.read_output(spark, path)
+    given = params.select(F.array_join("npis", ",").alias("npis"), "searched_files", "matched_files")
+    return flat(results).crossJoin(F.broadcast(given))  # one row
 
 
 def land_roundtrip(spark, sf):
@@ -266,6 +296,6 @@ _ALL = (
     search_reference, search_inline, search_full, search_multi_npi, search_single_pass, provider_index, npi_matches, matching_items, raw_prefilter, malformed_drop, description_fallback, zero_defaults,
     duplicate_file, search_summary, file_counters, toc_resolve, toc_stats, search_plan, url_list, input_union, file_name, cdn_vendor, cdn_distribution, size_stats, human_bytes, human_count, parse_npis,
     lookup_providers, missing_providers, search_by_name, format_fields, assign_shards, merge_outputs, split_roundtrip, mrf_source_roundtrip, land_roundtrip, results_roundtrip, validate_files, file_catalog,
-    registry_roundtrip, multiline_source,
+    registry_roundtrip, multiline_source, plan_to_results, lines_roundtrip, lines_of_a_file, output_roundtrip,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}

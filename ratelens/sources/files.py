@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ratelens.schemas import REGISTRY
@@ -16,14 +16,21 @@ def read_url_list(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("pos", F.regexp_replace("line", r"^\s+|\s+$", "").alias("url")).filter((F.col("url") != "") & ~F.col("url").startswith("#"))
 
 
+#: Positions of a list that are numbered together.
+BLOCK = 1 << 16
+
+
 def input_union(*lists: DataFrame) -> DataFrame:
     """file_seq, source_file: lists (pos, url) one after the other, numbered from 0; nothing is deduplicated.
 
-    The numbering ranks file names and positions only, one row a file."""
-    from pyspark.sql import Window
-
-    tagged = reduce(DataFrame.unionByName, [x.select(F.lit(k).alias("list"), "pos", "url") for k, x in enumerate(lists)])
-    return tagged.select((F.row_number().over(Window.orderBy("list", "pos", "url")) - 1).alias("file_seq"), F.col("url").alias("source_file"))
+    Rows are counted by blocks of positions first, so that each block can be numbered by itself; only the
+    blocks' counts, one row for 65,536 positions, are summed in one place."""
+    tagged = reduce(DataFrame.unionByName, [x.select(F.lit(k).alias("list"), F.col("pos").cast("long").alias("pos"), "url") for k, x in enumerate(lists)])
+    tagged = tagged.withColumn("block", F.floor(F.col("pos") / BLOCK))
+    before = Window.orderBy("list", "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = tagged.groupBy("list", "block").agg(F.count("*").alias("n")).select("list", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    place = F.row_number().over(Window.partitionBy("list", "block").orderBy("pos", "url"))
+    return tagged.withColumn("place", place).join(blocks, ["list", "block"]).select((F.col("base") + F.col("place") - 1).alias("file_seq"), F.col("url").alias("source_file"))
 
 
 def file_catalog(spark: SparkSession, *paths: str) -> DataFrame:
@@ -37,12 +44,20 @@ def read_sections(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file_seq", "source_file", "section", "section_ord", "pos", "raw")
 
 
-def read_lines(spark: SparkSession, paths: list[str], section: str) -> DataFrame:
-    """Elements of plain line files, one to a line, as raw elements of one file."""
-    return spark.read.text(paths).filter(F.trim("value") != "").select(
-        F.lit(0).alias("file_seq"), F.input_file_name().alias("source_file"), F.lit(section).alias("section"), F.lit(0).alias("section_ord"), F.monotonically_increasing_id().alias("pos"), F.col("value").alias("raw")
+def read_lines(spark: SparkSession, paths: list[str], section: str, file_seq: int = 0, source_file: str | None = None) -> DataFrame:
+    """Elements of plain line files, one to a line, as raw elements of one file: they share group ids, whatever
+    number of line files they were split into."""
+    lines = spark.read.text(paths).filter(F.trim("value") != "")
+    return lines.select(
+        F.lit(file_seq).alias("file_seq"), F.lit(source_file or paths[0]).alias("source_file"), F.lit(section).alias("section"), F.lit(0).alias("section_ord"), F.monotonically_increasing_id().alias("pos"), F.col("value").alias("raw")
     )
 
 
+def read_line_folders(spark: SparkSession, path: str) -> DataFrame:
+    """Raw elements of what ``write_lines`` wrote: line files in folders by file and section."""
+    lines = spark.read.schema("value STRING, file_seq INT, section STRING").text(path).filter(F.trim("value") != "")
+    return lines.select("file_seq", F.lit(path).alias("source_file"), "section", F.lit(0).alias("section_ord"), F.monotonically_increasing_id().alias("pos"), F.col("value").alias("raw"))
+
+
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REGISTRY).json(path)

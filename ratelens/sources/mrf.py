@@ -129,12 +129,13 @@ class Cursor:
 
 
 def elements(chunks: Iterator[bytes], sections: tuple[str, ...]) -> Iterator[tuple[str, int, int, bytes | None]]:
-    """(section, its place among the sections of the file, position, element); other keys are skipped.
+    """(section, its place among the sections of the file, position, element); other keys are skipped. Positions
+    go on where a section stands a second time, so they are unique in a file and section.
 
     A section that is there gives a row of position -1 first, so that empty ones and their order are known. A
     wanted single value gives a row each time that it stands there.
     """
-    c, order, values = Cursor(chunks), 0, 0
+    c, order, values, counts = Cursor(chunks), 0, 0, dict.fromkeys(sections, 0)
     c.take(b"{")
     if c.peek() == b"}":
         return
@@ -154,12 +155,12 @@ def elements(chunks: Iterator[bytes], sections: tuple[str, ...]) -> Iterator[tup
         else:
             c.take(b"[")
             yield key, order, -1, None
-            pos = 0
+            first = True
             while c.peek() != b"]":
-                if pos:
+                if not first:
                     c.take(b",")
-                yield key, order, pos, c.value()
-                pos += 1
+                yield key, order, counts[key], c.value()
+                counts[key], first = counts[key] + 1, False
             c.take(b"]")
             order += 1
         if c.peek() == b"}":

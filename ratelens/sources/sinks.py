@@ -5,11 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratelens.operators import search
-from ratelens.schemas import PARAMS, RESULT, RESULT_COLUMNS
+from ratelens.schemas import PARAMS, RAW, RESULT, RESULT_COLUMNS
 
 
 _OWN: list[str] = []
@@ -31,15 +31,39 @@ def split_sections(raw: DataFrame, path: str, max_records: int = 1_000_000) -> N
     raw.write.option("maxRecordsPerFile", max_records).option("ignoreNullFields", "false").partitionBy("section").json(path)
 
 
-def land(raw: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Normalised tables in Parquet: members by number with a bloom filter on it, rates by file.
+def write_lines(raw: DataFrame, path: str, max_records: int = 1_000_000) -> None:
+    """Elements as plain line files, one to a line and nothing else, in folders by file and section."""
+    # A line break inside an element can only stand between its tokens.
+    rows = raw.filter(F.col("raw").isNotNull()).select("file_seq", "section", F.regexp_replace("raw", r"[\r\n]+", " ").alias("value"))
+    rows.write.option("maxRecordsPerFile", max_records).partitionBy("file_seq", "section").text(path)
 
-    A search then prunes members by number and rates by the files that matched."""
+
+def stage(raw: DataFrame) -> DataFrame:
+    """The elements, written once to the shared folder by section: files are read once however often these are."""
+    path = work_path(raw.sparkSession, "elements")
+    raw.write.partitionBy("section").parquet(path)
+    return raw.sparkSession.read.schema(RAW).parquet(path).select(*raw.columns)
+
+
+#: Folders of landed rates: one a file up to so many files, then several files share one.
+FILE_PARTS = 10_000
+
+
+def land(raw: DataFrame, path: str, partitions: int | None = None, spread: int = 16) -> None:
+    """Normalised tables in Parquet: members by number with a bloom filter on it, rates in folders by file.
+
+    A search then prunes members by number and, for references, rates by the files that matched. Elements are
+    dealt once, before decoding, by file and by position modulo ``spread``, so a file's folder gets at most that
+    many files and a large file is decoded by as many tasks."""
     members = search.read_provider_references(raw).select("file_seq", "provider_group_id", F.explode("provider_groups").alias("g"))
     members = members.select("file_seq", "provider_group_id", F.explode("g.npi").alias("npi"), F.col("g.tin").alias("tin"))
-    spread = members.repartitionByRange("npi").sortWithinPartitions("npi")
-    spread.write.option("parquet.bloom.filter.enabled#npi", "true").parquet(f"{path}/members")
-    search.read_in_network(raw, partitions).write.partitionBy("file_seq").parquet(f"{path}/items")
+    by_number = members.repartitionByRange("npi").sortWithinPartitions("npi")
+    by_number.write.option("parquet.bloom.filter.enabled#npi", "true").parquet(f"{path}/members")
+    file_part = F.pmod("file_seq", F.lit(FILE_PARTS)).cast("int")
+    keys = [file_part, F.pmod("pos", F.lit(spread))]
+    dealt = raw.filter("section = 'in_network'")
+    dealt = dealt.repartition(partitions, *keys) if partitions else dealt.repartition(*keys)
+    search.read_in_network(dealt).withColumn("file_part", file_part).write.partitionBy("file_part").parquet(f"{path}/items")
 
 
 def landed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -48,9 +72,13 @@ def landed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def search_landed(spark: SparkSession, path: str, npis: search.Targets) -> DataFrame:
-    """The search on landed tables: the filter on numbers reaches the scan of the members and its bloom filters."""
+    """The search on landed tables. The filter on numbers reaches the scan of the members and its bloom filters;
+    for references only the folders of files with a match are read. Inline listings are looked for everywhere."""
     members, items = landed(spark, path)
-    return search.search_matched(search.only_targets(members.filter(F.col("provider_group_id").isNotNull()), npis), items, npis)
+    providers = search.only_targets(members.filter(F.col("provider_group_id").isNotNull()), npis)
+    # At most FILE_PARTS small rows, whatever the input.
+    parts = F.broadcast(providers.select(F.pmod("file_seq", F.lit(FILE_PARTS)).cast("int").alias("file_part")).distinct())
+    return search.search_matched(providers, items, npis, items.join(parts, "file_part", "left_semi"))
 
 
 def write_results(results: DataFrame, path: str) -> None:
@@ -62,8 +90,25 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RESULT).json(path)
 
 
+def write_output(results: DataFrame, summary: DataFrame, path: str) -> None:
+    """Results of any size with their parameters: one line of JSON in ``search_params``, lines in ``results``."""
+    params = summary.select(_params(summary).alias("p")).select("p.*")
+    params.write.option("ignoreNullFields", "false").json(f"{path}/search_params")
+    write_results(results, f"{path}/results")
+
+
+def read_output(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Parameters (one row) and results of ``write_output``."""
+    params = spark.read.schema(PARAMS.removeprefix("STRUCT<").removesuffix(">").replace(": ", " ")).json(f"{path}/search_params")
+    return params, read_results(spark, f"{path}/results")
+
+
+def _params(summary: DataFrame) -> Column:
+    return F.struct("npis", "searched_files", "matched_files", "duration_seconds").cast(PARAMS.replace(": ", ":"))
+
+
 def envelope(results: DataFrame, summary: DataFrame) -> DataFrame:
-    """One row of JSON with parameters and results, for a result that fits a row (a file for one reader)."""
+    """One row of JSON with parameters and results, for a result that fits a row (a file for one reader); others go
+    to ``write_output``."""
     listed = results.agg(F.coalesce(F.collect_list(F.struct(*RESULT_COLUMNS)), F.array()).alias("results"))
-    params = F.struct("npis", "searched_files", "matched_files", "duration_seconds").cast(PARAMS.replace(": ", ":")).alias("search_params")
-    return summary.crossJoin(listed).select(F.to_json(F.struct(params, "results"), {"ignoreNullFields": "false"}).alias("json"))
+    return summary.crossJoin(listed).select(F.to_json(F.struct(_params(summary).alias("search_params"), "results"), {"ignoreNullFields": "false"}).alias("json"))

@@ -98,6 +98,10 @@ def test_lists_catalog_and_merge(spark, tmp_path):
     listed = sources.read_url_list(spark, str(tmp_path / "urls.txt"))
     assert [r["url"] for r in listed.orderBy("pos").collect()] == ["b", "a", "b"]
     assert [r["source_file"] for r in sources.input_union(listed, listed).orderBy("file_seq").collect()] == ["b", "a", "b"] * 2
+    far = spark.range(0, 200_000, 70).select(F.col("id").alias("pos"), F.concat(F.lit("u"), F.col("id").cast("string")).alias("url"))
+    numbered = sources.input_union(listed, far)
+    assert numbered.agg(F.count("*"), F.count_distinct("file_seq"), F.max("file_seq")).first()[:] == (2861, 2861, 2860)
+    assert numbered.filter("file_seq = 1003").first()["source_file"] == "u70000"
     assert sources.file_catalog(spark, str(tmp_path)).first()["length"] == 17
     vendors = lambda *v: catalog.label_distribution(spark.createDataFrame([(x,) for x in v], "vendor string"), "vendor").first()[0]
     assert vendors("b", "a", "", "a") == "a (2), b (1)" and vendors("a", "a") == "a" and vendors("") == ""

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ratelens.operators import catalog, search, summary
+from ratelens.plans import flows
 from ratelens.sources import files as sources
 from ratelens.sources import mrf, sinks
 
@@ -196,19 +197,51 @@ def test_data_source_sections_landing_and_results_agree(written, spark, tmp_path
     sinks.split_sections(raw, str(tmp_path / "split"))
     back = sources.read_sections(spark, str(tmp_path / "split"))
     assert rates(search.search_rates(search.read_provider_references(back), search.read_in_network(back), [A])) == FOUR
+    sinks.write_lines(raw, str(tmp_path / "lines"))
+    lines = sources.read_line_folders(spark, str(tmp_path / "lines"))
+    assert rates(search.search_rates(search.read_provider_references(lines), search.read_in_network(lines), [A])) == FOUR
+    apart = [sources.read_lines(spark, [str(tmp_path / "lines" / "file_seq=0" / f"section={s}")], s, 3, "a file") for s in mrf.SECTIONS]
+    rows = search.search_rates(search.read_provider_references(apart[0]), search.read_in_network(apart[1]), [A])
+    assert rates(rows) == FOUR and {r["source_file"] for r in rows.collect()} == {"a file"}
     sinks.land(raw, str(tmp_path / "landed"))
     assert rates(sinks.search_landed(spark, str(tmp_path / "landed"), [A])) == FOUR
     plan = sinks.search_landed(spark, str(tmp_path / "landed"), [A, B])._jdf.queryExecution().toString()
     assert "In(npi, [1316924913,9999999999])" in plan
+    pruned = [x.split("PartitionFilters: ")[1] for x in plan.splitlines() if "FileScan" in x and "file_part" in x]
+    assert any("dynamicpruning" in x for x in pruned), pruned
     results = search.search_rates(search.read_provider_references(raw), search.read_in_network(raw), [A])
     sinks.write_results(results, str(tmp_path / "results"))
     assert rates(sinks.read_results(spark, str(tmp_path / "results"))) == FOUR
+    sinks.write_output(results, summary.search_summary(results, files, [A]), str(tmp_path / "output"))
+    params, again = sinks.read_output(spark, str(tmp_path / "output"))
+    assert rates(again) == FOUR and params.first().asDict() == {"npis": [A], "searched_files": 1, "matched_files": 1, "duration_seconds": 0.0}
     whole = json.loads(sinks.envelope(results, summary.search_summary(results, files, [A])).first()["json"])
     assert whole["search_params"]["matched_files"] == 1 and len(whole["results"]) == 4
     none = results.filter("false")
     assert json.loads(sinks.envelope(none, summary.search_summary(none, files, [A])).first()["json"])["results"] == []
 
 
+def test_files_to_results_in_one_read(written, spark):
+    twice = json.dumps(PLAN)[:-1] + ', "in_network": [' + json.dumps(item("36415", [rate([price(1.5)], groups=[group([A])])])) + "]}"
+    files = written(PLAN, twice)
+    rows = flows.search_files(files, [A])
+    assert rates(rows) == sorted([*FOUR, *FOUR, ("36415", 1.5)])
+    assert "MapInArrow" not in rows._jdf.queryExecution().toString()
+    assert rates(flows.search_files(files, [A], single_pass=True)) == rates(rows)
+    assert rates(flows.search_files(files, spark.createDataFrame([(A,)], "npi long"))) == rates(rows)
+    raw = mrf.read_elements(written(twice))
+    found = search.matching_items(search.read_provider_references(raw), search.read_in_network(raw), [A])
+    assert sorted(r["billing_code"] for r in found.collect()) == ["36415", "36415", "99213", "J0129"]
+
+
+def test_plan_to_results(written):
+    files = [r["source_file"] for r in written(PLAN, PLAN, PLAN).orderBy("file_seq").collect()]
+    tocs = written({"reporting_structure": [{"reporting_plans": [{"plan_id": p}], "in_network_files": [{"location": files[k]}, {"location": ""}]} for k, p in ((2, "X"), (1, "Y"))]}, {"reporting_structure": [{"reporting_plans": [{"plan_id": "x"}], "in_network_files": [{"location": files[0]}, {"location": files[2]}]}]})
+    assert [r["source_file"] for r in flows.plan_files(tocs, "x").orderBy("file_seq").collect()] == [files[2], files[0]]
+    rows = flows.search_plan(tocs, "X", [A]).collect()
+    assert {r["source_file"] for r in rows} == {files[0], files[2]} and len(rows) == 8
+
+
 def test_tokens_over_read_borders():
     text = json.dumps({"a": "x\\\"]}", "in_network": [{"n": [1, {"b": "]"}]}, {"n": '"'}], "z": [[]]}).encode()
     for size in (1, 2, 3, 7):
