@@ -1,18 +1,23 @@
 """SentencePiece encoding with N-best segmentations, and decoding.
 
+Pieces are scored by unigram log-probabilities that are estimated on all texts: every chunk is cut by longest
+match, its pieces are counted in Spark, and each piece of the vocabulary gets log((c + 1) / (n + v)).
+
 A text becomes a chunk for each run of spaces with the word behind it; no piece of the vocabulary reaches over
 such a boundary, so the lattice of a text is the lattices of its chunks in a row. Distinct chunks of a task
 are solved together: a trie walk finds all pieces at all places, and a forward Viterbi pass over arrays gives
 each chunk's best segmentation. With the best scores from both ends, the best path through every arc is known,
 and so by how much the second-best segmentation falls short. For the N best of a text only the N - 1 chunks
 with the smallest such gap can differ from the best; these are searched backwards with A*, whose exact
-heuristic is the forward Viterbi score, and their alternatives are merged.
+heuristic is the forward Viterbi score, and their alternatives are merged into the N best of the text.
 
 Characters without a piece are spelled in byte pieces, at ten below the lowest score for each byte. A space is
-U+2581 as in SentencePiece, so a literal U+2581 decodes as a space.
+U+2581 as in SentencePiece; a literal U+2581 is spelled in bytes, so that it does not decode as a space.
+The model file's own scores are merge ranks of a BPE vocabulary, so its library's segmentation differs.
 
 Defined results: null or empty text has no pieces and one segmentation, of score 0; texts with fewer than N
-segmentations list fewer; repeated rows give repeated results; other columns are ignored.
+segmentations list fewer; of segmentations with equal scores any come first; repeated rows give repeated
+results; ids that are not in the vocabulary decode to nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,11 +31,14 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ratelens.llm.common import keyed, slices
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
+#: Stands for a literal U+2581; no valid text holds it, and it takes as many bytes.
+LITERAL = "\ud800"
 #: Chunks of up to so many characters are solved in arrays, longer ones one by one.
 WIDE = 40
 #: Solved chunks that a worker remembers.
@@ -44,9 +52,9 @@ _FINE = re.compile(f"{SPACE}*[{_LETTERS}]+(?![^{SPACE}.,\n])|{_CHUNK.pattern}")
 
 
 class Pieces:
-    """The vocabulary: scores, a trie in arrays, and the bytes of each piece."""
+    """The vocabulary: scores (the model's own, or log-probabilities), a trie in arrays, and the bytes of each piece."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, logs: np.ndarray | None = None):
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -62,11 +70,11 @@ class Pieces:
                 self.bytes[i] = bytes([int(name[3:5], 16)])
             elif not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i)):
                 self.ids[name] = i
-                self.score[i] = m.get_score(i)
+                self.score[i] = m.get_score(i) if logs is None else logs[i]
                 self.bytes[i] = name.replace(SPACE, " ").encode()
         self.longest = max(map(len, self.ids))
         self.chunks = (_CHUNK if any(re.search(f"[{_LETTERS}][.,]|[^{SPACE}]{SPACE}|.\n|\n.", name) for name in self.ids) else _FINE).findall
-        self.byte_score = min(s for s in self.score.tolist() if s > -1e8) - 10
+        self.byte_score = float(self.score[list(self.ids.values())].min()) - 10
         #: Nodes are numbered from 1; an edge's key is node * 2^21 + character.
         edges: dict[int, int] = {}
         piece = [-1, -1]
@@ -104,7 +112,28 @@ class Pieces:
         return out
 
     def spell(self, c: str) -> list[int]:
-        return [self.byte_id[b] for b in c.encode("utf-8", "surrogatepass")]
+        return [self.byte_id[b] for b in (SPACE if c == LITERAL else c).encode("utf-8", "surrogatepass")]
+
+    def split(self, text: str) -> list[str]:
+        """The chunks of a text."""
+        if SPACE in text:
+            text = text.replace(SPACE, LITERAL)
+        return self.chunks(SPACE + text.replace(" ", SPACE)) if text else []
+
+    def longest_match(self, chunk: str) -> list[int]:
+        """Piece ids by longest match from the left."""
+        get, out, at, n = self.ids.get, [], 0, len(chunk)
+        while at < n:
+            for end in range(min(n, at + self.longest), at, -1):
+                p = get(chunk[at:end])
+                if p is not None:
+                    out.append(p)
+                    break
+            else:
+                out += self.spell(chunk[at])
+                end = at + 1
+            at = end
+        return out
 
     def arcs(self, chunk: str) -> list[list[tuple[int, int, float]]]:
         """For each end: (start, piece, score) of the pieces there; piece -1 spells one character in bytes."""
@@ -147,7 +176,7 @@ class Solved:
         self.pieces, self.index = pieces, {}
         self.start, self.size, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), np.zeros(1 << 14, np.uint16 if len(pieces.names) <= 1 << 16 else np.int32)
         self.score, self.gap, self.uses, self.used = np.zeros(1 << 12), np.zeros(1 << 12), np.zeros(1 << 12, np.int32), 0
-        self.more: dict[tuple[str, int], list[float]] = {}
+        self.more: dict[tuple[str, int], list[tuple[float, list[int]]]] = {}
 
     def _room(self, names: tuple[str, ...], need: int) -> None:
         for name in names:
@@ -259,40 +288,101 @@ class Solved:
             flat[ends[x] - times[x] : ends[x]] = v.spell(chunks[row[x]][place[x]])
         return ahead[size], ahead[size] - second, np.bincount(row, weights=times, minlength=n).astype(np.int64), flat
 
-    def gaps(self, chunk: str, n: int) -> list[float]:
-        """How far each of the n best segmentations falls short of the best."""
+    def others(self, chunk: str, n: int) -> list[tuple[float, list[int]]]:
+        """How far each of the n best segmentations but the best falls short of it, and its ids."""
         if (chunk, n) not in self.more:
-            best = self.pieces.n_best(chunk, n)
-            self.more[chunk, n] = [best[0][0] - s for s, _ in best]
+            best, k = self.pieces.n_best(chunk, n), self.index[chunk]
+            # Where several are best, the one that is kept need not be the first found here.
+            own = self.ids[self.start[k] : self.start[k] + self.size[k]].tolist()
+            self.more[chunk, n] = [(best[0][0] - s, ids) for s, ids in best if ids != own][: n - 1]
         return self.more[chunk, n]
 
-    def encode(self, text: str, n: int) -> tuple[np.ndarray, list[float]]:
-        """The ids of the best segmentation, and the scores of the n best."""
-        chunks = self.pieces.chunks(SPACE + text.replace(" ", SPACE)) if text else []
+    def encode(self, chunks: list[str], n: int) -> tuple[list[np.ndarray], list[float]]:
+        """The ids and scores of the n best segmentations of a text's chunks, best first."""
         if not chunks:
-            return np.zeros(0, self.ids.dtype), [0.0]
+            return [np.zeros(0, self.ids.dtype)], [0.0]
         at = np.fromiter(map(self.index.__getitem__, chunks), dtype=np.int64, count=len(chunks))
-        np.add.at(self.uses, at, 1)
+        self.uses += np.bincount(at, minlength=len(self.uses)).astype(np.int32)
         sizes, score = self.size[at].astype(np.int64), float(self.score[at].sum())
         ends = np.cumsum(sizes)
         ids = self.ids[np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(ends[-1])]
-        gap, few, short = self.gap[at], min(n - 1, len(chunks)), [0.0]
+        gap, few = self.gap[at], min(n - 1, len(chunks))
+        # What each falls short of the best, and the chunks in which it differs, by place.
+        short: list[tuple[float, dict[int, list[int]]]] = [(0.0, {})]
         for k in np.argpartition(gap, few - 1)[:few].tolist() if few else []:
             if np.isfinite(gap[k]):
-                short = sorted(a + b for a in short for b in self.gaps(chunks[k], n))[:n]
-        return ids, [score - x for x in short]
+                more = [(a + b, swaps | {k: other}) for a, swaps in short for b, other in self.others(chunks[k], n)]
+                short = sorted(short + more, key=lambda x: x[0])[:n]
+        found = [ids]
+        for _, swaps in short[1:]:
+            parts, last = [], 0
+            for k in sorted(swaps):
+                parts += [ids[last : ends[k] - sizes[k]], np.array(swaps[k], dtype=ids.dtype)]
+                last = ends[k]
+            found.append(np.concatenate([*parts, ids[last:]]))
+        return found, [score - x for x, _ in short]
 
 
-_LOADED: dict[str, Solved] = {}
+_LOADED: dict[str, tuple[int, Solved]] = {}
 
 
-def solver(path: str) -> Solved:
+def solver(path: str, logs: np.ndarray | None = None) -> Solved:
     """This worker's solver; it forgets what did not come up again once it remembers too much."""
-    if path not in _LOADED:
-        _LOADED[path] = Solved(Pieces(path))
-    elif len(_LOADED[path].index) > MEMORY or len(_LOADED[path].more) > MEMORY // 8:
-        _LOADED[path].forget()
-    return _LOADED[path]
+    version = 0 if logs is None else zlib.crc32(logs.tobytes())
+    if path not in _LOADED or _LOADED[path][0] != version:
+        _LOADED[path] = version, Solved(Pieces(path, logs))
+    solved = _LOADED[path][1]
+    if len(solved.index) > MEMORY or len(solved.more) > MEMORY // 8:
+        solved.forget()
+    return solved
+
+
+class _Matches(dict):
+    """Chunks by number with their longest-match ids; a new one is numbered and matched."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces, self.ids, self.sizes = pieces, [], []
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = n = len(self)
+        found = self.pieces.longest_match(chunk)
+        self.ids += found
+        self.sizes.append(len(found))
+        return n
+
+
+def piece_logs(docs: DataFrame, model: str = MODEL) -> np.ndarray:
+    """The log-probability of every piece, from counts over all texts; bounded by the vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = Pieces(public_tokenizers.path(model))
+        total, seen, uses = np.zeros(len(pieces.names), dtype=np.int64), _Matches(pieces), np.zeros(1 << 16, dtype=np.int64)
+
+        def count() -> np.ndarray:
+            sizes = np.array(seen.sizes, dtype=np.int64)
+            times = np.repeat(uses[: len(sizes)], sizes)
+            return np.bincount(np.array(seen.ids, dtype=np.int64), weights=times, minlength=len(total)).astype(np.int64)
+
+        for batch in slices(batches, limit=2 << 20):
+            for t in batch.column("text").to_pylist():
+                chunks = pieces.split(t or "")
+                at = np.fromiter(map(seen.__getitem__, chunks), dtype=np.int64, count=len(chunks))
+                if len(seen) > len(uses):
+                    uses = np.concatenate([uses, np.zeros(len(seen), dtype=np.int64)])
+                one, n = np.unique(at, return_counts=True)
+                uses[one] += n
+            if len(seen) > MEMORY:
+                total += count()
+                seen, uses = _Matches(pieces), np.zeros(1 << 16, dtype=np.int64)
+        total += count()
+        on = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), pa.array(total[on])], ["piece", "c"])
+
+    found = keyed(docs).select("text").mapInArrow(run, "piece int, c long").groupBy("piece").agg(F.sum("c").alias("c")).toArrow()
+    pieces = Pieces(public_tokenizers.path(model))
+    counts = np.zeros(len(pieces.names))
+    counts[found.column("piece").to_numpy()] = found.column("c").to_numpy()
+    return np.log((counts + 1) / (counts.sum() + len(counts)))
 
 
 def decode(ids: np.ndarray, pieces: Pieces) -> bytes:
@@ -300,34 +390,62 @@ def decode(ids: np.ndarray, pieces: Pieces) -> bytes:
     return b"".join(map(pieces.bytes.__getitem__, ids.tolist()))[1:]
 
 
-_COLUMNS = "doc_id long, n_pieces long, ids_crc32 long, best_score double, nbest_scores array<double>, round_trip boolean"
+_COLUMNS = "doc_id long, n_pieces long, ids_crc32 long, best_score double, nbest_scores array<double>, nbest_crc32 array<long>, round_trip boolean"
 
 
-def encode_pieces(docs: DataFrame, n: int = 4, model: str = MODEL, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), best_score,
-    nbest_scores (best first), round_trip (decoding gives the text), and with ``with_ids`` piece_ids."""
+def encode_pieces(docs: DataFrame, n: int = 4, model: str = MODEL, with_ids: bool = False, logs: np.ndarray | None = None) -> DataFrame:
+    """doc_id, n_pieces, ids_crc32 (of the best ids as little-endian unsigned 32-bit integers), best_score,
+    nbest_scores and nbest_crc32 (best first), round_trip (every one of the N decodes to the text), and with
+    ``with_ids`` piece_ids and nbest_ids. ``logs`` are scores of all pieces, by default ``piece_logs`` of the texts."""
+    logs = piece_logs(docs, model) if logs is None else logs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = public_tokenizers.path(model)
         for batch in slices(batches, limit=2 << 20):
-            solved, texts = solver(path), [t or "" for t in batch.column("text").to_pylist()]
+            solved, texts = solver(path, logs), [t or "" for t in batch.column("text").to_pylist()]
+            split = list(map(solved.pieces.split, texts))
             new: dict[str, None] = {}
-            for t in texts:
-                if t:
-                    new.update(dict.fromkeys(solved.pieces.chunks(SPACE + t.replace(" ", SPACE))))
+            for chunks in split:
+                new.update(dict.fromkeys(chunks))
             solved.add([c for c in new if c not in solved.index])
             out: list[list] = [[] for _ in range(6)]
-            for t in texts:
-                ids, scores = solved.encode(t, n)
-                values = (len(ids), zlib.crc32(ids.astype("<u4").tobytes()), scores[0], scores, decode(ids, solved.pieces) == t.encode("utf-8", "surrogatepass"), ids.astype(np.int32))
+            for t, chunks in zip(texts, split, strict=True):
+                found, scores = solved.encode(chunks, n)
+                sums = [zlib.crc32(ids.astype("<u4").tobytes()) for ids in found]
+                raw = t.encode("utf-8", "surrogatepass")
+                values = (len(found[0]), sums[0], scores, sums, all(decode(ids, solved.pieces) == raw for ids in found), found)
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
-            names = ["doc_id", "n_pieces", "ids_crc32", "best_score", "nbest_scores", "round_trip"]
-            arrays = [batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.list_(pa.float64())), pa.array(out[4], pa.bool_())]
+            names = [c.split()[0] for c in _COLUMNS.split(", ")]
+            scores = pa.array(out[2], pa.list_(pa.float64()))
+            arrays = [batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array([s[0] for s in out[2]], pa.float64()), scores, pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.bool_())]
             if with_ids:
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in out[5]])]).astype(np.int32)
-                arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out[5]))))
-                names.append("piece_ids")
+                best, every = (_lists(x) for x in ([f[0] for f in out[5]], [ids for f in out[5] for ids in f]))
+                ends = np.cumsum([0, *map(len, out[5])]).astype(np.int32)
+                arrays += [best, pa.ListArray.from_arrays(pa.array(ends), every)]
+                names += ["piece_ids", "nbest_ids"]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return keyed(docs).select("doc_id", "text").mapInArrow(run, _COLUMNS + ", piece_ids array<int>" * with_ids)
+    return keyed(docs).select("doc_id", "text").mapInArrow(run, _COLUMNS + ", piece_ids array<int>, nbest_ids array<array<int>>" * with_ids)
+
+
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.zeros(0, dtype=np.int32)]).astype(np.int32)))
+
+
+def decode_pieces(encoded: DataFrame, ids: str = "piece_ids", text: str = "text", model: str = MODEL) -> DataFrame:
+    """``encoded`` with the text of the piece ids in column ``ids``; null ids give null text."""
+    names = [c for c in encoded.columns if c != text]
+    schema = encoded.select(*names).withColumn(text, F.lit(None).cast("string")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = Pieces(public_tokenizers.path(model))
+        for batch in batches:
+            texts = []
+            for row in batch.column(ids).to_pylist():
+                known = None if row is None else np.array([i for i in row if i is not None and 0 <= i < len(pieces.bytes)], dtype=np.int64)
+                texts.append(None if known is None else decode(known, pieces).decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())], [*names, text])
+
+    return encoded.mapInArrow(run, schema)

@@ -320,30 +320,54 @@ def test_packed_integers():
     assert len(substring_dedup.unpack(b"")) == 0
 
 
-def segmentations(vocabulary, chunk):
-    arcs, out = vocabulary.arcs(chunk), [[0.0]]
-    for j in range(1, len(chunk) + 1):
-        out.append([a + s for i, _, s in arcs[j] for a in out[i]])
-    return sorted(out[-1], reverse=True)
+def segmentations(vocabulary, text, n):
+    """Scores of the n best paths of the whole lattice."""
+    text = pieces.SPACE + text.replace(pieces.SPACE, pieces.LITERAL).replace(" ", pieces.SPACE) if text else ""
+    arcs, best = vocabulary.arcs(text), [[0.0]]
+    for j in range(1, len(text) + 1):
+        best.append(sorted((b + s for i, _, s in arcs[j] for b in best[i]), reverse=True)[:n])
+    return best[-1]
 
 
-def test_pieces(docs, none, small):
+def ids_score(vocabulary, ids):
+    return sum(vocabulary.byte_score if i in set(vocabulary.byte_id) else vocabulary.score[i] for i in ids)
+
+
+def test_n_best_of_a_chunk():
     vocabulary = pieces.Pieces(public_tokenizers.path(pieces.MODEL))
-    solved = pieces.Solved(vocabulary)
-    for text in ["", "a", "the cat", "  x  y ", "日本 ǆ!\n", "hello, world"]:
-        whole = pieces.SPACE + text.replace(" ", pieces.SPACE) if text else ""
-        solved.add([c for c in dict.fromkeys(vocabulary.chunks(whole)) if c not in solved.index])
-        ids, scores = solved.encode(text, 4)
-        assert pieces.decode(ids, vocabulary).decode() == text
-        # The N best of the whole lattice, not only of its chunks.
-        assert scores == pytest.approx(segmentations(vocabulary, whole)[:4] if whole else [0.0])
-        assert [s for s, _ in vocabulary.n_best(whole, 4)] == pytest.approx(scores) if whole else True
+    for chunk in ("▁the", "▁hello", "日本", "▁▁", "\n", "x" * 60):
+        found = vocabulary.n_best(chunk, 6)
+        assert all(b"".join(vocabulary.bytes[i] for i in ids).decode() == chunk.replace("▁", " ") for _, ids in found)
+        assert len({tuple(ids) for _, ids in found}) == len(found)
+        best = [[0.0]]
+        arcs = vocabulary.arcs(chunk)
+        for j in range(1, len(chunk) + 1):
+            best.append(sorted((b + s for i, _, s in arcs[j] for b in best[i]), reverse=True)[:6])
+        assert [s for s, _ in found] == pytest.approx(best[-1])
+
+
+def test_pieces(docs, none, small):
     for table in (docs, small):
-        found = pieces.encode_pieces(table, with_ids=True).collect()
-        assert len(found) == table.count()
-        for r in found:
-            assert len(r["piece_ids"]) == r["n_pieces"] and r["nbest_scores"] == sorted(r["nbest_scores"], reverse=True)
-        assert sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in found if not r["round_trip"]) == ([(True, 10)] if table is docs else [])
+        logs = pieces.piece_logs(table)
+        vocabulary = pieces.Pieces(public_tokenizers.path(pieces.MODEL), logs)
+        counts = Counter(i for _, t in rows_of(table) for c in vocabulary.split(t or "") for i in vocabulary.longest_match(c))
+        total = sum(counts.values()) + len(logs)
+        assert np.exp(logs).sum() == pytest.approx(1.0) and logs == pytest.approx(np.array([math.log((counts[i] + 1) / total) for i in range(len(logs))]))
+        encoded = pieces.encode_pieces(table, with_ids=True, logs=logs)
+        texts, found = dict.fromkeys(t or "" for _, t in rows_of(table)), encoded.collect()
+        assert len(found) == table.count() and all(r["round_trip"] for r in found)
+        # The N best of the whole lattice, not only of its chunks, for every row.
+        expected = {t: segmentations(vocabulary, t, 4) for t in texts}
+        by_crc = {}
+        for r in pieces.decode_pieces(encoded).collect():
+            t = r["text"]
+            assert r["nbest_scores"] == pytest.approx(expected[t]) and r["best_score"] == r["nbest_scores"][0]
+            assert r["nbest_ids"][0] == r["piece_ids"] and len(r["piece_ids"]) == r["n_pieces"] and len({tuple(x) for x in r["nbest_ids"]}) == len(r["nbest_ids"])
+            assert [zlib.crc32(np.array(x, dtype="<u4").tobytes()) for x in r["nbest_ids"]] == r["nbest_crc32"]
+            if len(t) < 20_000:
+                assert [ids_score(vocabulary, x) for x in r["nbest_ids"]] == pytest.approx(r["nbest_scores"])
+            by_crc.setdefault(r["doc_id"], set()).add(t)
+        assert by_crc == {i: {u or "" for j, u in rows_of(table) if j == i} for i, _ in rows_of(table)}
     assert pieces.encode_pieces(none).count() == 0
 
 
