@@ -63,24 +63,29 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS
 FROM words LEFT JOIN kept USING (doc_id)
 """
 
-_RECORD = """'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
-  || chr(13) || chr(10) || 'Content-Length: ' || CAST(strlen(coalesce({0}, '')) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10)
-  || coalesce({0}, '') || chr(13) || chr(10) || chr(13) || chr(10)"""
+_RECORD = """'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:uuid:'
+  || substr({0}, 1, 8) || '-' || substr({0}, 9, 4) || '-' || substr({0}, 13, 4) || '-' || substr({0}, 17, 4) || '-' || substr({0}, 21, 12) || '>'
+  || chr(13) || chr(10) || 'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+  || chr(13) || chr(10) || 'Page-ID: ' || page || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+  || 'Content-Length: ' || CAST(strlen(coalesce(html, '')) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10)
+  || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)"""
+_REPLICA = """SELECT page_id, sha256(r) AS sha, strlen(r) AS size, CAST(coalesce(sum(strlen(r)) OVER (PARTITION BY page_id // 1024 ORDER BY page_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM (SELECT page_id, {1} AS r FROM (SELECT *, CAST(page_id AS VARCHAR) AS page FROM {0}))"""
+_DIGEST = "md5(page || ' ' || coalesce(url, ''))"
 
 SQL["op8_warc_fixity"] = f"""
-WITH copies AS (
-  SELECT page_id, url, html,
-    CASE WHEN page_id % 97 = 5 THEN html || chr(0) WHEN page_id % 193 = 7 THEN left(html, length(html) - 1) ELSE html END AS other
-  FROM pages),
-records AS (SELECT page_id, html, other, {_RECORD.format("html")} AS a, {_RECORD.format("other")} AS b FROM copies),
-placed AS (
-  SELECT *, coalesce(sum(strlen(a)) OVER (PARTITION BY page_id // 4096 ORDER BY page_id
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM records)
-SELECT page_id AS record, page_id // 4096 AS archive, CAST(start AS BIGINT) AS start, strlen(a) AS size_a,
-  CASE WHEN page_id % 389 <> 11 THEN strlen(b) ELSE 0 END AS size_b, sha256(a) AS sha_a,
-  CASE WHEN page_id % 389 <> 11 THEN sha256(b) ELSE '' END AS sha_b,
-  CASE WHEN page_id % 389 = 11 THEN 'missing' ELSE 'changed' END AS status
-FROM placed WHERE page_id % 389 = 11 OR a <> b
+WITH kept AS (
+  SELECT page_id, url,
+    CASE WHEN page_id % 97 = 5 THEN html || chr(0) WHEN page_id % 193 = 7 THEN left(html, length(html) - 1) ELSE html END AS html
+  FROM pages WHERE page_id % 389 <> 11),
+copies AS (SELECT * FROM kept UNION ALL SELECT page_id + 1073741824, url, html FROM kept WHERE page_id % 499 = 13),
+a AS ({_REPLICA.format("pages", _RECORD.format(_DIGEST))}),
+b AS ({_REPLICA.format("copies", _RECORD.format(_DIGEST))})
+SELECT coalesce(a.page_id, b.page_id) AS record, coalesce(a.page_id, b.page_id) // 1024 AS archive, a.start AS start_a, b.start AS start_b,
+  coalesce(a.size, 0) AS size_a, coalesce(b.size, 0) AS size_b, coalesce(a.sha, '') AS sha_a, coalesce(b.sha, '') AS sha_b,
+  CASE WHEN b.sha IS NULL THEN 'missing' WHEN a.sha IS NULL THEN 'extra' ELSE 'changed' END AS status
+FROM a FULL JOIN b ON a.page_id = b.page_id WHERE a.sha IS DISTINCT FROM b.sha
 """
 
 SQL["op10_line_dedup"] = f"""

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ratelens.llm import decontaminate, license_scan, line_dedup, log_bilinear, pieces, quality_rules, simhash, substring_dedup, token_files, warc_fixity
-from ratelens.llm.common import read_table
+from ratelens.llm.common import read_table, shared_dir
 from ratelens.llm.oracles import SQL  # noqa: F401
 
 
@@ -40,8 +41,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read_table(spark, sf_dir, "pages")
-    return warc_fixity.audit(pages, warc_fixity.damaged(pages))
+    one, two = (f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}" for _ in range(2))
+    warc_fixity.write_warc(read_table(spark, sf_dir, "pages"), one)
+    warc_fixity.damaged_copy(spark, one, two)
+    return warc_fixity.audit(warc_fixity.read_warc(spark, one), warc_fixity.read_warc(spark, two))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,43 +1,154 @@
-"""Fixity audit of WARC replicas with Merkle trees.
-
-Every record is hashed where it is read. Records stand in archives in the order of their ids, and a tree has
-16 children a node over ranges of that order: the hash of a node covers its children's hashes, their places
-and the bytes that their range of offsets spans. Two replicas are compared from the root; only the children
-of nodes that differ are looked at, level by level, down to the records that are changed, missing or extra.
-
-Defined results: a null id is replaced by a hash of the record; null fields are empty; records with the same
-id share a leaf, in the order of their hashes; two empty replicas agree; other columns are ignored.
+"""WARC files, and fixity audits of their replicas with Merkle trees.
+
+``write_warc`` writes web pages as WARC records (type resource) in the order of their ids; an archive holds a
+range of 1,024 ids and is one file. Spark's text writer puts the two line breaks behind every record, and its
+gzip makes a file one member, so offsets count the bytes of the uncompressed stream. ``read_warc`` reads such
+files, and those of others with many members, and hashes every record where it stands.
+
+A tree has 32 children a node over ranges of the order: the hash of a node covers its children's hashes, their
+places, and the bytes that their range of offsets spans. Two replicas are compared from the root; only the
+children of nodes that differ are looked at, level by level, down to the records that are changed, missing or
+extra, with their offsets in both.
+
+Defined results: a null id is replaced by 30 bits of a hash of the record, and may share a leaf; null fields
+are empty; line breaks in a URL become spaces; records with the same id share a leaf, in the order of their
+hashes; bytes that are no record stand as a damaged one, of the place after the record before; two empty
+replicas agree; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import re
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratelens.llm.common import stored
+from ratelens.llm.common import bounded_batches, stored
 
-#: Bits of order that a level takes: 16 children a node.
-FAN = 4
+#: Bits of order that a level takes: 32 children a node.
+FAN = 5
 #: Bits of order within an archive.
-ARCHIVE = 12
-
-
-def record_text(url: Column, html: Column) -> Column:
-    """A WARC response record."""
-    body = F.coalesce(html, F.lit(""))
-    head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")), F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
-    return F.concat(head, body, F.lit("\r\n\r\n"))
-
-
-def leaves(pages: DataFrame) -> DataFrame:
-    """node, hash, bytes: a leaf for each record id, with the bytes of its records."""
-    record = record_text(F.col("url").cast("string"), F.col("html").cast("string"))
-    order = F.coalesce(F.col("page_id").cast("long"), F.xxhash64(record)).bitwiseAND(F.lit((1 << 63) - 1))
-    hashed = pages.select(order.alias("node"), F.sha2(record.cast("binary"), 256).alias("hash"), F.octet_length(record).cast("long").alias("bytes"))
-    # Records with one id are folded by count and hash, so that any number of equal copies is one entry.
-    folded = hashed.groupBy("node", "hash", "bytes").agg(F.count("*").alias("n"))
-    return folded.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("hash", "n"))).alias("x"), F.sum(F.col("bytes") * F.col("n")).alias("bytes")).select(
-        "node", F.when((F.size("x") == 1) & (F.col("x")[0]["n"] == 1), F.col("x")[0]["hash"]).otherwise(F.sha2(F.to_json("x").cast("binary"), 256)).alias("hash"), "bytes"
+ARCHIVE = 10
+#: The pages have no date of their own.
+DATE = "2024-01-01T00:00:00Z"
+_MASK = (1 << 63) - 1
+_HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n]+\r\n)+)\r\n")
+_FIELD = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
+
+
+def record_text(page: Column, url: Column, html: Column, date: str = DATE) -> Column:
+    """A WARC record but for the two line breaks behind it. Its id is made from the page's id and URL."""
+    body, number, target = F.coalesce(html, F.lit("")), F.coalesce(page.cast("string"), F.lit("")), F.regexp_replace(F.coalesce(url, F.lit("")), "[\r\n]+", " ")
+    digest = F.md5(F.concat_ws(" ", number, target).cast("binary"))
+    uuid = F.concat_ws("-", *[F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    fields = [("WARC-Type", F.lit("resource")), ("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), uuid, F.lit(">"))), ("WARC-Date", F.lit(date)), ("WARC-Target-URI", target), ("Page-ID", number)]
+    fields += [("Content-Type", F.lit("text/html")), ("Content-Length", F.octet_length(body).cast("string"))]
+    return F.concat(F.lit("WARC/1.0\r\n"), *[F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")) for name, value in fields], F.lit("\r\n"), body)
+
+
+def _placed(pages: DataFrame) -> DataFrame:
+    """place, record: the order and text of each page."""
+    page = F.col("page_id").cast("long")
+    rows = pages.select(page.alias("page"), record_text(page, F.col("url").cast("string"), F.col("html").cast("string")).alias("record"))
+    return rows.select(F.coalesce(F.col("page").bitwiseAND(F.lit(_MASK)), F.xxhash64("record").bitwiseAND(F.lit((1 << 30) - 1))).alias("place"), "record")
+
+
+def _write(rows: DataFrame, path: str, *order: str) -> None:
+    """rows: archive and record; every archive's rows are in one partition."""
+    sorted_rows = rows.sortWithinPartitions("archive", *order).select("archive", F.col("record").alias("value"))
+    sorted_rows.write.partitionBy("archive").option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+
+
+def write_warc(pages: DataFrame, path: str) -> None:
+    """Write pages (page_id, url, html) as WARC files, a folder for each archive."""
+    rows = _placed(pages).withColumn("archive", F.shiftright("place", ARCHIVE))
+    _write(rows.repartition("archive"), path, "place", "record")
+
+
+def parse(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes]]:
+    """(start, end, header fields or None, body) of every record of an archive."""
+    at = 0
+    while at < len(data):
+        head = _HEAD.match(data, at)
+        fields = {k.decode("utf-8", "replace").lower(): v.decode("utf-8", "replace") for k, v in _FIELD.findall(head[1])} if head else {}
+        size = fields.get("content-length", "")
+        end = head.end() + int(size) if head and size.isascii() and size.isdigit() else -1
+        if end >= 0 and data[end : end + 4] == b"\r\n\r\n":
+            yield at, end + 4, fields, data[head.end() : end]
+            at = end + 4
+            continue
+        following = data.find(b"\r\n\r\nWARC/1.", at + 1)
+        end = len(data) if following < 0 else following + 4
+        yield at, end, None, data[at:end]
+        at = end
+
+
+def inflated(data: bytes) -> bytes:
+    """The bytes of a file, through all its gzip members if it has such; of one that is cut off what there is."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error:
+            break
+        data = member.unused_data
+    return b"".join(out)
+
+
+_RECORDS = "archive long, start long, bytes long, place long, page_id long, url string, hash string, body string"
+
+
+def read_warc(spark: SparkSession, path: str, bodies: bool = False) -> DataFrame:
+    """archive, start, bytes, place (in the order), page_id, url, hash (SHA-256 of the record), body (null unless asked for)."""
+    bounded_batches(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for archive, content in zip(batch.column("archive").to_pylist(), batch.column("content"), strict=True):
+                rows, last, size = [], archive << ARCHIVE, 0
+                data = inflated(content.as_py())
+                for start, end, fields, body in parse(data):
+                    raw = hashlib.sha256(data[start:end]).hexdigest()
+                    number = (fields or {}).get("page-id", "")
+                    page = int(number) if re.fullmatch("-?[0-9]{1,18}", number) else None
+                    url = (fields or {}).get("warc-target-uri")
+                    last = last + 1 if fields is None else page & _MASK if page is not None else -1
+                    rows.append((archive, start, end - start, last, page, url, raw, body.decode("utf-8", "replace") if bodies else None, data[start : end - 4] if last < 0 else b""))
+                    last = rows[-1][3] if rows[-1][3] >= 0 else (archive << ARCHIVE)
+                    size += len(body) if bodies else 100
+                    if size > 4 << 20:
+                        yield _batch(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield _batch(rows)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    named = files.select(F.coalesce(F.try_to_number(F.regexp_extract("path", "archive=([0-9]+)", 1), F.lit("9" * 19)).cast("long"), F.lit(0).cast("long")).alias("archive"), "content")
+    rows = named.mapInArrow(run, _RECORDS + ", raw binary")
+    place = F.when(F.col("place") >= 0, F.col("place")).otherwise(F.xxhash64(F.col("raw").cast("string")).bitwiseAND(F.lit((1 << 30) - 1)))
+    return rows.withColumn("place", place).drop("raw")
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [*[pa.int64()] * 5, *[pa.string()] * 3, pa.binary()]
+    names = [c.split()[0] for c in _RECORDS.split(", ")] + ["raw"]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+
+def leaves(records: DataFrame) -> DataFrame:
+    """node, hash, bytes, start: a leaf for each place, with the bytes of its records and where the first one starts."""
+    # Records of one place are folded by count and hash, so that any number of equal copies is one entry.
+    folded = records.groupBy(F.col("place").alias("node"), "hash", "bytes").agg(F.count("*").alias("n"), F.min("start").alias("start"))
+    one = F.col("x")[0]
+    return folded.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("hash", "n"))).alias("x"), F.sum(F.col("bytes") * F.col("n")).alias("bytes"), F.min("start").alias("start")).select(
+        "node", F.when((F.size("x") == 1) & (one["n"] == 1), one["hash"]).otherwise(F.sha2(F.to_json("x").cast("binary"), 256)).alias("hash"), "bytes", "start"
     )
 
 
@@ -49,57 +160,41 @@ def parents(nodes: DataFrame) -> DataFrame:
     )
 
 
-def tree(pages: DataFrame, levels: int) -> list[DataFrame]:
-    """All levels from the records to the root."""
-    out = [stored(leaves(pages), "merkle")]
-    for _ in range(levels):
-        out.append(stored(parents(out[-1]), "merkle"))
-    return out
-
-
 def _differing(a: DataFrame, b: DataFrame) -> DataFrame:
-    both = a.withColumnsRenamed({"hash": "hash_a", "bytes": "bytes_a"}).join(b.withColumnsRenamed({"hash": "hash_b", "bytes": "bytes_b"}), "node", "full")
+    names = [c for c in a.columns if c != "node"]
+    both = a.withColumnsRenamed({c: f"{c}_a" for c in names}).join(b.withColumnsRenamed({c: f"{c}_b" for c in names}), "node", "full")
     return both.filter(~F.col("hash_a").eqNullSafe(F.col("hash_b")))
 
 
 def audit(first: DataFrame, second: DataFrame) -> DataFrame:
-    """record, archive, start, size_a, size_b, sha_a, sha_b (0 and empty where there is no record), status of every record in which replicas differ.
-
-    ``start`` is the record's offset in its archive in the first replica (of a missing record of the first: where
-    it would stand)."""
-    order = F.coalesce(F.max(F.col("page_id").cast("long").bitwiseAND(F.lit((1 << 63) - 1))), F.lit(0)).alias("top")
-    nulls = F.coalesce(F.max(F.col("page_id").isNull()), F.lit(False)).alias("nulls")
-    tops = [r.agg(order, nulls).first() for r in (first, second)]
-    top = (1 << 63) - 1 if any(t["nulls"] for t in tops) else max(t["top"] for t in tops)
-    levels = max(ARCHIVE // FAN, -(-top.bit_length() // FAN))
-    a, b = tree(first, levels), tree(second, levels)
-    bad = _differing(a[levels], b[levels])
-    for level in range(levels - 1, -1, -1):
+    """record, archive, start_a, start_b, size_a, size_b, sha_a, sha_b, status of every place in which two replicas
+    (tables of ``read_warc``) differ. Of a replica that lacks the record, start is null, size 0 and sha empty."""
+    levels = [[stored(leaves(x), "merkle")] for x in (first, second)]
+    tops = [x[0].agg(F.coalesce(F.max("node"), F.lit(0)).alias("top")).first()["top"] for x in levels]
+    depth = max(1, -(-max(tops).bit_length() // FAN))
+    for x in levels:
+        for _ in range(depth):
+            x.append(stored(parents(x[-1]), "merkle"))
+    bad = _differing(levels[0][depth], levels[1][depth])
+    for level in range(depth - 1, -1, -1):
         up = stored(bad.select(F.col("node").alias("up")), "mismatch")
-        below = [x[level].join(up, F.shiftright(x[level]["node"], FAN) == up["up"], "left_semi") for x in (a, b)]
-        bad = _differing(*below)
-    found = stored(bad.withColumn("archive", F.shiftright("node", ARCHIVE)), "mismatch")
-    # Offsets are summed in the archives with a mismatch only, by steps: blocks first, then leaves in a block.
-    archives = found.select("archive").distinct()
-    starts = _starts(a, archives)
+        bad = _differing(*(x[level].join(up, F.shiftright(x[level]["node"], FAN) == up["up"], "left_semi") for x in levels))
     status = F.when(F.col("hash_b").isNull(), "missing").when(F.col("hash_a").isNull(), "extra").otherwise("changed")
-    located = found.join(starts.withColumnRenamed("node", "leaf"), found["node"] == F.col("leaf"), "left")
-    return located.select(F.col("node").alias("record"), found["archive"], F.col("start"), *(F.coalesce(f"bytes_{x}", F.lit(0)).alias(f"size_{x}") for x in "ab"), *(F.coalesce(f"hash_{x}", F.lit("")).alias(f"sha_{x}") for x in "ab"), status.alias("status"))
-
-
-def _starts(levels: list[DataFrame], archives: DataFrame) -> DataFrame:
-    """The offset of every leaf in its archive: down the tree, each node's start is its parent's plus its elder siblings' bytes."""
-    base = archives.select(F.col("archive").alias("up"), F.lit(0).cast("long").alias("base"))
-    for level in range(ARCHIVE // FAN - 1, -1, -1):
-        here = levels[level].select("node", "bytes", F.shiftright("node", FAN).alias("up")).join(base, "up")
-        kids = here.groupBy("up", "base").agg(F.array_sort(F.collect_list(F.struct("node", "bytes"))).alias("x"))
-        summed = F.transform("x", lambda c, i: F.struct(c["node"].alias("node"), (F.col("base") + F.aggregate(F.slice("x", F.lit(1), i), F.lit(0).cast("long"), lambda s, y: s + y["bytes"])).alias("start")))
-        base = kids.select(F.explode(summed).alias("k")).select(F.col("k.node").alias("up"), F.col("k.start").alias("base"))
-    return base.select(F.col("up").alias("node"), F.col("base").alias("start"))
-
-
-def damaged(pages: DataFrame) -> DataFrame:
-    """A second replica with known damage: some payloads altered, some cut short, some records lost."""
-    k = F.col("page_id")
-    html = F.when(k % 97 == 5, F.concat("html", F.lit("\0"))).when(k % 193 == 7, F.left("html", F.char_length("html") - 1)).otherwise(F.col("html"))
-    return pages.filter(F.coalesce(k % 389 != 11, F.lit(True))).withColumn("html", html)
+    return bad.select(
+        F.col("node").alias("record"), F.shiftright("node", ARCHIVE).alias("archive"), "start_a", "start_b",
+        *(F.coalesce(f"bytes_{x}", F.lit(0)).alias(f"size_{x}") for x in "ab"), *(F.coalesce(f"hash_{x}", F.lit("")).alias(f"sha_{x}") for x in "ab"), status.alias("status"),
+    )
+
+
+def damaged_copy(spark: SparkSession, path: str, to: str) -> None:
+    """Write a second replica with known damage: some payloads altered, some cut short, some records lost, some new.
+
+    Archives are copied as they stand, each by one task, without a shuffle; new records stand in archives of their own."""
+    k, body = F.col("page_id"), F.col("body")
+    rows = read_warc(spark, path, bodies=True).filter(F.coalesce(k % 389 != 11, F.lit(True)))
+    body = F.when(k % 97 == 5, F.concat(body, F.lit("\0"))).when(k % 193 == 7, F.left(body, F.char_length(body) - 1)).otherwise(body)
+    far = F.lit(1 << 30)
+    same = F.struct("archive", k.alias("page_id"))
+    more = F.struct((F.col("archive") + F.lit(1 << (30 - ARCHIVE))).alias("archive"), (k + far).alias("page_id"))
+    copies = rows.select("start", "url", body.alias("body"), F.explode(F.when(k % 499 == 13, F.array(same, more)).otherwise(F.array(same))).alias("x"))
+    _write(copies.select("x.archive", "start", record_text(F.col("x.page_id"), F.col("url"), F.col("body")).alias("record")), to, "start")

@@ -420,16 +420,45 @@ def test_model_is_normalised():
         assert np.exp(scores - norm[:, None]).sum(axis=1) == pytest.approx(np.ones(4), abs=1e-4)
 
 
-def test_fixity(spark, sf_dir):
+def test_fixity(spark, tmp_path):
     schema = "page_id long, url string, html string, node int, hash int"
-    rows = [(k, f"u{k}", "x" * k, 0, 0) for k in range(40)] + [(None, "u", "h", 0, 0), (None, None, None, 0, 0), (7, "u7", "again", 0, 0), (7, "u7", "again", 0, 0), (5000, "far", "é", 0, 0)]
-    one = spark.createDataFrame(rows, schema)
-    assert warc_fixity.audit(one, one.repartition(5)).count() == 0
-    assert warc_fixity.audit(one.filter("false"), one.filter("false")).count() == 0
+    rows = [(k, f"u{k}", "x" * k, 0, 0) for k in range(40)] + [(None, "u", "h", 0, 0), (None, None, None, 0, 0), (7, "u7", "again", 0, 0), (7, "u7", "again", 0, 0), (5000, "f\r\nar", "é\r\n\r\nWARC/1.0\r\n", 0, 0), (-3, "below", "n", 0, 0)]
+    one, numbers = spark.createDataFrame(rows, schema), iter(range(99))
+
+    def written(pages):
+        path = str(tmp_path / f"warc{next(numbers)}")
+        warc_fixity.write_warc(pages, path)
+        return warc_fixity.read_warc(spark, path)
+
+    a = written(one.repartition(5))
+    body = warc_fixity.read_warc(spark, str(tmp_path / "warc0"), bodies=True)
+    assert sorted((r["page_id"] or 0, r["url"], r["body"]) for r in body.collect()) == sorted((i or 0, (u or "").replace("\r\n", " "), h or "") for i, u, h, _, _ in rows)
+    assert warc_fixity.audit(a, written(one)).count() == 0
+    none = written(one.filter("false"))
+    assert warc_fixity.audit(none, none).count() == 0
     other = one.filter("page_id <> 9 OR page_id IS NULL").withColumn("html", F.when(F.col("page_id") == 5000, "e").otherwise(F.col("html"))).unionByName(spark.createDataFrame([(4000, "new", "n", 0, 0), (7, "u7", "again", 0, 0)], schema))
-    found = {r["record"]: r["status"] for r in warc_fixity.audit(one, other).collect()}
-    assert found == {9: "missing", 5000: "changed", 4000: "extra", 7: "changed"}
-    assert warc_fixity.audit(one, one.filter("false")).count() == len({r[0] for r in rows if r[0] is not None}) + 2
+    found = {r["record"]: r for r in warc_fixity.audit(a, written(other)).collect()}
+    assert {k: r["status"] for k, r in found.items()} == {9: "missing", 5000: "changed", 4000: "extra", 7: "changed"}
+    assert found[9]["start_b"] is None and found[4000]["start_a"] is None and found[4000]["start_b"] >= 0
+    assert found[9]["start_a"] == sum(r["bytes"] for r in a.filter("place < 9").collect())
+    assert warc_fixity.audit(a, none).count() == a.select("place").distinct().count()
+
+
+def test_damaged_warc_bytes(spark, tmp_path):
+    import gzip
+
+    def record(k, body):
+        return f"WARC/1.0\r\nWARC-Type: resource\r\nPage-ID: {k}\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n".encode()
+
+    parts = [record(1, "one"), record(2, "two"), record(3, "three")]
+    broken = [parts[0], parts[1].replace(b"Length: 3", b"Length: 9"), parts[2]]
+    for name, members in (("a", parts), ("b", broken)):
+        (tmp_path / name / "archive=0").mkdir(parents=True)
+        (tmp_path / name / "archive=0" / "x.warc.gz").write_bytes(b"".join(map(gzip.compress, members)))
+    a, b = (warc_fixity.read_warc(spark, str(tmp_path / name)) for name in "ab")
+    assert [r["page_id"] for r in a.orderBy("start").collect()] == [1, 2, 3] and [r["page_id"] for r in b.orderBy("start").collect()] == [1, None, 3]
+    found = warc_fixity.audit(a, b).collect()
+    assert [(r["record"], r["status"], r["start_a"]) for r in found] == [(2, "changed", len(parts[0]))]
 
 
 def test_pipeline_stages(spark, docs, none, sf_dir):
