@@ -404,20 +404,54 @@ def test_language_model(docs, none, small):
             assert [k for k, _ in got] == [k for k, _ in expected]
             assert [s for _, s in got] == pytest.approx([s for _, s in expected])
             assert all(r["score"] < 0 for r in found)
-    held = [r for r in log_bilinear.score_texts(small).collect() if r["held_out"]]
+    one = {r["doc_id"]: r for r in log_bilinear.score_texts(small).collect()}
+    held = [r for r in one.values() if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    # Neither partitions nor their order change the result.
+    again = {r["doc_id"]: r["score"] for r in log_bilinear.score_texts(small.repartition(7)).collect()}
+    assert {i: r["score"] for i, r in one.items()} == pytest.approx(again, rel=1e-5)
     assert log_bilinear.score_texts(none).count() == 0
 
 
+def plain_score(text, words, counts, model):
+    """The score of a text, token by token, with every class's probability worked out."""
+    context, target, one, two, bias = model.parts(model.flat.astype(np.float64))
+    before = before2 = 0
+    total = 0.0
+    places = dict(zip(words.hashes.tolist(), range(len(words.hashes))))
+    for w in [x.encode() for x in brute.WORD.findall((text or "").translate(brute.AZ))] + [b" "]:
+        place = places.get(log_bilinear.xxhash.xxh3_64_intdigest(w), 10**9)
+        k = place + 1 if place < words.singles else 1 + words.singles + log_bilinear.ending(w) % words.endings
+        logits = (target @ (context[before] * one + context[before2] * two) + bias)[1:]
+        total += (logits[k - 1] - np.log(np.exp(logits).sum())) / math.log(10)
+        if place >= words.singles:
+            same = [x for x in counts if places.get(log_bilinear.xxhash.xxh3_64_intdigest(x), 10**9) >= words.singles and log_bilinear.ending(x) % words.endings == log_bilinear.ending(w) % words.endings]
+            total += math.log10((counts[w] + 1) / (sum(counts[x] + 1 for x in same) + 1))
+        before, before2 = k, before
+    return total
+
+
+def test_scores_token_by_token(spark, docs):
+    texts = [(i, t) for i, t in rows_of(docs) if t != LONG]
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    counts = Counter(x.encode() for i, t in texts if not brute.held_out(i) for x in [*brute.WORD.findall((t or "").translate(brute.AZ)), " "])
+    for frequent, classes in ((log_bilinear.FREQUENT, 32), (10, 16)):
+        trained = log_bilinear.train(table, frequent=frequent, rounds=1, classes=classes, shard=100)
+        found = log_bilinear.scores(*trained).select("doc_id", "score").collect()
+        expected = sorted(((i is not None, i or 0), plain_score(t, trained[1], counts, trained[2])) for i, t in texts)
+        got = sorted(((r[0] is not None, r[0] or 0), r[1]) for r in found)
+        assert [k for k, _ in got] == [k for k, _ in expected] and [s for _, s in got] == pytest.approx([s for _, s in expected], rel=1e-4)
+
+
 def test_model_is_normalised():
-    model = log_bilinear.Model(np.array([5.0, 3.0, 2.0, 1.0]), 4)
-    w = np.random.default_rng(0).integers(0, 4, (3, 5000))
+    model = log_bilinear.Model(np.array([0.0, 5.0, 3.0, 2.0, 1.0]), 4)
+    w = np.random.default_rng(0).integers(1, 5, (3, 5000))
     model.train(w[0], w[1], w[2], 0.05, np.zeros_like(model.flat), np.random.default_rng(0))
     context, target, one, two, bias = model.parts(model.flat)
-    for a in range(4):
+    for a in range(5):
         norm = model.log_normalisers(a)
-        scores = (context[a] * one + context * two) @ target.T + bias
-        assert np.exp(scores - norm[:, None]).sum(axis=1) == pytest.approx(np.ones(4), abs=1e-4)
+        scores = ((context[a] * one + context * two) @ target.T + bias)[:, 1:]
+        assert np.exp(scores - norm[:, None]).sum(axis=1) == pytest.approx(np.ones(5), abs=1e-4)
 
 
 def test_fixity(spark, tmp_path):
