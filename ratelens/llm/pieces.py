@@ -25,6 +25,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,6 +74,11 @@ class Pieces:
                 self.score[i] = m.get_score(i) if logs is None else logs[i]
                 self.bytes[i] = name.replace(SPACE, " ").encode()
         self.longest = max(map(len, self.ids))
+        #: The longest piece that begins with these two characters, or is the first of them.
+        self.reach: dict[str, int] = {}
+        for name in self.ids:
+            for head in (name[:2], name[:1]):
+                self.reach[head] = max(self.reach.get(head, 0), len(name) if head == name[:2] else 1)
         self.chunks = (_CHUNK if any(re.search(f"[{_LETTERS}][.,]|[^{SPACE}]{SPACE}|.\n|\n.", name) for name in self.ids) else _FINE).findall
         self.byte_score = float(self.score[list(self.ids.values())].min()) - 10
         #: Nodes are numbered from 1; an edge's key is node * 2^21 + character.
@@ -122,9 +128,9 @@ class Pieces:
 
     def longest_match(self, chunk: str) -> list[int]:
         """Piece ids by longest match from the left."""
-        get, out, at, n = self.ids.get, [], 0, len(chunk)
+        get, reach, out, at, n = self.ids.get, self.reach.get, [], 0, len(chunk)
         while at < n:
-            for end in range(min(n, at + self.longest), at, -1):
+            for end in range(min(n, at + reach(chunk[at : at + 2], 1)), at, -1):
                 p = get(chunk[at:end])
                 if p is not None:
                     out.append(p)
@@ -176,7 +182,7 @@ class Solved:
         self.pieces, self.index = pieces, {}
         self.start, self.size, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), np.zeros(1 << 14, np.uint16 if len(pieces.names) <= 1 << 16 else np.int32)
         self.score, self.gap, self.uses, self.used = np.zeros(1 << 12), np.zeros(1 << 12), np.zeros(1 << 12, np.int32), 0
-        self.more: dict[tuple[str, int], list[tuple[float, list[int]]]] = {}
+        self.more: dict[tuple[str, int], list[tuple[float, list[int], bool]]] = {}
 
     def _room(self, names: tuple[str, ...], need: int) -> None:
         for name in names:
@@ -288,30 +294,39 @@ class Solved:
             flat[ends[x] - times[x] : ends[x]] = v.spell(chunks[row[x]][place[x]])
         return ahead[size], ahead[size] - second, np.bincount(row, weights=times, minlength=n).astype(np.int64), flat
 
-    def others(self, chunk: str, n: int) -> list[tuple[float, list[int]]]:
-        """How far each of the n best segmentations but the best falls short of it, and its ids."""
+    def others(self, chunk: str, n: int) -> list[tuple[float, list[int], bool]]:
+        """How far each of the n best segmentations but the best falls short of it, its ids, and whether they decode alike."""
         if (chunk, n) not in self.more:
             best, k = self.pieces.n_best(chunk, n), self.index[chunk]
             # Where several are best, the one that is kept need not be the first found here.
             own = self.ids[self.start[k] : self.start[k] + self.size[k]].tolist()
-            self.more[chunk, n] = [(best[0][0] - s, ids) for s, ids in best if ids != own][: n - 1]
+            text = [b"".join(map(self.pieces.bytes.__getitem__, ids)) for ids in (own, *(ids for _, ids in best))]
+            self.more[chunk, n] = [(best[0][0] - s, ids, t == text[0]) for (s, ids), t in zip(best, text[1:], strict=True) if ids != own][: n - 1]
         return self.more[chunk, n]
 
-    def encode(self, chunks: list[str], n: int) -> tuple[list[np.ndarray], list[float]]:
-        """The ids and scores of the n best segmentations of a text's chunks, best first."""
+    def numbered(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The numbers of the texts' chunks, which count as used."""
+        each = [np.fromiter(map(self.index.__getitem__, chunks), dtype=np.int64, count=len(chunks)) for chunks in texts]
+        if each:
+            self.uses += np.bincount(np.concatenate(each), minlength=len(self.uses)).astype(np.int32)
+        return each
+
+    def encode(self, chunks: list[str], at: np.ndarray, n: int) -> tuple[list[np.ndarray], list[float], bool]:
+        """The ids and scores of the n best segmentations of a text's chunks, best first, and whether all decode alike."""
         if not chunks:
-            return [np.zeros(0, self.ids.dtype)], [0.0]
-        at = np.fromiter(map(self.index.__getitem__, chunks), dtype=np.int64, count=len(chunks))
-        self.uses += np.bincount(at, minlength=len(self.uses)).astype(np.int32)
+            return [np.zeros(0, self.ids.dtype)], [0.0], True
         sizes, score = self.size[at].astype(np.int64), float(self.score[at].sum())
         ends = np.cumsum(sizes)
         ids = self.ids[np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(ends[-1])]
         gap, few = self.gap[at], min(n - 1, len(chunks))
         # What each falls short of the best, and the chunks in which it differs, by place.
         short: list[tuple[float, dict[int, list[int]]]] = [(0.0, {})]
+        alike = True
         for k in np.argpartition(gap, few - 1)[:few].tolist() if few else []:
             if np.isfinite(gap[k]):
-                more = [(a + b, swaps | {k: other}) for a, swaps in short for b, other in self.others(chunks[k], n)]
+                others = self.others(chunks[k], n)
+                alike = alike and all(x for _, _, x in others)
+                more = [(a + b, swaps | {k: other}) for a, swaps in short for b, other, _ in others]
                 short = sorted(short + more, key=lambda x: x[0])[:n]
         found = [ids]
         for _, swaps in short[1:]:
@@ -320,7 +335,7 @@ class Solved:
                 parts += [ids[last : ends[k] - sizes[k]], np.array(swaps[k], dtype=ids.dtype)]
                 last = ends[k]
             found.append(np.concatenate([*parts, ids[last:]]))
-        return found, [score - x for x, _ in short]
+        return found, [score - x for x, _ in short], alike
 
 
 _LOADED: dict[str, tuple[int, Solved]] = {}
@@ -341,40 +356,45 @@ class _Matches(dict):
     """Chunks by number with their longest-match ids; a new one is numbered and matched."""
 
     def __init__(self, pieces: Pieces):
-        self.pieces, self.ids, self.sizes = pieces, [], []
+        self.pieces, self.ids, self.sizes = pieces, array("i"), array("i")
 
     def __missing__(self, chunk: str) -> int:
         self[chunk] = n = len(self)
         found = self.pieces.longest_match(chunk)
-        self.ids += found
+        self.ids.extend(found)
         self.sizes.append(len(found))
         return n
 
 
+_MATCHED: dict[str, _Matches] = {}
+
+
 def piece_logs(docs: DataFrame, model: str = MODEL) -> np.ndarray:
     """The log-probability of every piece, from counts over all texts; bounded by the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(public_tokenizers.path(model))
-        total, seen, uses = np.zeros(len(pieces.names), dtype=np.int64), _Matches(pieces), np.zeros(1 << 16, dtype=np.int64)
+        # What is matched is kept for the worker's next tasks; uses are counted by task.
+        seen = _MATCHED.get(model) or _MATCHED.setdefault(model, _Matches(Pieces(public_tokenizers.path(model))))
+        pieces, uses = seen.pieces, np.zeros(len(seen), dtype=np.int64)
+        total = np.zeros(len(pieces.names), dtype=np.int64)
 
         def count() -> np.ndarray:
-            sizes = np.array(seen.sizes, dtype=np.int64)
-            times = np.repeat(uses[: len(sizes)], sizes)
-            return np.bincount(np.array(seen.ids, dtype=np.int64), weights=times, minlength=len(total)).astype(np.int64)
+            sizes = np.frombuffer(seen.sizes, dtype=np.int32)
+            times = np.repeat(uses, sizes[: len(uses)])
+            return np.bincount(np.frombuffer(seen.ids, dtype=np.int32)[: len(times)], weights=times, minlength=len(total)).astype(np.int64)
 
         for batch in slices(batches, limit=2 << 20):
-            for t in batch.column("text").to_pylist():
-                chunks = pieces.split(t or "")
-                at = np.fromiter(map(seen.__getitem__, chunks), dtype=np.int64, count=len(chunks))
-                if len(seen) > len(uses):
-                    uses = np.concatenate([uses, np.zeros(len(seen), dtype=np.int64)])
-                one, n = np.unique(at, return_counts=True)
-                uses[one] += n
-            if len(seen) > MEMORY:
+            each = [pieces.split(t or "") for t in batch.column("text").to_pylist()]
+            at = np.concatenate([np.fromiter(map(seen.__getitem__, chunks), dtype=np.int64, count=len(chunks)) for chunks in each])
+            now = np.bincount(at, minlength=len(seen))
+            now[: len(uses)] += uses
+            uses = now
+            if len(seen) > 2 * MEMORY:
                 total += count()
-                seen, uses = _Matches(pieces), np.zeros(1 << 16, dtype=np.int64)
-        total += count()
+                seen = _MATCHED[model] = _Matches(pieces)
+                uses = np.zeros(0, dtype=np.int64)
+        if len(uses):
+            total += count()
         on = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), pa.array(total[on])], ["piece", "c"])
 
@@ -409,11 +429,11 @@ def encode_pieces(docs: DataFrame, n: int = 4, model: str = MODEL, with_ids: boo
                 new.update(dict.fromkeys(chunks))
             solved.add([c for c in new if c not in solved.index])
             out: list[list] = [[] for _ in range(6)]
-            for t, chunks in zip(texts, split, strict=True):
-                found, scores = solved.encode(chunks, n)
+            for t, chunks, at in zip(texts, split, solved.numbered(split), strict=True):
+                found, scores, alike = solved.encode(chunks, at, n)
                 sums = [zlib.crc32(ids.astype("<u4").tobytes()) for ids in found]
                 raw = t.encode("utf-8", "surrogatepass")
-                values = (len(found[0]), sums[0], scores, sums, all(decode(ids, solved.pieces) == raw for ids in found), found)
+                values = (len(found[0]), sums[0], scores, sums, alike and decode(found[0], solved.pieces) == raw, found)
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
             names = [c.split()[0] for c in _COLUMNS.split(", ")]
