@@ -40,6 +40,11 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of ``op7_license_scan`` that SQL can express."""
+    return op7_license_scan(spark, sf_dir).drop("labels", "score")
+
+
 def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     one, two = (f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}" for _ in range(2))
     warc_fixity.write_warc(read_table(spark, sf_dir, "pages"), one)
@@ -56,4 +61,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.drop_common_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simple8b_token_files, op2_quality_rules, op3_log_bilinear, op4_substring_dedup, op5_sentencepiece_nbest, op6_simhash, op7_license_scan, op8_warc_fixity, op9_decontaminate, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simple8b_token_files, op2_quality_rules, op3_log_bilinear, op4_substring_dedup, op5_sentencepiece_nbest, op6_simhash, op7_license_scan, op8_warc_fixity, op9_decontaminate, op10_line_dedup, license_phrases)}
