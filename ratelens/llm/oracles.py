@@ -122,7 +122,7 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-_PHRASE = """SELECT doc_id, '{1}' AS label, i - 1 AS at FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM docs)
+_PHRASE = """SELECT doc_id, '{1}' AS label, i - 1 AS place FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM docs)
   WHERE array_to_string(w[i:i + {2}], ' ') = '{0}'"""
 _PHRASES = " UNION ALL ".join(_PHRASE.format(p, label, p.count(" ")) for p, label in (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")))
 
@@ -130,7 +130,7 @@ SQL["license_phrases"] = rf"""
 WITH docs AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_ALNUM}') AS w FROM documents),
 found AS ({_PHRASES}),
 by_doc AS (
-  SELECT doc_id, count(*) AS n_base, min(at) AS first_word, max(at) AS last_word FROM found GROUP BY doc_id),
+  SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word FROM found GROUP BY doc_id),
 named AS (
   SELECT doc_id, string_agg(label, ',' ORDER BY label) AS base_labels FROM (SELECT DISTINCT doc_id, label FROM found) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
