@@ -122,13 +122,15 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-_PHRASE = """SELECT doc_id, '{1}' AS label, i - 1 AS place FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM docs)
-  WHERE array_to_string(w[i:i + {2}], ' ') = '{0}'"""
-_PHRASES = " UNION ALL ".join(_PHRASE.format(p, label, p.count(" ")) for p, label in (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")))
-
 SQL["license_phrases"] = rf"""
 WITH docs AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_ALNUM}') AS w FROM documents),
-found AS ({_PHRASES}),
+places AS (SELECT doc_id, unnest(range(0, len(w))) AS place, unnest(w) AS one FROM docs),
+runs AS (
+  SELECT doc_id, place, one || ' ' || lead(one) OVER d AS two, lead(one, 2) OVER d AS three, lead(one, 3) OVER d AS four
+  FROM places WINDOW d AS (PARTITION BY doc_id ORDER BY place)),
+found AS (
+  SELECT doc_id, place, CASE WHEN two = 'apache license' THEN 'apache' WHEN two = 'cc by' THEN 'cc-by' WHEN two = 'mit license' THEN 'mit' ELSE 'gpl' END AS label
+  FROM runs WHERE two IN ('apache license', 'cc by', 'mit license') OR (two = 'gnu general' AND three = 'public' AND four = 'license')),
 by_doc AS (
   SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word FROM found GROUP BY doc_id),
 named AS (
