@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ratelens.llm import decontaminate, license_scan, line_dedup, log_bilinear, pieces, quality_rules, queries, simhash, substring_dedup, token_files, warc_fixity
+from ratelens.llm import decontaminate, license_scan, line_dedup, log_bilinear, pieces, quality_rules, queries, similar, simhash, substring_dedup, token_files, warc_fixity
 from ratelens.llm.common import read_table, stored
 from tests.llm import brute
 
@@ -252,6 +252,18 @@ def test_pipeline_drops_similar_texts_only(spark):
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     gone = set(range(len(texts))) - {i for i, _ in rows_of(corpus_pipeline.near_duplicates(spark, table, ""))}
     assert gone <= near and len(gone) >= 0.98 * len(near) > 200, (len(gone), len(near))
+    # Large buckets are cut, and give the same.
+    assert {i for i, _ in rows_of(similar.keep_first(table, big=3))} == set(range(len(texts))) - gone
+
+
+def test_nearest_fingerprints():
+    fps = np.array([rng.getrandbits(64) for _ in range(60)] * 2, dtype=np.uint64)
+    row, found = similar.nearest(fps)
+    parts = [similar.nearest(fps, k, k + 7) for k in range(0, len(fps), 7)]
+    assert np.concatenate([x[0] for x in parts]).tolist() == row.tolist() and np.concatenate([x[1] for x in parts]).tolist() == found.tolist()
+    for k in range(1, len(fps)):
+        far = sorted((int(fps[j] ^ fps[k]).bit_count(), j) for j in range(k))[: similar.ASKED]
+        assert sorted(j for _, j in far) == sorted(found[row == k].tolist())
 
 
 BENCH = [(1, PASSAGE[:80]), (2, "cc BY nc"), (3, None), (4, ""), (None, "own"), (2, "cc by NC"), (30, "w40 " * 3 + " ".join(f"w{k}" for k in range(41, 60))), (5, "!!")]
