@@ -558,6 +558,47 @@ def test_pipeline_stages(spark, docs, none, sf_dir):
                 assert kept.columns == before
 
 
+def test_pipeline_against_plain_forms(spark, small, sf_dir):
+    """Every stage's rows, texts included, on the whole small table."""
+    items = [(r["item_id"], r["text"]) for r in read_table(spark, sf_dir, "benchmark").collect()]
+    small = stored(small.withColumn("source", F.lit("one host")), "one-host")
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in small.collect()]
+    assert above_limit(rows)
+
+    def quality(rows):
+        above, out = above_limit(rows), []
+        for i, t, s in rows:
+            n = brute.quality(t)
+            left = [x for x in (t or "").split("\n") if (s or "", x.strip(brute.WHITE).translate(brute.AZ)) not in above]
+            words = sum(len(brute.WORD.findall(x)) for x in left)
+            if n[0] >= 50 and 100 * n[4] <= 50 * n[0] and words >= 50 and 100 * words >= 20 * n[0]:
+                out.append((i, "\n".join(left), s))
+        return out
+
+    def lines(rows):
+        common = {k for k, n in Counter(k for _, t, _ in rows for k in {x.strip(brute.WHITE).translate(brute.AZ) for x in t.split("\n")}).items() if k and n >= 10}
+        return [(i, "\n".join(x for x in t.split("\n") if x.strip(brute.WHITE).translate(brute.AZ) not in common), s) for i, t, s in rows]
+
+    def first(rows):
+        rows, sets, out = sorted(rows), [], []
+        for i, t, s in rows:
+            own = grams(t.translate(brute.AZ))
+            if not any(100 * len(own & x) >= 80 * len(own | x) for x in sets):
+                out.append((i, t, s))
+            sets.append(own)
+        return out
+
+    stages = [quality, lines, first, lambda rows: [(i, brute.without_hits(t, items), s) for i, t, s in rows]]
+    kept, sizes = small, []
+    for (name, stage), plain in zip(corpus_pipeline.STAGES, stages):
+        kept, rows = stored(stage(spark, kept, sf_dir), name), plain(rows)
+        same([(r["doc_id"], r["text"], r["source"], r["n_chars"]) for r in kept.collect()], [(i, t, s, len(t)) for i, t, s in rows])
+        sizes.append(len(rows))
+    assert len(small.collect()) > sizes[0] > sizes[2] > 0
+    encoded = corpus_pipeline.encode(spark, kept, sf_dir)
+    same([(r["doc_id"], r["text"]) for r in pieces.decode_pieces(encoded).collect()], [(i, t) for i, t, _ in rows])
+
+
 def test_every_query_runs(spark, sf_dir):
     assert {n.split("_")[0] for n in queries.QUERIES if n.startswith("op")} == {f"op{k}" for k in range(1, 11)}
     assert corpus_pipeline.run(spark, sf_dir).filter("NOT round_trip").count() == 0
