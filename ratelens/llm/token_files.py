@@ -249,7 +249,8 @@ def _rows(blocks: list[dict]) -> pa.RecordBatch:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END, shards: int | None = None, block: int = BLOCK, special: bool = True) -> None:
     """Write the token ids of all texts to a new folder, in ascending order of doc_id."""
     shards = shards or shuffle_width(docs.sparkSession)
-    ordered = keyed(docs).select("doc_id", "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    # The text's head splits rows of one doc_id, in the order in which they are sorted.
+    ordered = keyed(docs).select("doc_id", "text").repartitionByRange(shards, "doc_id", F.left("text", F.lit(32))).sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, shard, number, total = encoder(tokenizer, special), TaskContext.get().partitionId(), 0, 0
