@@ -43,7 +43,7 @@ LITERAL = "\ud800"
 #: Chunks of up to so many characters are solved in arrays, longer ones one by one.
 WIDE = 40
 #: Solved chunks that a worker remembers.
-MEMORY = 300_000
+MEMORY = 450_000
 #: Places of the arrays in which chunks are solved together.
 ROOM = 1 << 20
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -95,12 +95,16 @@ class Pieces:
             piece[node] = i
         self.piece = np.array(piece)
         slots = 1 << (4 * len(edges)).bit_length()
-        self.mask, self.keys, self.nodes, self.probes = slots - 1, np.zeros(slots, dtype=np.int64), np.zeros(slots, dtype=np.int64), 1
+        self.mask, self.keys, self.nodes = slots - 1, np.zeros(slots, dtype=np.int64), np.zeros(slots, dtype=np.int64)
+        #: The nodes of first characters, without a search.
+        self.root = np.zeros(0x110000, dtype=np.int32)
         for key, node in edges.items():
-            at, n = self._slot(key), 1
+            if key >> 21 == 1:
+                self.root[key & 0x1FFFFF] = node
+            at = self._slot(key)
             while self.keys[at]:
-                at, n = (at + 1) & self.mask, n + 1
-            self.keys[at], self.nodes[at], self.probes = key, node, max(self.probes, n)
+                at = (at + 1) & self.mask
+            self.keys[at], self.nodes[at] = key, node
 
     def _slot(self, key):
         return (key * 0x9E3779B1 >> 15) & self.mask
@@ -108,13 +112,16 @@ class Pieces:
     def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
         """The child of each node, 0 where there is none."""
         key = node << 21 | char
-        at, out = self._slot(key), np.zeros_like(key)
-        for _ in range(self.probes):
-            here = self.keys[at]
-            out = np.where(here == key, self.nodes[at], out)
-            if not here.any():
-                break
-            at = (at + 1) & self.mask
+        at = self._slot(key)
+        here = self.keys[at]
+        out = np.where(here == key, self.nodes[at], 0)
+        left = np.flatnonzero((here != key) & (here != 0))
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            here = self.keys[at[left]]
+            found = here == key[left]
+            out[left[found]] = self.nodes[at[left[found]]]
+            left = left[~found & (here != 0)]
         return out
 
     def spell(self, c: str) -> list[int]:
@@ -180,7 +187,7 @@ class Solved:
 
     def __init__(self, pieces: Pieces):
         self.pieces, self.index = pieces, {}
-        self.start, self.size, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), np.zeros(1 << 14, np.uint16 if len(pieces.names) <= 1 << 16 else np.int32)
+        self.start, self.size, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), np.zeros(1 << 14, "<u4")
         self.score, self.gap, self.uses, self.used = np.zeros(1 << 12), np.zeros(1 << 12), np.zeros(1 << 12, np.int32), 0
         self.more: dict[tuple[str, int], list[tuple[float, list[int], bool]]] = {}
 
@@ -245,9 +252,9 @@ class Solved:
         gain = np.full(piece.shape, low)
         reach = 1
         for i in range(size):
-            alive, node = np.arange(n), np.ones(n, dtype=np.int64)
+            alive = np.arange(n)
             for k in range(min(size - i, v.longest)):
-                node = v.step(node, chars[alive, i + k])
+                node = v.step(node, chars[alive, i + k]) if k else v.root[chars[:, i]].astype(np.int64)
                 on = node > 0
                 alive, node = alive[on], node[on]
                 if not len(alive):
@@ -389,7 +396,7 @@ def piece_logs(docs: DataFrame, model: str = MODEL) -> np.ndarray:
             now = np.bincount(at, minlength=len(seen))
             now[: len(uses)] += uses
             uses = now
-            if len(seen) > 2 * MEMORY:
+            if len(seen) > MEMORY + MEMORY // 2:
                 total += count()
                 seen = _MATCHED[model] = _Matches(pieces)
                 uses = np.zeros(0, dtype=np.int64)
@@ -431,7 +438,7 @@ def encode_pieces(docs: DataFrame, n: int = 4, model: str = MODEL, with_ids: boo
             out: list[list] = [[] for _ in range(6)]
             for t, chunks, at in zip(texts, split, solved.numbered(split), strict=True):
                 found, scores, alike = solved.encode(chunks, at, n)
-                sums = [zlib.crc32(ids.astype("<u4").tobytes()) for ids in found]
+                sums = [zlib.crc32(np.ascontiguousarray(ids)) for ids in found]
                 raw = t.encode("utf-8", "surrogatepass")
                 values = (len(found[0]), sums[0], scores, sums, alike and decode(found[0], solved.pieces) == raw, found)
                 for column, value in zip(out, values, strict=True):
