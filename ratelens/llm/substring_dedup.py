@@ -8,7 +8,7 @@ sent is repeated. Answers are dealt by document in the same form, merged into ma
 to the texts by document.
 
 Equality is by hash. Its length follows the number of windows: so many bytes that the number of false matches to
-be expected in the whole input is below 2^-20 (9 bytes and the part at 10^8 windows, 12 at 10^13). Parts hold about
+be expected in the whole input is below 2^-20 (9 bytes and the part at 10^8 windows, 11 at 10^13). Parts hold about
 ``PART`` windows, answers of at most twice as many, whatever the width of the shuffle.
 
 Defined results: words are what ASCII space does not hold; null text has none; a document below ``width``
