@@ -12,6 +12,7 @@ import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +70,37 @@ def inflated(stream: BinaryIO) -> Iterator[bytes]:
         raise BrokenFile("gzip stream is cut off")
 
 
+#: What each byte adds to the depth.
+_DEPTH = np.zeros(256, dtype=np.int8)
+_DEPTH[list(b"{[")], _DEPTH[list(b"}]")] = 1, -1
+
+
+def complete(data: bytes, at: int) -> list[tuple[int, int]]:
+    """Start and end of the bracketed values that stand whole between ``at`` and the end of the data or of the
+    array around them; worked out over all bytes at once."""
+    view = np.frombuffer(data, dtype=np.uint8, offset=at)
+    depth = _DEPTH[view]
+    if data.find(b'"', at) >= 0:
+        quote = view == 34
+        if data.find(b"\\", at) >= 0:
+            slash = np.flatnonzero(view == 92)
+            # Every second backslash of a run, from its first, takes the meaning from the byte behind it.
+            first = np.concatenate([[True], np.diff(slash) != 1])
+            run = np.maximum.accumulate(np.where(first, np.arange(len(slash)), 0))
+            behind = slash[(np.arange(len(slash)) - run) % 2 == 0] + 1
+            quote[behind[behind < len(quote)]] = False
+        depth[np.logical_xor.accumulate(quote)] = 0
+    place = np.flatnonzero(depth)
+    step = depth[place]
+    level = np.cumsum(step, dtype=np.int64)
+    ends = np.flatnonzero(level < 0)
+    if len(ends):
+        place, step, level = place[: ends[0]], step[: ends[0]], level[: ends[0]]
+    closed = place[level == 0]
+    opened_at = place[(level == 1) & (step == 1)][: len(closed)]
+    return list(zip((opened_at + at).tolist(), (closed + at + 1).tolist(), strict=True))
+
+
 class Cursor:
     """A reading position in a stream of bytes, with only the current element in memory."""
 
@@ -117,6 +149,43 @@ class Cursor:
                 out, self.at = self.data[self.at : m.end()], m.end()
                 return out
 
+    def items(self) -> Iterator[bytes]:
+        """The elements of an array whose bracket is taken, and its end.
+
+        Elements with brackets are cut out as many at a time as the buffer holds; a longer one is looked at again
+        once twice as much is there."""
+        comma = False
+        while True:
+            for start, end in complete(self.data, self.at):
+                if self.data[self.at : start].strip(b" \t\r\n") != (b"," if comma else b""):
+                    break
+                self.at, comma = end, True
+                yield self.data[start:end]
+            if self.peek() == b"]":
+                self.at += 1
+                return
+            if comma:
+                self.take(b",")
+                comma = False
+            if self.peek() not in b"{[":
+                yield self.value()
+                comma = True
+            elif not self.fill(2 * (len(self.data) - self.at)):
+                # No more to come: the element is whole, or the file is cut off.
+                yield self.value()
+                comma = True
+
+    def fill(self, size: int) -> bool:
+        """Read until so many bytes are ahead; False if nothing was left to read."""
+        parts, ahead = [self.data[self.at :]], len(self.data) - self.at
+        while ahead < size and (chunk := next(self.chunks, None)) is not None:
+            parts.append(chunk)
+            ahead += len(chunk)
+            if ahead > MAX_ELEMENT + 2 * _READ and len(parts[0]) > MAX_ELEMENT // 2:
+                raise BrokenFile(f"an element is longer than {MAX_ELEMENT} bytes")
+        self.data, self.at = b"".join(parts), 0
+        return len(parts) > 1
+
     def _scalar(self, first: bytes) -> bytes:
         pattern = re.compile(rb'"(?:[^"\\]++|\\.)*+"', re.S) if first == b'"' else _SCALAR
         while True:
@@ -143,7 +212,12 @@ def elements(chunks: Iterator[bytes], sections: tuple[str, ...]) -> Iterator[tup
         key = json.loads(c.value())
         c.take(b":")
         if key not in sections:
-            c.value()
+            if c.peek() == b"[":
+                c.at += 1
+                for _ in c.items():
+                    pass
+            else:
+                c.value()
         elif key in SCALARS:
             yield key, -1, values, c.value()
             values += 1
@@ -155,13 +229,9 @@ def elements(chunks: Iterator[bytes], sections: tuple[str, ...]) -> Iterator[tup
         else:
             c.take(b"[")
             yield key, order, -1, None
-            first = True
-            while c.peek() != b"]":
-                if not first:
-                    c.take(b",")
-                yield key, order, counts[key], c.value()
-                counts[key], first = counts[key] + 1, False
-            c.take(b"]")
+            for raw in c.items():
+                yield key, order, counts[key], raw
+                counts[key] += 1
             order += 1
         if c.peek() == b"}":
             break

@@ -243,8 +243,13 @@ def test_plan_to_results(written):
 
 
 def test_tokens_over_read_borders():
-    text = json.dumps({"a": "x\\\"]}", "in_network": [{"n": [1, {"b": "]"}]}, {"n": '"'}], "z": [[]]}).encode()
-    for size in (1, 2, 3, 7):
-        chunks = (text[k : k + size] for k in range(0, len(text), size))
-        rows = [r for r in mrf.elements(chunks, ("in_network",)) if r[2] >= 0]
-        assert [json.loads(r[3]) for r in rows] == [{"n": [1, {"b": "]"}]}, {"n": '"'}]
+    body = [{"n": [1, {"b": "]"}]}, {"n": '"'}, 5, "a]\\", [["x", {}]], None, {"q": "\\\\\"{"}, {}, [], "", {"long": "[" * 50}]
+    for space in (None, 1):
+        text = json.dumps({"a": "x\\\"]}", "y": [1, "]", {"z": [2]}], "in_network": body, "z": [[]]}, indent=space).encode()
+        for size in (1, 2, 3, 7, 50, 10**6):
+            chunks = (text[k : k + size] for k in range(0, len(text), size))
+            rows = [r for r in mrf.elements(chunks, ("in_network",)) if r[2] >= 0]
+            assert [json.loads(r[3]) for r in rows] == body and [r[2] for r in rows] == list(range(len(body)))
+    for bad in ('{"in_network": [{} {}]}', '{"in_network": [{},]}', '{"in_network": [{"a": 1}', '{"in_network": [{"a": "]}'):
+        with pytest.raises(mrf.BrokenFile):
+            list(mrf.elements(iter([bad.encode()]), ("in_network",)))
