@@ -420,10 +420,10 @@ def decode(ids: np.ndarray, pieces: Pieces) -> bytes:
 _COLUMNS = "doc_id long, n_pieces long, ids_crc32 long, best_score double, nbest_scores array<double>, nbest_crc32 array<long>, round_trip boolean"
 
 
-def encode_pieces(docs: DataFrame, n: int = 4, model: str = MODEL, with_ids: bool = False, logs: np.ndarray | None = None) -> DataFrame:
+def encode_pieces(docs: DataFrame, n: int = 4, model: str = MODEL, with_ids: bool = False, with_nbest: bool = False, logs: np.ndarray | None = None) -> DataFrame:
     """doc_id, n_pieces, ids_crc32 (of the best ids as little-endian unsigned 32-bit integers), best_score,
     nbest_scores and nbest_crc32 (best first), round_trip (every one of the N decodes to the text), and with
-    ``with_ids`` piece_ids and nbest_ids. ``logs`` are scores of all pieces, by default ``piece_logs`` of the texts."""
+    ``with_ids`` piece_ids, with ``with_nbest`` nbest_ids (the ids of all N). ``logs`` are scores of all pieces, by default ``piece_logs`` of the texts."""
     logs = piece_logs(docs, model) if logs is None else logs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -447,13 +447,15 @@ def encode_pieces(docs: DataFrame, n: int = 4, model: str = MODEL, with_ids: boo
             scores = pa.array(out[2], pa.list_(pa.float64()))
             arrays = [batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array([s[0] for s in out[2]], pa.float64()), scores, pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.bool_())]
             if with_ids:
-                best, every = (_lists(x) for x in ([f[0] for f in out[5]], [ids for f in out[5] for ids in f]))
+                arrays.append(_lists([f[0] for f in out[5]]))
+                names.append("piece_ids")
+            if with_nbest:
                 ends = np.cumsum([0, *map(len, out[5])]).astype(np.int32)
-                arrays += [best, pa.ListArray.from_arrays(pa.array(ends), every)]
-                names += ["piece_ids", "nbest_ids"]
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends), _lists([ids for f in out[5] for ids in f])))
+                names.append("nbest_ids")
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return keyed(docs).select("doc_id", "text").mapInArrow(run, _COLUMNS + ", piece_ids array<int>, nbest_ids array<array<int>>" * with_ids)
+    return keyed(docs).select("doc_id", "text").mapInArrow(run, _COLUMNS + ", piece_ids array<int>" * with_ids + ", nbest_ids array<array<int>>" * with_nbest)
 
 
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:

@@ -365,7 +365,7 @@ def test_pieces(docs, none, small):
         counts = Counter(i for _, t in rows_of(table) for c in vocabulary.split(t or "") for i in vocabulary.longest_match(c))
         total = sum(counts.values()) + len(logs)
         assert np.exp(logs).sum() == pytest.approx(1.0) and logs == pytest.approx(np.array([math.log((counts[i] + 1) / total) for i in range(len(logs))]))
-        encoded = pieces.encode_pieces(table, with_ids=True, logs=logs)
+        encoded = pieces.encode_pieces(table, with_ids=True, with_nbest=True, logs=logs)
         texts, found = dict.fromkeys(t or "" for _, t in rows_of(table)), encoded.collect()
         assert len(found) == table.count() and all(r["round_trip"] for r in found)
         # The N best of the whole lattice, not only of its chunks, for every row.
