@@ -25,7 +25,6 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -360,18 +359,57 @@ def solver(path: str, logs: np.ndarray | None = None) -> Solved:
 
 
 class _Matches(dict):
-    """Chunks by number with their longest-match ids; a new one is numbered and matched."""
+    """Chunks by number, and the pieces of their longest matches, which are found for many chunks at once."""
 
     def __init__(self, pieces: Pieces):
-        self.pieces, self.ids, self.sizes = pieces, array("i"), array("i")
+        self.pieces, self.new, self.solved = pieces, [], 0
+        self.found: list[np.ndarray] = []
+        self.owner: list[np.ndarray] = []
 
     def __missing__(self, chunk: str) -> int:
         self[chunk] = n = len(self)
-        found = self.pieces.longest_match(chunk)
-        self.ids.extend(found)
-        self.sizes.append(len(found))
+        self.new.append(chunk)
         return n
 
+    def solve(self) -> None:
+        chunks, self.new, v = self.new, [], self.pieces
+        if not chunks:
+            return
+        sizes = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
+        chars = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        ends = np.cumsum(sizes)
+        end = np.repeat(ends, sizes)
+        best, length = np.full(len(chars), -1, dtype=np.int32), np.ones(len(chars), dtype=np.int64)
+        alive, node, k = np.arange(len(chars)), v.root[chars].astype(np.int64), 0
+        while len(alive):
+            on = node > 0
+            alive, node = alive[on], node[on]
+            p = v.piece[node]
+            has = p >= 0
+            k += 1
+            best[alive[has]], length[alive[has]] = p[has], k
+            on = alive + k < end[alive]
+            alive, node = alive[on], node[on]
+            node = v.step(node, chars[alive + k])
+        at, owner = ends - sizes, self.solved + np.arange(len(chunks), dtype=np.int32)
+        self.solved += len(chunks)
+        while len(at):
+            none = best[at] < 0
+            self.found.append(best[at[~none]])
+            self.owner.append(owner[~none])
+            for place, chunk in zip(at[none].tolist(), owner[none].tolist(), strict=True):
+                spelt = v.spell(chr(chars[place]))
+                self.found.append(np.array(spelt, dtype=np.int32))
+                self.owner.append(np.full(len(spelt), chunk, dtype=np.int32))
+            on = at + length[at] < end[at]
+            at, owner = (at + length[at])[on], owner[on]
+
+    def counted(self, uses: np.ndarray) -> np.ndarray:
+        """Uses of all pieces, given those of the chunks."""
+        self.found, self.owner = ([np.concatenate([*x, np.zeros(0, dtype=np.int32)])] for x in (self.found, self.owner))
+        on = self.owner[0] < len(uses)
+        return np.bincount(self.found[0][on], weights=uses[self.owner[0][on]], minlength=len(self.pieces.names)).astype(np.int64)
+
 
 _MATCHED: dict[str, _Matches] = {}
 
@@ -385,23 +423,19 @@ def piece_logs(docs: DataFrame, model: str = MODEL) -> np.ndarray:
         pieces, uses = seen.pieces, np.zeros(len(seen), dtype=np.int64)
         total = np.zeros(len(pieces.names), dtype=np.int64)
 
-        def count() -> np.ndarray:
-            sizes = np.frombuffer(seen.sizes, dtype=np.int32)
-            times = np.repeat(uses, sizes[: len(uses)])
-            return np.bincount(np.frombuffer(seen.ids, dtype=np.int32)[: len(times)], weights=times, minlength=len(total)).astype(np.int64)
-
         for batch in slices(batches, limit=2 << 20):
             each = [pieces.split(t or "") for t in batch.column("text").to_pylist()]
             at = np.concatenate([np.fromiter(map(seen.__getitem__, chunks), dtype=np.int64, count=len(chunks)) for chunks in each])
             now = np.bincount(at, minlength=len(seen))
             now[: len(uses)] += uses
             uses = now
+            seen.solve()
             if len(seen) > MEMORY + MEMORY // 2:
-                total += count()
+                total += seen.counted(uses)
                 seen = _MATCHED[model] = _Matches(pieces)
                 uses = np.zeros(0, dtype=np.int64)
         if len(uses):
-            total += count()
+            total += seen.counted(uses)
         on = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), pa.array(total[on])], ["piece", "c"])
 
