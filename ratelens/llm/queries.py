@@ -6,8 +6,9 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ratelens.llm import decontaminate, license_scan, line_dedup, log_bilinear, pieces, quality_rules, set_join, simhash, spelling, substring_dedup, token_files, warc_fixity
+from ratelens.llm import decontaminate, hard_negatives, license_scan, line_dedup, log_bilinear, pieces, quality_rules, set_join, simhash, spelling, substring_dedup, token_files, warc_fixity
 from ratelens.llm.common import read_table, shared_dir
 from ratelens.llm.oracles import SQL  # noqa: F401
 
@@ -61,6 +62,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.drop_common_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.quantised(read_table(spark, sf_dir, "embeddings").withColumn("label", moved))
+    return hard_negatives.mine(rows, rows.filter("vec_id % 50 = 0"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(spelling.word_counts(read_table(spark, sf_dir, "documents"), damage=31))
 
@@ -69,4 +76,4 @@ def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.join_components(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simple8b_token_files, op2_quality_rules, op3_log_bilinear, op4_substring_dedup, op5_sentencepiece_nbest, op6_simhash, op7_license_scan, op8_warc_fixity, op9_decontaminate, op10_line_dedup, op12_spelling_variants, op13_jaccard_join, license_phrases)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simple8b_token_files, op2_quality_rules, op3_log_bilinear, op4_substring_dedup, op5_sentencepiece_nbest, op6_simhash, op7_license_scan, op8_warc_fixity, op9_decontaminate, op10_line_dedup, op11_hard_negatives, op12_spelling_variants, op13_jaccard_join, license_phrases)}
