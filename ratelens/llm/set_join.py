@@ -11,7 +11,7 @@ the same result; rare-first keeps shared passages out of the lists.
 Such a shingle is posted under (shingle, size block), where a block's sizes span one similarity threshold, so a
 partner stands in the same block or the one next to it. A posting goes to a block only if its position leaves
 enough shingles behind it for some size of that block: what stands too deep skips the block. Within a list a
-pair is passed on only if sizes, positions and a 128-bit parity map of both sets still allow the threshold.
+pair is passed on only if sizes, positions and a 64-bit parity map of both sets still allow the threshold.
 
 *Deriving answers.* In each list, every set is first compared with the earliest one alone (linear work); such a
 verified pair also keeps the difference of both sets. Sets that are linked so far need no more comparisons among
@@ -43,7 +43,8 @@ from ratelens.llm.simhash import components, majority, shingles
 #: Counters of shingles over the whole corpus: 4 MB as ranks of a byte, sent to the tasks.
 BUCKETS = 1 << 22
 _CHUNK = 4096
-_ID = "struct<late:boolean,doc_id:bigint,rid:bigint>"
+#: Bits of the filter that says which documents' sets are needed: 8 MB.
+FILTER_BITS = 1 << 26
 
 
 def text_digests(text: bytes, shingle: int) -> bytes:
@@ -55,6 +56,11 @@ def hash_set(digests: bytes) -> np.ndarray:
     return np.unique(np.frombuffer(digests, dtype="<u8"))
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs."""
+    return counts.astype(next(f"<u{k}" for k in (1, 2, 4, 8) if counts.max(initial=0) < 1 << 8 * k)).tobytes()
+
+
 def shingle_ranks(docs: DataFrame, shingle: int, buckets: int = BUCKETS) -> np.ndarray:
     """A byte for each bucket of shingle hashes: eight times the binary logarithm of its count over all documents.
 
@@ -76,14 +82,15 @@ def shingle_ranks(docs: DataFrame, shingle: int, buckets: int = BUCKETS) -> np.n
         for first in range(0, len(bounds) - 1, 64):
             spans = list(zip(bounds[first : first + 65][:-1].tolist(), bounds[first : first + 65][1:].tolist(), strict=True))
             ids = [(at[a:b] % _CHUNK).astype("<u2").tobytes() for a, b in spans]
-            yield pa.RecordBatch.from_arrays([pa.array([int(chunk[a]) for a, _ in spans], pa.int32()), pa.array(ids, pa.binary()), pa.array([total[at[a:b]].tobytes() for a, b in spans], pa.binary())], ["chunk", "ids", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(chunk[a]) for a, _ in spans], pa.int32()), pa.array(ids, pa.binary()), pa.array([_packed(total[at[a:b]]) for a, b in spans], pa.binary())], ["chunk", "ids", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, ids, counts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 total = sums.setdefault(chunk, np.zeros(_CHUNK, dtype=np.int64))
-                total[np.frombuffer(ids, dtype="<u2")] += np.frombuffer(counts, dtype=np.int64)
+                at = np.frombuffer(ids, dtype="<u2")
+                total[at] += np.frombuffer(counts, dtype=f"<u{len(counts) // len(at)}")
         if sums:
             ranks = [np.minimum(8 * np.log2(x + 1), 255).astype(np.uint8).tobytes() for x in sums.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(ranks, pa.binary())], ["chunk", "ranks"])
@@ -105,7 +112,7 @@ def size_blocks(percent: int) -> np.ndarray:
 
 
 def describe(docs: DataFrame, ranks: np.ndarray, shingle: int, percent: int, with_fp: bool = False) -> DataFrame:
-    """doc_id, rid, cls, n, low, blk, b0, b1, prefix (array), fp of every row. ``fp`` is a SimHash fingerprint or null."""
+    """doc_id, rid, cls, n, blk, bits, prefix (array), fp of every row. ``fp`` is a SimHash fingerprint or null."""
     starts, mask = size_blocks(percent), np.uint64(len(ranks) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +124,7 @@ def describe(docs: DataFrame, ranks: np.ndarray, shingle: int, percent: int, wit
                 n = len(found)
                 cls.append(xxhash.xxh3_128_digest(found.tobytes()))
                 sizes.append(n)
-                maps.append(np.packbits((np.bincount((found >> np.uint64(57)).astype(np.int64), minlength=128) & 1).astype(np.uint8)).tobytes())
+                maps.append(np.packbits((np.bincount((found >> np.uint64(58)).astype(np.int64), minlength=64) & 1).astype(np.uint8)).tobytes())
                 # A set that only its own equals can be linked with no other class.
                 k = n - -(-percent * n // 100) + 1 if n * 100 >= percent * (n + 1) else 0
                 key = ranks[(found & mask).astype(np.int64)].astype(np.uint64) << np.uint64(56) | found >> np.uint64(8)
@@ -125,21 +132,22 @@ def describe(docs: DataFrame, ranks: np.ndarray, shingle: int, percent: int, wit
                 fps.append(majority(digests) if with_fp else bytes(8))
             n = np.array(sizes, dtype=np.int64)
             blk = np.searchsorted(starts, n, side="right") - 1
-            low = np.where(blk >= 0, starts[blk], 0)
-            bits = np.frombuffer(b"".join(maps), dtype=">i8").reshape(-1, 2).astype(np.int64)
+            bits = np.frombuffer(b"".join(maps), dtype=">i8").astype(np.int64)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*prefixes, np.zeros(0, dtype=np.int64)])))
             fp = pa.array(np.frombuffer(b"".join(fps), dtype=">i8").astype(np.int64)) if with_fp else pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(cls, pa.binary()), pa.array(n), pa.array(low), pa.array(blk.astype(np.int32)), pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy()), prefix, fp], ["doc_id", "rid", "cls", "n", "low", "blk", "b0", "b1", "prefix", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(cls, pa.binary()), pa.array(n), pa.array(blk.astype(np.int32)), pa.array(bits), prefix, fp], ["doc_id", "rid", "cls", "n", "blk", "bits", "prefix", "fp"])
 
-    return keyed(docs).mapInArrow(run, "doc_id long, rid long, cls binary, n long, low long, blk int, b0 long, b1 long, prefix array<long>, fp long")
+    return keyed(docs).mapInArrow(run, "doc_id long, rid long, cls binary, n long, blk int, bits long, prefix array<long>, fp long")
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
-    """cls, id, copies, and the columns of a set: one row for each distinct set, named by its earliest document."""
-    name = F.struct(F.col("doc_id").isNull().alias("late"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "rid")
-    first = F.min(F.struct(name.alias("id"), "n", "low", "blk", "b0", "b1", "prefix", "fp"))
-    return rows.groupBy("cls").agg(first.alias("x"), F.count("*").alias("copies")).select("cls", "copies", "x.*")
+    """id, cls, late, doc_id, rid, copies, and the columns of a set: one row for each distinct set, with its earliest
+    document. Ids are numbers in the order of these documents."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "rid", "n", "blk", "bits", "prefix", "fp"))
+    classes = rows.groupBy("cls").agg(first.alias("x"), F.count("*").alias("copies")).select("cls", "copies", "x.*")
+    # Numbers of a range-sorted table rise from partition to partition; once it is written, they stay.
+    return stored(classes.orderBy("late", "doc_id", "rid").withColumn("id", F.monotonically_increasing_id()), "classes")
 
 
 def _need(a: Column, b: Column, percent: int) -> Column:
@@ -151,41 +159,55 @@ def may_pair(x: str, y: str, percent: int) -> Column:
     """Whether two postings of one list can be a pair at the threshold, by sizes, positions and parity maps."""
     a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
     need = _need(a, b, percent)
-    differ = F.bit_count(F.col(f"{x}.b0").bitwiseXOR(F.col(f"{y}.b0"))) + F.bit_count(F.col(f"{x}.b1").bitwiseXOR(F.col(f"{y}.b1")))
+    differ = F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits")))
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (F.least(a - F.col(f"{x}.pos"), b - F.col(f"{y}.pos")) >= need) & (differ <= a + b - 2 * need) & (F.col(f"{x}.own") | F.col(f"{y}.own"))
 
 
-def postings(classes: DataFrame, percent: int) -> DataFrame:
-    """key, p (own, id, n, pos, b0, b1): the prefix shingles of all sets under (shingle, size block)."""
-    least = F.ceil(F.col("n") * percent / 100)
-    rows = classes.select("id", "n", "low", "blk", "b0", "b1", F.posexplode("prefix").alias("pos", "token"))
-    at = lambda own, blk: F.struct(F.xxhash64("token", blk).alias("key"), F.struct(F.lit(own).alias("own"), "id", "n", "pos", "b0", "b1").alias("p"))
-    # In its own block a set's smallest partner has max(low, least) shingles, in the block before it one of ``least``.
-    own = F.when(F.col("n") - F.col("pos") >= _need(F.col("n"), F.greatest("low", least), percent), at(True, F.col("blk")))
-    before = F.when(F.col("low") - 1 >= least, at(False, F.col("blk") - 1))
-    return rows.select(F.explode(F.array_compact(F.array(own, before))).alias("x")).select("x.key", "x.p")
-
-
 def posting_lists(classes: DataFrame, percent: int) -> DataFrame:
-    """key, p, head: the postings of lists of several sets, with the earliest set of the list where it may be similar."""
-    posted = postings(classes, percent)
-    heads = posted.groupBy("key").agg(F.count("*").alias("len"), F.min(F.when(F.col("p.own"), F.struct(F.col("p.id").alias("id"), F.col("p.own").alias("own"), F.col("p.n").alias("n"), F.col("p.pos").alias("pos"), F.col("p.b0").alias("b0"), F.col("p.b1").alias("b1")))).alias("h"))
-    met = posted.join(heads.filter("len > 1 and h is not null"), "key")
-    return met.select("key", "p", F.when((F.col("p.id") != F.col("h.id")) & may_pair("p", "h", percent), F.col("h.id")).alias("head"))
+    """key, p (own, id, n, pos, bits), head: the postings under (shingle, size block) of lists of several sets, with
+    the earliest set of the list where it may be similar."""
+    posted = classes.select("id", "n", "blk", "bits", F.posexplode("prefix").alias("pos", "token"))
+    # Most shingles stand in one prefix only: those are gone before anything else is done.
+    shared = posted.groupBy("token").agg(F.count("*").alias("sets")).filter("sets > 1").select("token")
+    met = posted.join(shared, "token")
+    starts = F.array(*[F.lit(int(x)) for x in size_blocks(percent)])
+    low, least = F.element_at(starts, F.col("blk") + 1), F.ceil(F.col("n") * percent / 100)
+    at = lambda own, blk: F.struct(F.xxhash64("token", blk).alias("key"), F.struct(F.lit(own).alias("own"), "id", "n", "pos", "bits").alias("p"))
+    # In its own block a set's smallest partner has max(low, least) shingles, in the block before it one of ``least``.
+    own = F.when(F.col("n") - F.col("pos") >= _need(F.col("n"), F.greatest(low, least), percent), at(True, F.col("blk")))
+    before = F.when(low - 1 >= least, at(False, F.col("blk") - 1))
+    lists = stored(met.select(F.explode(F.array_compact(F.array(own, before))).alias("x")).select("x.key", "x.p"), "postings")
+    h = F.struct(F.col("p.id").alias("id"), F.col("p.own").alias("own"), F.col("p.n").alias("n"), F.col("p.pos").alias("pos"), F.col("p.bits").alias("bits"))
+    heads = lists.groupBy("key").agg(F.count("*").alias("len"), F.min(F.when(F.col("p.own"), h)).alias("h")).filter("len > 1 and h is not null")
+    return lists.join(heads, "key").select("key", "p", F.when((F.col("p.id") != F.col("h.id")) & may_pair("p", "h", percent), F.col("h.id")).alias("head"))
+
+
+def _filter(classes: DataFrame) -> np.ndarray:
+    """Bits of the row keys of classes, as a table of fixed size."""
+    bit = F.pmod(F.xxhash64("rid"), F.lit(FILTER_BITS))
+    words = classes.groupBy(F.floor(bit / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))).alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """id, hashes (binary) of the named documents."""
-    texts, ids = keyed(docs), ids.select("id").distinct()
-    name = F.struct(F.col("doc_id").isNull().alias("late"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "rid")
+def sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """id, hashes (binary) of the named classes. Texts stay where they are read: a filter of fixed size passes those of
+    the classes' documents and a few others, and only their sets are joined."""
+    named = stored(classes.join(ids.select("id").distinct(), "id", "left_semi").select("id", "late", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "rid"), "named")
+    words = _filter(named)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = [hash_set(text_digests(t, shingle)).tobytes() for t in utf8(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "hashes"])
+        for batch in batches:
+            bit = batch.column("bit").to_numpy()
+            batch = batch.filter(pa.array((words[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1))
+            for part in slices(iter([batch])):
+                sets = [hash_set(text_digests(t, shingle)).tobytes() for t in utf8(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([part.column("late"), part.column("doc_id"), part.column("rid"), pa.array(sets, pa.binary())], ["late", "doc_id", "rid", "hashes"])
 
-    here = texts.select(name.alias("id"), "text").join(ids, "id", "left_semi").mapInArrow(run, f"id {_ID}, hashes binary")
-    return here.dropDuplicates(["id"])
+    texts = keyed(docs).select(F.col("doc_id").isNull().alias("late"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "rid", "text", F.pmod(F.xxhash64("rid"), F.lit(FILTER_BITS)).alias("bit"))
+    found = texts.mapInArrow(run, "late boolean, doc_id long, rid long, hashes binary")
+    return found.join(named, ["late", "doc_id", "rid"]).select("id", "hashes").dropDuplicates(["id"])
 
 
 def _numbers(x: bytes) -> np.ndarray:
@@ -211,10 +233,10 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at), pa.array(minus, pa.binary()), pa.array(plus, pa.binary())], ["a", "b", "minus", "plus"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, f"a {_ID}, b {_ID}, minus binary, plus binary")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, minus binary, plus binary")
 
 
-def derive(pairs: DataFrame, links: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def derive(pairs: DataFrame, links: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) at the threshold, where b's answer comes from its leader's: rows of one (a, leader) stand
     together, the pair's sets first, then what each b differs in; they stream, whatever their number."""
     lead = links.groupBy("b").agg(F.min(F.struct("a", "minus", "plus")).alias("l"))
@@ -222,7 +244,7 @@ def derive(pairs: DataFrame, links: DataFrame, docs: DataFrame, shingle: int, pe
     empty = F.lit(b"")
     asked = stored(asked.select("a", F.coalesce("l.a", "b").alias("leader"), "b", F.coalesce("l.minus", empty).alias("x"), F.coalesce("l.plus", empty).alias("y")), "asked")
     base = asked.select("a", "leader").distinct()
-    sets = stored(sets_of(docs, base.select(F.explode(F.array("a", "leader")).alias("id")), shingle), "shingle-sets")
+    sets = stored(sets_of(docs, classes, base.select(F.explode(F.array("a", "leader")).alias("id")), shingle), "shingle-sets")
     known = base.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("id").alias("leader"), F.col("hashes").alias("y")), "leader")
     rows = known.select("a", "leader", F.lit(0).alias("kind"), F.col("a").alias("b"), "x", "y").unionByName(asked.select("a", "leader", F.lit(1).alias("kind"), "b", "x", "y"))
     # A leader's followers may be many: they are dealt by parts, and each part gets the pair's sets.
@@ -249,23 +271,23 @@ def derive(pairs: DataFrame, links: DataFrame, docs: DataFrame, shingle: int, pe
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], ["a", "b"])
 
-    return rows.select("a", "b", "kind", "x", "y").mapInArrow(run, f"a {_ID}, b {_ID}")
+    return rows.select("a", "b", "kind", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def first_links(docs: DataFrame, lists: DataFrame, shingle: int, percent: int, more: DataFrame | None = None) -> DataFrame:
+def first_links(docs: DataFrame, classes: DataFrame, lists: DataFrame, shingle: int, percent: int, more: DataFrame | None = None) -> DataFrame:
     """Verified links (a earlier than b) of every set with the earliest of its lists, and of ``more`` pairs."""
     pairs = lists.filter("head is not null").select(F.least("head", "p.id").alias("a"), F.greatest("head", "p.id").alias("b"))
     pairs = stored((pairs if more is None else pairs.unionByName(more)).distinct(), "pairs")
-    sets = stored(sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), shingle), "shingle-sets")
+    sets = stored(sets_of(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("id")), shingle), "shingle-sets")
     return stored(verify(pairs, sets, percent), "similar")
 
 
 def join_components(docs: DataFrame, shingle: int = 3, percent: int = 90, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: sets are linked at a Jaccard similarity of ``percent``."""
     rows = stored(describe(docs, shingle_ranks(docs, shingle, buckets), shingle, percent), "sets")
-    classes = stored(classes_of(rows), "classes")
+    classes = classes_of(rows)
     lists = stored(posting_lists(classes, percent), "lists")
-    links = first_links(docs, lists, shingle, percent)
+    links = first_links(docs, classes, lists, shingle, percent)
     roots = stored(components(links.select("a", "b")), "roots")
     here = lists.join(roots.withColumnRenamed("node", "id"), F.col("p.id") == F.col("id"), "left").select("key", "p", F.coalesce("root", "p.id").alias("root"))
     # Lists of several components; pairs within the largest one are not asked.
@@ -277,9 +299,9 @@ def join_components(docs: DataFrame, shingle: int = 3, percent: int = 90, bucket
     pairs = x.join(y, "key").filter(across).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     found = stored(pairs, "pairs")
     if not found.isEmpty():
-        links = links.select("a", "b").unionByName(derive(found, links, docs, shingle, percent))
+        links = links.select("a", "b").unionByName(derive(found, links, docs, classes, shingle, percent))
         roots = stored(components(links), "roots")
-    named = classes.filter("n > 0").join(roots.withColumnRenamed("node", "id"), "id").select("cls", F.when(~F.col("root.late"), F.col("root.doc_id")).alias("reached"))
-    alone = classes.filter("n > 0 and copies > 1").join(roots.withColumnRenamed("node", "id"), "id", "left_anti").select("cls", F.when(~F.col("id.late"), F.col("id.doc_id")).alias("reached"))
-    out = rows.join(named.unionByName(alone), "cls", "left")
+    roots = roots.withColumnRenamed("node", "id").join(classes.select(F.col("id").alias("root"), F.col("doc_id").alias("reached")), "root").select("id", "reached")
+    named = classes.filter("n > 0").join(roots, "id", "left").filter("copies > 1 or reached is not null").select("cls", F.coalesce("reached", "doc_id").alias("reached"))
+    out = rows.join(named, "cls", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("reached", "doc_id").alias("component_id"))
