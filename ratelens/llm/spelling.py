@@ -12,7 +12,8 @@ alone that does not cover it.
 *Bound and merging.* A word's affected-gram bound is the most grams that cover one of its characters. Of a word
 with g grams and bound b, a word within one edit has at least g - b, at the same distance from the start or from
 the end. So the g - b - 1 longest lists are set aside: both words stand together in the list of one of the b + 1
-rarest grams of each. Lists are kept by gram and place. The candidates of a list are compared character by
+rarest grams of each. Lists are kept by gram and place; a pair of equal length meets at the same distance from the
+start, so in lists by distance from the end only lengths that differ are compared. The candidates of a list are compared character by
 character, many at a time. A list of more than ``BIG`` words is cut: its words meet by what is left of them when
 one character is deleted, which words within one edit share, and which few words can have in common.
 
@@ -39,14 +40,15 @@ from pyspark.sql import functions as F
 
 from ratelens.llm.common import LOWER, keyed, shuffle_width, slices, stored, utf8
 
-QMIN, QMAX = 2, 6
+QMIN, QMAX = 2, 4
 PLACES = 1 << 16
 #: Grams below so many places are never frequent.
 RARE = 16
 BIG = 512
 #: Runs of A-Z, a-z and U+00C0 to U+00FF in UTF-8, after lower-casing.
 _RUN = re.compile(rb"(?:[a-z]++|\xc3[\x80-\xbf])++")
-_WIDE = 62
+#: Longer words are compared one by one.
+_WIDE = 30
 
 
 def damaged(run: bytes, doc: int, every: int | None) -> bytes:
@@ -144,7 +146,8 @@ def list_keys(word: bytes, frequent: dict[bytes, int], qmin: int = QMIN, qmax: i
     rarity = lambda x: (frequent.get(x[1], 0), frequent.get(x[1][1:], 0), x[1], x[0])
     first = sorted(parts, key=rarity)[: affected(word, parts) + 1]
     h = xxhash.xxh3_64_intdigest
-    return [h(b"%s\x00%s%d" % (g, side, at)) for p, g in first for side, at in ((b"s", p), (b"e", len(word) - p))]
+    # The lowest bit says from which end a list counts.
+    return [h(b"%s\x00%d" % (g, at)) & ~1 | side for p, g in first for side, at in ((0, p), (1, len(word) - p))]
 
 
 def near(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -186,7 +189,8 @@ def list_pairs(keys: np.ndarray, words: list[bytes]) -> Iterator[tuple[np.ndarra
         i = np.repeat(np.arange(begin, begin + len(k)), k)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
         begin += len(k)
-        close = np.abs(size[i] - size[j]) <= 1
+        more_or_less = np.abs(size[i] - size[j])
+        close = (more_or_less == 1) | (more_or_less == 0) & (keys[i] & 1 == 0)
         i, j = i[close], j[close]
         wide = np.maximum(size[i], size[j]) > _WIDE
         hit = np.zeros(len(i), dtype=bool)
@@ -203,7 +207,7 @@ def near_pairs(words: DataFrame, qmin: int = QMIN, qmax: int = QMAX, places: int
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [np.array(list_keys(w, frequent, qmin, qmax), dtype=np.uint64).view(np.int64) for w in _latin(batch.column("word"))]
+            keys = [np.unique(np.array(list_keys(w, frequent, qmin, qmax), dtype=np.uint64)).view(np.int64) for w in _latin(batch.column("word"))]
             row = pa.array(np.repeat(np.arange(len(keys)), [len(x) for x in keys]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.zeros(0, dtype=np.int64)])), batch.column("word").take(row), batch.column("n").take(row)], ["key", "word", "n"])
 
@@ -213,7 +217,7 @@ def near_pairs(words: DataFrame, qmin: int = QMIN, qmax: int = QMAX, places: int
             keys = []
             for key, w in zip(batch.column("key").to_pylist(), _latin(batch.column("word")), strict=True):
                 left = {w} | {w[:k] + w[k + 1 :] for k in range(len(w))}
-                keys.append(np.array([h(b"%d:%s" % (key, x)) for x in left], dtype=np.uint64).view(np.int64))
+                keys.append(np.array([h(b"%d:%s" % (key, x)) & ~1 | key & 1 for x in left], dtype=np.uint64).view(np.int64))
             row = pa.array(np.repeat(np.arange(len(keys)), [len(x) for x in keys]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.zeros(0, dtype=np.int64)])), batch.column("word").take(row), batch.column("n").take(row)], ["key", "word", "n"])
 
@@ -240,7 +244,7 @@ def near_pairs(words: DataFrame, qmin: int = QMIN, qmax: int = QMAX, places: int
             yield from found(held)
 
     row = "key long, word string, n long"
-    posted = stored(words.mapInArrow(post, row).distinct(), "gram-lists")
+    posted = stored(words.mapInArrow(post, row), "gram-lists")
     long = posted.groupBy("key").agg(F.count("*").alias("len")).filter(F.col("len") > big).select("key")
     lists = posted.join(long, "key", "left_anti").unionByName(posted.join(long, "key", "left_semi").mapInArrow(cut, row))
     lists = lists.repartition(shuffle_width(spark), "key").sortWithinPartitions("key")
@@ -263,7 +267,8 @@ def follow(forms: DataFrame) -> DataFrame:
 def group_variants(words: DataFrame, ratio: int = 10, qmin: int = QMIN, qmax: int = QMAX, places: int = PLACES, big: int = BIG) -> DataFrame:
     """word, form, root, n, n_near, form_n of every row of ``words`` (word, n): the words of a table, once each.
 
-    Words must have at least ``qmax`` characters, or ``qmax`` be made smaller, so that an edit leaves a gram alone."""
+    Words must be distinct, and have at least ``qmax`` characters, or ``qmax`` be made smaller, so that an edit leaves
+    a gram alone."""
     words = stored(words, "words")
     pairs = stored(near_pairs(words, qmin, qmax, places, big), "near")
     ways = pairs.select(F.col("a").alias("word"), F.col("b").alias("other"), F.col("nb").alias("m")).unionByName(pairs.select(F.col("b").alias("word"), F.col("a").alias("other"), F.col("na").alias("m")))
