@@ -8,7 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratelens.sources.mrf import SECTIONS, elements, inflated, opened
+from ratelens.operators import summary
+from ratelens.sources import sinks
+from ratelens.sources.mrf import SECTIONS, Counted, elements, inflated, opened, read_elements
 
 
 def label_distribution(labels: DataFrame, label: str) -> DataFrame:
@@ -39,23 +41,45 @@ def known_size(size: Column) -> Column:
 
 
 def validate_files(files: DataFrame, sections: tuple[str, ...] = SECTIONS) -> DataFrame:
-    """file_seq, source_file, ok, reason, elements: whether each file is a whole JSON object."""
+    """file_seq, source_file, ok, reason, elements, bytes: whether each file is a whole JSON object.
 
-    def check(path: str) -> tuple[bool, str, int]:
-        n = 0
+    A file is read to its end: gzip members with their checksums, brackets, and that nothing but white space
+    follows. ``bytes`` is what was read of the file as it is stored; where ``files`` has a ``length`` above zero, both
+    must agree."""
+    length = F.col("length").cast("long") if "length" in files.columns else F.lit(None).cast("long")
+
+    def check(path: str, length: int | None) -> tuple[bool, str, int, int]:
+        n, counted = 0, None
         try:
             with opened(path) as stream:
-                for row in elements(inflated(stream), sections):
+                counted = Counted(stream)
+                for row in elements(inflated(counted), sections):
                     n += row[2] >= 0
+            if length and counted.n != length:
+                return False, f"read {counted.n} of {length} bytes", n, counted.n
         except Exception as e:  # what is wrong with the file is the answer
-            return False, str(e) or type(e).__name__, n
-        return True, "", n
+            return False, str(e) or type(e).__name__, n, counted.n if counted else 0
+        return True, "", n, counted.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths = batch.column("source_file").to_pylist()
-            ok, reason, n = zip(*map(check, paths), strict=True) if paths else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("file_seq"), batch.column("source_file"), pa.array(ok, pa.bool_()), pa.array(reason, pa.string()), pa.array(n, pa.int64())], ["file_seq", "source_file", "ok", "reason", "elements"])
+            found = [check(*x) for x in zip(batch.column("source_file").to_pylist(), batch.column("length").to_pylist(), strict=True)]
+            kinds = {"ok": pa.bool_(), "reason": pa.string(), "elements": pa.int64(), "bytes": pa.int64()}
+            yield pa.RecordBatch.from_arrays([batch.column("file_seq"), batch.column("source_file"), *(pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds.values()))], ["file_seq", "source_file", *kinds])
 
     n = max(1, files.count())
-    return files.select("file_seq", "source_file").repartitionByRange(n, "file_seq").mapInArrow(run, "file_seq int, source_file string, ok boolean, reason string, elements long")
+    asked = files.select(F.col("file_seq").cast("int").alias("file_seq"), "source_file", length.alias("length")).repartitionByRange(n, "file_seq")
+    return asked.mapInArrow(run, "file_seq int, source_file string, ok boolean, reason string, elements long, bytes long")
+
+
+def audit_files(files: DataFrame, sections: tuple[str, ...] = SECTIONS) -> DataFrame:
+    """file_seq, section, elements, malformed of every whole file, and a row with section null and the reason for every
+    other. An element is malformed if it does not fit its schema."""
+    checked = validate_files(files, sections)
+    path = sinks.work_path(files.sparkSession, "checked")
+    checked.write.parquet(path)
+    checked = files.sparkSession.read.schema(checked.schema).parquet(path)
+    whole = files.join(checked.filter("ok").select("file_seq"), "file_seq", "left_semi")
+    counted = summary.file_counters(read_elements(whole, sections)).withColumn("reason", F.lit(""))
+    broken = checked.filter("not ok").select("file_seq", F.lit(None).cast("string").alias("section"), "elements", F.lit(None).cast("long").alias("malformed"), "reason")
+    return counted.select("file_seq", "section", "elements", "malformed", "reason").unionByName(broken)

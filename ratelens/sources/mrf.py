@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import BinaryIO
 
 import numpy as np
@@ -47,8 +47,21 @@ def opened(path: str) -> BinaryIO:
     return system.open_input_stream(inner, compression=None)
 
 
+class Counted:
+    """A stream that knows how many bytes were read from it."""
+
+    def __init__(self, stream: BinaryIO):
+        self.stream, self.n = stream, 0
+
+    def read(self, size: int) -> bytes:
+        data = self.stream.read(size)
+        self.n += len(data)
+        return data
+
+
 def inflated(stream: BinaryIO) -> Iterator[bytes]:
-    """The bytes of a stream, through gzip if they begin like it; a gzip stream that ends early fails."""
+    """The bytes of a stream, through gzip if they begin like it. Each member's length and checksum are compared; a
+    gzip stream that ends early, or goes on with anything but another member, fails."""
     data = stream.read(_READ)
     if data[:2] != b"\x1f\x8b":
         while data:
@@ -57,7 +70,10 @@ def inflated(stream: BinaryIO) -> Iterator[bytes]:
         return
     gz, ended = zlib.decompressobj(31), False
     while data:
-        out = gz.decompress(data, _READ)
+        try:
+            out = gz.decompress(data, _READ)
+        except zlib.error as e:
+            raise BrokenFile(f"gzip stream is damaged: {e}") from e
         if out:
             yield out
         if gz.eof:
@@ -186,6 +202,15 @@ class Cursor:
         self.data, self.at = b"".join(parts), 0
         return len(parts) > 1
 
+    def end(self) -> None:
+        """Read what is left, which must be white space."""
+        while True:
+            self.at = _SPACE.match(self.data, self.at).end()
+            if self.at < len(self.data):
+                raise BrokenFile(f"text after the object: {self.data[self.at : self.at + 20]!r}")
+            if not self.more():
+                return
+
     def _scalar(self, first: bytes) -> bytes:
         pattern = re.compile(rb'"(?:[^"\\]++|\\.)*+"', re.S) if first == b'"' else _SCALAR
         while True:
@@ -202,12 +227,14 @@ def elements(chunks: Iterator[bytes], sections: tuple[str, ...]) -> Iterator[tup
     go on where a section stands a second time, so they are unique in a file and section.
 
     A section that is there gives a row of position -1 first, so that empty ones and their order are known. A
-    wanted single value gives a row each time that it stands there.
+    wanted single value gives a row each time that it stands there. The stream is read to its end, where only white
+    space may follow the object.
     """
     c, order, values, counts = Cursor(chunks), 0, 0, dict.fromkeys(sections, 0)
     c.take(b"{")
     if c.peek() == b"}":
-        return
+        c.at += 1
+        return c.end()
     while True:
         key = json.loads(c.value())
         c.take(b":")
@@ -237,44 +264,63 @@ def elements(chunks: Iterator[bytes], sections: tuple[str, ...]) -> Iterator[tup
             break
         c.take(b",")
     c.take(b"}")
+    c.end()
+
 
+_ROW = tuple[str, int, int, bytes | None]
 
-def _batches(file_seq: int, path: str, sections: tuple[str, ...], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    rows: list[tuple] = []
-    held = 0
+
+def _rows_of(file_seq: int, path: str, rows: Iterable[_ROW], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows of one file in batches of bounded size."""
+    held: list[_ROW] = []
+    weight = 0
 
     def batch() -> pa.RecordBatch:
-        section, order, pos, raw = zip(*rows, strict=True)
-        n = len(rows)
+        section, order, pos, raw = zip(*held, strict=True)
+        n = len(held)
         return pa.RecordBatch.from_arrays(
             [pa.array([file_seq] * n, pa.int32()), pa.array([path] * n), pa.array(section), pa.array(order, pa.int32()), pa.array(pos, pa.int64()), pa.array([None if r is None else r.decode("utf-8", "replace") for r in raw], pa.string())],
             ["file_seq", "source_file", "section", "section_ord", "pos", "raw"],
         )
 
-    with opened(path) as stream:
-        for row in elements(inflated(stream), sections):
-            rows.append(row)
-            held += len(row[3] or b"")
-            if held > size or len(rows) >= 10_000:
-                yield batch()
-                rows, held = [], 0
-    if rows:
+    for row in rows:
+        held.append(row)
+        weight += len(row[3] or b"")
+        if weight > size or len(held) >= 10_000:
+            yield batch()
+            held, weight = [], 0
+    if held:
         yield batch()
 
 
-def read_elements(files: DataFrame, sections: tuple[str, ...] = SECTIONS) -> DataFrame:
-    """Raw elements of all files of a table (file_seq, source_file); a path listed twice is read twice.
+def file_elements(path: str, sections: tuple[str, ...], length: int | None = None) -> Iterator[_ROW]:
+    """The elements of a file. ``length``, if known, is the number of bytes that must have been read."""
+    with opened(path) as stream:
+        counted = Counted(stream)
+        yield from elements(inflated(counted), sections)
+        if length and counted.n != length:
+            raise BrokenFile(f"read {counted.n} of {length} bytes")
 
-    A broken file fails the job. One task takes one file, whatever their number.
-    """
+
+def by_file(files: DataFrame, rows: Callable[[str, int | None], Iterable[_ROW]]) -> DataFrame:
+    """``rows(path, length)`` of each file of a table (file_seq, source_file and maybe length), one task to a file."""
+    length = F.col("length").cast("long") if "length" in files.columns else F.lit(None).cast("long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for seq, path in zip(batch.column("file_seq").to_pylist(), batch.column("source_file").to_pylist(), strict=True):
-                yield from _batches(seq, path, sections)
+            for seq, path, size in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                yield from _rows_of(seq, path, rows(path, size))
 
     n = max(1, files.count())
-    return files.select("file_seq", "source_file").repartitionByRange(n, "file_seq").mapInArrow(run, RAW)
+    return files.select(F.col("file_seq").cast("int").alias("file_seq"), "source_file", length.alias("length")).repartitionByRange(n, "file_seq").mapInArrow(run, RAW)
+
+
+def read_elements(files: DataFrame, sections: tuple[str, ...] = SECTIONS) -> DataFrame:
+    """Raw elements of all files of a table (file_seq, source_file); a path listed twice is read twice.
+
+    A broken file fails the job, and so does one whose bytes are not as many as a ``length`` column says (none, or
+    zero: not known). One task takes one file, whatever their number."""
+    return by_file(files, lambda path, length: file_elements(path, sections, length))
 
 
 class _File(InputPartition):
@@ -291,7 +337,7 @@ class _Reader(DataSourceReader):
         return [_File(k, p) for k, p in enumerate(self.paths)]
 
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
-        yield from _batches(partition.seq, partition.path, self.sections)
+        yield from _rows_of(partition.seq, partition.path, file_elements(partition.path, self.sections))
 
 
 class MrfDataSource(DataSource):
