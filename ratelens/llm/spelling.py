@@ -44,9 +44,10 @@ QMIN, QMAX = 2, 4
 PLACES = 1 << 16
 #: Grams below so many places are never frequent.
 RARE = 16
-BIG = 512
-#: Runs of A-Z, a-z and U+00C0 to U+00FF in UTF-8, after lower-casing.
+BIG = 1024
+#: Runs of A-Z, a-z and U+00C0 to U+00FF in UTF-8, after lower-casing; and what such runs can only stand in.
 _RUN = re.compile(rb"(?:[a-z]++|\xc3[\x80-\xbf])++")
+_AROUND = re.compile(rb"[a-z\x80-\xbf\xc3]++")
 #: Longer words are compared one by one.
 _WIDE = 30
 
@@ -62,6 +63,18 @@ def damaged(run: bytes, doc: int, every: int | None) -> bytes:
     return run
 
 
+def runs(text: bytes, least: int) -> list[bytes]:
+    """The runs of a text as Latin-1, but those of fewer than ``least`` bytes in UTF-8."""
+    out = []
+    for w in _AROUND.findall(text.translate(LOWER)):
+        if len(w) >= least:
+            if w.isascii():
+                out.append(w)
+            else:
+                out += [x.decode().encode("latin-1") for x in _RUN.findall(w)]
+    return out
+
+
 def word_counts(docs: DataFrame, min_length: int = 7, min_count: int = 2, damage: int | None = None) -> DataFrame:
     """word, n: the words of all texts. With ``damage``, one run in so many of a document loses a character."""
 
@@ -74,11 +87,8 @@ def word_counts(docs: DataFrame, min_length: int = 7, min_count: int = 2, damage
         for batch in slices(batches):
             for doc, text in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), strict=True):
                 crc = zlib.crc32(b"%s:" % (b"null" if doc is None else str(doc).encode()))
-                for w, n in Counter(_RUN.findall(text.translate(LOWER))).items():
-                    if len(w) < min_length:
-                        continue
-                    w = damaged(w if w.isascii() else w.decode().encode("latin-1"), crc, damage)
-                    if len(w) >= min_length:
+                for w, n in Counter(runs(text, min_length)).items():
+                    if len(w) >= min_length and len(w := damaged(w, crc, damage)) >= min_length:
                         total[w] += n
             if len(total) > 200_000:
                 yield flush()
@@ -150,19 +160,14 @@ def list_keys(word: bytes, frequent: dict[bytes, int], qmin: int = QMIN, qmax: i
     return [h(b"%s\x00%d" % (g, at)) & ~1 | side for p, g in first for side, at in ((0, p), (1, len(word) - p))]
 
 
-def near(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Whether rows of characters (filled up with zeros, one column to spare) are exactly one edit apart."""
-    swap = na > nb
-    s, t = np.where(swap[:, None], b, a), np.where(swap[:, None], a, b)
-    n, more = np.minimum(na, nb), np.abs(na - nb)
+def inserted(s: np.ndarray, t: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether rows of ``t``, of n + 1 characters, are those of ``s`` with one more; both are filled up with zeros, one
+    column to spare."""
     unequal = s != t
-    replaced = (more == 0) & (unequal.sum(axis=1) == 1)
     # Behind the first difference the longer one must go on like the shorter one.
-    first = np.where(unequal.any(axis=1), unequal.argmax(axis=1), n)
-    shifted = s[:, :-1] != t[:, 1:]
-    behind = np.arange(shifted.shape[1])
-    inserted = (more == 1) & ~(shifted & (behind >= first[:, None]) & (behind < n[:, None])).any(axis=1)
-    return replaced | inserted
+    first = unequal.argmax(axis=1)
+    behind = np.arange(s.shape[1] - 1)
+    return ~((s[:, :-1] != t[:, 1:]) & (behind >= first[:, None]) & (behind < n[:, None])).any(axis=1)
 
 
 def _one_edit(a: bytes, b: bytes) -> bool:
@@ -175,8 +180,9 @@ def _one_edit(a: bytes, b: bytes) -> bool:
 
 def list_pairs(keys: np.ndarray, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places (i < j) of words one edit apart that share a key; keys are sorted, and their lists bounded."""
-    size = np.array([len(w) for w in words], dtype=np.int64)
-    matrix = np.frombuffer(b"".join([w[:_WIDE].ljust(_WIDE + 2, b"\0") for w in words]), dtype=np.uint8).reshape(-1, _WIDE + 2)
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    width = min(_WIDE, int(size.max(initial=0))) + 2
+    matrix = np.frombuffer(b"".join([w[: width - 2].ljust(width, b"\0") for w in words]), dtype=np.uint8).reshape(-1, width)
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     ends = np.concatenate([starts[1:], [len(keys)]])
     last = np.repeat(ends, ends - starts)  # the end of each row's list
@@ -189,12 +195,16 @@ def list_pairs(keys: np.ndarray, words: list[bytes]) -> Iterator[tuple[np.ndarra
         i = np.repeat(np.arange(begin, begin + len(k)), k)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
         begin += len(k)
-        more_or_less = np.abs(size[i] - size[j])
-        close = (more_or_less == 1) | (more_or_less == 0) & (keys[i] & 1 == 0)
-        i, j = i[close], j[close]
+        longer = size[i] - size[j]
+        close = (np.abs(longer) == 1) | (longer == 0) & (keys[i] & 1 == 0)
+        i, j, longer = i[close], j[close], longer[close]
         wide = np.maximum(size[i], size[j]) > _WIDE
         hit = np.zeros(len(i), dtype=bool)
-        hit[~wide] = near(matrix[i[~wide]], matrix[j[~wide]], size[i[~wide]], size[j[~wide]])
+        same = np.flatnonzero(~wide & (longer == 0))
+        hit[same] = np.count_nonzero(matrix[i[same]] != matrix[j[same]], axis=1) == 1
+        other = np.flatnonzero(~wide & (longer != 0))
+        short, long = np.where(longer[other] < 0, i[other], j[other]), np.where(longer[other] < 0, j[other], i[other])
+        hit[other] = inserted(matrix[short], matrix[long], size[short])
         for at in np.flatnonzero(wide).tolist():
             hit[at] = _one_edit(words[i[at]], words[j[at]])
         yield i[hit], j[hit]
@@ -207,27 +217,28 @@ def near_pairs(words: DataFrame, qmin: int = QMIN, qmax: int = QMAX, places: int
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [np.unique(np.array(list_keys(w, frequent, qmin, qmax), dtype=np.uint64)).view(np.int64) for w in _latin(batch.column("word"))]
+            words_ = _latin(batch.column("word"))
+            keys = [np.unique(np.array(list_keys(w, frequent, qmin, qmax), dtype=np.uint64)).view(np.int64) for w in words_]
             row = pa.array(np.repeat(np.arange(len(keys)), [len(x) for x in keys]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.zeros(0, dtype=np.int64)])), batch.column("word").take(row), batch.column("n").take(row)], ["key", "word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.zeros(0, dtype=np.int64)])), pa.array(words_, pa.binary()).take(row), batch.column("n").take(row)], ["key", "w", "n"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = xxhash.xxh3_64_intdigest
         for batch in batches:
             keys = []
-            for key, w in zip(batch.column("key").to_pylist(), _latin(batch.column("word")), strict=True):
+            for key, w in zip(batch.column("key").to_pylist(), batch.column("w").to_pylist(), strict=True):
                 left = {w} | {w[:k] + w[k + 1 :] for k in range(len(w))}
                 keys.append(np.array([h(b"%d:%s" % (key, x)) & ~1 | key & 1 for x in left], dtype=np.uint64).view(np.int64))
             row = pa.array(np.repeat(np.arange(len(keys)), [len(x) for x in keys]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.zeros(0, dtype=np.int64)])), batch.column("word").take(row), batch.column("n").take(row)], ["key", "word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.zeros(0, dtype=np.int64)])), batch.column("w").take(row), batch.column("n").take(row)], ["key", "w", "n"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
 
         def found(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for i, j in list_pairs(rows.column("key").to_numpy(), _latin(rows.column("word"))):
+            for i, j in list_pairs(rows.column("key").to_numpy(), rows.column("w").to_pylist()):
                 sides = [rows.take(pa.array(x)) for x in (i, j)]
-                yield pa.RecordBatch.from_arrays([x.column(c) for x in sides for c in ("word", "n")], ["a", "na", "b", "nb"])
+                yield pa.RecordBatch.from_arrays([x.column(c) for x in sides for c in ("w", "n")], ["a", "na", "b", "nb"])
 
         for batch in batches:
             if held is not None and held.num_rows:
@@ -243,15 +254,17 @@ def near_pairs(words: DataFrame, qmin: int = QMIN, qmax: int = QMAX, places: int
         if held is not None:
             yield from found(held)
 
-    row = "key long, word string, n long"
+    row = "key long, w binary, n long"
     posted = stored(words.mapInArrow(post, row), "gram-lists")
     long = posted.groupBy("key").agg(F.count("*").alias("len")).filter(F.col("len") > big).select("key")
     lists = posted.join(long, "key", "left_anti").unionByName(posted.join(long, "key", "left_semi").mapInArrow(cut, row))
     lists = lists.repartition(shuffle_width(spark), "key").sortWithinPartitions("key")
-    pairs = lists.mapInArrow(compare, "a string, na long, b string, nb long")
+    pairs = lists.mapInArrow(compare, "a binary, na long, b binary, nb long")
     swap = F.col("a") > F.col("b")
     pick = lambda x, y: F.when(swap, F.col(x)).otherwise(F.col(y))
-    return pairs.select(pick("b", "a").alias("a"), pick("nb", "na").alias("na"), pick("a", "b").alias("b"), pick("na", "nb").alias("nb")).distinct()
+    once = pairs.select(pick("b", "a").alias("a"), pick("nb", "na").alias("na"), pick("a", "b").alias("b"), pick("na", "nb").alias("nb")).distinct()
+    # Latin-1 keeps the order of code points.
+    return once.select(*(F.decode(c, "ISO-8859-1").alias(c) if c in "ab" else c for c in once.columns))
 
 
 def follow(forms: DataFrame) -> DataFrame:
