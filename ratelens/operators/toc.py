@@ -32,6 +32,24 @@ def resolve_toc(raw: DataFrame, plan_id: str) -> DataFrame:
     return first.select("url", F.col("at.file_seq").alias("toc_seq"), F.col("at.pos").alias("structure_pos"), F.col("at.file_pos").alias("file_pos"))
 
 
+def plan_index(raw: DataFrame) -> DataFrame:
+    """plan_id (lower case), url, toc_seq, structure_pos, file_pos: the files of every plan, each where it first stands.
+
+    A structure's plans and files are both lists, so its pairs are made only after each list's repeats are gone."""
+    structures = decode(raw.filter("section = 'reporting_structure'"), STRUCTURE, "file_seq", "pos")
+    plans = F.array_distinct(F.transform("reporting_plans", lambda p: F.lower(p["plan_id"])))
+    listed = structures.select("file_seq", "pos", F.explode(F.filter(plans, lambda p: p.isNotNull())).alias("plan_id"), "in_network_files")
+    located = listed.select("plan_id", "file_seq", "pos", F.posexplode("in_network_files").alias("file_pos", "f")).filter(F.coalesce("f.location", F.lit("")) != "")
+    first = located.groupBy("plan_id", F.col("f.location").alias("url")).agg(F.min(F.struct("file_seq", "pos", "file_pos")).alias("at"))
+    return first.select("plan_id", "url", F.col("at.file_seq").alias("toc_seq"), F.col("at.pos").alias("structure_pos"), F.col("at.file_pos").alias("file_pos"))
+
+
+def resolve_plans(index: DataFrame, plans: DataFrame) -> DataFrame:
+    """plan_id as given, url and its place, for every plan of a table (plan_id); plans that repeat, but for case, count once each."""
+    asked = plans.select("plan_id").distinct().select(F.col("plan_id").alias("asked"), F.lower("plan_id").alias("plan_id"))
+    return asked.join(index, "plan_id").select(F.col("asked").alias("plan_id"), "url", "toc_seq", "structure_pos", "file_pos")
+
+
 def entity_name(raw: DataFrame) -> DataFrame:
     """One row: the reporting entity of the last file that names one, the last name in it."""
     name = F.from_json(F.concat(F.lit('{"v":'), "raw", F.lit("}")), "v STRING")["v"]

@@ -88,8 +88,9 @@ def raw_elements(spark: SparkSession, sf_dir: str, sparse: bool = False) -> Data
     return raw_references(spark, sf_dir).unionByName(_raw(items(spark, sf_dir, sparse), "in_network", 1))
 
 
-def write_mrf(spark: SparkSession, sf_dir: str) -> str:
-    """The folder of gzipped rate files, each with the items of a range of parts and the references that they need."""
+def write_mrf(spark: SparkSession, sf_dir: str, damaged: bool = False) -> str:
+    """The folder of gzipped rate files, each with the items of a range of parts and the references that they need.
+    ``damaged``: of five files, number 1 goes on after its object and number 2 is cut off."""
     found = items(spark, sf_dir).withColumn("bucket", F.floor(F.col("pos") / PARTS).cast("int"))
     body = F.struct("billing_code_type", "billing_code", "name", "description", "negotiation_arrangement", "negotiated_rates")
     listed = found.groupBy("file_seq", "bucket").agg(F.concat_ws(",", F.collect_list(F.to_json(body))).alias("items"))
@@ -99,13 +100,22 @@ def write_mrf(spark: SparkSession, sf_dir: str) -> str:
     whole = F.concat(F.lit('{"reporting_entity_name": "a plan", "provider_references": ['), F.coalesce("refs", F.lit("")), F.lit('], "other": {"x": [1, "]}"]}, "in_network": ['), "items", F.lit("]}"))
     path = sinks.work_path(spark, "mrf")
     rows = listed.join(ref_list, ["file_seq", "bucket"], "left").select((F.col("bucket") * 3 + F.col("file_seq")).alias("seq"), whole.alias("value"))
+    if damaged:
+        text = F.col("value")
+        rows = rows.withColumn("value", F.when(F.col("seq") % 5 == 1, F.concat(text, F.lit(" {"))).when(F.col("seq") % 5 == 2, F.left(text, F.length(text) - 3)).otherwise(text))
     rows.write.partitionBy("seq").option("compression", "gzip").text(path)
     return path
 
 
-def write_mrf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def write_damaged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog of written files, some of them damaged; of five, number 3 should be a byte longer than it is."""
+    files = write_mrf_files(spark, sf_dir, damaged=True)
+    return files.withColumn("length", F.when(F.col("file_seq") % 5 == 3, F.col("length") + 1).otherwise(F.col("length")))
+
+
+def write_mrf_files(spark: SparkSession, sf_dir: str, damaged: bool = False) -> DataFrame:
     """The catalog of the written files."""
-    return file_catalog(spark, write_mrf(spark, sf_dir)).select(F.regexp_extract("path", "seq=([0-9]+)", 1).cast("int").alias("file_seq"), F.col("path").alias("source_file"), "length")
+    return file_catalog(spark, write_mrf(spark, sf_dir, damaged)).select(F.regexp_extract("path", "seq=([0-9]+)", 1).cast("int").alias("file_seq"), F.col("path").alias("source_file"), "length")
 
 
 def write_tocs(spark: SparkSession, files: DataFrame) -> DataFrame:

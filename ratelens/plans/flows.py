@@ -2,36 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratelens.operators import search, toc
-from ratelens.sources import mrf, sinks
+from ratelens.schemas import RESULT_COLUMNS
+from ratelens.sources import blocks, matching, mrf, sinks
 from ratelens.sources.files import input_union
 
 
-def search_files(files: DataFrame, npis: search.Targets, single_pass: bool = False) -> DataFrame:
-    """All prices of the targets in the files of a table (file_seq, source_file).
+#: A file of more stored bytes is cut on all cores; a smaller one is a task of its own.
+LARGE = 512 << 20
+
 
-    Every file is read once: its elements are staged by section, references only if their text holds a target
-    (for up to ``search.LISTED`` numbers), and the search reads what is staged. ``single_pass`` limits the result
-    to ``search.single_pass_files``; then all references are staged, as it counts them."""
-    raw = mrf.read_elements(files)
-    listed = not isinstance(npis, DataFrame)
-    if single_pass:
-        raw = sinks.stage(raw)
-        only = search.single_pass_files(raw, npis)
-        raw = search.prefilter_raw(raw, npis) if listed else raw
-    else:
-        raw, only = sinks.stage(search.prefilter_raw(raw, npis) if listed else raw), None
-    return search.search_rates(search.read_provider_references(raw), search.read_in_network(raw), npis, only)
+def search_files(files: DataFrame, npis: search.Targets, single_pass: bool = False, large: int = LARGE, block: int = blocks.BLOCK) -> DataFrame:
+    """All prices of the targets in the files of a table (file_seq, source_file, maybe length).
+
+    Every file is scanned once, in a task of its own that lets through only elements that can match (a file whose
+    rates come before its references is read twice); these few are staged, and the search joins what is staged.
+    Files whose ``length`` is above ``large`` are inflated into blocks, which all cores cut and filter. A table of
+    more than ``matching.MOST_TARGETS`` numbers is joined after the scan. ``single_pass`` limits the result to
+    ``search.single_pass_files``; then all references are staged, as it counts them."""
+    listed = matching.few_enough(npis)
+    few = listed is not None and len(listed) <= search.LISTED
+    parts, small = [], files
+    if "length" in files.columns:
+        small, huge = files.filter(F.coalesce(F.col("length") <= large, F.lit(True))), files.filter(F.col("length") > large)
+        if not huge.isEmpty():
+            raw = blocks.read_split(huge, size=block)
+            parts.append(search.prefilter_raw(raw, listed) if few and not single_pass else raw)
+    parts.append(mrf.read_elements(small) if listed is None else matching.read_matching(small, listed, all_references=single_pass))
+    raw = sinks.stage(reduce(DataFrame.unionByName, parts))
+    only = search.single_pass_files(raw, npis) if single_pass else None
+    wanted = listed if few else npis if isinstance(npis, DataFrame) else listed
+    return search.search_rates(search.read_provider_references(raw), search.read_in_network(raw), wanted, only)
 
 
 def plan_files(tables_of_contents: DataFrame, plan_id: str) -> DataFrame:
     """file_seq, source_file: the files of a plan, in the order in which tables of contents (file_seq, source_file) list them."""
     urls = toc.resolve_toc(mrf.read_elements(tables_of_contents, ("reporting_structure",)), plan_id)
-    place = (F.col("toc_seq").cast("long") * (1 << 40)) + F.col("structure_pos") * (1 << 16) + F.col("file_pos")
-    return input_union(urls.select(place.alias("pos"), "url")).withColumn("file_seq", F.col("file_seq").cast("int"))
+    # A plan's files are as many as one table of contents names for it; they are numbered in their order.
+    place = F.row_number().over(Window.orderBy("toc_seq", "structure_pos", "file_pos")) - 1
+    return urls.select(place.cast("int").alias("file_seq"), F.col("url").alias("source_file"))
+
+
+def plans_files(tables_of_contents: DataFrame, plans: DataFrame) -> DataFrame:
+    """plan_id, file_seq, source_file: the files of every plan of a table (plan_id), numbered for each plan by itself."""
+    urls = toc.resolve_plans(toc.plan_index(mrf.read_elements(tables_of_contents, ("reporting_structure",))), plans)
+    place = F.row_number().over(Window.partitionBy("plan_id").orderBy("toc_seq", "structure_pos", "file_pos")) - 1
+    return urls.select("plan_id", place.cast("int").alias("file_seq"), F.col("url").alias("source_file"))
+
+
+def search_plans(tables_of_contents: DataFrame, plans: DataFrame, npis: search.Targets) -> DataFrame:
+    """plan_id and all prices of the targets in each plan's files. A file of several plans is read once."""
+    spark, path = tables_of_contents.sparkSession, sinks.work_path(tables_of_contents.sparkSession, "plans-files")
+    plans_files(tables_of_contents, plans).write.parquet(path)
+    listed = spark.read.parquet(path)
+    files = listed.select("source_file").distinct().select(F.xxhash64("source_file").alias("pos"), F.col("source_file").alias("url"))
+    found = search_files(input_union(files).withColumn("file_seq", F.col("file_seq").cast("int")), npis)
+    return found.drop("file_seq").join(listed, "source_file").select("plan_id", "file_seq", *RESULT_COLUMNS)
 
 
 def search_plan(tables_of_contents: DataFrame, plan_id: str, npis: search.Targets) -> DataFrame:

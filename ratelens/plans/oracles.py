@@ -108,7 +108,23 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 11 <> 0
   CASE WHEN s_suppkey % 6 = 0 THEN 'D' ELSE 'A' END AS status FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 11 <> 0""",
     "multiline_source": _rows(f"{_IN} AND {_BOTH}", source=False),
     "plan_to_results": _rows(f"{_IN} AND {_BOTH} AND (f + 3 * (p_partkey // 500)) % 2 = 1", source=False),
-    "lines_roundtrip": _rows(f"{_IN} AND {_BOTH}", source=False),
+    "lines_roundtrip": _FULL,
     "lines_of_a_file": _rows(f"{_IN} AND {_BOTH} AND f = 0"),
     "output_roundtrip": f"SELECT *, '{_NPIS}' AS npis, CAST(3 AS BIGINT) AS searched_files, (SELECT count(DISTINCT source_file) FROM ({_FULL})) AS matched_files FROM ({_FULL})",
+    "validate_damaged": f"""{_BUCKETS} SELECT DISTINCT file_seq, file_seq % 5 NOT IN (1, 2, 3) AS ok,
+  CASE file_seq % 5 WHEN 1 THEN 'text after' WHEN 2 THEN 'cut off' WHEN 3 THEN 'length' ELSE '' END AS kind FROM files""",
+    "audit_files": f"""{_BUCKETS}, held AS (SELECT file_seq, count(DISTINCT p_partkey) AS items, count(DISTINCT CASE WHEN l_linestatus = 'F' AND (f < 2 OR l_suppkey % 2 = 0) THEN l_suppkey END) AS refs FROM files GROUP BY file_seq)
+SELECT file_seq, 'in_network' AS section, items AS elements, CAST(0 AS BIGINT) AS malformed FROM held WHERE file_seq % 5 IN (0, 4)
+UNION ALL SELECT file_seq, 'provider_references', refs, 0 FROM held WHERE file_seq % 5 IN (0, 4)
+UNION ALL SELECT file_seq, '<none>', NULL, NULL FROM held WHERE file_seq % 5 IN (1, 2, 3)""",
+    "mrf_blocks_roundtrip": _rows(f"{_IN} AND {_BOTH}", source=False),
+    "search_many_npis": _rows(_BOTH, source=False),
+    "land_versions": _rows(f"{_IN} AND {_BOTH}", source=False),
+    "plans_files": f"""WITH plans AS (SELECT DISTINCT pos, unnest([c_name, n_name]) AS plan_id FROM {_STRUCTURES}), places AS (SELECT DISTINCT pos FROM plans),
+located AS (
+  SELECT pos, 0 AS file_pos, 'https://files.example.com/shared.json.gz' AS url FROM places
+  UNION ALL SELECT m.pos, 1 + row_number() OVER (PARTITION BY m.pos ORDER BY page_id), url FROM places m JOIN pages ON page_id // 3 = m.pos),
+first AS (SELECT plan_id, url, min(pos * 1000 + file_pos) AS place FROM plans JOIN located USING (pos) GROUP BY plan_id, url)
+SELECT plan_id, url, place // 1000 AS structure_pos, place % 1000 AS file_pos FROM first""",
+    "plans_to_results": f"SELECT CASE WHEN (f + 3 * (p_partkey // 500)) % 2 = 1 THEN 'Odd' ELSE 'EVEN' END AS plan_id, * EXCLUDE (f, p_partkey) FROM ({_rows(f'{_IN} AND {_BOTH}', source=False).replace('SELECT  1000000000', 'SELECT f, p_partkey, 1000000000')})",
 }

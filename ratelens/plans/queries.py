@@ -14,7 +14,7 @@ from ratelens.plans import flows
 from ratelens.plans.oracles import PLAN, SQL, TARGETS  # noqa: F401
 from ratelens.schemas import ITEM, REFERENCE
 from ratelens.sources import files as sources
-from ratelens.sources import mrf, sinks
+from ratelens.sources import landing, mrf, sinks
 
 NPIS = [1_000_000_000 + k for k in TARGETS]
 ONE = NPIS[:1]
@@ -236,14 +236,14 @@ def lines_roundtrip(spark, sf):
     """Elements as plain lines, read back by file and section, and searched."""
     path = sinks.work_path(spark, "lines")
     sinks.write_lines(A.raw_elements(spark, sf), path)
-    return flat(search.search_rates(*_typed(sources.read_line_folders(spark, path)), NPIS)).drop("source_file")
+    return flat(search.search_rates(*_typed(sources.read_line_folders(spark, path)), NPIS))
 
 
 def lines_of_a_file(spark, sf):
     """The references and rates of the first file, from its line files alone."""
     path = sinks.work_path(spark, "lines")
     sinks.write_lines(A.raw_elements(spark, sf), path)
-    refs, items = (sources.read_lines(spark, [f"{path}/file_seq=0/section={s}"], s, source_file="rates_A.json.gz") for s in mrf.SECTIONS)
+    refs, items = (sources.read_lines(spark, [f"{path}/lines/file_seq=0/section={s}"], s, source_file="rates_A.json.gz") for s in mrf.SECTIONS)
     return flat(search.search_rates(search.read_provider_references(refs), search.read_in_network(items), NPIS))
 
 
@@ -273,6 +273,50 @@ def validate_files(spark, sf):
     return catalog.validate_files(A.write_mrf_files(spark, sf)).select(F.col("file_seq").cast("long").alias("file_seq"), "ok", "elements")
 
 
+def validate_damaged(spark, sf):
+    """Written files of which some are cut off, go on after their object, or are not as long as they should be."""
+    found = catalog.validate_files(A.write_damaged_files(spark, sf))
+    kind = F.when(F.col("reason").contains("cut off"), "cut off").when(F.col("reason").contains("text after"), "text after").when(F.col("reason").startswith("read "), "length").otherwise(F.col("reason"))
+    return found.select(F.col("file_seq").cast("long").alias("file_seq"), "ok", kind.alias("kind"))
+
+
+def audit_files(spark, sf):
+    """Sections of the files that are whole, and one row for each of the others."""
+    found = catalog.audit_files(A.write_damaged_files(spark, sf))
+    whole = F.col("reason") == ""
+    return found.select(F.col("file_seq").cast("long").alias("file_seq"), F.coalesce("section", F.lit("<none>")).alias("section"), F.when(whole, F.col("elements")).alias("elements"), "malformed")
+
+
+def mrf_blocks_roundtrip(spark, sf):
+    """Written files, inflated into blocks of 64 KB and cut on all cores."""
+    return flat(flows.search_files(A.write_mrf_files(spark, sf), NPIS, large=0, block=1 << 16)).drop("source_file")
+
+
+def search_many_npis(spark, sf):
+    """All numbers of the registry, looked up inside the scan."""
+    return flat(flows.search_files(A.write_mrf_files(spark, sf), A.asked_npis(spark, sf))).drop("source_file")
+
+
+def land_versions(spark, sf):
+    """Half of the files landed, then all: the second landing reads the other half only."""
+    path, files = sinks.work_path(spark, "versions"), A.write_mrf_files(spark, sf)
+    landing.land_files(files.filter("file_seq % 2 = 0"), path)
+    landing.land_files(files, path)
+    return flat(landing.search_files(spark, path, NPIS)).drop("source_file")
+
+
+def plans_files(spark, sf):
+    """The files of all plans: every customer's and every nation's."""
+    plans = A.table(spark, sf, "customer").select(F.col("c_name").alias("plan_id")).union(A.table(spark, sf, "nation").select("n_name"))
+    return toc.resolve_plans(toc.plan_index(A.structures(spark, sf)), plans).select("plan_id", "url", "structure_pos", F.col("file_pos").cast("long").alias("file_pos"))
+
+
+def plans_to_results(spark, sf):
+    """The search of several plans' files, each file read once."""
+    plans = spark.createDataFrame([("Odd",), ("EVEN",), ("none",)], "plan_id string")
+    return flat(flows.search_plans(A.write_tocs(spark, A.write_mrf_files(spark, sf)), plans, NPIS)).drop("source_file")
+
+
 def file_catalog(spark, sf):
     return A.write_mrf_files(spark, sf).select(F.col("file_seq").cast("long").alias("file_seq"), catalog.known_size(F.col("length")).alias("known"))
 
@@ -297,5 +341,6 @@ _ALL = (
     duplicate_file, search_summary, file_counters, toc_resolve, toc_stats, search_plan, url_list, input_union, file_name, cdn_vendor, cdn_distribution, size_stats, human_bytes, human_count, parse_npis,
     lookup_providers, missing_providers, search_by_name, format_fields, assign_shards, merge_outputs, split_roundtrip, mrf_source_roundtrip, land_roundtrip, results_roundtrip, validate_files, file_catalog,
     registry_roundtrip, multiline_source, plan_to_results, lines_roundtrip, lines_of_a_file, output_roundtrip,
+    validate_damaged, audit_files, mrf_blocks_roundtrip, search_many_npis, land_versions, plans_files, plans_to_results,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}

@@ -54,9 +54,11 @@ def read_lines(spark: SparkSession, paths: list[str], section: str, file_seq: in
 
 
 def read_line_folders(spark: SparkSession, path: str) -> DataFrame:
-    """Raw elements of what ``write_lines`` wrote: line files in folders by file and section."""
-    lines = spark.read.schema("value STRING, file_seq INT, section STRING").text(path).filter(F.trim("value") != "")
-    return lines.select("file_seq", F.lit(path).alias("source_file"), "section", F.lit(0).alias("section_ord"), F.monotonically_increasing_id().alias("pos"), F.col("value").alias("raw"))
+    """Raw elements of what ``write_lines`` wrote: line files in folders by file and section, with their files' names."""
+    lines = spark.read.schema("value STRING, file_seq INT, section STRING").text(f"{path}/lines").filter(F.trim("value") != "")
+    lines = lines.select("file_seq", "section", F.lit(0).alias("section_ord"), F.monotonically_increasing_id().alias("pos"), F.col("value").alias("raw"))
+    names = spark.read.schema("file_seq INT, source_file STRING").json(f"{path}/names")
+    return lines.join(names, "file_seq", "left").select("file_seq", "source_file", "section", "section_ord", "pos", "raw")
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:

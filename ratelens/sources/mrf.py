@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 from ratelens.schemas import RAW
 
@@ -330,14 +330,30 @@ class _File(InputPartition):
 
 
 class _Reader(DataSourceReader):
+    """Filters on ``section`` and ``file_seq`` (equal to, or one of) are done here: other files are not opened, elements
+    of other sections not handed over. Spark asks if ``spark.sql.python.filterPushdown.enabled`` is set."""
+
     def __init__(self, paths: list[str], sections: tuple[str, ...]):
-        self.paths, self.sections = paths, sections
+        self.paths, self.sections = list(enumerate(paths)), sections
+        self.only = set(sections)
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            wanted = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
+            if wanted is not None and f.attribute == ("section",):
+                self.only &= wanted
+            elif wanted is not None and f.attribute == ("file_seq",):
+                self.paths = [(k, p) for k, p in self.paths if k in wanted]
+            else:
+                yield f
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(k, p) for k, p in enumerate(self.paths)]
+        return [_File(k, p) for k, p in self.paths] if self.only else []
 
-    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
-        yield from _rows_of(partition.seq, partition.path, file_elements(partition.path, self.sections))
+    def read(self, partition: _File | None) -> Iterator[pa.RecordBatch]:
+        if partition is not None:  # Spark asks once with nothing where there are no partitions
+            rows = file_elements(partition.path, self.sections)
+            yield from _rows_of(partition.seq, partition.path, (r for r in rows if r[0] in self.only))
 
 
 class MrfDataSource(DataSource):

@@ -32,10 +32,13 @@ def split_sections(raw: DataFrame, path: str, max_records: int = 1_000_000) -> N
 
 
 def write_lines(raw: DataFrame, path: str, max_records: int = 1_000_000) -> None:
-    """Elements as plain line files, one to a line and nothing else, in folders by file and section."""
+    """Elements as plain line files, one to a line and nothing else, in folders by file and section. The names of the
+    files stand in ``names`` beside the folders. Rows of a folder are brought together first, so that it gets few files."""
     # A line break inside an element can only stand between its tokens.
     rows = raw.filter(F.col("raw").isNotNull()).select("file_seq", "section", F.regexp_replace("raw", r"[\r\n]+", " ").alias("value"))
-    rows.write.option("maxRecordsPerFile", max_records).partitionBy("file_seq", "section").text(path)
+    rows = rows.repartition("file_seq", "section", F.pmod(F.xxhash64("value"), F.lit(16)))
+    rows.write.option("maxRecordsPerFile", max_records).partitionBy("file_seq", "section").text(f"{path}/lines")
+    raw.groupBy("file_seq").agg(F.min("source_file").alias("source_file")).write.json(f"{path}/names")
 
 
 def stage(raw: DataFrame) -> DataFrame:
@@ -49,36 +52,58 @@ def stage(raw: DataFrame) -> DataFrame:
 FILE_PARTS = 10_000
 
 
-def land(raw: DataFrame, path: str, partitions: int | None = None, spread: int = 16) -> None:
-    """Normalised tables in Parquet: members by number with a bloom filter on it, rates in folders by file.
+def land(raw: DataFrame, path: str, partitions: int | None = None, spread: int = 16, landing: str | None = None) -> None:
+    """Normalised tables in Parquet: members by number with a bloom filter on it, items in folders by file, and postings,
+    which say for each number where items list it themselves.
 
-    A search then prunes members by number and, for references, rates by the files that matched. Elements are
-    dealt once, before decoding, by file and by position modulo ``spread``, so a file's folder gets at most that
-    many files and a large file is decoded by as many tasks."""
+    A search then prunes members and postings by number, and items by the files that either of them names. Elements
+    are dealt once, before decoding, by file and by position modulo ``spread``, so a file's folder gets at most that
+    many files and a large file is decoded by as many tasks. With ``landing``, the tables stand in a folder of that name
+    within each table of ``path``, which has one for each landing."""
+    spark = raw.sparkSession
+    folder = lambda table: f"{path}/{table}" + (f"/landing={landing}" if landing else "")
     members = search.read_provider_references(raw).select("file_seq", "provider_group_id", F.explode("provider_groups").alias("g"))
     members = members.select("file_seq", "provider_group_id", F.explode("g.npi").alias("npi"), F.col("g.tin").alias("tin"))
-    by_number = members.repartitionByRange("npi").sortWithinPartitions("npi")
-    by_number.write.option("parquet.bloom.filter.enabled#npi", "true").parquet(f"{path}/members")
+    _by_number(members, folder("members"))
     file_part = F.pmod("file_seq", F.lit(FILE_PARTS)).cast("int")
     keys = [file_part, F.pmod("pos", F.lit(spread))]
     dealt = raw.filter("section = 'in_network'")
     dealt = dealt.repartition(partitions, *keys) if partitions else dealt.repartition(*keys)
-    search.read_in_network(dealt).withColumn("file_part", file_part).write.partitionBy("file_part").parquet(f"{path}/items")
+    items = search.read_in_network(dealt).select("*", file_part.alias("file_part")).sortWithinPartitions("file_part", "file_seq", "pos")
+    items.write.partitionBy("file_part").parquet(folder("items"))
+    # Only the numbers are read of what was written.
+    items = spark.read.schema(items.schema).parquet(folder("items"))
+    # A rate without groups gives null in these arrays.
+    lists = F.flatten(F.transform("negotiated_rates", lambda r: F.coalesce(r["provider_groups"]["npi"], F.array().cast("array<array<bigint>>"))))
+    numbers = F.array_distinct(F.flatten(F.transform(F.coalesce(lists, F.array().cast("array<array<bigint>>")), lambda n: F.coalesce(n, F.array().cast("array<bigint>")))))
+    _by_number(items.select("file_part", "file_seq", "pos", F.explode(numbers).alias("npi")), folder("postings"))
 
 
-def landed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Members (file_seq, provider_group_id, npi, tin) and items of landed tables."""
-    return spark.read.parquet(f"{path}/members"), spark.read.parquet(f"{path}/items")
+def _by_number(rows: DataFrame, path: str) -> None:
+    rows.repartitionByRange("npi").sortWithinPartitions("npi").write.option("parquet.bloom.filter.enabled#npi", "true").parquet(path)
+
+
+def landed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members (file_seq, provider_group_id, npi, tin), items and postings (npi, file_part, file_seq, pos) of landed tables."""
+    members, items, postings = (spark.read.parquet(f"{path}/{t}") for t in ("members", "items", "postings"))
+    return members, items, postings
 
 
 def search_landed(spark: SparkSession, path: str, npis: search.Targets) -> DataFrame:
-    """The search on landed tables. The filter on numbers reaches the scan of the members and its bloom filters;
-    for references only the folders of files with a match are read. Inline listings are looked for everywhere."""
-    members, items = landed(spark, path)
-    providers = search.only_targets(members.filter(F.col("provider_group_id").isNotNull()), npis)
-    # At most FILE_PARTS small rows, whatever the input.
-    parts = F.broadcast(providers.select(F.pmod("file_seq", F.lit(FILE_PARTS)).cast("int").alias("file_part")).distinct())
-    return search.search_matched(providers, items, npis, items.join(parts, "file_part", "left_semi"))
+    """The search on landed tables. The filter on numbers reaches the scans of members and postings and their bloom
+    filters; of items only the folders of files with a match are read, and of those only items with a posting are
+    looked through for inline listings."""
+    return search_tables(*landed(spark, path), npis)
+
+
+def search_tables(members: DataFrame, items: DataFrame, postings: DataFrame, npis: search.Targets) -> DataFrame:
+    """The search on members, items and postings of the same files."""
+    providers = search.only_targets(members.filter(F.col("provider_group_id").isNotNull()), npis).select("file_seq", "provider_group_id", "npi", "tin")
+    places = search.only_targets(postings, npis).select("file_part", "file_seq", "pos").distinct()
+    # At most FILE_PARTS small rows each, whatever the input.
+    by_reference = F.broadcast(providers.select(F.pmod("file_seq", F.lit(FILE_PARTS)).cast("int").alias("file_part")).distinct())
+    inline = items.join(F.broadcast(places.select("file_part").distinct()), "file_part", "left_semi").join(places, ["file_part", "file_seq", "pos"], "left_semi")
+    return search.search_matched(providers, inline, npis, items.join(by_reference, "file_part", "left_semi"))
 
 
 def write_results(results: DataFrame, path: str) -> None:

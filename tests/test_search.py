@@ -200,7 +200,7 @@ def test_data_source_sections_landing_and_results_agree(written, spark, tmp_path
     sinks.write_lines(raw, str(tmp_path / "lines"))
     lines = sources.read_line_folders(spark, str(tmp_path / "lines"))
     assert rates(search.search_rates(search.read_provider_references(lines), search.read_in_network(lines), [A])) == FOUR
-    apart = [sources.read_lines(spark, [str(tmp_path / "lines" / "file_seq=0" / f"section={s}")], s, 3, "a file") for s in mrf.SECTIONS]
+    apart = [sources.read_lines(spark, [str(tmp_path / "lines" / "lines" / "file_seq=0" / f"section={s}")], s, 3, "a file") for s in mrf.SECTIONS]
     rows = search.search_rates(search.read_provider_references(apart[0]), search.read_in_network(apart[1]), [A])
     assert rates(rows) == FOUR and {r["source_file"] for r in rows.collect()} == {"a file"}
     sinks.land(raw, str(tmp_path / "landed"))
