@@ -298,28 +298,28 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, block: int
     wins = windows.select("win").distinct()
     asked = stored(window_shards(index, wins), "asked")
     blocks = max(1, -(-wins.count() // block))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("win"), F.lit(blocks)).cast("int"))
-    to = asked.select(F.col("shard").alias("to_shard"), F.col("block").alias("to_block")).distinct()
-    needed = index.drop("doc_ids", "rids", "n_words").join(to, F.col("shard") == F.col("to_shard"))
-
-    def probe(shards: pa.Table, asked: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        for row in shards.to_pylist():
-            wins = asked.column("win").to_pylist()
-            window, doc, at = search_shard(row, wins)
-            order = np.lexsort((at, doc))
-            window, doc, at = window[order], doc[order], at[order]
-            end = at + np.array([wins[w].count(b" ") + 1 for w in window.tolist()], dtype=np.int64)
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)]]).tolist()
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if a < b:
-                    starts, ends = merged(at[a:b], end[a:b])
-                    out.append((row["shard"], int(doc[a]), starts, ends, [wins[w] for w in np.unique(window[a:b]).tolist()]))
-        kinds = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary()))
-        columns = list(zip(*out, strict=True)) or [()] * 5
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [c.split()[0] for c in _HITS.split(", ")])
+    # A shard's windows are lists of about ``block``; the index meets them once, and is searched as it is read.
+    packed = asked.groupBy("shard", F.pmod(F.xxhash64("win"), F.lit(blocks)).alias("block")).agg(F.collect_list("win").alias("asked")).drop("block")
 
-    hits = needed.groupBy("to_shard", "to_block").cogroup(asked.groupBy("shard", "block")).applyInArrow(probe, _HITS)
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary()))
+        for batch in batches:
+            for row in (row for k in range(batch.num_rows) for row in batch.slice(k, 1).to_pylist()):
+                out: list[tuple] = []
+                wins = row["asked"]
+                window, doc, at = search_shard(row, wins)
+                order = np.lexsort((at, doc))
+                window, doc, at = window[order], doc[order], at[order]
+                end = at + np.array([wins[w].count(b" ") + 1 for w in window.tolist()], dtype=np.int64)
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)]]).tolist()
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    if a < b:
+                        starts, ends = merged(at[a:b], end[a:b])
+                        out.append((row["shard"], int(doc[a]), starts, ends, [wins[w] for w in np.unique(window[a:b]).tolist()]))
+                columns = list(zip(*out, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [c.split()[0] for c in _HITS.split(", ")])
+
+    hits = index.drop("doc_ids", "rids", "n_words").join(packed, "shard").mapInArrow(probe, _HITS)
     hits = stored(hits, "hits")
     found = hits.groupBy("shard", "k").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
     named = hits.select("shard", "k", F.explode("wins").alias("win")).join(windows, "win").filter(F.col("item_id").isNotNull())

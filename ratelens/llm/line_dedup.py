@@ -2,8 +2,8 @@
 
 Distinct line hashes (128 bits) are counted over all documents. They are dealt into shards, and each shard
 gets a minimal perfect hash: one slot per line, which indexes an array of fingerprints and an array of
-saturated counts. Documents send their distinct line hashes to the shards and probe these arrays; no line
-text is joined. Lines that a large share of all documents hold are at most ``HEAVY`` in number whatever the
+saturated counts. Documents send their distinct line hashes to the shards, where they stream past these arrays and
+probe them; no line text is joined, and no group of them gathered. Lines that a large share of all documents hold are at most ``HEAVY`` in number whatever the
 input, so they form one more small structure that every task gets, and no shard has a hot key.
 
 Defined results: null or empty text is one empty line; lines whose key is shorter than ``min_chars`` stay;
@@ -26,6 +26,8 @@ from ratelens.llm.common import LOWER, SPACES, fresh, keyed, mix64, row_key, shu
 HEAVY = 65_536
 #: Distinct lines a shard holds at most, on average.
 SHARD_KEYS = 1 << 18
+#: Documents' lines that are asked of a shard at most, on average; a single line adds no more than pairs / ``HEAVY``.
+SHARD_PAIRS = 1 << 22
 _TRIM = SPACES.encode()
 _LEVELS = 48
 
@@ -171,7 +173,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, s
     spark = docs.sparkSession
     counts = stored(line_counts(docs, min_chars), "line-counts")
     size = counts.agg(F.count("*").alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs")).first()
-    shards = max(shuffle_width(spark), -(-size["keys"] // shard_keys))
+    shards = max(shuffle_width(spark), -(-size["keys"] // shard_keys), -(-size["pairs"] // SHARD_PAIRS))
     # Each has at least pairs / heavy of the pairs, so there are at most ``heavy`` of them.
     top = counts.filter((F.col("n") >= min_docs) & (F.col("n") * heavy > size["pairs"])).toArrow()
     # It is asked for every line, so it compares whole keys; a shard is asked only for lines that were counted.
@@ -184,17 +186,29 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, s
     shard_of = F.pmod("h1", F.lit(shards)).cast("int")
     index = stored(counts.select(shard_of.alias("shard"), "h1", "h2", "n").groupBy("shard").applyInArrow(build, _INDEX), "line-index")
 
-    def probe(asked: pa.Table, index: pa.Table) -> pa.Table:
-        if not (asked.num_rows and index.num_rows):
-            return asked.slice(0, 0).select(["doc_id", "rid", "h1", "h2"])
-        found = LineIndex.unpack(index.to_pylist()[0]).count(_keys(asked)) >= min_docs
-        return asked.filter(pa.array(found)).select(["doc_id", "rid", "h1", "h2"])
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A shard's index comes first, then all that is asked of it, batch by batch: no group is gathered."""
+        shard, here = None, None
+        for batch in batches:
+            shards, asked = batch.column("shard").to_numpy(), batch.column("asked").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((shards[1:] != shards[:-1]) | (asked[1:] != asked[:-1])) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                if not asked[a]:
+                    shard, here = shards[a], LineIndex.unpack(part.slice(0, 1).to_pylist()[0])
+                elif shard == shards[a]:
+                    found = here.count(_keys(part)) >= min_docs
+                    yield part.filter(pa.array(found)).select(["doc_id", "rid", "h1", "h2"])
 
     names = docs.columns
     *new, rid, hit_id, hit_rid, own = fresh(names, "line_n", "line_dropped", "rid", "hit_id", "hit_rid", "hits")
     here = docs.withColumn(rid, row_key())
     asked = _pairs(keyed(docs), min_chars, heavy_index, shards)
-    hits = asked.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(probe, "doc_id long, rid long, h1 long, h2 long")
+    both = asked.withColumn("asked", F.lit(True)).unionByName(index.withColumn("asked", F.lit(False)), allowMissingColumns=True)
+    both = both.repartition(shuffle_width(spark), "shard").sortWithinPartitions("shard", "asked")
+    hits = both.mapInArrow(probe, "doc_id long, rid long, h1 long, h2 long")
     gone = hits.groupBy(F.col("doc_id").alias(hit_id), F.col("rid").alias(hit_rid)).agg(F.collect_set(F.struct("h1", "h2")).alias(own))
     joined = here.join(gone, here["doc_id"].cast("long").eqNullSafe(gone[hit_id]) & (here[rid] == gone[hit_rid]), "left").select(*(here[c] for c in names), own)
 

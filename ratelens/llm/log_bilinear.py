@@ -8,10 +8,12 @@ factors are normalised exactly, so the probabilities of all words and of one uns
 up to one; no token is outside the model. The number of classes follows the root of the number of tokens, up to
 ``MOST`` (what grows without bound are the words' counts, which stay in a table).
 
-Training documents are dealt into shards of about ``SHARD`` tokens by their row keys. Each shard trains the model
+Training documents are dealt into shards of about ``SHARD`` tokens by their row keys, and the copies of a row that
+repeats more than ``COPIES`` times over several shards. Each shard trains the model
 by itself, with noise words drawn by the class frequencies, and the results are averaged by tokens, ``ROUNDS``
 times; a shard's steps do not depend on how many shards there are. Seeds come from the shard's number, so neither
-partitions nor tasks change the result but for the order in which floats are added. A number for each pair of
+partitions nor tasks change the result but for the order in which floats are added, and for how many copies of a
+repeated row a shard gets. A number for each pair of
 context classes, the normaliser, is tabulated by matrix products.
 
 Defined results: null or empty text is the end token alone; a null doc_id hashes as "null"; without training
@@ -30,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratelens.llm.common import LOWER, keyed, shuffle_width, slices, stored, utf8
@@ -46,6 +48,8 @@ ROUNDS = 2
 RATE = 0.05
 #: Training tokens of a shard, and the steps that a shard takes at least.
 SHARD, STEPS = 1 << 22, 400
+#: Rows of one key that stay together; more are dealt into several shards, by copy.
+COPIES = 64
 #: Words with at least one in so many of all tokens are counted in each task, the others by a join.
 FREQUENT = 1 << 20
 #: The end token's hash: that of a space, which no word holds.
@@ -203,8 +207,9 @@ def rare_words(table: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(np.concatenate([*hashes, np.zeros(0, dtype=np.int64)])), pa.array(t), pa.array(np.where(train, t, 0).astype(np.int32))], ["uid", "h", "times", "training"])
 
     rows = table.select("uid", "held_out", "rare", "rare_times").mapInArrow(run, "uid long, h long, times int, training int")
-    word = Window.partitionBy("h")
-    counted = rows.select("uid", "times", F.sum("training").over(word).alias("c"))
+    # Counted where they are, and joined by keys, which can be split: a word may be in very many held-out texts only.
+    counts = rows.groupBy("h").agg(F.sum("training").alias("c"))
+    counted = rows.join(counts, "h").select("uid", "times", "c")
     found = counted.groupBy("uid").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("rare_log"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rare_known"))
     return stored(found, "rare")
 
@@ -279,7 +284,11 @@ def fit(table: DataFrame, words: Words, rounds: int = ROUNDS, shard: int = SHARD
     model = Model(frequency)
     spark = table.sparkSession
     shards = max(1, -(-words.tokens // shard))
-    dealt = table.filter(~F.col("held_out")).select(F.pmod(F.xxhash64("rid"), F.lit(shards)).alias("shard"), "rid", "classes")
+    rows = table.filter(~F.col("held_out")).select("uid", "rid", "classes")
+    # Rows that repeat share their key: those of many copies are dealt by copy.
+    many = rows.groupBy("rid").agg(F.count("*").alias("copies")).filter(F.col("copies") > COPIES)
+    rows = rows.join(many, "rid", "left").withColumn("copy", F.pmod("uid", F.ceil(F.coalesce("copies", F.lit(1)) / COPIES)))
+    dealt = rows.select(F.pmod(F.xxhash64("rid", "copy"), F.lit(shards)).alias("shard"), "rid", "classes")
     dealt = dealt.repartition(max(shuffle_width(spark), -(-shards // 4)), "shard").sortWithinPartitions("shard", "rid")
     for k in range(rounds):
         rate = RATE / (k + 1)

@@ -124,3 +124,87 @@ def substrings(rows, width=50):
 
 def held_out(i):
     return zlib.crc32(("null" if i is None else str(i)).encode()) % 7 == 2
+
+
+def jaccard_groups(rows, shingle=3, percent=90):
+    """rows: (doc_id, text); the size of each set and the smallest doc_id that links reach (null last)."""
+    sets = []
+    for _, t in rows:
+        w = WORD.findall((t or "").translate(AZ))
+        sets.append({tuple(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    at = defaultdict(list)
+    for k, own in enumerate(sets):
+        shared = Counter(j for x in own for j in at[x])
+        for j, n in shared.items():
+            if 100 * n >= percent * (len(own) + len(sets[j]) - n):
+                root[find(k)] = find(j)
+        for x in own:
+            at[x].append(k)
+    least = defaultdict(lambda: None)
+    for k, (i, _) in enumerate(rows):
+        g = find(k)
+        least[g] = i if least[g] is None else least[g] if i is None else min(i, least[g])
+    return [(i, len(own), least[find(k)]) for k, ((i, _), own) in enumerate(zip(rows, sets))]
+
+
+def variants(rows, least=7, damage=31, ratio=10, min_count=2):
+    """word, form, root, n, n_near, form_n; rows: (doc_id, text)."""
+    n = Counter()
+    for i, t in rows:
+        for w in re.findall("[A-Za-z\u00c0-\u00ff]+", t or ""):
+            w = w.translate(AZ)
+            h = zlib.crc32(f"{'null' if i is None else i}:{w}".encode())
+            w = w[: h % len(w)] + w[h % len(w) + 1 :] if damage and h % damage == 0 else w
+            n[w] += len(w) >= least
+    return variants_of({w: k for w, k in n.items() if k >= min_count}, ratio)
+
+
+def variants_of(n, ratio=10):
+    def one(a, b):
+        a, b = sorted((a, b), key=len)
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        return len(b) == len(a) + 1 and any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+    left, near, form = defaultdict(set), defaultdict(set), {}
+    for w in n:
+        for x in {w} | {w[:k] + w[k + 1 :] for k in range(len(w))}:
+            left[x].add(w)
+    for group in left.values():
+        for a in group:
+            near[a] |= {b for b in group if a != b and one(a, b)}
+    for w in n:
+        if near[w]:
+            best = min(near[w], key=lambda x: (-n[x], x))
+            if n[best] >= ratio * n[w]:
+                form[w] = best
+
+    def root(w):
+        while w in form:
+            w = form[w]
+        return w
+
+    return [(w, form.get(w), root(w), k, len(near[w]), n.get(form.get(w))) for w, k in n.items()]
+
+
+def hard_negatives(rows, anchors, positives=5, negatives=3):
+    """rows: (vec_id, label, components), all usable and whole numbers; anchors: ids."""
+    rows = sorted({(i, int(label), tuple(map(int, v))) for i, label, v in rows})
+    dim, out = max((len(v) for _, _, v in rows), default=0), set()
+    q = np.array([list(v) + [0] * (dim - len(v)) for _, _, v in rows], dtype=object)
+    for k, (i, label, _) in enumerate(rows):
+        if i not in anchors:
+            continue
+        score = [int(sum(a * b for a, b in zip(x, q[k]))) for x in q]
+        same = sorted((-s, j) for s, (j, own, _) in zip(score, rows) if own == label and j != i)[:positives]
+        for p, j in same:
+            inside = sorted((-s, m) for s, (m, own, _) in zip(score, rows) if own != label and 50 * -p <= 100 * s <= 95 * -p)[:negatives]
+            out |= {(i, j, r, m, -p, -s) for r, (s, m) in enumerate(inside, 1)}
+    return out
