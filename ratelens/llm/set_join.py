@@ -11,7 +11,8 @@ the same result; rare-first keeps shared passages out of the lists.
 Such a shingle is posted under (shingle, size block), where a block's sizes span one similarity threshold, so a
 partner stands in the same block or the one next to it. A posting goes to a block only if its position leaves
 enough shingles behind it for some size of that block: what stands too deep skips the block. Within a list a
-pair is passed on only if sizes, positions and a 64-bit parity map of both sets still allow the threshold.
+pair is passed on only if sizes, positions and a 64-bit parity map of both sets still allow the threshold, and
+compared only if maps of 512 bits do.
 
 *Deriving answers.* In each list, every set is first compared with the earliest one alone (linear work); such a
 verified pair also keeps the difference of both sets. Sets that are linked so far need no more comparisons among
@@ -112,7 +113,7 @@ def size_blocks(percent: int) -> np.ndarray:
 
 
 def describe(docs: DataFrame, ranks: np.ndarray, shingle: int, percent: int, with_fp: bool = False) -> DataFrame:
-    """doc_id, rid, cls, n, blk, bits, prefix (array), fp of every row. ``fp`` is a SimHash fingerprint or null."""
+    """doc_id, rid, cls, n, blk, bits, map, prefix (array), fp of every row. ``bits`` and ``map`` are parity maps. ``fp`` is a SimHash fingerprint or null."""
     starts, mask = size_blocks(percent), np.uint64(len(ranks) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +125,7 @@ def describe(docs: DataFrame, ranks: np.ndarray, shingle: int, percent: int, wit
                 n = len(found)
                 cls.append(xxhash.xxh3_128_digest(found.tobytes()))
                 sizes.append(n)
-                maps.append(np.packbits((np.bincount((found >> np.uint64(58)).astype(np.int64), minlength=64) & 1).astype(np.uint8)).tobytes())
+                maps.append(np.packbits((np.bincount((found >> np.uint64(55)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).tobytes())
                 # A set that only its own equals can be linked with no other class.
                 k = n - -(-percent * n // 100) + 1 if n * 100 >= percent * (n + 1) else 0
                 key = ranks[(found & mask).astype(np.int64)].astype(np.uint64) << np.uint64(56) | found >> np.uint64(8)
@@ -132,19 +133,22 @@ def describe(docs: DataFrame, ranks: np.ndarray, shingle: int, percent: int, wit
                 fps.append(majority(digests) if with_fp else bytes(8))
             n = np.array(sizes, dtype=np.int64)
             blk = np.searchsorted(starts, n, side="right") - 1
-            bits = np.frombuffer(b"".join(maps), dtype=">i8").astype(np.int64)
+            wide = np.frombuffer(b"".join(maps), dtype=">i8").astype(np.int64)
+            # The exclusive or of a map's words is a map of 64 bits.
+            bits = np.bitwise_xor.reduce(wide.reshape(-1, 8), axis=1) if len(n) else wide
+            wide = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * 8), pa.array(wide))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*prefixes, np.zeros(0, dtype=np.int64)])))
             fp = pa.array(np.frombuffer(b"".join(fps), dtype=">i8").astype(np.int64)) if with_fp else pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(cls, pa.binary()), pa.array(n), pa.array(blk.astype(np.int32)), pa.array(bits), prefix, fp], ["doc_id", "rid", "cls", "n", "blk", "bits", "prefix", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(cls, pa.binary()), pa.array(n), pa.array(blk.astype(np.int32)), pa.array(bits), wide, prefix, fp], ["doc_id", "rid", "cls", "n", "blk", "bits", "map", "prefix", "fp"])
 
-    return keyed(docs).mapInArrow(run, "doc_id long, rid long, cls binary, n long, blk int, bits long, prefix array<long>, fp long")
+    return keyed(docs).mapInArrow(run, "doc_id long, rid long, cls binary, n long, blk int, bits long, map array<long>, prefix array<long>, fp long")
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
     """id, cls, late, doc_id, rid, copies, and the columns of a set: one row for each distinct set, with its earliest
     document. Ids are numbers in the order of these documents."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "rid", "n", "blk", "bits", "prefix", "fp"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "rid", "n", "blk", "bits", "map", "prefix", "fp"))
     classes = rows.groupBy("cls").agg(first.alias("x"), F.count("*").alias("copies")).select("cls", "copies", "x.*")
     # Numbers of a range-sorted table rise from partition to partition; once it is written, they stay.
     return stored(classes.orderBy("late", "doc_id", "rid").withColumn("id", F.monotonically_increasing_id()), "classes")
@@ -163,6 +167,16 @@ def may_pair(x: str, y: str, percent: int) -> Column:
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (F.least(a - F.col(f"{x}.pos"), b - F.col(f"{y}.pos")) >= need) & (differ <= a + b - 2 * need) & (F.col(f"{x}.own") | F.col(f"{y}.own"))
 
 
+def still_possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose parity maps of 512 bits allow the threshold: each shingle that only one set has changes
+    one bit, so sets differ in as many shingles as bits at least."""
+    for side in "ab":
+        pairs = pairs.join(classes.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("map").alias(f"m{side}")), side)
+    differ = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    a, b = F.col("na"), F.col("nb")
+    return pairs.filter(differ <= a + b - 2 * _need(a, b, percent)).select("a", "b")
+
+
 def posting_lists(classes: DataFrame, percent: int) -> DataFrame:
     """key, p (own, id, n, pos, bits), head: the postings under (shingle, size block) of lists of several sets, with
     the earliest set of the list where it may be similar."""
@@ -194,7 +208,7 @@ def _filter(classes: DataFrame) -> np.ndarray:
 def sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     """id, hashes (binary) of the named classes. Texts stay where they are read: a filter of fixed size passes those of
     the classes' documents and a few others, and only their sets are joined."""
-    named = stored(classes.join(ids.select("id").distinct(), "id", "left_semi").select("id", "late", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "rid"), "named")
+    named = stored(classes.join(ids.select("id").distinct(), "id", "left_semi").select("id", "late", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "rid", "copies"), "named")
     words = _filter(named)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +221,9 @@ def sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame, shingle: int) -
 
     texts = keyed(docs).select(F.col("doc_id").isNull().alias("late"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "rid", "text", F.pmod(F.xxhash64("rid"), F.lit(FILTER_BITS)).alias("bit"))
     found = texts.mapInArrow(run, "late boolean, doc_id long, rid long, hashes binary")
-    return found.join(named, ["late", "doc_id", "rid"]).select("id", "hashes").dropDuplicates(["id"])
+    found = stored(found.join(named, ["late", "doc_id", "rid"]).select("id", "hashes", "copies"), "shingle-sets")
+    # Only a class of several rows can name rows that are equal in doc_id and text.
+    return found.filter("copies = 1").select("id", "hashes").unionByName(found.filter("copies > 1").select("id", "hashes").dropDuplicates(["id"]))
 
 
 def _numbers(x: bytes) -> np.ndarray:
@@ -244,7 +260,7 @@ def derive(pairs: DataFrame, links: DataFrame, docs: DataFrame, classes: DataFra
     empty = F.lit(b"")
     asked = stored(asked.select("a", F.coalesce("l.a", "b").alias("leader"), "b", F.coalesce("l.minus", empty).alias("x"), F.coalesce("l.plus", empty).alias("y")), "asked")
     base = asked.select("a", "leader").distinct()
-    sets = stored(sets_of(docs, classes, base.select(F.explode(F.array("a", "leader")).alias("id")), shingle), "shingle-sets")
+    sets = sets_of(docs, classes, base.select(F.explode(F.array("a", "leader")).alias("id")), shingle)
     known = base.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("id").alias("leader"), F.col("hashes").alias("y")), "leader")
     rows = known.select("a", "leader", F.lit(0).alias("kind"), F.col("a").alias("b"), "x", "y").unionByName(asked.select("a", "leader", F.lit(1).alias("kind"), "b", "x", "y"))
     # A leader's followers may be many: they are dealt by parts, and each part gets the pair's sets.
@@ -277,8 +293,8 @@ def derive(pairs: DataFrame, links: DataFrame, docs: DataFrame, classes: DataFra
 def first_links(docs: DataFrame, classes: DataFrame, lists: DataFrame, shingle: int, percent: int, more: DataFrame | None = None) -> DataFrame:
     """Verified links (a earlier than b) of every set with the earliest of its lists, and of ``more`` pairs."""
     pairs = lists.filter("head is not null").select(F.least("head", "p.id").alias("a"), F.greatest("head", "p.id").alias("b"))
-    pairs = stored((pairs if more is None else pairs.unionByName(more)).distinct(), "pairs")
-    sets = stored(sets_of(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("id")), shingle), "shingle-sets")
+    pairs = stored(still_possible((pairs if more is None else pairs.unionByName(more)).distinct(), classes, percent), "pairs")
+    sets = sets_of(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("id")), shingle)
     return stored(verify(pairs, sets, percent), "similar")
 
 
@@ -297,7 +313,7 @@ def join_components(docs: DataFrame, shingle: int = 3, percent: int = 90, bucket
     across = (F.col("rx") != F.col("ry")) & (F.col("main") | (F.col("x.id") < F.col("y.id"))) & may_pair("x", "y", percent)
     # The side in the larger component is the one whose answer is derived.
     pairs = x.join(y, "key").filter(across).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    found = stored(pairs, "pairs")
+    found = stored(still_possible(pairs, classes, percent), "pairs")
     if not found.isEmpty():
         links = links.select("a", "b").unionByName(derive(found, links, docs, classes, shingle, percent))
         roots = stored(components(links), "roots")
