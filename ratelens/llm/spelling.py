@@ -1,11 +1,12 @@
 """Spelling variants: words within one edit of each other, by an index of variable-length grams.
 
-*Dictionary.* The substrings of ``QMIN`` to ``QMAX`` characters of all distinct words (between a start and an end
-mark) are counted. Those that more than a threshold of places hold are frequent; the threshold follows the number
-of places, so that at most (QMAX - QMIN + 1) x ``PLACES`` grams are, whatever the input. A rare gram is selective
+*Dictionary.* The substrings of ``QMIN`` to qmax characters of all distinct words (between a start and an end mark)
+are counted; qmax follows the logarithm of the number of places (4 from a million places on, 5 from 34 million), so
+that lists do not grow with the vocabulary. Those that more than a threshold of places hold are frequent; the threshold follows the number
+of places, so that at most (qmax - QMIN + 1) x ``PLACES`` grams are, whatever the input. A rare gram is selective
 enough as it is; a frequent one is pruned in favour of longer ones.
 
-*Decomposition.* At each place of a word stands one gram: the shortest that is not frequent, or one of ``QMAX``
+*Decomposition.* At each place of a word stands one gram: the shortest that is not frequent, or one of qmax
 characters, or what is left of the word. It depends on its own characters only, so an edit leaves every gram
 alone that does not cover it.
 
@@ -27,6 +28,7 @@ empty result; other columns are never read.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 
 from ratelens.llm.common import LOWER, keyed, shuffle_width, slices, stored, utf8
 
-QMIN, QMAX = 2, 4
+QMIN, LONGEST = 2, 7
 PLACES = 1 << 16
 #: Grams below so many places are never frequent.
 RARE = 16
@@ -104,8 +106,8 @@ def _latin(column: pa.Array) -> list[bytes]:
     return [w.encode("latin-1") for w in column.to_pylist()]
 
 
-def gram_dictionary(words: DataFrame, qmin: int = QMIN, qmax: int = QMAX, places: int = PLACES) -> dict[bytes, int]:
-    """The frequent grams with their counts over distinct words."""
+def gram_dictionary(words: DataFrame, size: int, qmin: int, qmax: int, places: int = PLACES) -> dict[bytes, int]:
+    """The frequent grams with their counts over distinct words, which have ``size`` places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[bytes] = Counter()
@@ -119,13 +121,12 @@ def gram_dictionary(words: DataFrame, qmin: int = QMIN, qmax: int = QMAX, places
                 total.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["gram", "n"])
 
-    size = words.agg(F.sum(F.char_length("word") + 1)).first()[0] or 0
     counts = words.select("word").mapInArrow(run, "gram binary, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     frequent = counts.filter(F.col("n") > max(RARE, size // places)).toArrow()
     return dict(zip(frequent.column("gram").to_pylist(), frequent.column("n").to_pylist(), strict=True))
 
 
-def grams(word: bytes, frequent: dict[bytes, int], qmin: int = QMIN, qmax: int = QMAX) -> list[tuple[int, bytes]]:
+def grams(word: bytes, frequent: dict[bytes, int], qmin: int = QMIN, qmax: int = 4) -> list[tuple[int, bytes]]:
     """Place and gram at each place of a word between its marks."""
     s, out = b"\x01" + word + b"\x02", []
     for p in range(len(s) - qmin + 1):
@@ -150,7 +151,7 @@ def affected(word: bytes, parts: list[tuple[int, bytes]]) -> int:
     return most
 
 
-def list_keys(word: bytes, frequent: dict[bytes, int], qmin: int = QMIN, qmax: int = QMAX) -> list[int]:
+def list_keys(word: bytes, frequent: dict[bytes, int], qmin: int = QMIN, qmax: int = 4) -> list[int]:
     """The lists of a word: its rarest grams at their distances from the start and from the end."""
     parts = grams(word, frequent, qmin, qmax)
     rarity = lambda x: (frequent.get(x[1], 0), frequent.get(x[1][1:], 0), x[1], x[0])
@@ -210,10 +211,13 @@ def list_pairs(keys: np.ndarray, words: list[bytes]) -> Iterator[tuple[np.ndarra
         yield i[hit], j[hit]
 
 
-def near_pairs(words: DataFrame, qmin: int = QMIN, qmax: int = QMAX, places: int = PLACES, big: int = BIG) -> DataFrame:
+def near_pairs(words: DataFrame, qmin: int = QMIN, qmax: int | None = None, places: int = PLACES, big: int = BIG) -> DataFrame:
     """a, na, b, nb: all pairs of ``words`` (word, n) one edit apart, once each, a before b."""
     spark = words.sparkSession
-    frequent = gram_dictionary(words, qmin, qmax, places)
+    size = words.agg(F.coalesce(F.sum(F.char_length("word") + 1), F.lit(0)).alias("places"), F.coalesce(F.min(F.char_length("word")), F.lit(LONGEST)).alias("shortest")).first()
+    # No longer than the shortest word, so that an edit leaves a gram of every word alone.
+    qmax = min(size["shortest"], qmax or max(3, min(LONGEST, int(math.log(max(2, size["places"]), 32)))))
+    frequent = gram_dictionary(words, size["places"], qmin, qmax, places)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,11 +281,10 @@ def follow(forms: DataFrame) -> DataFrame:
         roots = stored(roots.join(ahead, "root", "left").select("word", F.coalesce("ahead", "root").alias("root")), "roots")
 
 
-def group_variants(words: DataFrame, ratio: int = 10, qmin: int = QMIN, qmax: int = QMAX, places: int = PLACES, big: int = BIG) -> DataFrame:
+def group_variants(words: DataFrame, ratio: int = 10, qmin: int = QMIN, qmax: int | None = None, places: int = PLACES, big: int = BIG) -> DataFrame:
     """word, form, root, n, n_near, form_n of every row of ``words`` (word, n): the words of a table, once each.
 
-    Words must be distinct, and have at least ``qmax`` characters, or ``qmax`` be made smaller, so that an edit leaves
-    a gram alone."""
+    Words must be distinct and have at least two characters."""
     words = stored(words, "words")
     pairs = stored(near_pairs(words, qmin, qmax, places, big), "near")
     ways = pairs.select(F.col("a").alias("word"), F.col("b").alias("other"), F.col("nb").alias("m")).unionByName(pairs.select(F.col("b").alias("word"), F.col("a").alias("other"), F.col("na").alias("m")))

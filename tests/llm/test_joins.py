@@ -55,8 +55,8 @@ def test_spelling_variants(docs, none, small):  # noqa: F811
     assert spelling.group_variants(spelling.word_counts(none)).count() == 0
 
 
-@pytest.mark.parametrize("big,places", [(2, 4), (8, 1 << 16), (spelling.BIG, 64)])
-def test_variants_of_alike_words(spark, big, places):
+@pytest.mark.parametrize("big,places,qmax", [(2, 4, None), (8, 1 << 16, 7), (spelling.BIG, 64, 5)])
+def test_variants_of_alike_words(spark, big, places, qmax):
     words = {"x" * 40: 3, "x" * 41: 40, "x" * 42: 500, "y" + "x" * 40: 5, "aaaaaaa": 1, "aaaaaaaa": 20, "aaaaaaaaa": 300, "\u00e9t\u00ffaaaa": 4, "\u00e9taaaa\u00e9": 5}
     for _ in range(300):
         w = "".join(rng.choices("ab\u00e9", k=rng.randint(7, 9)))
@@ -65,7 +65,7 @@ def test_variants_of_alike_words(spark, big, places):
         for k in range(60):
             words[stem + "".join(rng.choices("abcde", k=3))] = rng.choice([1, 10, 100])
     table = spark.createDataFrame(list(words.items()), "word string, n long")
-    same(spelling.group_variants(table, big=big, places=places).collect(), brute.variants_of(words))
+    same(spelling.group_variants(table, big=big, places=places, qmax=qmax).collect(), brute.variants_of(words))
 
 
 def test_an_edit_leaves_as_many_grams_alone_as_the_bound_says():
