@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratelens.llm.common import ALNUM, fresh, keyed, row_key, slices, stored, utf8
+from ratelens.llm.common import ALNUM, fresh, keyed, row_key, shuffle_width, slices, stored, utf8
 
 SAMPLE = 16
 SHARD_BYTES = 4 << 20
@@ -289,6 +289,13 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[list[int], list[int]]:
     return start[first].tolist(), reach[np.concatenate([first[1:], [len(start)]]) - 1].tolist()
 
 
+def met(index: DataFrame, packed: DataFrame) -> DataFrame:
+    """The indexes of shards beside their lists of windows (shard, asked). Both are dealt by shard, once, and read on in
+    another stage than the one that reads whole columns of indexes from files; lists are too long to go everywhere."""
+    dealt = index.drop("doc_ids", "rids", "n_words").repartition(shuffle_width(index.sparkSession), "shard")
+    return dealt.join(packed.hint("merge"), "shard")
+
+
 _HITS = "shard long, k int, starts array<int>, ends array<int>, wins array<binary>"
 
 
@@ -319,7 +326,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, block: int
                 columns = list(zip(*out, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [c.split()[0] for c in _HITS.split(", ")])
 
-    hits = index.drop("doc_ids", "rids", "n_words").join(packed, "shard").mapInArrow(probe, _HITS)
+    hits = met(index, packed).mapInArrow(probe, _HITS)
     hits = stored(hits, "hits")
     found = hits.groupBy("shard", "k").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
     named = hits.select("shard", "k", F.explode("wins").alias("win")).join(windows, "win").filter(F.col("item_id").isNotNull())

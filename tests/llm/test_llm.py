@@ -278,7 +278,7 @@ def test_index_is_shuffled_once_at_most(spark, small, sf_dir):
     index = decontaminate.index_shards(small)
     wins = decontaminate.benchmark_windows(read_table(spark, sf_dir, "benchmark"), 10).select("win").distinct()
     packed = decontaminate.window_shards(index, wins).groupBy("shard").agg(F.collect_list("win").alias("asked"))
-    joined = index.drop("doc_ids", "rids", "n_words").join(packed, "shard")
+    joined = decontaminate.met(index, packed)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         plan = joined._jdf.queryExecution().executedPlan().toString()
