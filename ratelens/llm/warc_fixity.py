@@ -1,9 +1,11 @@
 """WARC files, and fixity audits of their replicas with Merkle trees.
 
 ``write_warc`` writes web pages as WARC records (type resource) in the order of their ids; an archive holds a
-range of 1,024 ids and is one file. Spark's text writer puts the two line breaks behind every record, and its
+range of 1,024 ids and is one file. A record of another's file, which has no page id, takes its place from the name
+of its file and its number there, so that a changed one is found as changed (and all behind a lost one are). Spark's text writer puts the two line breaks behind every record, and its
 gzip makes a file one member, so offsets count the bytes of the uncompressed stream. ``read_warc`` reads such
-files, and those of others with many members, and hashes every record where it stands.
+files, and those of others with many members, which are inflated one after the other, and hashes every record where it
+stands; a file's stored bytes are read whole, so that any store of Spark's will do, and are 2 GB at most.
 
 A tree has 32 children a node over ranges of the order: the hash of a node covers its children's hashes, their
 places, and the bytes that their range of offsets spans. Two replicas are compared from the root; only the
@@ -69,37 +71,65 @@ def write_warc(pages: DataFrame, path: str) -> None:
     _write(rows.repartition("archive"), path, "place", "record")
 
 
-def parse(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes]]:
-    """(start, end, header fields or None, body) of every record of an archive."""
+def parse(data: bytes, more: bool = False) -> Iterator[tuple[int, int, dict[str, str] | None, bytes]]:
+    """(start, end, header fields or None, body) of every record of an archive. If there is ``more`` to come, it stops
+    before a record that may go on there."""
     at = 0
     while at < len(data):
         head = _HEAD.match(data, at)
         fields = {k.decode("utf-8", "replace").lower(): v.decode("utf-8", "replace") for k, v in _FIELD.findall(head[1])} if head else {}
         size = fields.get("content-length", "")
         end = head.end() + int(size) if head and size.isascii() and size.isdigit() else -1
+        if more and end + 4 > len(data):
+            return
         if end >= 0 and data[end : end + 4] == b"\r\n\r\n":
             yield at, end + 4, fields, data[head.end() : end]
             at = end + 4
             continue
         following = data.find(b"\r\n\r\nWARC/1.", at + 1)
+        if more and following < 0:
+            return
         end = len(data) if following < 0 else following + 4
         yield at, end, None, data[at:end]
         at = end
 
 
-def inflated(data: bytes) -> bytes:
-    """The bytes of a file, through all its gzip members if it has such; of one that is cut off what there is."""
+def members(data: bytes) -> Iterator[bytes]:
+    """The bytes of a file, gzip member by member if it has such; of one that is cut off what there is."""
     if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
+        yield data
+        return
+    view = memoryview(data)
+    while bytes(view[:2]) == b"\x1f\x8b":
+        member, out, at = zlib.decompressobj(31), [], 0
         try:
-            out.append(member.decompress(data))
+            # Pieces, so that what follows a member is not copied with it.
+            while at < len(view) and not member.eof:
+                out.append(member.decompress(view[at : at + (1 << 20)]))
+                at = min(len(view), at + (1 << 20))
         except zlib.error:
             break
-        data = member.unused_data
-    return b"".join(out)
+        finally:
+            yield b"".join(out)
+        view = view[at - len(member.unused_data) :]
+
+
+def records(chunks: Iterator[bytes]) -> Iterator[tuple[int, dict[str, str] | None, bytes, bytes]]:
+    """(start, header fields or None, body, all bytes) of the records of a file that comes in pieces; what is held is a
+    piece and the record that goes on in the next."""
+    data, base = b"", 0
+    for chunk in chunks:
+        data, done = data + chunk, 0
+        for start, done, fields, body in parse(data, more=True):
+            yield base + start, fields, body, data[start:done]
+        data, base = data[done:], base + done
+    for start, end, fields, body in parse(data):
+        yield base + start, fields, body, data[start:end]
+
+
+def foreign_place(path: str, number: int) -> int:
+    """The place of a record in a file of others: by its file's name, and by its number there."""
+    return 1 << 62 | (zlib.crc32(path.rsplit("/", 1)[-1].encode()) >> 2) << 32 | number
 
 
 _RECORDS = "archive long, start long, bytes long, place long, page_id long, url string, hash string, body string"
@@ -111,17 +141,16 @@ def read_warc(spark: SparkSession, path: str, bodies: bool = False) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for archive, content in zip(batch.column("archive").to_pylist(), batch.column("content"), strict=True):
+            for archive, path, content in zip(*(batch.column(c).to_pylist() for c in ("archive", "path")), batch.column("content"), strict=True):
                 rows, last, size = [], archive << ARCHIVE, 0
-                data = inflated(content.as_py())
-                for start, end, fields, body in parse(data):
-                    raw = hashlib.sha256(data[start:end]).hexdigest()
-                    number = (fields or {}).get("page-id", "")
+                for k, (start, fields, body, raw) in enumerate(records(members(content.as_py()))):
+                    own = fields is not None and "page-id" in fields
+                    number = fields["page-id"] if own else ""
                     page = int(number) if re.fullmatch("-?[0-9]{1,18}", number) else None
+                    place = page & _MASK if page is not None else -1 if own else last + 1 if fields is None and last >> 62 == 0 else foreign_place(path, k)
                     url = (fields or {}).get("warc-target-uri")
-                    last = last + 1 if fields is None else page & _MASK if page is not None else -1
-                    rows.append((archive, start, end - start, last, page, url, raw, body.decode("utf-8", "replace") if bodies else None, data[start : end - 4] if last < 0 else b""))
-                    last = rows[-1][3] if rows[-1][3] >= 0 else (archive << ARCHIVE)
+                    rows.append((archive, start, len(raw), place, page, url, hashlib.sha256(raw).hexdigest(), body.decode("utf-8", "replace") if bodies else None, raw[:-4] if place < 0 else b""))
+                    last = place if place >= 0 else archive << ARCHIVE
                     size += len(body) if bodies else 100
                     if size > 4 << 20:
                         yield _batch(rows)
@@ -130,7 +159,7 @@ def read_warc(spark: SparkSession, path: str, bodies: bool = False) -> DataFrame
                     yield _batch(rows)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    named = files.select(F.coalesce(F.try_to_number(F.regexp_extract("path", "archive=([0-9]+)", 1), F.lit("9" * 19)).cast("long"), F.lit(0).cast("long")).alias("archive"), "content")
+    named = files.select(F.coalesce(F.try_to_number(F.regexp_extract("path", "archive=([0-9]+)", 1), F.lit("9" * 19)).cast("long"), F.lit(0).cast("long")).alias("archive"), "path", "content")
     rows = named.mapInArrow(run, _RECORDS + ", raw binary")
     place = F.when(F.col("place") >= 0, F.col("place")).otherwise(F.xxhash64(F.col("raw").cast("string")).bitwiseAND(F.lit((1 << 30) - 1)))
     return rows.withColumn("place", place).drop("raw")

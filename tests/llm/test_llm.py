@@ -592,6 +592,31 @@ def test_damaged_warc_bytes(spark, tmp_path):
     assert [(r["record"], r["status"], r["start_a"]) for r in found] == [(2, "changed", len(parts[0]))]
 
 
+def test_foreign_archives(spark, tmp_path):
+    """Records without a page id, in many members whose borders are not those of records."""
+    import gzip
+
+    def record(k, body):
+        return f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: u{k}\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n".encode()
+
+    dice = random.Random(2)
+    bodies = [f"body {k} " + "x" * dice.randrange(300) + "\r\n\r\nWARC/1.0\r\n" * (k % 5 == 0) for k in range(80)]
+    for replica in "ab":
+        (tmp_path / replica).mkdir()
+        for name in ("one.warc.gz", "two.warc.gz"):
+            parts = [record(k, "altered" if replica == "b" and name[0] == "t" and k == 33 else body) for k, body in enumerate(bodies)]
+            whole, cuts = b"".join(parts), sorted(dice.sample(range(1, 9000), 20))
+            pieces_ = [whole[p:q] for p, q in zip([0, *cuts], [*cuts, len(whole)])] if replica == "b" else parts
+            (tmp_path / replica / name).write_bytes(b"".join(map(gzip.compress, pieces_)))
+    a, b = (warc_fixity.read_warc(spark, str(tmp_path / x), bodies=True) for x in "ab")
+    assert sorted(r["body"] for r in a.filter("place % 4294967296 < 80").collect()) == sorted(bodies * 2)
+    starts = [0]
+    for k, body in enumerate(bodies):
+        starts.append(starts[-1] + len(record(k, body)))
+    found = warc_fixity.audit(a.drop("body"), b.drop("body")).collect()
+    assert [(r["status"], r["start_a"], r["record"]) for r in found] == [("changed", starts[33], warc_fixity.foreign_place("x/two.warc.gz", 33))]
+
+
 def test_pipeline_stages(spark, docs, none, sf_dir):
     for table in (none, docs.withColumn("text", F.coalesce("text", F.lit(None)))):
         kept = table
