@@ -62,19 +62,20 @@ def provider_index(providers: DataFrame) -> DataFrame:
     return providers.groupBy("file_seq", "provider_group_id").agg(F.collect_list(F.struct("npi", "tin")).alias("providers"))
 
 
-def _rates(items: DataFrame) -> DataFrame:
+def rates(items: DataFrame) -> DataFrame:
+    """A row for each rate of each item, with what is told of the item."""
     described = F.coalesce(F.nullif("name", F.lit("")), F.col("description"), F.lit(""))
     code = [F.coalesce(c, F.lit("")).alias(c) for c in ("billing_code_type", "billing_code", "negotiation_arrangement")]
     return items.select("file_seq", "source_file", "pos", *code, described.alias("billing_code_description"), F.posexplode("negotiated_rates").alias("rate_pos", "rate"))
 
 
-def by_reference(rates: DataFrame, providers: DataFrame) -> DataFrame:
+def by_reference(rated: DataFrame, providers: DataFrame) -> DataFrame:
     """Rates joined to matches through their group ids."""
-    asked = rates.select("*", F.explode("rate.provider_references").alias("provider_group_id"))
+    asked = rated.select("*", F.explode("rate.provider_references").alias("provider_group_id"))
     return asked.join(providers, ["file_seq", "provider_group_id"]).drop("provider_group_id")
 
 
-def by_inline_group(rates: DataFrame, npis: Targets) -> DataFrame:
+def by_inline_group(rated: DataFrame, npis: Targets) -> DataFrame:
     """Rates joined to the targets in the groups that they list themselves. Listed targets are picked inside the
     arrays, so that other listings never become rows."""
     listed = None if isinstance(npis, DataFrame) else sorted({int(n) for n in npis})
@@ -82,7 +83,7 @@ def by_inline_group(rates: DataFrame, npis: Targets) -> DataFrame:
     wanted = (lambda n: n.isin(listed)) if few else (lambda n: n.isNotNull())
     match = lambda g: F.transform(F.filter(F.coalesce(g["npi"], F.array().cast("array<bigint>")), wanted), lambda n: F.struct(n.alias("npi"), g["tin"].alias("tin")))
     found = F.flatten(F.transform(F.coalesce("rate.provider_groups", F.array().cast(GROUPS)), match))
-    rows = rates.select(*rates.columns, F.explode(found).alias("m")).select(*rates.columns, "m.npi", "m.tin")
+    rows = rated.select(*rated.columns, F.explode(found).alias("m")).select(*rated.columns, "m.npi", "m.tin")
     return rows if few else only_targets(rows, npis)
 
 
@@ -104,11 +105,11 @@ def project_results(hits: DataFrame) -> DataFrame:
 
 
 def search_by_reference(refs: DataFrame, items: DataFrame, npis: Targets) -> DataFrame:
-    return project_results(by_reference(_rates(items), matched_providers(refs, npis)))
+    return project_results(by_reference(rates(items), matched_providers(refs, npis)))
 
 
 def search_inline(items: DataFrame, npis: Targets) -> DataFrame:
-    return project_results(by_inline_group(_rates(items), npis))
+    return project_results(by_inline_group(rates(items), npis))
 
 
 def single_pass_files(raw: DataFrame, npis: Targets) -> DataFrame:
@@ -129,8 +130,8 @@ def single_pass_files(raw: DataFrame, npis: Targets) -> DataFrame:
 def search_matched(providers: DataFrame, items: DataFrame, npis: Targets, referenced: DataFrame | None = None) -> DataFrame:
     """All prices of the targets, given their matches in groups: an inner join for references, a filter for inline
     listings. ``referenced`` may be fewer items, those of files with a match, for the join."""
-    joined = by_reference(_rates(items if referenced is None else referenced), providers)
-    return project_results(joined.unionByName(by_inline_group(_rates(items), npis).select(*joined.columns)))
+    joined = by_reference(rates(items if referenced is None else referenced), providers)
+    return project_results(joined.unionByName(by_inline_group(rates(items), npis).select(*joined.columns)))
 
 
 def search_rates(refs: DataFrame, items: DataFrame, npis: Targets, files: DataFrame | None = None) -> DataFrame:

@@ -119,6 +119,7 @@ UNION ALL SELECT file_seq, 'provider_references', refs, 0 FROM held WHERE file_s
 UNION ALL SELECT file_seq, '<none>', NULL, NULL FROM held WHERE file_seq % 5 IN (1, 2, 3)""",
     "mrf_blocks_roundtrip": _rows(f"{_IN} AND {_BOTH}", source=False),
     "search_many_npis": _rows(_BOTH, source=False),
+    "search_bucketed": _rows(_BOTH),
     "land_versions": _rows(f"{_IN} AND {_BOTH}", source=False),
     "plans_files": f"""WITH plans AS (SELECT DISTINCT pos, unnest([c_name, n_name]) AS plan_id FROM {_STRUCTURES}), places AS (SELECT DISTINCT pos FROM plans),
 located AS (

@@ -14,7 +14,7 @@ from ratelens.plans import flows
 from ratelens.plans.oracles import PLAN, SQL, TARGETS  # noqa: F401
 from ratelens.schemas import ITEM, REFERENCE
 from ratelens.sources import files as sources
-from ratelens.sources import landing, mrf, sinks
+from ratelens.sources import bucketed, landing, mrf, sinks
 
 NPIS = [1_000_000_000 + k for k in TARGETS]
 ONE = NPIS[:1]
@@ -305,6 +305,15 @@ def land_versions(spark, sf):
     return flat(landing.search_files(spark, path, NPIS)).drop("source_file")
 
 
+def search_bucketed(spark, sf):
+    """Landed rates in buckets, searched for a table of numbers."""
+    path = sinks.work_path(spark, "landed")
+    name = "rates_" + path[-32:]
+    sinks.land(A.raw_elements(spark, sf), path)
+    bucketed.bucket_landed(spark, path, name, buckets=16)
+    return flat(bucketed.search_bucketed(spark, path, name, A.asked_npis(spark, sf)))
+
+
 def plans_files(spark, sf):
     """The files of all plans: every customer's and every nation's."""
     plans = A.table(spark, sf, "customer").select(F.col("c_name").alias("plan_id")).union(A.table(spark, sf, "nation").select("n_name"))
@@ -341,6 +350,6 @@ _ALL = (
     duplicate_file, search_summary, file_counters, toc_resolve, toc_stats, search_plan, url_list, input_union, file_name, cdn_vendor, cdn_distribution, size_stats, human_bytes, human_count, parse_npis,
     lookup_providers, missing_providers, search_by_name, format_fields, assign_shards, merge_outputs, split_roundtrip, mrf_source_roundtrip, land_roundtrip, results_roundtrip, validate_files, file_catalog,
     registry_roundtrip, multiline_source, plan_to_results, lines_roundtrip, lines_of_a_file, output_roundtrip,
-    validate_damaged, audit_files, mrf_blocks_roundtrip, search_many_npis, land_versions, plans_files, plans_to_results,
+    validate_damaged, audit_files, mrf_blocks_roundtrip, search_many_npis, land_versions, search_bucketed, plans_files, plans_to_results,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}

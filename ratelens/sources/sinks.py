@@ -99,11 +99,16 @@ def search_landed(spark: SparkSession, path: str, npis: search.Targets) -> DataF
 def search_tables(members: DataFrame, items: DataFrame, postings: DataFrame, npis: search.Targets) -> DataFrame:
     """The search on members, items and postings of the same files."""
     providers = search.only_targets(members.filter(F.col("provider_group_id").isNotNull()), npis).select("file_seq", "provider_group_id", "npi", "tin")
-    places = search.only_targets(postings, npis).select("file_part", "file_seq", "pos").distinct()
-    # At most FILE_PARTS small rows each, whatever the input.
+    # At most FILE_PARTS small rows, whatever the input.
     by_reference = F.broadcast(providers.select(F.pmod("file_seq", F.lit(FILE_PARTS)).cast("int").alias("file_part")).distinct())
-    inline = items.join(F.broadcast(places.select("file_part").distinct()), "file_part", "left_semi").join(places, ["file_part", "file_seq", "pos"], "left_semi")
-    return search.search_matched(providers, inline, npis, items.join(by_reference, "file_part", "left_semi"))
+    return search.search_matched(providers, listed_items(items, postings, npis), npis, items.join(by_reference, "file_part", "left_semi"))
+
+
+def listed_items(items: DataFrame, postings: DataFrame, npis: search.Targets) -> DataFrame:
+    """The items that list a target themselves, by the postings; folders of other files are not read."""
+    places = search.only_targets(postings, npis).select("file_part", "file_seq", "pos").distinct()
+    parts = F.broadcast(places.select("file_part").distinct())  # at most FILE_PARTS
+    return items.join(parts, "file_part", "left_semi").join(places, ["file_part", "file_seq", "pos"], "left_semi")
 
 
 def write_results(results: DataFrame, path: str) -> None:

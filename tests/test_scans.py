@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ratelens.operators import catalog, search, toc
 from ratelens.plans import flows
-from ratelens.sources import blocks, committed, landing, matching, mrf, sinks
+from ratelens.sources import blocks, bucketed, committed, landing, matching, mrf, sinks
 from tests.test_search import FOUR, PLAN, A, B, group, item, price, rate, rates, ref, written  # noqa: F401
 
 GOOD = '{"in_network": [{"b": 2}]}'
@@ -144,6 +144,36 @@ def test_landed_search_is_pruned_in_both_branches(written, spark, tmp_path):  #
     assert any("PushedFilters" in x and f"npi,{A}" in x for x in plan.splitlines() if "FileScan" in x and "file_part" in x and "npi" in x)
 
 
+def test_buckets_of_rates_are_not_dealt_again(written, spark, tmp_path):  # noqa: F811
+    path = str(tmp_path / "landed")
+    zero = {"provider_references": [ref(-0.0, group([A, A])), ref(7, group([B]))], "in_network": [item("0", [rate([price(4.0)], [0, 7], [group([A])])]), item("1", [rate([price(5.0)])])]}
+    files = written(PLAN, zero)
+    sinks.land(mrf.read_elements(files), path)
+    bucketed.bucket_landed(spark, path, "some", buckets=4)
+    numbers = spark.createDataFrame([(A,), (B,), (A,)], "npi long")
+    want = search.search_rates(search.read_provider_references(mrf.read_elements(files)), search.read_in_network(mrf.read_elements(files)), numbers)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = bucketed.search_bucketed(spark, path, "some", numbers)
+        lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert rates(found) == rates(want) and len(rates(want)) == 5 + 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.sql("DROP TABLE some_members")
+        spark.sql("DROP TABLE some_rates")
+    at = next(k for k, x in enumerate(lines) if "FileScan" in x and "some_rates" in x)
+    above, depth = [], len(lines[at]) - len(lines[at].lstrip(" :+-*"))
+    for x in reversed(lines[:at]):
+        own = len(x) - len(x.lstrip(" :+-*"))
+        if own < depth:
+            above.append(x)
+            depth = own
+    joins = next(k for k, x in enumerate(above) if "SortMergeJoin" in x)
+    assert not any("Exchange" in x for x in above[:joins]), above
+
+
 def test_filters_reach_the_source(written, spark):  # noqa: F811
     mrf.register(spark)
     files = written(PLAN, PLAN, PLAN)
