@@ -6,8 +6,9 @@ hashing: cut the fingerprint into two segments of 32 bits; two bits in all leave
 the first segment, or none in the second. So every class enumerates the Hamming ball of radius 1 (33 values)
 of its first segment and looks up its second segment as it is, and full distances are verified among what
 meets in a bucket. A bucket returns a spanning forest of its links, never all pairs. A bucket of more than
-``BIG`` classes is cut by the same rule on the other segment's halves, after which a bucket can hold no more
-than the few values that are left; nothing is capped.
+``BIG`` classes (counted by those that stand there themselves; the 33 values of balls come on top) is cut by the same
+rule on the other segment's halves. A cut bucket can still hold every fingerprint that agrees with it but for two
+balls and the 16 bits that are left, 33 x 17 x 65,536 at most; nothing is capped.
 
 Components are found by alternating large and small stars on written tables.
 
