@@ -20,7 +20,8 @@ each other: a list within one component is skipped whole, and of the others only
 asked. Such a pair (c, b) is answered from b's verified leader A: the overlap of c and A is computed once, and
 that of c and b follows from the few shingles in which b differs from A.
 
-All counts, lists and joins are equi-joins and pre-aggregated counts on Spark; no list is gathered in a task.
+All counts, lists and joins are equi-joins and pre-aggregated counts on Spark; no list is gathered in a task. Joins
+of what grows with the input are merge joins at every size, so that the plan does not change with it.
 
 Defined results: words are lower-cased (A-Z) and split at ASCII space; a text of fewer words than a shingle is one
 shingle; a text without words, empty or null, has an empty set and no links; a null doc_id counts as later than
@@ -183,7 +184,7 @@ def posting_lists(classes: DataFrame, percent: int) -> DataFrame:
     posted = classes.select("id", "n", "blk", "bits", F.posexplode("prefix").alias("pos", "token"))
     # Most shingles stand in one prefix only: those are gone before anything else is done.
     shared = posted.groupBy("token").agg(F.count("*").alias("sets")).filter("sets > 1").select("token")
-    met = posted.join(shared, "token")
+    met = posted.join(shared.hint("merge"), "token")
     starts = F.array(*[F.lit(int(x)) for x in size_blocks(percent)])
     low, least = F.element_at(starts, F.col("blk") + 1), F.ceil(F.col("n") * percent / 100)
     at = lambda own, blk: F.struct(F.xxhash64("token", blk).alias("key"), F.struct(F.lit(own).alias("own"), "id", "n", "pos", "bits").alias("p"))
@@ -193,7 +194,7 @@ def posting_lists(classes: DataFrame, percent: int) -> DataFrame:
     lists = stored(met.select(F.explode(F.array_compact(F.array(own, before))).alias("x")).select("x.key", "x.p"), "postings")
     h = F.struct(F.col("p.id").alias("id"), F.col("p.own").alias("own"), F.col("p.n").alias("n"), F.col("p.pos").alias("pos"), F.col("p.bits").alias("bits"))
     heads = lists.groupBy("key").agg(F.count("*").alias("len"), F.min(F.when(F.col("p.own"), h)).alias("h")).filter("len > 1 and h is not null")
-    return lists.join(heads, "key").select("key", "p", F.when((F.col("p.id") != F.col("h.id")) & may_pair("p", "h", percent), F.col("h.id")).alias("head"))
+    return lists.join(heads.hint("merge"), "key").select("key", "p", F.when((F.col("p.id") != F.col("h.id")) & may_pair("p", "h", percent), F.col("h.id")).alias("head"))
 
 
 def _filter(classes: DataFrame) -> np.ndarray:
@@ -232,7 +233,7 @@ def _numbers(x: bytes) -> np.ndarray:
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b, minus, plus of the pairs (a, b) at the threshold: what b lacks of a, and what it has besides."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")).hint("merge"), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")).hint("merge"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,7 +262,7 @@ def derive(pairs: DataFrame, links: DataFrame, docs: DataFrame, classes: DataFra
     asked = stored(asked.select("a", F.coalesce("l.a", "b").alias("leader"), "b", F.coalesce("l.minus", empty).alias("x"), F.coalesce("l.plus", empty).alias("y")), "asked")
     base = asked.select("a", "leader").distinct()
     sets = sets_of(docs, classes, base.select(F.explode(F.array("a", "leader")).alias("id")), shingle)
-    known = base.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("id").alias("leader"), F.col("hashes").alias("y")), "leader")
+    known = base.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")).hint("merge"), "a").join(sets.select(F.col("id").alias("leader"), F.col("hashes").alias("y")).hint("merge"), "leader")
     rows = known.select("a", "leader", F.lit(0).alias("kind"), F.col("a").alias("b"), "x", "y").unionByName(asked.select("a", "leader", F.lit(1).alias("kind"), "b", "x", "y"))
     # A leader's followers may be many: they are dealt by parts, and each part gets the pair's sets.
     parts = asked.groupBy("a", "leader").agg(F.ceil(F.count("*") / 4096).cast("int").alias("parts")).filter("parts > 1")
