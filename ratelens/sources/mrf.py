@@ -331,7 +331,7 @@ class _File(InputPartition):
 
 class _Reader(DataSourceReader):
     """Filters on ``section`` and ``file_seq`` (equal to, or one of) are done here: other files are not opened, elements
-    of other sections not handed over. Spark asks if ``spark.sql.python.filterPushdown.enabled`` is set."""
+    of other sections not handed over. Spark wants ``spark.sql.python.filterPushdown.enabled`` set for a reader that can."""
 
     def __init__(self, paths: list[str], sections: tuple[str, ...]):
         self.paths, self.sections = list(enumerate(paths)), sections
@@ -372,6 +372,8 @@ class MrfDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make ``format("mrf")`` known, and let Spark hand filters to Python sources."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(MrfDataSource)
 
 
