@@ -330,13 +330,23 @@ class _File(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    """Filters on ``section`` and ``file_seq`` (equal to, or one of) are done here: other files are not opened, elements
-    of other sections not handed over. Spark wants ``spark.sql.python.filterPushdown.enabled`` set for a reader that can."""
-
     def __init__(self, paths: list[str], sections: tuple[str, ...]):
         self.paths, self.sections = list(enumerate(paths)), sections
         self.only = set(sections)
 
+    def partitions(self) -> list[InputPartition]:
+        return [_File(k, p) for k, p in self.paths] if self.only else []
+
+    def read(self, partition: _File | None) -> Iterator[pa.RecordBatch]:
+        if partition is not None:  # Spark asks once with nothing where there are no partitions
+            rows = file_elements(partition.path, self.sections)
+            yield from _rows_of(partition.seq, partition.path, (r for r in rows if r[0] in self.only))
+
+
+class _FilteringReader(_Reader):
+    """Filters on ``section`` and ``file_seq`` (equal to, or one of) are done here: other files are not opened, elements
+    of other sections not handed over."""
+
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         for f in filters:
             wanted = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
@@ -347,14 +357,6 @@ class _Reader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[InputPartition]:
-        return [_File(k, p) for k, p in self.paths] if self.only else []
-
-    def read(self, partition: _File | None) -> Iterator[pa.RecordBatch]:
-        if partition is not None:  # Spark asks once with nothing where there are no partitions
-            rows = file_elements(partition.path, self.sections)
-            yield from _rows_of(partition.seq, partition.path, (r for r in rows if r[0] in self.only))
-
 
 class MrfDataSource(DataSource):
     """``spark.read.format("mrf").load(path)``; options: paths (JSON list), sections (comma list)."""
@@ -368,13 +370,27 @@ class MrfDataSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         paths = json.loads(self.options["paths"]) if "paths" in self.options else [self.options["path"]]
-        return _Reader(paths, tuple(self.options.get("sections", ",".join(SECTIONS)).split(",")))
+        return self.reads(paths, tuple(self.options.get("sections", ",".join(SECTIONS)).split(",")))
+
+    reads: type[_Reader] = _Reader
+
+
+class MrfFilteredDataSource(MrfDataSource):
+    """``format("mrf_filtered")``: the same, with filters taken by the source. Spark hands the filters of one use of a
+    loaded table to all its uses, so it must be loaded anew for each filter."""
+
+    reads = _FilteringReader
+
+    @classmethod
+    def name(cls) -> str:
+        return "mrf_filtered"
 
 
 def register(spark: SparkSession) -> None:
-    """Make ``format("mrf")`` known, and let Spark hand filters to Python sources."""
+    """Make the formats known, and let Spark hand filters to Python sources."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(MrfDataSource)
+    spark.dataSource.register(MrfFilteredDataSource)
 
 
 def parsed(schema: str) -> Column:

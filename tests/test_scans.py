@@ -178,9 +178,11 @@ def test_filters_reach_the_source(written, spark):  # noqa: F811
     mrf.register(spark)
     files = written(PLAN, PLAN, PLAN)
     paths = [r["source_file"] for r in files.orderBy("file_seq").collect()]
-    rows = spark.read.format("mrf").option("paths", json.dumps(paths)).load().filter("section = 'in_network' AND file_seq IN (0, 2) AND pos >= 0")
+    rows = spark.read.format("mrf_filtered").option("paths", json.dumps(paths)).load().filter("section = 'in_network' AND file_seq IN (0, 2) AND pos >= 0")
     assert rows.count() == 8 and rows.rdd.getNumPartitions() == 2 and {r["section_ord"] for r in rows.collect()} == {1}
-    reader = mrf._Reader(paths, mrf.SECTIONS)
+    reader = mrf._FilteringReader(paths, mrf.SECTIONS)
+    both = spark.read.format("mrf").option("paths", json.dumps(paths)).load()
+    assert rates(search.search_rates(search.read_provider_references(both), search.read_in_network(both), [A])) == sorted(FOUR * 3)
     from pyspark.sql.datasource import EqualTo, GreaterThan
 
     left = list(reader.pushFilters([EqualTo(("section",), "provider_references"), GreaterThan(("pos",), 1), EqualTo(("file_seq",), 1)]))
