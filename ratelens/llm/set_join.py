@@ -12,7 +12,8 @@ Such a shingle is posted under (shingle, size block), where a block's sizes span
 partner stands in the same block or the one next to it. A posting goes to a block only if its position leaves
 enough shingles behind it for some size of that block: what stands too deep skips the block. Within a list a
 pair is passed on only if sizes, positions and a 64-bit parity map of both sets still allow the threshold, and
-compared only if maps of 512 bits do.
+compared only if maps of half a bit a shingle do (512 bits at least), so that the maps of long texts tell as much
+as those of short ones.
 
 *Deriving answers.* In each list, every set is first compared with the earliest one alone (linear work); such a
 verified pair also keeps the difference of both sets. Sets that are linked so far need no more comparisons among
@@ -58,6 +59,20 @@ def hash_set(digests: bytes) -> np.ndarray:
     return np.unique(np.frombuffer(digests, dtype="<u8"))
 
 
+def parity_map(found: np.ndarray) -> bytes:
+    """A set's parities of shingles by their hashes' lowest bits: a power of two of bits, at least half as many as shingles."""
+    size = max(512, 1 << max(0, len(found) // 2 - 1).bit_length())
+    counts = np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def map_distance(x: bytes, y: bytes) -> int:
+    """Bits in which two maps differ, the longer one folded to the length of the other."""
+    a, b = (np.frombuffer(m, dtype="<u8") for m in (x, y))
+    n = min(len(a), len(b))
+    return int(np.bitwise_count(np.bitwise_xor.reduce(a.reshape(-1, n)) ^ np.bitwise_xor.reduce(b.reshape(-1, n))).sum())
+
+
 def _packed(counts: np.ndarray) -> bytes:
     """Counts in as few bytes each as the largest needs."""
     return counts.astype(next(f"<u{k}" for k in (1, 2, 4, 8) if counts.max(initial=0) < 1 << 8 * k)).tobytes()
@@ -126,7 +141,7 @@ def describe(docs: DataFrame, ranks: np.ndarray, shingle: int, percent: int, wit
                 n = len(found)
                 cls.append(xxhash.xxh3_128_digest(found.tobytes()))
                 sizes.append(n)
-                maps.append(np.packbits((np.bincount((found >> np.uint64(55)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).tobytes())
+                maps.append(parity_map(found))
                 # A set that only its own equals can be linked with no other class.
                 k = n - -(-percent * n // 100) + 1 if n * 100 >= percent * (n + 1) else 0
                 key = ranks[(found & mask).astype(np.int64)].astype(np.uint64) << np.uint64(56) | found >> np.uint64(8)
@@ -134,16 +149,14 @@ def describe(docs: DataFrame, ranks: np.ndarray, shingle: int, percent: int, wit
                 fps.append(majority(digests) if with_fp else bytes(8))
             n = np.array(sizes, dtype=np.int64)
             blk = np.searchsorted(starts, n, side="right") - 1
-            wide = np.frombuffer(b"".join(maps), dtype=">i8").astype(np.int64)
             # The exclusive or of a map's words is a map of 64 bits.
-            bits = np.bitwise_xor.reduce(wide.reshape(-1, 8), axis=1) if len(n) else wide
-            wide = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * 8), pa.array(wide))
+            bits = np.array([np.bitwise_xor.reduce(np.frombuffer(m, dtype="<i8")) for m in maps], dtype=np.int64)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*prefixes, np.zeros(0, dtype=np.int64)])))
             fp = pa.array(np.frombuffer(b"".join(fps), dtype=">i8").astype(np.int64)) if with_fp else pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(cls, pa.binary()), pa.array(n), pa.array(blk.astype(np.int32)), pa.array(bits), wide, prefix, fp], ["doc_id", "rid", "cls", "n", "blk", "bits", "map", "prefix", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(cls, pa.binary()), pa.array(n), pa.array(blk.astype(np.int32)), pa.array(bits), pa.array(maps, pa.binary()), prefix, fp], ["doc_id", "rid", "cls", "n", "blk", "bits", "map", "prefix", "fp"])
 
-    return keyed(docs).mapInArrow(run, "doc_id long, rid long, cls binary, n long, blk int, bits long, map array<long>, prefix array<long>, fp long")
+    return keyed(docs).mapInArrow(run, "doc_id long, rid long, cls binary, n long, blk int, bits long, map binary, prefix array<long>, fp long")
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
@@ -169,13 +182,19 @@ def may_pair(x: str, y: str, percent: int) -> Column:
 
 
 def still_possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose parity maps of 512 bits allow the threshold: each shingle that only one set has changes
-    one bit, so sets differ in as many shingles as bits at least."""
+    """The pairs (a, b) whose parity maps allow the threshold: each shingle that only one set has changes one bit, so
+    sets differ in as many shingles as bits at least."""
     for side in "ab":
         pairs = pairs.join(classes.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("map").alias(f"m{side}")), side)
-    differ = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    a, b = F.col("na"), F.col("nb")
-    return pairs.filter(differ <= a + b - 2 * _need(a, b, percent)).select("a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most, x, y = (batch.column(c).to_pylist() for c in ("most", "ma", "mb"))
+            keep = pa.array([map_distance(*maps) <= m for m, *maps in zip(most, x, y, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in "ab"], ["a", "b"])
+
+    most = (F.col("na") + F.col("nb") - 2 * _need(F.col("na"), F.col("nb"), percent)).cast("long")
+    return pairs.select("a", "b", most.alias("most"), "ma", "mb").mapInArrow(run, "a long, b long")
 
 
 def posting_lists(classes: DataFrame, percent: int) -> DataFrame:
@@ -255,7 +274,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def derive(pairs: DataFrame, links: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) at the threshold, where b's answer comes from its leader's: rows of one (a, leader) stand
-    together, the pair's sets first, then what each b differs in; they stream, whatever their number."""
+    together, a's set and its overlap with the leader first, then what each b differs in; they stream, whatever their number."""
     lead = links.groupBy("b").agg(F.min(F.struct("a", "minus", "plus")).alias("l"))
     asked = pairs.join(lead, "b", "left")
     empty = F.lit(b"")
@@ -263,22 +282,34 @@ def derive(pairs: DataFrame, links: DataFrame, docs: DataFrame, classes: DataFra
     base = asked.select("a", "leader").distinct()
     sets = sets_of(docs, classes, base.select(F.explode(F.array("a", "leader")).alias("id")), shingle)
     known = base.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")).hint("merge"), "a").join(sets.select(F.col("id").alias("leader"), F.col("hashes").alias("y")).hint("merge"), "leader")
-    rows = known.select("a", "leader", F.lit(0).alias("kind"), F.col("a").alias("b"), "x", "y").unionByName(asked.select("a", "leader", F.lit(1).alias("kind"), "b", "x", "y"))
-    # A leader's followers may be many: they are dealt by parts, and each part gets the pair's sets.
+
+    def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, shared = [], []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                sizes.append(len(y) // 8)
+                shared.append(len(np.intersect1d(_numbers(x), _numbers(y), assume_unique=True)))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("leader"), batch.column("x"), pa.array(sizes, pa.int64()), pa.array(shared, pa.int64())], ["a", "leader", "x", "size", "shared"])
+
+    # The leader's own set goes no further than this.
+    known = known.select("a", "leader", "x", "y").mapInArrow(overlap, "a long, leader long, x binary, size long, shared long")
+    none = F.lit(None).cast("long")
+    rows = known.select("a", "leader", F.lit(0).alias("kind"), F.col("a").alias("b"), "x", empty.alias("y"), "size", "shared")
+    rows = rows.unionByName(asked.select("a", "leader", F.lit(1).alias("kind"), "b", "x", "y", none.alias("size"), none.alias("shared")))
+    # A leader's followers may be many: they are dealt by parts, and each part gets a's set.
     parts = asked.groupBy("a", "leader").agg(F.ceil(F.count("*") / 4096).cast("int").alias("parts")).filter("parts > 1")
     rows = rows.join(parts, ["a", "leader"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     part = F.when(F.col("kind") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")))
-    rows = rows.withColumn("part", F.explode(part)).select("a", "leader", "part", "kind", "b", "x", "y")
+    rows = rows.withColumn("part", F.explode(part)).select("a", "leader", "part", "kind", "b", "x", "y", "size", "shared")
     rows = rows.repartition(shuffle_width(docs.sparkSession), "a", "leader", "part").sortWithinPartitions("a", "leader", "part", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine, size, shared = np.zeros(0, dtype="<u8"), 0, 0
         for batch in batches:
             keep = []
-            for k, (kind, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("kind", "x", "y")), strict=True)):
+            for k, (kind, x, y, n, m) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("kind", "x", "y", "size", "shared")), strict=True)):
                 if kind == 0:
-                    mine, other = _numbers(x), _numbers(y)
-                    size, shared = len(other), len(np.intersect1d(mine, other, assume_unique=True))
+                    mine, size, shared = _numbers(x), n, m
                     continue
                 minus, plus = _numbers(x), _numbers(y)
                 n = size - len(minus) + len(plus)
@@ -288,7 +319,7 @@ def derive(pairs: DataFrame, links: DataFrame, docs: DataFrame, classes: DataFra
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], ["a", "b"])
 
-    return rows.select("a", "b", "kind", "x", "y").mapInArrow(run, "a long, b long")
+    return rows.select("a", "b", "kind", "x", "y", "size", "shared").mapInArrow(run, "a long, b long")
 
 
 def first_links(docs: DataFrame, classes: DataFrame, lists: DataFrame, shingle: int, percent: int, more: DataFrame | None = None) -> DataFrame:

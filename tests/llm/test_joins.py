@@ -116,3 +116,19 @@ def test_hard_negatives_of_the_table(spark, sf_dir):
     rows = [(r["vec_id"], (r["label"] + 1) % 10 if r["vec_id"] % 7 == 0 else r["label"], [np.floor(256 * x) for x in r["embedding"]]) for r in read_table(spark, sf_dir, "embeddings").collect()]
     got = [tuple(r) for r in queries.op11_hard_negatives(spark, sf_dir).collect()]
     assert set(got) == brute.hard_negatives(rows, {i for i, _, _ in rows if i % 50 == 0}) and len(got) == len(set(got)) > 50
+
+
+def test_parity_maps_never_say_more_than_sets_differ():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 511, 1023, 1024, 1025, 2050, 20_000):
+        base = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for k in (0, 1, 7, n // 20):
+            other = np.unique(np.concatenate([base[k:], rng.integers(0, 1 << 63, k, dtype=np.uint64)]))
+            x, y = set_join.parity_map(base), set_join.parity_map(other)
+            assert len(x) * 8 >= max(512, len(base) // 2) and set_join.map_distance(x, x) == 0
+            assert set_join.map_distance(x, y) == set_join.map_distance(y, x) <= len(np.setxor1d(base, other))
+    # Maps of different lengths are folded, and long sets without a common shingle are told apart.
+    a, b = (np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (4090, 4200))
+    assert len(set_join.parity_map(a)) < len(set_join.parity_map(b))
+    assert set_join.map_distance(set_join.parity_map(a), set_join.parity_map(np.concatenate([a, b[:160]]))) <= 160
+    assert set_join.map_distance(set_join.parity_map(a), set_join.parity_map(b)) > 0.11 * len(a)
