@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ratelens.operators import summary
 from ratelens.sources import sinks
-from ratelens.sources.mrf import SECTIONS, Counted, elements, inflated, opened, read_elements
+from ratelens.sources.mrf import SECTIONS, Counted, dealt, elements, inflated, opened, read_elements
 
 
 def label_distribution(labels: DataFrame, label: str) -> DataFrame:
@@ -46,7 +46,6 @@ def validate_files(files: DataFrame, sections: tuple[str, ...] = SECTIONS) -> Da
     A file is read to its end: gzip members with their checksums, brackets, and that nothing but white space
     follows. ``bytes`` is what was read of the file as it is stored; where ``files`` has a ``length`` above zero, both
     must agree."""
-    length = F.col("length").cast("long") if "length" in files.columns else F.lit(None).cast("long")
 
     def check(path: str, length: int | None) -> tuple[bool, str, int, int]:
         n, counted = 0, None
@@ -67,9 +66,7 @@ def validate_files(files: DataFrame, sections: tuple[str, ...] = SECTIONS) -> Da
             kinds = {"ok": pa.bool_(), "reason": pa.string(), "elements": pa.int64(), "bytes": pa.int64()}
             yield pa.RecordBatch.from_arrays([batch.column("file_seq"), batch.column("source_file"), *(pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds.values()))], ["file_seq", "source_file", *kinds])
 
-    n = max(1, files.count())
-    asked = files.select(F.col("file_seq").cast("int").alias("file_seq"), "source_file", length.alias("length")).repartitionByRange(n, "file_seq")
-    return asked.mapInArrow(run, "file_seq int, source_file string, ok boolean, reason string, elements long, bytes long")
+    return dealt(files).mapInArrow(run, "file_seq int, source_file string, ok boolean, reason string, elements long, bytes long")
 
 
 def audit_files(files: DataFrame, sections: tuple[str, ...] = SECTIONS) -> DataFrame:

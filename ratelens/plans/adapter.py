@@ -45,33 +45,48 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("file_seq", "source_file", F.col("s_suppkey").alias("pos"), (F.col("s_suppkey") + F.col("file_seq") + 0.5).alias("provider_group_id"), groups)
 
 
-def rate_rows(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:
-    """One rate for each file, part, supplier and line status, with its prices. ``sparse``: every third part
-    lacks rate, setting and service code."""
+def price_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file_seq, bucket, and what items need of a line item, its part and its supplier: nothing nested yet."""
     l, p, s = (table(spark, sf_dir, t) for t in ("lineitem", "part", "supplier"))
-    rows = l.join(p, l["l_partkey"] == p["p_partkey"]).join(s, l["l_suppkey"] == s["s_suppkey"]).withColumn("file_seq", file_of(F.col("l_returnflag")))
-    some = (lambda c: F.when(F.col("p_partkey") % 3 != 0, c)) if sparse else (lambda c: c)
-    price = F.struct(
-        some(F.col("l_extendedprice")).alias("negotiated_rate"), F.lit("negotiated").alias("negotiated_type"), F.col("l_linestatus").alias("billing_class"), some(F.lit("outpatient")).alias("setting"),
-        F.date_format("l_shipdate", "yyyy-MM-dd").alias("expiration_date"), some(F.array(F.col("l_linenumber").cast("string"))).alias("service_code"), F.array().cast("array<string>").alias("billing_code_modifier"),
+    rows = l.join(p, l["l_partkey"] == p["p_partkey"]).join(s, l["l_suppkey"] == s["s_suppkey"])
+    return rows.select(
+        file_of(F.col("l_returnflag")).alias("file_seq"), F.floor(F.col("p_partkey") / PARTS).cast("int").alias("bucket"), "l_returnflag", "p_partkey", "p_name", "p_type", "p_size",
+        "s_suppkey", "s_name", "l_linestatus", "l_extendedprice", "l_shipdate", "l_linenumber",
     )
-    keys = ["file_seq", "l_returnflag", "p_partkey", "p_name", "p_type", "p_size", "s_suppkey", "s_name", "l_linestatus"]
-    return rows.groupBy(*keys).agg(F.collect_list(price).alias("negotiated_prices"))
-
-
-def items(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:
-    """file_seq, source_file, pos, and the columns of an item; a part's rates in a file are few at any scale."""
-    inline = F.col("l_linestatus") == "O"
-    rate = F.struct(
-        F.when(~inline, F.array(F.col("s_suppkey") + F.col("file_seq") + 0.5)).alias("provider_references"),
-        F.when(inline, F.array(group(F.col("s_suppkey"), F.col("s_name")))).alias("provider_groups"),
-        "negotiated_prices",
-    )
-    by_part = rate_rows(spark, sf_dir, sparse).groupBy("file_seq", "l_returnflag", "p_partkey", "p_name", "p_type", "p_size").agg(F.collect_list(rate).alias("negotiated_rates"))
+
+
+def items(spark: SparkSession, sf_dir: str, sparse: bool = False, by: str = "p_partkey") -> DataFrame:
+    """file_seq, source_file, pos, the columns of an item, and its bucket; a part's rates in a file are few at any
+    scale. A rate for each supplier and line status, with its prices. ``sparse``: every third part lacks rate, setting
+    and service code. Rows are dealt once, by file and ``by``, while they are flat; all grouping is done where they are then."""
+    keys = ["file_seq", "bucket", "l_returnflag", "p_partkey", "p_name", "p_type", "p_size"]
+    rows = price_rows(spark, sf_dir).repartition("file_seq", by)
+    line = F.struct("s_suppkey", "s_name", "l_linestatus", "l_extendedprice", "l_shipdate", "l_linenumber")
+    by_part = rows.groupBy(*keys).agg(F.collect_list(line).alias("lines"))
+    some = (lambda c: F.when(F.col("p_partkey") % 3 != 0, c)) if sparse else (lambda c: c)
+
+    def price(x: Column) -> Column:
+        return F.struct(
+            some(x["l_extendedprice"]).alias("negotiated_rate"), F.lit("negotiated").alias("negotiated_type"), x["l_linestatus"].alias("billing_class"), some(F.lit("outpatient")).alias("setting"),
+            F.date_format(x["l_shipdate"], "yyyy-MM-dd").alias("expiration_date"), some(F.array(x["l_linenumber"].cast("string"))).alias("service_code"), F.array().cast("array<string>").alias("billing_code_modifier"),
+        )
+
+    of = ("s_suppkey", "s_name", "l_linestatus")
+    kinds = F.array_distinct(F.transform("lines", lambda x: F.struct(*[x[c].alias(c) for c in of])))
+
+    def rate(k: Column) -> Column:
+        inline = k["l_linestatus"] == "O"
+        same = F.filter("lines", lambda x: x["s_suppkey"].eqNullSafe(k["s_suppkey"]) & x["s_name"].eqNullSafe(k["s_name"]) & x["l_linestatus"].eqNullSafe(k["l_linestatus"]))
+        return F.struct(
+            F.when(~inline, F.array(k["s_suppkey"] + F.col("file_seq") + 0.5)).alias("provider_references"), F.when(inline, F.array(group(k["s_suppkey"], k["s_name"]))).alias("provider_groups"),
+            F.transform(same, price).alias("negotiated_prices"),
+        )
+
     return by_part.select(
         "file_seq", F.concat(F.lit("rates_"), "l_returnflag", F.lit(".json.gz")).alias("source_file"), F.col("p_partkey").alias("pos"),
         F.lit("CPT").alias("billing_code_type"), F.col("p_partkey").cast("string").alias("billing_code"), F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise("").alias("name"),
-        F.col("p_type").alias("description"), F.lit("ffs").alias("negotiation_arrangement"), "negotiated_rates",
+        F.col("p_type").alias("description"), F.lit("ffs").alias("negotiation_arrangement"), F.transform(kinds, rate).alias("negotiated_rates"), "bucket",
+        F.filter(kinds, lambda k: k["l_linestatus"] != "O").alias("referring"),
     )
 
 
@@ -91,15 +106,17 @@ def raw_elements(spark: SparkSession, sf_dir: str, sparse: bool = False) -> Data
 def write_mrf(spark: SparkSession, sf_dir: str, damaged: bool = False) -> str:
     """The folder of gzipped rate files, each with the items of a range of parts and the references that they need.
     ``damaged``: of five files, number 1 goes on after its object and number 2 is cut off."""
-    found = items(spark, sf_dir).withColumn("bucket", F.floor(F.col("pos") / PARTS).cast("int"))
+    found = items(spark, sf_dir, by="bucket")
     body = F.struct("billing_code_type", "billing_code", "name", "description", "negotiation_arrangement", "negotiated_rates")
-    listed = found.groupBy("file_seq", "bucket").agg(F.concat_ws(",", F.collect_list(F.to_json(body))).alias("items"))
-    used = found.select("file_seq", "bucket", F.explode("negotiated_rates.provider_references").alias("ids")).select("file_seq", "bucket", F.explode("ids").alias("provider_group_id")).distinct()
-    refs = used.join(references(spark, sf_dir), ["file_seq", "provider_group_id"])
-    ref_list = refs.groupBy("file_seq", "bucket").agg(F.concat_ws(",", F.collect_list(F.to_json(F.struct("provider_group_id", "provider_groups")))).alias("refs"))
-    whole = F.concat(F.lit('{"reporting_entity_name": "a plan", "provider_references": ['), F.coalesce("refs", F.lit("")), F.lit('], "other": {"x": [1, "]}"]}, "in_network": ['), "items", F.lit("]}"))
+    # As ``references``: a group of every supplier in the first two files, of even ones in the third. As texts they are
+    # told apart by their hashes.
+    there = F.filter("referring", lambda k: (F.col("file_seq") < 2) | (k["s_suppkey"] % 2 == 0))
+    refer = F.transform(there, lambda k: F.to_json(F.struct((k["s_suppkey"] + F.col("file_seq") + 0.5).alias("provider_group_id"), F.array(group(k["s_suppkey"], k["s_name"])).alias("provider_groups"))))
+    listed = found.select("file_seq", "bucket", F.to_json(body).alias("item"), refer.alias("refer")).groupBy("file_seq", "bucket")
+    rows = listed.agg(F.concat_ws(",", F.collect_list("item")).alias("items"), F.array_join(F.array_distinct(F.flatten(F.collect_list("refer"))), ",").alias("refs"))
+    whole = F.concat(F.lit('{"reporting_entity_name": "a plan", "provider_references": ['), "refs", F.lit('], "other": {"x": [1, "]}"]}, "in_network": ['), "items", F.lit("]}"))
     path = sinks.work_path(spark, "mrf")
-    rows = listed.join(ref_list, ["file_seq", "bucket"], "left").select((F.col("bucket") * 3 + F.col("file_seq")).alias("seq"), whole.alias("value"))
+    rows = rows.select((F.col("bucket") * 3 + F.col("file_seq")).alias("seq"), whole.alias("value"))
     if damaged:
         text = F.col("value")
         rows = rows.withColumn("value", F.when(F.col("seq") % 5 == 1, F.concat(text, F.lit(" {"))).when(F.col("seq") % 5 == 2, F.left(text, F.length(text) - 3)).otherwise(text))

@@ -38,9 +38,7 @@ def digests(files: DataFrame) -> DataFrame:
                 sizes.append(n)
             yield pa.RecordBatch.from_arrays([batch.column("file_seq"), batch.column("source_file"), pa.array(found, pa.string()), pa.array(sizes, pa.int64())], ["file_seq", "source_file", "digest", "length"])
 
-    n = max(1, files.count())
-    asked = files.select(F.col("file_seq").cast("int").alias("file_seq"), "source_file").repartitionByRange(n, "file_seq")
-    return asked.mapInArrow(run, "file_seq int, source_file string, digest string, length long")
+    return mrf.dealt(files).mapInArrow(run, "file_seq int, source_file string, digest string, length long")
 
 
 def manifest(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
