@@ -137,9 +137,13 @@ def search_matched(providers: DataFrame, items: DataFrame, npis: Targets, refere
 def search_rates(refs: DataFrame, items: DataFrame, npis: Targets, files: DataFrame | None = None) -> DataFrame:
     """All negotiated prices of the targets, by reference and inline. ``files`` (file_seq) limits the search, for
     instance to ``single_pass_files``."""
-    if files is not None:
-        items = items.join(files.select("file_seq").distinct(), "file_seq", "left_semi")
-    return search_matched(matched_providers(refs, npis), items, npis)
+    providers = matched_providers(refs, npis)
+    if files is None:
+        return search_matched(providers, items, npis)
+    # Items are never dealt by their file alone, as one can hold most of them: files limit what matched.
+    only = files.select("file_seq").distinct()
+    found = search_matched(providers.join(only, "file_seq", "left_semi"), items, npis)
+    return found.join(only, "file_seq", "left_semi").select(*found.columns)
 
 
 def matching_items(refs: DataFrame, items: DataFrame, npis: list[int]) -> DataFrame:
