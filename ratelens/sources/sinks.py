@@ -52,13 +52,13 @@ def stage(raw: DataFrame) -> DataFrame:
 FILE_PARTS = 10_000
 
 
-def land(raw: DataFrame, path: str, partitions: int | None = None, spread: int = 16, landing: str | None = None) -> None:
+def land(raw: DataFrame, path: str, partitions: int | None = None, landing: str | None = None) -> None:
     """Normalised tables in Parquet: members by number with a bloom filter on it, items in folders by file, and postings,
     which say for each number where items list it themselves.
 
     A search then prunes members and postings by number, and items by the files that either of them names. Elements
-    are dealt once, before decoding, by file and by position modulo ``spread``, so a file's folder gets at most that
-    many files and a large file is decoded by as many tasks. With ``landing``, the tables stand in a folder of that name
+    are dealt once, before decoding, by file; adaptive execution puts small files' elements together in a task, each
+    file's folder getting one file, and splits those of a large file over as many tasks as their bytes need. With ``landing``, the tables stand in a folder of that name
     within each table of ``path``, which has one for each landing."""
     spark = raw.sparkSession
     folder = lambda table: f"{path}/{table}" + (f"/landing={landing}" if landing else "")
@@ -66,9 +66,8 @@ def land(raw: DataFrame, path: str, partitions: int | None = None, spread: int =
     members = members.select("file_seq", "provider_group_id", F.explode("g.npi").alias("npi"), F.col("g.tin").alias("tin"))
     _by_number(members, folder("members"))
     file_part = F.pmod("file_seq", F.lit(FILE_PARTS)).cast("int")
-    keys = [file_part, F.pmod("pos", F.lit(spread))]
-    dealt = raw.filter("section = 'in_network'")
-    dealt = dealt.repartition(partitions, *keys) if partitions else dealt.repartition(*keys)
+    dealt = raw.filter("section = 'in_network'").withColumn("file_part", file_part)
+    dealt = dealt.hint("rebalance", *([partitions] if partitions else []), "file_part")
     items = search.read_in_network(dealt).select("*", file_part.alias("file_part")).sortWithinPartitions("file_part", "file_seq", "pos")
     items.write.partitionBy("file_part").parquet(folder("items"))
     # Only the numbers are read of what was written.
