@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratelens.sources import sinks
+from ratelens.sources import mrf, sinks
 from ratelens.sources.files import file_catalog
 
 #: Parts of one generated file, and customers of one plan structure: groups stay this small at any scale.
@@ -85,14 +85,14 @@ def items(spark: SparkSession, sf_dir: str, sparse: bool = False, by: str = "p_p
     return by_part.select(
         "file_seq", F.concat(F.lit("rates_"), "l_returnflag", F.lit(".json.gz")).alias("source_file"), F.col("p_partkey").alias("pos"),
         F.lit("CPT").alias("billing_code_type"), F.col("p_partkey").cast("string").alias("billing_code"), F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise("").alias("name"),
-        F.col("p_type").alias("description"), F.lit("ffs").alias("negotiation_arrangement"), F.transform(kinds, rate).alias("negotiated_rates"), "bucket",
+        F.col("p_type").alias("description"), F.lit("ffs").alias("negotiation_arrangement"), mrf.once(F.transform(kinds, rate)).alias("negotiated_rates"), "bucket",
         F.filter(kinds, lambda k: k["l_linestatus"] != "O").alias("referring"),
     )
 
 
 def _raw(rows: DataFrame, section: str, order: int) -> DataFrame:
     body = [c for c in rows.columns if c not in ("file_seq", "source_file", "pos")]
-    return rows.select("file_seq", "source_file", F.lit(section).alias("section"), F.lit(order).alias("section_ord"), F.col("pos").cast("long").alias("pos"), F.to_json(F.struct(*body)).alias("raw"))
+    return rows.select("file_seq", "source_file", F.lit(section).alias("section"), F.lit(order).alias("section_ord"), F.col("pos").cast("long").alias("pos"), mrf.once(F.to_json(F.struct(*body))).alias("raw"))
 
 
 def raw_references(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,12 +3,13 @@
 import gzip
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from ratelens.operators import catalog, search, toc
-from ratelens.plans import flows
+from ratelens.plans import adapter, flows
 from ratelens.sources import blocks, bucketed, committed, landing, matching, mrf, sinks
 from tests.test_search import FOUR, PLAN, A, B, group, item, price, rate, rates, ref, written  # noqa: F401
 
@@ -221,3 +222,50 @@ def test_many_plans(written):  # noqa: F811
     rows = flows.search_plans(tocs, plans, [A])
     assert {tuple(r) for r in rows.groupBy("plan_id").count().collect()} == {("X", 12), ("Y", 12)}
     assert toc.plan_index(mrf.read_elements(tocs, ("reporting_structure",))).filter("plan_id = 'x'").count() == 3
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString().splitlines()
+
+
+def test_small_files_share_tasks(written, spark):  # noqa: F811
+    files = written(*[{"in_network": [item(str(k), [rate([price(1.0)], groups=[group([A])])])]} for k in range(40)])
+    for listed in (files, files.withColumn("length", F.lit(100))):
+        scan = mrf.dealt(listed)
+        assert scan.count() == 40 and scan.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert len(rates(flows.search_files(files, [A]))) == 40
+    large = files.filter("file_seq < 3").withColumn("length", F.lit(1 << 30))
+    assert sorted(len(x) for x in mrf.dealt(large).rdd.glom().collect() if x) == [1, 1, 1]
+    assert mrf.dealt(files.filter("false")).count() == 0
+
+
+def test_files_limit_matches_not_items(written, spark):  # noqa: F811
+    raw = mrf.read_elements(written(PLAN, PLAN))
+    refs, items = search.read_provider_references(raw), search.read_in_network(raw)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = search.search_rates(refs, items, [A], spark.createDataFrame([(1,), (1,)], "file_seq int"))
+        lines = _plan(found)
+        assert rates(found) == FOUR and {r["file_seq"] for r in found.collect()} == {1}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    by_file = [lines[k + 1] for k, x in enumerate(lines[:-1]) if "Reused" not in x and re.search(r"Exchange hashpartitioning\(file_seq#\d+, \d+\)", x)]
+    assert by_file and not any("negotiated_rates" in x for x in by_file), by_file
+
+
+def test_a_small_file_lands_as_one_file(written, spark, tmp_path):  # noqa: F811
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sinks.land(mrf.read_elements(written(PLAN)), str(tmp_path / "landed"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(list((tmp_path / "landed" / "items" / "file_part=0").glob("*.parquet"))) == 1
+
+
+def test_rows_are_dealt_once_and_decoded_once(spark, sf_dir):
+    lines = _plan(adapter.items(spark, sf_dir))
+    assert sum("Exchange hashpartitioning" in x for x in lines) == 1
+    plan = search.read_in_network(adapter.raw_elements(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and plan.count("StructsToJsonEvaluator") == 1
