@@ -27,17 +27,17 @@ def work_path(spark: SparkSession, label: str) -> str:
 
 
 def split_sections(raw: DataFrame, path: str, max_records: int = 1_000_000) -> None:
-    """Raw elements as JSON lines, a folder for each section."""
-    raw.write.option("maxRecordsPerFile", max_records).option("ignoreNullFields", "false").partitionBy("section").json(path)
+    """Raw elements as JSON lines, gzipped, a folder for each section."""
+    raw.write.option("maxRecordsPerFile", max_records).option("compression", "gzip").option("ignoreNullFields", "false").partitionBy("section").json(path)
 
 
 def write_lines(raw: DataFrame, path: str, max_records: int = 1_000_000) -> None:
-    """Elements as plain line files, one to a line and nothing else, in folders by file and section. The names of the
+    """Elements as gzipped line files, one to a line and nothing else, in folders by file and section. The names of the
     files stand in ``names`` beside the folders. Rows of a folder are brought together first, so that it gets few files."""
     # A line break inside an element can only stand between its tokens.
     rows = raw.filter(F.col("raw").isNotNull()).select("file_seq", "section", F.regexp_replace("raw", r"[\r\n]+", " ").alias("value"))
     rows = rows.repartition("file_seq", "section", F.pmod(F.xxhash64("value"), F.lit(16)))
-    rows.write.option("maxRecordsPerFile", max_records).partitionBy("file_seq", "section").text(f"{path}/lines")
+    rows.write.option("maxRecordsPerFile", max_records).option("compression", "gzip").partitionBy("file_seq", "section").text(f"{path}/lines")
     raw.groupBy("file_seq").agg(F.min("source_file").alias("source_file")).write.json(f"{path}/names")
 
 

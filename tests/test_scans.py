@@ -269,3 +269,12 @@ def test_rows_are_dealt_once_and_decoded_once(spark, sf_dir):
     assert sum("Exchange hashpartitioning" in x for x in lines) == 1
     plan = search.read_in_network(adapter.raw_elements(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(") == 1 and plan.count("StructsToJsonEvaluator") == 1
+
+
+def test_lines_are_written_gzipped(written, spark, tmp_path):  # noqa: F811
+    raw = mrf.read_elements(written(PLAN))
+    sinks.write_lines(raw, str(tmp_path / "lines"))
+    sinks.split_sections(raw, str(tmp_path / "split"))
+    for folder, ending in (("lines/lines", "txt"), ("split", "json")):
+        names = [p.name for p in (tmp_path / folder).rglob("part-*")]
+        assert names and all(n.endswith(f".{ending}.gz") for n in names), names
