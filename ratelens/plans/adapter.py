@@ -45,22 +45,26 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("file_seq", "source_file", F.col("s_suppkey").alias("pos"), (F.col("s_suppkey") + F.col("file_seq") + 0.5).alias("provider_group_id"), groups)
 
 
-def price_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """file_seq, bucket, and what items need of a line item, its part and its supplier: nothing nested yet."""
+def price_rows(spark: SparkSession, sf_dir: str, by: str) -> DataFrame:
+    """file_seq, bucket, and what items need of a line item, its part and its supplier: nothing nested yet. Rows are
+    dealt once: by part before parts are joined, which are dealt alike if they are not broadcast, or by file and bucket."""
     l, p, s = (table(spark, sf_dir, t) for t in ("lineitem", "part", "supplier"))
-    rows = l.join(p, l["l_partkey"] == p["p_partkey"]).join(s, l["l_suppkey"] == s["s_suppkey"])
-    return rows.select(
+    lines = l.join(s, l["l_suppkey"] == s["s_suppkey"]).select("l_partkey", "l_returnflag", "s_suppkey", "s_name", "l_linestatus", "l_extendedprice", "l_shipdate", "l_linenumber")
+    if by == "p_partkey":
+        lines = lines.repartition("l_partkey")
+    rows = lines.join(p, lines["l_partkey"] == p["p_partkey"]).select(
         file_of(F.col("l_returnflag")).alias("file_seq"), F.floor(F.col("p_partkey") / PARTS).cast("int").alias("bucket"), "l_returnflag", "p_partkey", "p_name", "p_type", "p_size",
         "s_suppkey", "s_name", "l_linestatus", "l_extendedprice", "l_shipdate", "l_linenumber",
     )
+    return rows if by == "p_partkey" else rows.repartition("file_seq", by)
 
 
 def items(spark: SparkSession, sf_dir: str, sparse: bool = False, by: str = "p_partkey") -> DataFrame:
     """file_seq, source_file, pos, the columns of an item, and its bucket; a part's rates in a file are few at any
     scale. A rate for each supplier and line status, with its prices. ``sparse``: every third part lacks rate, setting
-    and service code. Rows are dealt once, by file and ``by``, while they are flat; all grouping is done where they are then."""
+    and service code. Rows are dealt once, by part or by file and bucket, while they are flat; all grouping is done where they are then."""
     keys = ["file_seq", "bucket", "l_returnflag", "p_partkey", "p_name", "p_type", "p_size"]
-    rows = price_rows(spark, sf_dir).repartition("file_seq", by)
+    rows = price_rows(spark, sf_dir, by)
     line = F.struct("s_suppkey", "s_name", "l_linestatus", "l_extendedprice", "l_shipdate", "l_linenumber")
     by_part = rows.groupBy(*keys).agg(F.collect_list(line).alias("lines"))
     some = (lambda c: F.when(F.col("p_partkey") % 3 != 0, c)) if sparse else (lambda c: c)

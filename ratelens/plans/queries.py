@@ -250,7 +250,7 @@ def lines_of_a_file(spark, sf):
 def output_roundtrip(spark, sf):
     """Results with their parameters, written and read."""
     path = sinks.work_path(spark, "output")
-    found = search.search_rates(*_parts(spark, sf), NPIS)
+    found = sinks.kept(search.search_rates(*_parts(spark, sf), NPIS))
     sinks.write_output(found, summary.search_summary(found, A.files(spark), NPIS), path)
     params, results = sinks.read_output(spark, path)
     given = params.select(F.array_join("npis", ",").alias("npis"), "searched_files", "matched_files")

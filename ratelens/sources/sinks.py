@@ -110,6 +110,13 @@ def listed_items(items: DataFrame, postings: DataFrame, npis: search.Targets) ->
     return items.join(parts, "file_part", "left_semi").join(places, ["file_part", "file_seq", "pos"], "left_semi")
 
 
+def kept(results: DataFrame) -> DataFrame:
+    """The results, written once to the shared folder: what is made of them several times is searched for once."""
+    path = work_path(results.sparkSession, "found")
+    results.write.parquet(path)
+    return results.sparkSession.read.schema(results.schema).parquet(path)
+
+
 def write_results(results: DataFrame, path: str) -> None:
     """Results as JSON lines in the output order; null arrays stay, empty ones too."""
     results.select(*RESULT_COLUMNS).write.option("ignoreNullFields", "false").json(path)
@@ -120,7 +127,8 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_output(results: DataFrame, summary: DataFrame, path: str) -> None:
-    """Results of any size with their parameters: one line of JSON in ``search_params``, lines in ``results``."""
+    """Results of any size with their parameters: one line of JSON in ``search_params``, lines in ``results``. A search
+    that the summary is made of too should be ``kept`` first, or it runs for each of them."""
     params = summary.select(_params(summary).alias("p")).select("p.*")
     params.write.option("ignoreNullFields", "false").json(f"{path}/search_params")
     write_results(results, f"{path}/results")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ratelens.operators import catalog, search, toc
-from ratelens.plans import adapter, flows
+from ratelens.plans import adapter, flows, queries
 from ratelens.sources import blocks, bucketed, committed, landing, matching, mrf, sinks
 from tests.test_search import FOUR, PLAN, A, B, group, item, price, rate, rates, ref, written  # noqa: F401
 
@@ -278,3 +278,32 @@ def test_lines_are_written_gzipped(written, spark, tmp_path):  # noqa: F811
     for folder, ending in (("lines/lines", "txt"), ("split", "json")):
         names = [p.name for p in (tmp_path / folder).rglob("part-*")]
         assert names and all(n.endswith(f".{ending}.gz") for n in names), names
+
+
+def test_results_and_their_summary_search_once(spark, sf_dir, monkeypatch):
+    given, write = [], sinks.write_output
+    monkeypatch.setattr(sinks, "write_output", lambda results, summary, path: (given.extend([results, summary]), write(results, summary, path)))
+    got = queries.output_roundtrip(spark, sf_dir).drop("npis", "searched_files", "matched_files")
+    assert len(given) == 2 and not any("l_returnflag" in x for df in given for x in _plan(df))
+    assert sorted(map(str, got.collect())) == sorted(map(str, queries.search_full(spark, sf_dir).collect()))
+
+
+def test_kept_results_are_the_same(written, spark):  # noqa: F811
+    found = flows.search_files(written(PLAN, PLAN), [A])
+    for rows in (found, found.filter("false"), found.withColumn("service_code", F.lit(None).cast("array<string>"))):
+        again = sinks.kept(rows)
+        assert again.columns == rows.columns and sorted(map(str, again.collect())) == sorted(map(str, rows.collect()))
+
+
+def test_lines_are_dealt_once_where_nothing_is_broadcast(spark, sf_dir):
+    want = {c.__name__: sorted(map(str, c(spark, sf_dir).collect())) for c in (queries.search_full, queries.duplicate_file)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        # Lines by supplier and by part, and both of these tables.
+        assert sum("Exchange hashpartitioning" in x for x in _plan(adapter.items(spark, sf_dir))) == 4
+        got = {c.__name__: sorted(map(str, c(spark, sf_dir).collect())) for c in (queries.search_full, queries.duplicate_file)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got == want and want["duplicate_file"]
