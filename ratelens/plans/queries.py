@@ -101,7 +101,8 @@ def zero_defaults(spark, sf):
 
 def duplicate_file(spark, sf):
     """The first file listed twice."""
-    again = [x.unionByName(x.filter("file_seq = 0").withColumn("file_seq", F.lit(3))) for x in _parts(spark, sf)]
+    listed = F.explode(F.when(F.col("file_seq") == 0, F.array(F.lit(0), F.lit(3))).otherwise(F.array("file_seq")))
+    again = [x.withColumn("file_seq", listed) for x in _parts(spark, sf)]
     return search.search_rates(*again, NPIS).groupBy("source_file").agg(F.count("*").alias("rates"), F.count_distinct("file_seq").alias("searches"))
 
 

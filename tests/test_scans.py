@@ -307,3 +307,12 @@ def test_lines_are_dealt_once_where_nothing_is_broadcast(spark, sf_dir):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert got == want and want["duplicate_file"]
+
+
+def test_a_file_listed_twice_is_built_once(spark, sf_dir):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        lines = _plan(queries.duplicate_file(spark, sf_dir))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum("FileScan" in x and "l_returnflag" in x for x in lines) == 1
