@@ -18,6 +18,8 @@ from ratelens.sources.mrf import decode
 Targets = Iterable[int] | DataFrame
 #: Up to so many numbers are a list in the plan; more, or a table, are joined.
 LISTED = 50
+#: Hash classes of group ids.
+CLASSES = 1 << 16
 
 
 def read_provider_references(raw: DataFrame) -> DataFrame:
@@ -51,6 +53,10 @@ def only_targets(rows: DataFrame, npis: Targets) -> DataFrame:
     return rows.join(rows.sparkSession.createDataFrame([(n,) for n in listed], "npi long"), "npi", "left_semi")
 
 
+def _few(npis: Targets) -> bool:
+    return not isinstance(npis, DataFrame) and len({int(n) for n in npis}) <= LISTED
+
+
 def matched_providers(refs: DataFrame, npis: Targets) -> DataFrame:
     """file_seq, provider_group_id, npi, tin of every listing of a target in a group."""
     groups = refs.filter(F.col("provider_group_id").isNotNull()).select("file_seq", "provider_group_id", F.explode("provider_groups").alias("g"))
@@ -69,12 +75,22 @@ def rates(items: DataFrame) -> DataFrame:
     return items.select("file_seq", "source_file", "pos", *code, described.alias("billing_code_description"), F.posexplode("negotiated_rates").alias("rate_pos", "rate"))
 
 
-def by_reference(rated: DataFrame, providers: DataFrame) -> DataFrame:
-    """Rates joined to matches through their group ids."""
+def by_reference(rated: DataFrame, providers: DataFrame, few: bool = False) -> DataFrame:
+    """Rates joined to matches through their group ids. With ``few`` wanted numbers, rates go first that name no group
+    whose hash class has a match: most of them, so that they are not shuffled for the join."""
     asked = rated.select("*", F.explode("rate.provider_references").alias("provider_group_id"))
+    if few:
+        # At most CLASSES small rows, whatever the input.
+        matched = F.broadcast(providers.select(_class().alias("group_class")).distinct())
+        asked = asked.withColumn("group_class", _class()).join(matched, "group_class", "left_semi").select(*asked.columns)
     return asked.join(providers, ["file_seq", "provider_group_id"]).drop("provider_group_id")
 
 
+def _class() -> Column:
+    """The hash class of a group id in its file; ids that the join takes as equal are in one."""
+    return F.pmod(F.xxhash64("file_seq", F.col("provider_group_id") + 0.0), F.lit(CLASSES)).cast("int")
+
+
 def by_inline_group(rated: DataFrame, npis: Targets) -> DataFrame:
     """Rates joined to the targets in the groups that they list themselves. Listed targets are picked inside the
     arrays, so that other listings never become rows."""
@@ -105,7 +121,7 @@ def project_results(hits: DataFrame) -> DataFrame:
 
 
 def search_by_reference(refs: DataFrame, items: DataFrame, npis: Targets) -> DataFrame:
-    return project_results(by_reference(rates(items), matched_providers(refs, npis)))
+    return project_results(by_reference(rates(items), matched_providers(refs, npis), _few(npis)))
 
 
 def search_inline(items: DataFrame, npis: Targets) -> DataFrame:
@@ -130,7 +146,7 @@ def single_pass_files(raw: DataFrame, npis: Targets) -> DataFrame:
 def search_matched(providers: DataFrame, items: DataFrame, npis: Targets, referenced: DataFrame | None = None) -> DataFrame:
     """All prices of the targets, given their matches in groups: an inner join for references, a filter for inline
     listings. ``referenced`` may be fewer items, those of files with a match, for the join."""
-    joined = by_reference(rates(items if referenced is None else referenced), providers)
+    joined = by_reference(rates(items if referenced is None else referenced), providers, _few(npis))
     return project_results(joined.unionByName(by_inline_group(rates(items), npis).select(*joined.columns)))
 
 

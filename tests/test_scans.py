@@ -316,3 +316,21 @@ def test_a_file_listed_twice_is_built_once(spark, sf_dir):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert sum("FileScan" in x and "l_returnflag" in x for x in lines) == 1
+
+
+def test_rates_without_a_match_are_not_shuffled(written, spark):  # noqa: F811
+    zero = {"provider_references": [ref(-0.0, group([A, A])), ref(7, group([B])), ref(8, group([B + 1]))], "in_network": [item("0", [rate([price(4.0)], [0, 7, 8, 9], [group([A])])]), item("1", [rate([price(5.0)], [-0.0]), rate([price(6.0)], [8])])]}
+    raw = mrf.read_elements(written(PLAN, zero))
+    refs, items = search.read_provider_references(raw), search.read_in_network(raw)
+    for npis in ([A], [A, B], [1]):
+        table = spark.createDataFrame([(n,) for n in npis], "npi long")
+        assert rates(search.search_rates(refs, items, npis)) == rates(search.search_rates(refs, items, table))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        lines = _plan(search.search_by_reference(refs, items, [A]))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    dealt = next(k for k, x in enumerate(lines) if "Exchange hashpartitioning(file_seq" in x and "provider_group_id" in x)
+    assert any("BroadcastHashJoin" in x and "LeftSemi" in x for x in lines[dealt : dealt + 4]), lines
