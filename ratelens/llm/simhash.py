@@ -106,7 +106,8 @@ def links(classes: DataFrame, big: int = BIG) -> DataFrame:
     sizes = own.groupBy("seg", "key").agg(F.count("*").alias("size"))
     asked = F.concat(F.transform(_ball(high, 32), lambda k: F.struct(F.lit(0).cast("byte").alias("seg"), k.alias("key"))), F.array(F.struct(F.lit(1).cast("byte").alias("seg"), low.alias("key"))))
     probes = classes.select("fp", F.explode(asked).alias("x")).select("fp", "x.*")
-    met = probes.join(sizes, ["seg", "key"])
+    # Spark takes an exploded row for one, so it would broadcast 34 rows a class where it sees the bytes of one.
+    met = probes.join(sizes.hint("merge"), ["seg", "key"])
     # In a large bucket the other segment's halves are looked up the same way; 0 marks a small bucket.
     rest = F.when(F.col("seg") == 0, low).otherwise(high)
     half = rest.bitwiseAND(F.lit(0xFFFF))

@@ -1,5 +1,6 @@
 """The training-data operators against plain forms, on the small tables and on odd rows."""
 
+import itertools
 import math
 import random
 import zlib
@@ -232,6 +233,19 @@ def test_links_in_large_buckets(spark):
         assert sorted(map(sorted, found.values())) == sorted(sorted(v) for v in expected.values() if len(v) > 1)
 
 
+def under_broadcasts(df):
+    """The operators below each broadcast of a plan that has run."""
+    df.collect()
+    lines = [(len(x) - len(x.lstrip(" :+-*")), x) for x in df._jdf.queryExecution().executedPlan().toString().splitlines()]
+    at = [k for k, (_, x) in enumerate(lines) if "BroadcastExchange" in x]
+    return ["".join(x for _, x in itertools.takewhile(lambda y, d=lines[k][0]: y[0] > d, lines[k + 1 :])) for k in at]
+
+
+def test_exploded_rows_are_not_broadcast(spark):
+    fps = stored(spark.range(3000).select(F.xxhash64("id").alias("fp")), "fps")
+    assert under_broadcasts(simhash.links(fps)) == []
+
+
 def grams(text):
     words = text.lower().split()
     return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
