@@ -8,6 +8,7 @@ to broadcast; the optimiser does so below its size limit, and adaptive execution
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from ratelens.sources.mrf import decode
 Targets = Iterable[int] | DataFrame
 #: Up to so many numbers are a list in the plan; more, or a table, are joined.
 LISTED = 50
+#: Up to so many numbers are looked for in an item's text before it is decoded.
+SOUGHT = 8
 #: Hash classes of group ids.
 CLASSES = 1 << 16
 
@@ -43,6 +46,15 @@ def prefilter_raw(raw: DataFrame, npis: Iterable[int]) -> DataFrame:
     return raw.filter((F.col("section") != "provider_references") | F.col("raw").rlike("|".join(wanted) or "(?!)"))
 
 
+def holding(raw: DataFrame, npis: Iterable[int]) -> DataFrame:
+    """Elements whose text holds a target number, as each that lists a target does; for more numbers than ``SOUGHT``
+    all elements, as the test would cost more than decoding."""
+    wanted = sorted({str(n) for n in npis})
+    if len(wanted) > SOUGHT:
+        return raw
+    return raw.filter(reduce(Column.__or__, [F.contains("raw", F.lit(n)) for n in wanted], F.lit(False)))
+
+
 def only_targets(rows: DataFrame, npis: Targets) -> DataFrame:
     """Rows whose npi is a target; targets count once however often they are given."""
     if isinstance(npis, DataFrame):
@@ -150,15 +162,16 @@ def search_matched(providers: DataFrame, items: DataFrame, npis: Targets, refere
     return project_results(joined.unionByName(by_inline_group(rates(items), npis).select(*joined.columns)))
 
 
-def search_rates(refs: DataFrame, items: DataFrame, npis: Targets, files: DataFrame | None = None) -> DataFrame:
+def search_rates(refs: DataFrame, items: DataFrame, npis: Targets, files: DataFrame | None = None, inline: DataFrame | None = None) -> DataFrame:
     """All negotiated prices of the targets, by reference and inline. ``files`` (file_seq) limits the search, for
-    instance to ``single_pass_files``."""
+    instance to ``single_pass_files``. ``inline`` may be fewer items, those whose text holds a target, for their own listings."""
     providers = matched_providers(refs, npis)
+    inline = items if inline is None else inline
     if files is None:
-        return search_matched(providers, items, npis)
+        return search_matched(providers, inline, npis, items)
     # Items are never dealt by their file alone, as one can hold most of them: files limit what matched.
     only = files.select("file_seq").distinct()
-    found = search_matched(providers.join(only, "file_seq", "left_semi"), items, npis)
+    found = search_matched(providers.join(only, "file_seq", "left_semi"), inline, npis, items)
     return found.join(only, "file_seq", "left_semi").select(*found.columns)
 
 

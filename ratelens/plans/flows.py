@@ -33,11 +33,13 @@ def search_files(files: DataFrame, npis: search.Targets, single_pass: bool = Fal
         if not huge.isEmpty():
             raw = blocks.read_split(huge, size=block)
             parts.append(search.prefilter_raw(raw, listed) if few and not single_pass else raw)
-    parts.append(mrf.read_elements(small) if listed is None else matching.read_matching(small, listed, all_references=single_pass))
-    raw = sinks.stage(reduce(DataFrame.unionByName, parts))
+    if not parts or not small.isEmpty():
+        parts.append(sinks.stage(mrf.read_elements(small) if listed is None else matching.read_matching(small, listed, all_references=single_pass)))
+    raw = reduce(DataFrame.unionByName, parts)
     only = search.single_pass_files(raw, npis) if single_pass else None
     wanted = listed if few else npis if isinstance(npis, DataFrame) else listed
-    return search.search_rates(search.read_provider_references(raw), search.read_in_network(raw), wanted, only)
+    inline = search.read_in_network(search.holding(raw, listed)) if few else None
+    return search.search_rates(search.read_provider_references(raw), search.read_in_network(raw), wanted, only, inline)
 
 
 def plan_files(tables_of_contents: DataFrame, plan_id: str) -> DataFrame:

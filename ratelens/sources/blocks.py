@@ -3,7 +3,8 @@
 1. A file's task only inflates, and writes raw blocks of a fixed size.
 2. Each block is summarised by itself as a transition: from each of three starting states (outside a string, in
    one, in one behind a backslash) to the state at its end, and by how many brackets the depth changes.
-3. Summaries, a few numbers a block, are composed file by file: now each block's own state and depth are known.
+3. Summaries, a few numbers a block, are composed file by file: now each block's own state and depth are known. They
+   are one row a file, a byte or two for each block, which the blocks look up: blocks are not shuffled for it.
 4. Each block marks what separates the elements of top-level arrays (their brackets, and the commas at depth two),
    and gives back how many it has and the file's skeleton: what stands above depth two, a few keys. Skeletons are
    put together and read as JSON, which names the sections and says whether the file is whole.
@@ -21,14 +22,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from ratelens.schemas import RAW
 from ratelens.sources import sinks
-from ratelens.sources.mrf import _DEPTH, SCALARS, SECTIONS, BrokenFile, Counted, inflated, opened
+from ratelens.sources.mrf import SCALARS, SECTIONS, BrokenFile, Counted, dealt, inflated, opened
 
 BLOCK = 16 << 20
+#: Small blocks that are handed over at once.
+_BATCH = 4 << 20
+#: What each byte is: an opening bracket 1, a closing one -1, a comma 2, anything else 0.
+_KIND = bytes(1 if c in b"{[" else 255 if c in b"}]" else 2 if c == 44 else 0 for c in range(256))
+_STEP = _KIND.replace(b"\x02", b"\x00")
 _SPACE = b" \t\r\n"
 _WHOLE = re.compile(rb'"(?:[^"\\]++|\\.)*+"|[^,\[\]{}"\s]++', re.S)
 
@@ -54,42 +60,56 @@ def marked(data: bytes, state: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
     return view, inside, end
 
 
+def _change(data: bytes, inside: np.ndarray) -> tuple[int, int]:
+    """By how much the brackets outside and inside strings change the depth."""
+    step = np.frombuffer(data.translate(_STEP), dtype=np.int8)
+    at = np.flatnonzero(step)
+    step, inside = step[at], inside[at]
+    return int(step[~inside].sum(dtype=np.int64)), int(step[inside].sum(dtype=np.int64))
+
+
 def summary(data: bytes) -> list[int]:
     """End state and change of depth from each starting state."""
-    view, inside, end = marked(data)
-    step = _DEPTH[view]
-    out = [end, int(step[~inside].sum(dtype=np.int64))]
-    for state in (1, 2):
-        if state == 1 or data[:1] in (b'"', b"\\"):
-            other, within, end = marked(data, state)
-            out += [end, int(_DEPTH[other][~within].sum(dtype=np.int64))]
-        else:
-            out += out[2:4]
-    return out
+    _, inside, end = marked(data)
+    outside, within = _change(data, inside)
+    # A start in a string turns inside and outside round; a start behind a backslash matters to these first bytes only.
+    pending = (len(data) - len(data.rstrip(b"\\"))) % 2
+    other = [0 if end else 1 + pending, within]
+    out = [end, outside, *other]
+    if data[:1] in (b'"', b"\\"):
+        _, inside, end = marked(data, 2)
+        other = [end, _change(data, inside)[0]]
+    return out + other
 
 
 class Marks:
     """Where a block's separators are, given its starting state and depth."""
 
     def __init__(self, data: bytes, state: int, depth: int):
-        view, inside, _ = marked(data, state)
-        step = np.where(inside, 0, _DEPTH[view])
-        level = np.cumsum(step, dtype=np.int32) + depth
-        opens, closes = (step == 1) & (level == 2), (step == -1) & (level == 1)
+        _, inside, _ = marked(data, state)
+        kind = np.frombuffer(data.translate(_KIND), dtype=np.int8)
+        at = np.flatnonzero((kind != 0) & ~inside)
+        kind = kind[at]
+        level = np.cumsum(np.where(kind == 2, 0, kind), dtype=np.int32) + depth
+        opens, closes = (kind == 1) & (level == 2), (kind == -1) & (level == 1)
+        here = opens | closes | ((kind == 2) & (level == 2))
         #: Places of separators: the brackets of depth two, and commas there.
-        self.at = np.flatnonzero(opens | closes | ((view == 44) & ~inside & (level == 2)))
-        self.brackets = np.flatnonzero((opens | closes)[self.at])
-        self.skeleton = view[(level <= 1) | opens].tobytes()
+        self.at = at[here]
+        self.brackets = np.flatnonzero((opens | closes)[here])
+        # From each bracket or comma to the next, the depth is the same.
+        low, bounds = np.concatenate([[depth], level]) <= 1, [0, *at.tolist(), len(data)] if depth <= 1 or opens.any() or (level <= 1).any() else []
+        shown = np.flatnonzero(low | np.concatenate([[False], opens])).tolist() if bounds else []
+        self.skeleton = b"".join(data[bounds[k] : bounds[k + 1] if low[k] else bounds[k] + 1] for k in shown)
         #: Pieces (piece k lies before separator k) behind an opening bracket, here or in an earlier block, with something in them.
         edges = [0, *self.at.tolist(), len(data)]
-        self.filled = [k for k in (0, *(self.brackets[step[self.at[self.brackets]] == 1] + 1).tolist()) if data[edges[k] + (k > 0) : edges[k + 1]].strip(_SPACE)]
+        self.filled = [k for k in (0, *(np.flatnonzero(opens[here]) + 1).tolist()) if data[edges[k] + (k > 0) : edges[k + 1]].strip(_SPACE)]
         #: Where values with brackets begin at depth two.
-        self.values = np.flatnonzero((step == 1) & (level == 3))
+        self.values = at[(kind == 1) & (level == 3)]
 
 
 def inflate(files: DataFrame, size: int = BLOCK) -> DataFrame:
-    """file_seq, source_file, block, data: the bytes of each file in blocks, written to the shared folder."""
-    length = F.col("length").cast("long") if "length" in files.columns else F.lit(None).cast("long")
+    """file_seq, source_file, block, data: the bytes of each file in blocks, written to the shared folder. A task takes
+    one large file, or several small ones one after the other (``dealt``)."""
 
     def rows(path: str, length: int | None) -> Iterator[bytes]:
         with opened(path) as stream:
@@ -97,32 +117,63 @@ def inflate(files: DataFrame, size: int = BLOCK) -> DataFrame:
             for chunk in inflated(counted):
                 held.append(chunk)
                 n += len(chunk)
-                while n >= size:
+                if n >= size:
                     data = b"".join(held)
-                    yield data[:size]
-                    held, n = [data[size:]], n - size
+                    for at in range(0, n - size + 1, size):
+                        yield data[at : at + size]
+                    held, n = [data[n - n % size :]], n % size
             if n or counted.n == 0:
                 yield b"".join(held)
             if length and counted.n != length:
                 raise BrokenFile(f"read {counted.n} of {length} bytes")
 
+    def batch_of(held: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int32(), pa.string(), pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*held, strict=True), kinds, strict=True)], ["file_seq", "source_file", "block", "data"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, weight = [], 0
         for batch in batches:
             for seq, path, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 for k, data in enumerate(rows(path, n)):
-                    yield pa.RecordBatch.from_arrays([pa.array([seq], pa.int32()), pa.array([path]), pa.array([k], pa.int32()), pa.array([data], pa.binary())], ["file_seq", "source_file", "block", "data"])
+                    held.append((seq, path, k, data))
+                    weight += len(data)
+                    if weight >= _BATCH or len(held) >= 10_000:
+                        yield batch_of(held)
+                        held, weight = [], 0
+        if held:
+            yield batch_of(held)
 
-    n = max(1, files.count())
-    asked = files.select(F.col("file_seq").cast("int").alias("file_seq"), "source_file", length.alias("length")).repartitionByRange(n, "file_seq")
-    out = asked.mapInArrow(run, "file_seq int, source_file string, block int, data binary")
+    out = dealt(files).mapInArrow(run, "file_seq int, source_file string, block int, data binary")
     path = sinks.work_path(files.sparkSession, "blocks")
     # Sizes are looked at after each row, as one row may be a block: a file becomes many row groups, which many tasks read.
     out.write.option("parquet.page.size.row.check.min", 1).option("parquet.block.size", max(size, 1 << 20)).parquet(path)
     return files.sparkSession.read.schema(out.schema).parquet(path)
 
 
+def _packed(numbers: list[int]) -> bytes:
+    """Numbers from zero in as few bytes each as the largest needs, behind one byte that says how many."""
+    width = next(w for w in (1, 2, 4, 8) if max(numbers, default=0) < 1 << 8 * w)
+    return bytes([width]) + np.array(numbers, dtype=f"<u{width}").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"<u{data[0]}", offset=1)
+
+
+def _written(df: DataFrame, label: str) -> DataFrame:
+    path = sinks.work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _by_file(rows: DataFrame) -> GroupedData:
+    """Groups of few small rows each: by their bytes they would all be one task's, however many files there are."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "file_seq").groupBy("file_seq")
+
+
 def _states(blocks: DataFrame) -> DataFrame:
-    """file_seq, block, state, depth: how each block begins."""
+    """file_seq, begins: how each block of a file begins, in their order: three times its depth, and its state."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,18 +181,18 @@ def _states(blocks: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("file_seq"), batch.column("block"), pa.array(found, pa.list_(pa.int64()))], ["file_seq", "block", "turn"])
 
     def compose(table: pa.Table) -> pa.Table:
-        table = table.sort_by("block")
-        state, depth, states, depths = 0, 0, [], []
-        for turn in table.column("turn").to_pylist():
-            states.append(state)
-            depths.append(depth)
+        state, depth, begins = 0, 0, []
+        for turn in table.sort_by("block").column("turn").to_pylist():
+            if depth < 0:
+                break
+            begins.append(3 * depth + state)
             state, depth = turn[2 * state], depth + turn[2 * state + 1]
         if state or depth:
-            raise BrokenFile("the file is cut off")
-        return pa.table([table.column("file_seq"), table.column("block"), pa.array(states, pa.int32()), pa.array(depths, pa.int32())], ["file_seq", "block", "state", "depth"])
+            raise BrokenFile("the file is cut off" if depth >= 0 else "the file has more closing brackets than opening ones")
+        return pa.table([table.column("file_seq").slice(0, 1), pa.array([_packed(begins)], pa.binary())], ["file_seq", "begins"])
 
     turns = blocks.select("file_seq", "block", "data").mapInArrow(run, "file_seq int, block int, turn array<bigint>")
-    return turns.groupBy("file_seq").applyInArrow(compose, "file_seq int, block int, state int, depth int")
+    return _written(_by_file(turns).applyInArrow(compose, "file_seq int, begins binary"), "block-states")
 
 
 def _named(skeleton: bytes, sections: tuple[str, ...]) -> list[tuple[str, int, int | None, str | None]]:
@@ -167,18 +218,20 @@ def _named(skeleton: bytes, sections: tuple[str, ...]) -> list[tuple[str, int, i
     return out
 
 
-_SPAN = "struct<section:string,ord:int,first:bigint,last:bigint,pos:bigint>"
+_SPAN = pa.struct([("section", pa.string()), ("ord", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("pos", pa.int64())])
+_SINGLE = pa.struct([("section", pa.string()), ("ord", pa.int32()), ("pos", pa.int64()), ("raw", pa.string())])
 
 
 def _plan(blocks: DataFrame, states: DataFrame, sections: tuple[str, ...]) -> DataFrame:
-    """file_seq, source_file, block, state, depth, base, spans: what a block needs to be cut, and, with block null, the
-    rows that stand for sections and single values."""
+    """file_seq, source_file, begins, counts, spans, single of each file: how its blocks begin, how many separators each
+    has, where sections lie among these, and the rows that stand for sections and single values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [Marks(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("data", "state", "depth")), strict=True)]
-            keep = [batch.column(c) for c in ("file_seq", "source_file", "block", "state", "depth")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array([len(m.at) for m in found], pa.int64()), *(pa.array([list(x) for x in y], pa.list_(pa.int64())) for y in ([m.brackets.tolist() for m in found], [m.filled for m in found])), pa.array([m.skeleton for m in found], pa.binary())], ["file_seq", "source_file", "block", "state", "depth", "n", "brackets", "filled", "skeleton"])
+            begins = [int(_unpacked(x)[k]) for x, k in zip(*(batch.column(c).to_pylist() for c in ("begins", "block")), strict=True)]
+            found = [Marks(data, x % 3, x // 3) for data, x in zip(batch.column("data").to_pylist(), begins, strict=True)]
+            keep = [batch.column(c) for c in ("file_seq", "source_file", "block")]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(begins, pa.int64()), pa.array([len(m.at) for m in found], pa.int64()), *(pa.array(y, pa.list_(pa.int64())) for y in ([m.brackets.tolist() for m in found], [m.filled for m in found])), pa.array([m.skeleton for m in found], pa.binary())], ["file_seq", "source_file", "block", "begin", "n", "brackets", "filled", "skeleton"])
 
     def put_together(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
@@ -191,29 +244,21 @@ def _plan(blocks: DataFrame, states: DataFrame, sections: tuple[str, ...]) -> Da
             if key in SCALARS:
                 if value is None:
                     raise BrokenFile(f"{key} is not a single value")
-                single.append({"section": key, "ord": -1, "first": None, "last": None, "pos": order, "raw": value})
+                single.append({"section": key, "ord": -1, "pos": order, "raw": value})
                 continue
-            single.append({"section": key, "ord": order, "first": None, "last": None, "pos": -1, "raw": None})
+            single.append({"section": key, "ord": order, "pos": -1, "raw": None})
             if container is not None:
                 first, last = at[2 * container] + 1, at[2 * container + 1]
                 spans.append({"section": key, "ord": order, "first": first, "last": last, "pos": counts[key]})
                 counts[key] += last - first + (last > first or first in filled)
-        rows = table.num_rows
-        kept = [table.column(c).to_pylist() for c in ("block", "state", "depth")]
-        seq, path = table.column("file_seq")[0].as_py(), table.column("source_file")[0].as_py()
-        return pa.table(
-            {
-                "file_seq": pa.array([seq] * (rows + 1), pa.int32()), "source_file": pa.array([path] * (rows + 1)), "block": pa.array([*kept[0], None], pa.int32()), "state": pa.array([*kept[1], None], pa.int32()), "depth": pa.array([*kept[2], None], pa.int32()),
-                "base": pa.array([*base.tolist(), None], pa.int64()),
-                "spans": pa.array([spans] * rows + [[]], pa.list_(pa.struct([("section", pa.string()), ("ord", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("pos", pa.int64())]))),
-                "single": pa.array([[]] * rows + [[{k: s[k] for k in ("section", "ord", "pos", "raw")} for s in single]], pa.list_(pa.struct([("section", pa.string()), ("ord", pa.int32()), ("pos", pa.int64()), ("raw", pa.string())]))),
-            }
-        )
-
-    marks = blocks.join(states, ["file_seq", "block"]).select("file_seq", "source_file", "block", "state", "depth", "data")
-    counted = marks.mapInArrow(run, "file_seq int, source_file string, block int, state int, depth int, n bigint, brackets array<bigint>, filled array<bigint>, skeleton binary")
-    schema = f"file_seq int, source_file string, block int, state int, depth int, base bigint, spans array<{_SPAN}>, single array<struct<section:string,ord:int,pos:bigint,raw:string>>"
-    return counted.groupBy("file_seq").applyInArrow(put_together, schema)
+        packed = [pa.array([_packed(x)], pa.binary()) for x in (table.column("begin").to_pylist(), n.tolist())]
+        columns = [table.column("file_seq").slice(0, 1), table.column("source_file").slice(0, 1), *packed, pa.array([spans], pa.list_(_SPAN)), pa.array([single], pa.list_(_SINGLE))]
+        return pa.table(columns, ["file_seq", "source_file", "begins", "counts", "spans", "single"])
+
+    marks = blocks.join(states, "file_seq").select("file_seq", "source_file", "block", "begins", "data")
+    counted = marks.mapInArrow(run, "file_seq int, source_file string, block int, begin bigint, n bigint, brackets array<bigint>, filled array<bigint>, skeleton binary")
+    schema = "file_seq int, source_file string, begins binary, counts binary, spans array<struct<section:string,ord:int,first:bigint,last:bigint,pos:bigint>>, single array<struct<section:string,ord:int,pos:bigint,raw:string>>"
+    return _written(_by_file(counted).applyInArrow(put_together, schema), "block-plan")
 
 
 def _element(text: bytes, values: int, alone: bool) -> bytes | None:
@@ -231,10 +276,14 @@ def _element(text: bytes, values: int, alone: bool) -> bytes | None:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Elements and pieces of elements of blocks: whole ones are checked, pieces come as they are."""
     names = ["file_seq", "source_file", "section", "section_ord", "pos", "block", "piece", "alone", "n_values", "raw"]
+    plan, begins, bases = None, [], []
     for batch in batches:
         for row in batch.to_pylist():
-            data, base = row["data"], row["base"]
-            m = Marks(data, row["state"], row["depth"])
+            if plan != (row["begins"], row["counts"]):
+                plan = row["begins"], row["counts"]
+                begins, bases = _unpacked(plan[0]).tolist(), [0, *np.cumsum(_unpacked(plan[1]), dtype=np.int64).tolist()]
+            data, base, begin = row["data"], bases[row["block"]], begins[row["block"]]
+            m = Marks(data, begin % 3, begin // 3)
             edges = np.concatenate([[0], m.at, [len(data)]])
             values = np.searchsorted(m.values, edges)
             held, weight = [], 0
@@ -270,14 +319,12 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_split(files: DataFrame, sections: tuple[str, ...] = SECTIONS, size: int = BLOCK) -> DataFrame:
     """Raw elements of all files of a table (file_seq, source_file, maybe length), as ``read_elements`` gives them.
 
-    For files that are too large for one task. A broken file fails the job."""
+    For files that are too large for one task. A broken file fails the job. The elements stand in the shared folder by
+    section: what is read of them again is not cut again."""
     spark = files.sparkSession
     blocks = inflate(files, size)
-    plan_path, cut_path = sinks.work_path(spark, "block-plan"), sinks.work_path(spark, "elements")
-    plan = _plan(blocks, _states(blocks), sections)
-    plan.write.parquet(plan_path)
-    plan = spark.read.schema(plan.schema).parquet(plan_path)
-    asked = blocks.select("file_seq", "block", "data").join(plan.filter("block is not null").drop("single"), ["file_seq", "block"])
+    plan, cut_path = _plan(blocks, _states(blocks), sections), sinks.work_path(spark, "elements")
+    asked = blocks.join(plan.select("file_seq", "begins", "counts", "spans"), "file_seq")
     schema = "file_seq int, source_file string, section string, section_ord int, pos bigint, block int, piece boolean, alone boolean, n_values bigint, raw binary"
     asked.mapInArrow(_cut, schema).write.partitionBy("piece", "section").parquet(cut_path)
     rows = spark.read.schema(f"{schema.replace('piece boolean, ', '').replace('section string, ', '')}, piece boolean, section string").parquet(cut_path)
@@ -286,6 +333,10 @@ def read_split(files: DataFrame, sections: tuple[str, ...] = SECTIONS, size: int
     pieces = rows.filter("piece").groupBy("file_seq", "source_file", "section", "section_ord", "pos").agg(F.sort_array(F.collect_list(F.struct("block", "raw"))).alias("p"), F.first("alone").alias("alone"), F.sum("n_values").alias("n_values"))
     whole = F.aggregate(F.transform("p", lambda x: x["raw"]), F.lit(b""), lambda a, x: F.concat(a, x))
     crossing = pieces.withColumn("raw", whole).mapInArrow(_joined, "file_seq int, source_file string, section string, section_ord int, pos bigint, raw binary")
+    # Elements are written once where they are cut; few cross borders, and these are put together once.
+    path = sinks.work_path(spark, "crossing")
+    crossing.write.partitionBy("section").parquet(path)
+    crossing = spark.read.schema(crossing.schema).parquet(path).select(*crossing.columns)
     found = rows.filter("not piece").select("file_seq", "source_file", "section", "section_ord", "pos", "raw").unionByName(crossing)
-    single = plan.filter("block is null").select("file_seq", "source_file", F.explode("single").alias("s")).select("file_seq", "source_file", "s.section", F.col("s.ord").alias("section_ord"), "s.pos", "s.raw")
+    single = plan.select("file_seq", "source_file", F.explode("single").alias("s")).select("file_seq", "source_file", "s.section", F.col("s.ord").alias("section_ord"), "s.pos", "s.raw")
     return found.withColumn("raw", F.make_valid_utf8(F.col("raw").cast("string"))).select(*columns).unionByName(single.select(*columns))

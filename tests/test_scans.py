@@ -79,6 +79,14 @@ def test_blocks_of_broken_files_fail(stored, text):
         blocks.read_split(stored(text.encode()), size=8).collect()
 
 
+def test_small_files_share_tasks_and_a_file_is_one_row(stored):
+    made = blocks.inflate(stored(*[gzip.compress(json.dumps({"in_network": [{"n": k}] * 9}).encode()) for k in range(60)]), size=16)
+    assert len(made.inputFiles()) < 60 < made.count()
+    # What blocks look up is a row for each file, so that it stays small beside them.
+    states = blocks._states(made)
+    assert states.count() == 60 and blocks._plan(made, states, ALL).count() == 60
+
+
 def test_lexer_states_compose():
     rng = random.Random(3)
     for _ in range(300):
@@ -108,6 +116,13 @@ def test_the_scan_lets_through_what_can_match(written, spark):  # noqa: F811
     assert matching.few_enough(spark.range(5).withColumnRenamed("id", "npi"), 4) is None
 
 
+def test_items_without_a_target_are_not_decoded_for_their_own_listings(written):  # noqa: F811
+    raw = mrf.read_elements(written(PLAN)).filter("section = 'in_network' AND pos >= 0")
+    held = {r["raw"] for r in search.holding(raw, [A]).collect()}
+    assert held == {r["raw"] for r in raw.collect() if str(A) in r["raw"]} and len(held) < raw.count()
+    assert search.holding(raw, []).count() == 0 and search.holding(raw, range(search.SOUGHT + 1)).count() == raw.count()
+
+
 def test_large_files_are_searched_in_blocks(written, spark):  # noqa: F811
     files = written(PLAN, PLAN).withColumn("length", F.when(F.col("file_seq") == 0, None).otherwise(0).cast("long"))
     assert rates(flows.search_files(files, [A], large=-1, block=100)) == sorted(FOUR * 2)
