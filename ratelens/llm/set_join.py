@@ -33,6 +33,7 @@ table gives an empty result; other columns are never read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -181,6 +182,24 @@ def may_pair(x: str, y: str, percent: int) -> Column:
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (F.least(a - F.col(f"{x}.pos"), b - F.col(f"{y}.pos")) >= need) & (differ <= a + b - 2 * need) & (F.col(f"{x}.own") | F.col(f"{y}.own"))
 
 
+def folded(classes: DataFrame) -> DataFrame:
+    """id, wide: the parity map of each class folded to eight words, for joins that pair many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [np.bitwise_xor.reduce(np.frombuffer(m, dtype="<i8").reshape(-1, 8)) for m in batch.column("map").to_pylist()]
+            offsets = pa.array(np.arange(0, 8 * batch.num_rows + 1, 8, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*words, np.zeros(0, dtype=np.int64)])))], ["id", "wide"])
+
+    return classes.select("id", "map").mapInArrow(run, "id long, wide array<long>")
+
+
+def maps_allow(x: str, y: str, a: Column, b: Column, percent: int) -> Column:
+    """Whether the folded maps ``x`` and ``y`` of sets of sizes ``a`` and ``b`` allow the threshold."""
+    differ = [F.bit_count(F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))) for k in range(8)]
+    return reduce(Column.__add__, differ) <= a + b - 2 * _need(a, b, percent)
+
+
 def still_possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose parity maps allow the threshold: each shingle that only one set has changes one bit, so
     sets differ in as many shingles as bits at least."""

@@ -132,3 +132,16 @@ def test_parity_maps_never_say_more_than_sets_differ():
     assert len(set_join.parity_map(a)) < len(set_join.parity_map(b))
     assert set_join.map_distance(set_join.parity_map(a), set_join.parity_map(np.concatenate([a, b[:160]]))) <= 160
     assert set_join.map_distance(set_join.parity_map(a), set_join.parity_map(b)) > 0.11 * len(a)
+
+
+def test_folded_maps_never_say_more_than_sets_differ(spark):
+    rng = np.random.default_rng(6)
+    base = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (0, 3, 300, 1024, 3000, 20_000)]
+    sets = [*base, *(np.unique(np.concatenate([x[k:], rng.integers(0, 1 << 63, k, dtype=np.uint64)])) for x in base for k in (1, 40))]
+    table = spark.createDataFrame([(k, bytearray(set_join.parity_map(x))) for k, x in enumerate(sets)], "id long, map binary")
+    wide = {r["id"]: np.array(r["wide"], dtype=np.int64) for r in set_join.folded(table).collect()}
+    distance = lambda a, b: int(np.bitwise_count((wide[a] ^ wide[b]).view(np.uint64)).sum())
+    assert all(distance(a, b) <= len(np.setxor1d(x, y)) for a, x in enumerate(sets) for b, y in enumerate(sets))
+    assert distance(2, 3) > 150
+    sizes = spark.createDataFrame([(wide[a].tolist(), wide[b].tolist(), len(sets[a]), len(sets[b])) for a, b in ((2, 2), (2, 6 + 4), (3, 6 + 6), (2, 3))], "x array<long>, y array<long>, a long, b long")
+    assert [r[0] for r in sizes.select(set_join.maps_allow("x", "y", F.col("a"), F.col("b"), 80)).collect()] == [True, True, True, False]
