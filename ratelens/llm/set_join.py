@@ -217,8 +217,8 @@ def still_possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFr
 
 
 def posting_lists(classes: DataFrame, percent: int) -> DataFrame:
-    """key, p (own, id, n, pos, bits), head: the postings under (shingle, size block) of lists of several sets, with
-    the earliest set of the list where it may be similar."""
+    """key, p (own, id, n, pos, bits), head, len: the postings under (shingle, size block) of lists of several sets, with
+    the earliest set of the list where it may be similar, and the list's length."""
     posted = classes.select("id", "n", "blk", "bits", F.posexplode("prefix").alias("pos", "token"))
     # Most shingles stand in one prefix only: those are gone before anything else is done.
     shared = posted.groupBy("token").agg(F.count("*").alias("sets")).filter("sets > 1").select("token")
@@ -232,7 +232,7 @@ def posting_lists(classes: DataFrame, percent: int) -> DataFrame:
     lists = stored(met.select(F.explode(F.array_compact(F.array(own, before))).alias("x")).select("x.key", "x.p"), "postings")
     h = F.struct(F.col("p.id").alias("id"), F.col("p.own").alias("own"), F.col("p.n").alias("n"), F.col("p.pos").alias("pos"), F.col("p.bits").alias("bits"))
     heads = lists.groupBy("key").agg(F.count("*").alias("len"), F.min(F.when(F.col("p.own"), h)).alias("h")).filter("len > 1 and h is not null")
-    return lists.join(heads.hint("merge"), "key").select("key", "p", F.when((F.col("p.id") != F.col("h.id")) & may_pair("p", "h", percent), F.col("h.id")).alias("head"))
+    return lists.join(heads.hint("merge"), "key").select("key", "p", F.when((F.col("p.id") != F.col("h.id")) & may_pair("p", "h", percent), F.col("h.id")).alias("head"), "len")
 
 
 def _filter(classes: DataFrame) -> np.ndarray:
